@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import components, stored, table
 
@@ -108,3 +109,113 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def op8_simhash(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- The near-duplicate stage: five-word shingles, similarity 0.8 ---
+#
+# Fingerprints within 3 of 64 bits are texts of similarity 0.98 or so: at 0.8 they differ in 10 bits, beyond
+# any ball that can be emitted. So the stage takes the groups of the ball hashing first and looks for the rest
+# of the near copies among their representatives by banded min-hashes, verified on whole shingle sets.
+
+STAGE_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 4
+_MULTIPLIERS = np.random.default_rng(8).integers(1, 2**62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; none for a text without a word."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(h) - shingle + 1
+    if n <= 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64) if words else h
+    out = np.zeros(n, np.uint64)
+    for i in range(shingle):
+        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def min_hashes(shingles: np.ndarray, block: int = 8192) -> np.ndarray:
+    best = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), block):
+        x = shingles[i : i + block, None] * _MULTIPLIERS
+        best = np.minimum(best, (x ^ (x >> np.uint64(31))).min(axis=0))
+    return best
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, bands (a key a band), sketch (32 bits of each min-hash) for the texts that have a word."""
+
+    def run(batches):
+        for b in batches:
+            ids, bands, sketch = [], [], []
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                s = shingle_hashes(t.as_py())
+                if len(s):
+                    m = min_hashes(s)
+                    ids.append(i)
+                    bands.append([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in m.reshape(BANDS, BAND_ROWS)])
+                    sketch.append((m >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "bands", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, sketch binary")
+
+
+def _agreeing(least: float):
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("x", "y"))
+            yield b.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between documents whose shingle sets have the similarity or more.
+
+    In a bucket of equal band keys each document is compared with the first one and the one before it, so
+    buckets of any size give pairs in proportion to it; a document lies in BANDS buckets with other company.
+    """
+    sketched = stored(sketches(docs), "op8-sketches")
+    keys = sketched.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    firsts = stored(keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "op8-buckets")
+    firsts = firsts.select(F.col("band").alias("fb"), F.col("key").alias("fk"), "first")
+    shared = stored(keys.join(firsts, (F.col("band") == F.col("fb")) & (F.col("key") == F.col("fk"))).select("band", "key", "doc_id", "first"), "op8-shared")
+    before = F.lag("doc_id").over(W.partitionBy("band", "key").orderBy("doc_id"))
+    chained = shared.select(F.col("doc_id").alias("a"), before.alias("b")).union(shared.select("doc_id", "first"))
+    pairs = stored(chained.filter("b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "op8-pairs")
+    x, y = sketched.select(F.col("doc_id").alias("xi"), F.col("sketch").alias("x")), sketched.select(F.col("doc_id").alias("yi"), F.col("sketch").alias("y"))
+    likely = pairs.join(x, pairs.a == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y").mapInArrow(_agreeing(similarity - 0.15), "a long, b long")
+    likely = stored(likely, "op8-likely")
+    needed = stored(likely.select(F.col("a").alias("n")).union(likely.select("b")).distinct(), "op8-needed")
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_hashes(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["doc_id", "s"])
+
+    own = stored(docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(sets, "doc_id long, s binary"), "op8-sets")
+    x, y = own.select(F.col("doc_id").alias("xi"), F.col("s").alias("x")), own.select(F.col("doc_id").alias("yi"), F.col("s").alias("y"))
+    return likely.join(x, likely.a == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the near copies of a document with a smaller doc_id; rows without an id stay, rows that share an id stay or go together."""
+    groups = near_duplicates(docs, STAGE_SHINGLE)
+    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "op8-copies")
+    single = docs.filter("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("doc_id", "text").dropDuplicates(["doc_id"])
+    linked = components(similar_links(single, similarity).select("a", "b"), "op8-similar")
+    gone = stored(gone.union(linked.filter("node <> component").select("node")), "op8-gone")
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
