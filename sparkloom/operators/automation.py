@@ -1,0 +1,156 @@
+"""Schedules, triggers, run history, model routing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+# --- Schedules
+
+CRON_DAYS = 366
+
+
+def cron_values(field: Column, low: int, high: int) -> Column:
+    """The values of low..high a cron field admits: *, lists, ranges, steps (every value, or from a start)."""
+
+    def admits(part: Column, v: Column) -> Column:
+        sides = F.split(part, "/")
+        base, step = F.get(sides, F.lit(0)), F.expr("int(1)") * F.coalesce(F.get(sides, F.lit(1)).try_cast("int"), F.lit(1))
+        ends = F.split(part, "-")
+        start, end = F.get(ends, F.lit(0)).try_cast("int"), F.get(ends, F.lit(1)).try_cast("int")
+        return (
+            F.when(part == "*", F.lit(True))
+            .when(part.contains("/") & (base == "*"), v % step == 0)
+            .when(part.contains("/"), (v >= base.try_cast("int")) & ((v - base.try_cast("int")) % step == 0))
+            .when(part.contains("-"), v.between(start, end))
+            .otherwise(F.coalesce(part.try_cast("int") == v, F.lit(False)))
+        )
+
+    return F.filter(F.sequence(F.lit(low), F.lit(high)), lambda v: F.exists(F.split(field, ","), lambda p: F.coalesce(admits(p, v), F.lit(False))))
+
+
+def next_cron(schedules: DataFrame, after: Column, dow_base: int = 0) -> DataFrame:
+    """schedules with cron_next: the first minute after the given one that all five fields admit, within a year.
+
+    Fields become arrays; days are tried in one filtered sequence, and the time of day is the first admitted
+    hour and minute, after the current ones on the first day. Monday is day dow_base.
+    """
+    f = F.split(F.trim(F.regexp_replace("cron_expression", r"\s+", " ")), " ")
+    minutes, hours = cron_values(F.get(f, F.lit(0)), 0, 59), cron_values(F.get(f, F.lit(1)), 0, 23)
+    doms, months, dows = cron_values(F.get(f, F.lit(2)), 1, 31), cron_values(F.get(f, F.lit(3)), 1, 12), cron_values(F.get(f, F.lit(4)), 0, 6)
+    s = schedules.withColumns({"_m": minutes, "_h": hours, "_d": doms, "_mo": months, "_w": dows, "_start": F.date_trunc("minute", after).cast("timestamp_ntz") + F.expr("INTERVAL 1 MINUTE")})
+    day0 = F.to_date("_start")
+    ok = lambda d: F.array_contains("_d", F.dayofmonth(d)) & F.array_contains("_mo", F.month(d)) & F.array_contains("_w", F.pmod(F.weekday(d) + F.lit(dow_base), F.lit(7)))
+    days = F.filter(F.transform(F.sequence(F.lit(0), F.lit(CRON_DAYS)), lambda i: F.date_add(day0, i)), ok)
+    times = F.flatten(F.transform("_h", lambda h: F.transform("_m", lambda m: h * 60 + m)))
+    now = F.hour("_start") * 60 + F.minute("_start")
+    today = F.array_min(F.filter(times, lambda t: t >= now))
+    first = F.array_min("_days")
+    later = F.array_min(F.filter("_days", lambda d: d > day0))
+    s = s.withColumns({"_days": days, "_t": times})
+    today = F.array_min(F.filter("_t", lambda t: t >= now))
+    at = lambda d, t: d.cast("timestamp_ntz") + F.make_dt_interval(mins=t)
+    found = F.when((first == day0) & today.isNotNull(), at(first, today)).otherwise(at(later, F.array_min("_t")))
+    good = (F.size(f) == 5) & (found < F.col("_start") + F.expr("INTERVAL 525600 MINUTES"))
+    return s.withColumn("cron_next", F.when(good, found)).drop("_m", "_h", "_d", "_mo", "_w", "_start", "_days", "_t")
+
+
+def next_run(schedules: DataFrame, after: Column, dow_base: int = 0) -> DataFrame:
+    """schedules (schedule_type, run_at, delay_seconds, interval_seconds, cron_expression) with next_run, null if there is none."""
+    kind = F.col("schedule_type")
+    plus = lambda c, default: after + F.make_dt_interval(secs=F.coalesce(F.nullif(c, F.lit(0)), F.lit(default)).cast("decimal(18,6)"))
+    run = (
+        F.when((kind == "one_time") & (F.col("run_at") > after), F.col("run_at"))
+        .when(kind == "delayed", plus(F.col("delay_seconds"), 0))
+        .when(kind == "recurring", plus(F.col("interval_seconds"), 3600))
+        .when(kind == "cron", F.col("cron_next"))
+    )
+    return next_cron(schedules, after, dow_base).withColumn("next_run", run).drop("cron_next")
+
+
+def due(automations: DataFrame, as_of: Column) -> DataFrame:
+    return automations.filter((F.col("status") == "enabled") & F.col("schedule_type").isNotNull() & (F.col("next_run_at") <= as_of))
+
+
+# --- Triggers
+
+
+def glob_to_regex(pattern: Column) -> Column:
+    """A file-name glob as an anchored regular expression."""
+    quoted = F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1")
+    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
+
+
+def match_completions(completions: DataFrame, automations: DataFrame) -> DataFrame:
+    """Finished workflows (task_id, workflow_id) and the enabled automations they fire; one without a source workflow fires for all."""
+    a = automations.filter("status = 'enabled' AND trigger_type = 'workflow_completion'").select("automation_id", "source_workflow_id")
+    bound = completions.join(a.filter("source_workflow_id <> ''"), F.col("workflow_id") == F.col("source_workflow_id"))
+    free = completions.crossJoin(F.broadcast(a.filter("source_workflow_id IS NULL OR source_workflow_id = ''")))
+    return bound.unionByName(free).select("task_id", "workflow_id", "automation_id")
+
+
+def match_file_events(events: DataFrame, automations: DataFrame) -> DataFrame:
+    """Changed paths and the enabled automations whose watched prefix and name glob fit; automations are a control table, broadcast."""
+    a = automations.filter("status = 'enabled' AND trigger_type = 'filesystem'").select("automation_id", F.coalesce("watch_path", F.lit("")).alias("watch"), glob_to_regex(F.coalesce(F.nullif("watch_pattern", F.lit("")), F.lit("*"))).alias("glob"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return events.join(F.broadcast(a), F.startswith("path", F.col("watch")) & F.rlike(name, F.col("glob"))).select("event_id", "path", "automation_id")
+
+
+# --- Runs
+
+
+def active_runs(executions: DataFrame, limit: int) -> DataFrame:
+    """For each start the number of its automation's runs open then (itself included), flagged over the limit; ends count before starts at equal times."""
+    start = executions.select("automation_id", "execution_id", F.col("started_at").alias("at"), F.lit(1).alias("step"))
+    end = executions.select("automation_id", "execution_id", F.col("ended_at").alias("at"), F.lit(-1).alias("step"))
+    w = W.partitionBy("automation_id").orderBy("at", "step", "execution_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = start.unionByName(end).withColumn("active", F.sum("step").over(w)).filter("step = 1")
+    return rows.select("automation_id", "execution_id", "active", (F.col("active") > limit).alias("over_limit"))
+
+
+def run_history(executions: DataFrame, automation_id: str | None = None, limit: int = 50) -> DataFrame:
+    rows = executions if automation_id is None else executions.filter(F.col("automation_id") == automation_id)
+    return rows.orderBy(F.desc("started_at"), "execution_id").limit(limit)
+
+
+# --- Routing
+
+#: Fixed values: (provider, model, context length, local, latency, cost, reasoning, coding, structured output, multimodal), in order of preference.
+PROFILES = (
+    ("edge", "small", 8192, True, 0.9, 1.0, 0.6, 0.6, False, False),
+    ("alpha", "large", 128000, False, 0.6, 0.3, 0.9, 0.85, True, True),
+    ("beta", "large", 200000, False, 0.55, 0.3, 0.95, 0.9, True, True),
+    ("gamma", "fast", 1000000, False, 0.7, 0.5, 0.85, 0.8, True, True),
+    ("delta", "code", 64000, False, 0.5, 0.7, 0.88, 0.92, False, False),
+    ("epsilon", "quick", 128000, False, 0.95, 0.6, 0.75, 0.5, False, False),
+)
+PROFILE_SCHEMA = "provider string, model string, context_length int, is_local boolean, latency double, cost double, reasoning double, coding double, structured_ok boolean, multimodal_ok boolean"
+
+
+def profiles(spark, rows=PROFILES) -> DataFrame:
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{PROFILE_SCHEMA}, place int")
+
+
+def route_requests(requests: DataFrame, models: DataFrame, healthy: list[str], default: str = "edge", prefer_local: bool = True) -> DataFrame:
+    """request_id, provider, model, score: the best healthy profile of each request.
+
+    requests: request_id, priorities, min_context, structured, multimodal, override_provider. Models that fail a
+    wish leave; where none is left all healthy ones stand; where none is healthy the default does. The table of
+    models is a control table, broadcast.
+    """
+    wish = F.when((F.size("priorities") == 0) & F.lit(prefer_local), F.array(F.lit("local"))).otherwise(F.col("priorities"))
+    r = requests.withColumn("wish", wish)
+    m = models.filter(F.col("provider").isin(*healthy) if healthy else F.lit(False))
+    pairs = r.join(F.broadcast(m), F.lit(True), "left")
+    ok = ((F.col("min_context") == 0) | (F.col("context_length") >= F.col("min_context"))) & (~F.col("structured") | F.col("structured_ok")) & (~F.col("multimodal") | F.col("multimodal_ok")) & (~F.array_contains("wish", "local") | F.col("is_local"))
+    mean = (F.col("reasoning") + F.col("coding")) / 2
+    of = lambda p: F.when(p == "latency", F.col("latency")).when(p == "cost", F.col("cost")).when(p == "coding", F.col("coding")).when(p == "reasoning", F.col("reasoning")).when(p == "local", F.when(F.col("is_local"), 1.0).otherwise(0.0)).when(p == "quality", mean)
+    scores = F.filter(F.transform("wish", of), lambda x: x.isNotNull())
+    score = F.when(F.size("wish") == 0, mean).when(F.size(scores) == 0, F.lit(0.5)).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, b: a + b) / F.size(scores))
+    rows = pairs.withColumns({"ok": F.coalesce(ok, F.lit(False)), "score": F.round(score, 9)})
+    # The best of those that pass, else of all: one aggregation, no window.
+    best = rows.groupBy("request_id").agg(F.max_by(F.struct("provider", "model", "score"), F.struct("ok", "score", -F.col("place"))).alias("b"), F.first("override_provider").alias("forced"))
+    forced = F.col("forced").isNotNull()
+    none = F.col("b.provider").isNull()
+    return best.select("request_id", F.when(forced, F.col("forced")).when(none, F.lit(default)).otherwise(F.col("b.provider")).alias("provider"), F.when(forced | none, F.lit("default")).otherwise(F.col("b.model")).alias("model"), F.when(forced, 1.0).when(none, 0.0).otherwise(F.col("b.score")).alias("score"))
