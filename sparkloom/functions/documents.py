@@ -206,8 +206,7 @@ def _plain(body: Column) -> Column:
     parents = tx.split_by_tokens(body, PARENT_SIZE)
 
     def part(text: Column, i: Column) -> Column:
-        kids = tx.split_by_tokens(text, CHILD_SIZE, OVERLAP)
-        kept = F.filter(kids, lambda k: (F.size(kids) == 1) | (tx.count_words(k) >= LEAST_CHILD))
+        kept = tx.let(tx.split_by_tokens(text, CHILD_SIZE, OVERLAP), lambda kids: F.filter(kids, lambda k: (F.size(kids) == 1) | (tx.count_words(k) >= LEAST_CHILD)))
         return F.struct(i.cast("int").alias("parent"), F.lit("content").alias("heading_path"), text.alias("parent_text"), kept.alias("children"), F.lit(0).cast("long").alias("start_offset"), F.length(body).cast("long").alias("end_offset"))
 
     return F.transform(parents, part).cast(_PARTS)

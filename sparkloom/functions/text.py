@@ -89,12 +89,21 @@ def extract_keywords(col: Column, most: int = 12) -> Column:
     return F.slice(F.filter(found, lambda w: ~w.isin(*STOP_WORDS)), 1, most)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, also where use reads it often or inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_by_tokens(col: Column, size: int, overlap: int = 0) -> Column:
     """Windows of size words, each starting size - overlap words after the last; a short text as it is."""
-    ws = words(col)
-    last = F.greatest(F.lit(0), F.ceil((F.size(ws) - size) / F.lit(float(size - overlap)))).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(ws, i * (size - overlap) + 1, F.lit(size)), " "))
-    return F.when(F.size(ws) == 0, F.array().cast("array<string>")).when(F.size(ws) <= size, F.array(strip(col))).otherwise(windows)
+    step = size - overlap
+
+    def cut(ws: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(ws) - size) / F.lit(float(step)))).cast("int")
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(ws, i * step + 1, F.lit(size)), " "))
+        return F.when(F.size(ws) == 0, F.array().cast("array<string>")).when(F.size(ws) <= size, F.array(strip(col))).otherwise(windows)
+
+    return let(words(col), cut)
 
 
 def detect_format(path: Column, content: Column) -> Column:

@@ -98,7 +98,7 @@ def decide(requests: DataFrame, table: DataFrame, evidence: DataFrame) -> DataFr
     sure = assumptions(requests, table, known).groupBy("decision_id").agg((F.sum("confidence") / F.count("*")).alias("sure"))
     out = best.join(sure, "decision_id").join(relevance(known), "decision_id", "left").join(requests.select("decision_id", "require_knowledge"), "decision_id").na.fill(0, ["n_evidence"]).na.fill(0.0, ["mean_relevance"])
     raw = F.lit(0.3) * F.col("sure") + F.lit(0.35) * F.col("mean_relevance") + F.lit(0.35) * F.col("score") - F.when(F.col("require_knowledge") & (F.col("n_evidence") == 0), 0.15).otherwise(0.0)
-    return out.select("decision_id", "strategy", "option", "title", F.round("score", 6).alias("score"), "n_evidence", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 4).alias("confidence"))
+    return out.select("decision_id", "strategy", "option", "title", F.round("score", 6).alias("score"), "n_evidence", F.round(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 9), 4).alias("confidence"))
 
 
 def evidence_of(bundle: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ def d3(spark, sf):
     return de.score_options(r, de.generate_options(r, t), t, e).select("decision_id", "option", "wins", F.round("score", 6).alias("score"))
 
 
-@query("d4_decide", with_ctes("scored assume", "SELECT b.decision_id, b.strategy, b.option, b.title, round(b.score, 6) AS score, coalesce(e.n, 0) AS n_evidence, CAST(round(CAST(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * a.sure + 0.35::DOUBLE * coalesce(e.rel, 0.0::DOUBLE) + 0.35::DOUBLE * b.score - CASE WHEN r.require_knowledge AND e.n IS NULL THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END)) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, option) AS rn FROM scored) b JOIN (SELECT decision_id, sum(confidence) / count(*) AS sure FROM assume GROUP BY decision_id) a ON a.decision_id = b.decision_id JOIN reqs r ON r.decision_id = b.decision_id LEFT JOIN (SELECT decision_id, count(*) AS n, sum(relevance) / count(*) AS rel FROM known GROUP BY decision_id) e ON e.decision_id = b.decision_id WHERE rn = 1"))
+@query("d4_decide", with_ctes("scored assume", "SELECT b.decision_id, b.strategy, b.option, b.title, round(b.score, 6) AS score, coalesce(e.n, 0) AS n_evidence, CAST(round(CAST(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * a.sure + 0.35::DOUBLE * coalesce(e.rel, 0.0::DOUBLE) + 0.35::DOUBLE * b.score - CASE WHEN r.require_knowledge AND e.n IS NULL THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END)) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, option) AS rn FROM scored) b JOIN (SELECT decision_id, sum(confidence) / count(*) AS sure FROM assume GROUP BY decision_id) a ON a.decision_id = b.decision_id JOIN reqs r ON r.decision_id = b.decision_id LEFT JOIN (SELECT decision_id, count(*) AS n, sum(relevance) / count(*) AS rel FROM known GROUP BY decision_id) e ON e.decision_id = b.decision_id WHERE rn = 1"))
 def d4(spark, sf):
     r, t, _ = _decisions(spark, sf)
     return de.decide(r, t, v.evidence(spark, sf))
