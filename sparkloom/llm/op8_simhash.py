@@ -70,13 +70,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def with_neighbour_in_half(fps: DataFrame) -> DataFrame:
     """The fingerprints fp that have another one within a bit in their upper or lower half."""
-    halves = F.array(F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("key")))
-    rows = fps.select("fp", F.explode(halves).alias("x")).select("fp", "x.half", "x.key")
-    exact = stored(rows.groupBy(F.col("half").alias("h"), F.col("key").alias("k")).agg(F.count("*").alias("n")), "op8-halves")
-    steps = F.array(*[F.lit(0 if b < 0 else 1 << b).cast("long") for b in range(-1, 32)])
-    tried = rows.select("fp", "half", F.explode(steps).alias("step"), "key").select("fp", "half", F.col("key").bitwiseXOR(F.col("step")).alias("key"), (F.col("step") == 0).alias("own"))
-    met = tried.join(exact, (F.col("half") == F.col("h")) & (F.col("key") == F.col("k"))).filter("NOT own OR n > 1")
-    return stored(met.select("fp").distinct(), "op8-near")
+    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    high = F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32))  # the bit above tells the halves apart
+    rows = fps.select("fp", F.explode(F.array(low, high)).alias("key"))
+    exact = stored(rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")), "op8-halves")
+    steps = F.array(*[F.lit(1 << b).cast("long") for b in range(32)])
+    tried = rows.select("fp", F.explode(steps).alias("step"), "key").select("fp", F.col("key").bitwiseXOR(F.col("step")).alias("key"))
+    # The keys grow with the corpus: merge joins at every size, never a broadcast.
+    near = tried.join(exact.hint("merge"), F.col("key") == F.col("k")).select("fp")
+    same = rows.join(exact.filter("n > 1").hint("merge"), F.col("key") == F.col("k")).select("fp")
+    return stored(near.union(same).distinct(), "op8-near")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def links(fps: DataFrame) -> DataFrame:
     near = F.min(F.when(F.col("far") <= 1, F.col("fp")))
     groups = variants.groupBy("v").agg(near.alias("centre"), F.count("*").alias("n")).filter("n > 1 AND centre IS NOT NULL")
     groups = stored(groups.select(F.col("v").alias("met"), "centre"), "op8-met")
-    return variants.join(groups, F.col("v") == F.col("met")).filter("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
+    return variants.join(groups.hint("merge"), F.col("v") == F.col("met")).filter("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
