@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DIMENSION, MAX_LANGS, UNKNOWN, FLOOR = 1024, 1000, "und", 0.2
+DIMENSION, MAX_LANGS, UNKNOWN, FLOOR, TRAIN_ROWS, MOST_GRAMS = 1024, 1000, "und", 0.2, 1000, 12_000
 _OTHER = re.compile(r"[\W\d_]+")
 _CODE = 1 << 21  # code points are below this
 
@@ -58,7 +58,7 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def bundle(grams: np.ndarray, weights: np.ndarray, block: int = 4096) -> np.ndarray:
+def bundle(grams: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.ndarray:
     total = np.zeros(DIMENSION)
     for i in range(0, len(grams), block):
         total += weights[i : i + block].astype(np.float32) @ gram_vectors(grams[i : i + block]).astype(np.float32)
@@ -74,18 +74,20 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            counts: dict[str, list] = {}
-            for i, lang, text in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), b.column("text"), strict=True):
-                if lang is not None and not held_out(i):
-                    g, n = trigrams(text.as_py())
-                    if len(g):
-                        counts.setdefault(lang, []).append((g, n / n.sum()))
-            for lang, parts in counts.items():
-                g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                sums[lang] = sums.get(lang, 0) + bundle(g, np.bincount(at, np.concatenate([p[1] for p in parts])))
-            if len(sums) > MAX_LANGS:
-                raise ValueError(f"more than {MAX_LANGS} languages")
+        for whole in batches:
+            for at in range(0, whole.num_rows, TRAIN_ROWS):
+                b = whole.slice(at, TRAIN_ROWS)
+                counts: dict[str, list] = {}
+                for i, lang, text in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), b.column("text"), strict=True):
+                    if lang is not None and not held_out(i):
+                        g, n = trigrams(text.as_py())
+                        if len(g):
+                            counts.setdefault(lang, []).append((g, n / n.sum()))
+                for lang, parts in counts.items():
+                    g, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    sums[lang] = sums.get(lang, 0) + bundle(g, np.bincount(of, np.concatenate([p[1] for p in parts])))
+                if len(sums) > MAX_LANGS:
+                    raise ValueError(f"more than {MAX_LANGS} languages")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     rows = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL").mapInArrow(run, "lang string, v array<double>")
@@ -105,7 +107,7 @@ def classify(texts, names: list[str], prototypes: np.ndarray) -> tuple[list[str]
     known = np.unique(np.concatenate([g for g, _ in grams])) if grams else []
     if not len(known):
         return langs, scores
-    vectors = gram_vectors(known).astype(np.float32) if len(known) <= 30_000 else None
+    vectors = gram_vectors(known).astype(np.float32) if len(known) <= MOST_GRAMS else None
     for i, (g, n) in enumerate(grams):
         if len(g):
             v = n.astype(np.float32) @ vectors[np.searchsorted(known, g)] if vectors is not None else bundle(g, n)
@@ -116,7 +118,7 @@ def classify(texts, names: list[str], prototypes: np.ndarray) -> tuple[list[str]
     return langs, scores
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], batch: int = 256) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, np.ndarray], batch: int = 128) -> DataFrame:
     """docs with lang_pred and score."""
     names = sorted(model)
     shared = docs.sparkSession.sparkContext.broadcast((names, np.stack([model[k] for k in names]) if names else np.empty((0, DIMENSION))))
