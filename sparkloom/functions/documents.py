@@ -184,7 +184,7 @@ def parse_outline(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "body").mapInPandas(run, f"doc_id string, section_index long, {_SECTION}")
 
 
-_PARTS = "array<struct<parent:int,heading_path:string,parent_text:string,children:array<string>,start_offset:bigint,end_offset:bigint>>"
+_PARTS = "array<struct<parent:int,heading_path:string,parent_text:string,tokens:int,children:array<struct<text:string,tokens:int>>,start_offset:bigint,end_offset:bigint>>"
 
 
 def _structured(body: pd.Series) -> pd.Series:
@@ -194,22 +194,35 @@ def _structured(body: pd.Series) -> pd.Series:
         parts = []
         for path, _, inner, a, z in sections(text or ""):
             for parent in windows(inner, PARENT_SIZE, 0):
-                kids = windows(parent, CHILD_SIZE, OVERLAP) or [parent]
-                kept = [k for k in kids if len(kids) == 1 or len(k.split()) >= LEAST_CHILD]
-                parts.append({"parent": len(parts), "heading_path": path, "parent_text": parent, "children": kept, "start_offset": a, "end_offset": z})
+                kids = [{"text": k, "tokens": len(k.split())} for k in windows(parent, CHILD_SIZE, OVERLAP) or [parent]]
+                kept = [k for k in kids if len(kids) == 1 or k["tokens"] >= LEAST_CHILD]
+                parts.append({"parent": len(parts), "heading_path": path, "parent_text": parent, "tokens": len(parent.split()), "children": kept, "start_offset": a, "end_offset": z})
         out.append(parts)
     return pd.Series(out)
 
 
+def _last_window(n: Column, size: int, step: int) -> Column:
+    return F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
+
+
 def _plain(body: Column) -> Column:
-    """The same for bodies without either, by built-in functions."""
-    parents = tx.split_by_tokens(body, PARENT_SIZE)
+    """The same for bodies without either, by built-in functions: the words are found once, windows are slices of them."""
+    step = CHILD_SIZE - OVERLAP
+
+    def children(pw: Column, text: Column) -> Column:
+        n = F.size(pw)
+        cut = lambda j: F.struct(F.when(n <= CHILD_SIZE, text).otherwise(F.array_join(F.slice(pw, j * step + 1, F.lit(CHILD_SIZE)), " ")).alias("text"), F.least(F.lit(CHILD_SIZE), n - j * step).alias("tokens"))
+        return F.filter(F.transform(F.sequence(F.lit(0), _last_window(n, CHILD_SIZE, step)), cut), lambda k: (n <= CHILD_SIZE) | (k.tokens >= LEAST_CHILD))
 
-    def part(text: Column, i: Column) -> Column:
-        kept = tx.let(tx.split_by_tokens(text, CHILD_SIZE, OVERLAP), lambda kids: F.filter(kids, lambda k: (F.size(kids) == 1) | (tx.count_words(k) >= LEAST_CHILD)))
-        return F.struct(i.cast("int").alias("parent"), F.lit("content").alias("heading_path"), text.alias("parent_text"), kept.alias("children"), F.lit(0).cast("long").alias("start_offset"), F.length(body).cast("long").alias("end_offset"))
+    def parent(ws: Column, i: Column) -> Column:
+        made = lambda pw: tx.let(
+            F.when(F.size(ws) <= PARENT_SIZE, tx.strip(body)).otherwise(F.array_join(pw, " ")),
+            lambda text: F.struct(i.cast("int").alias("parent"), F.lit("content").alias("heading_path"), text.alias("parent_text"), F.size(pw).alias("tokens"), children(pw, text).alias("children"), F.lit(0).cast("long").alias("start_offset"), F.length(body).cast("long").alias("end_offset")),
+        )
+        return tx.let(F.slice(ws, i * PARENT_SIZE + 1, F.lit(PARENT_SIZE)), made)
 
-    return F.transform(parents, part).cast(_PARTS)
+    some = lambda ws: F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(0), _last_window(F.size(ws), PARENT_SIZE, PARENT_SIZE)), lambda i: parent(ws, i)))
+    return F.coalesce(tx.let(tx.words(body), some).cast(_PARTS), F.array().cast(_PARTS))
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
@@ -225,16 +238,16 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     rows = plain.unionByName(helped).select("doc_id", "source_id", "title", "parts")
     embed = lambda path, text: F.concat(F.lit("Document: "), F.col("title"), F.lit(" > "), path, F.lit("\n\n"), text)
     rows = rows.withColumn("parts", F.transform("parts", lambda p: p.withField("id", tx.chunk_id(F.col("doc_id"), p.heading_path, embed(p.heading_path, p.parent_text), p.parent, "parent"))))
-    parent = lambda p: F.struct(F.lit("parent").alias("level"), p.parent.alias("i"), p.parent_text.alias("text"), p.heading_path.alias("path"), F.lit(None).cast("string").alias("up"), p.start_offset.alias("a"), p.end_offset.alias("z"))
-    child = lambda p, t: F.struct(F.lit("child").alias("level"), F.lit(0).alias("i"), t.alias("text"), p.heading_path.alias("path"), p.id.alias("up"), p.start_offset.alias("a"), p.end_offset.alias("z"))
+    parent = lambda p: F.struct(F.lit("parent").alias("level"), p.parent.alias("i"), p.parent_text.alias("text"), p.tokens.alias("n"), p.heading_path.alias("path"), F.lit(None).cast("string").alias("up"), p.start_offset.alias("a"), p.end_offset.alias("z"))
+    child = lambda p, t: F.struct(F.lit("child").alias("level"), F.lit(0).alias("i"), t.text.alias("text"), t.tokens.alias("n"), p.heading_path.alias("path"), p.id.alias("up"), p.start_offset.alias("a"), p.end_offset.alias("z"))
     kids = F.flatten(F.transform("parts", lambda p: F.transform(p.children, lambda t: child(p, t))))
     kids = F.transform(kids, lambda c, i: c.withField("i", i))
     one = rows.select("doc_id", "source_id", "title", F.explode(F.concat(F.transform("parts", parent), kids)).alias("c"))
     text, path, level = F.col("c.text"), F.col("c.path"), F.col("c.level")
-    full = one.withColumn("embed_text", embed(path, text))
-    made = lambda lv: tx.chunk_id(F.col("doc_id"), path, F.col("embed_text"), F.col("c.i"), lv)
+    full = one.withColumn("embed_text", embed(path, text)).withColumn("content_hash", tx.content_hash(F.col("embed_text")))
+    payload = F.concat_ws("|", "doc_id", path, "content_hash", F.col("c.i").cast("string"), level)
     return full.select(
-        F.when(level == "parent", made("parent")).otherwise(made("child")).alias("chunk_id"), "doc_id", "source_id", level.alias("chunk_level"), F.col("c.up").alias("parent_chunk_id"), F.col("c.i").alias("chunk_index"),
-        path.alias("heading_path"), "title", tx.count_words(text).alias("token_count"), F.length(text).alias("char_count"), tx.content_hash(F.col("embed_text")).alias("content_hash"), "embed_text", text.alias("body_text"),
+        F.concat(F.lit("chk_"), F.substring(F.sha2(payload, 256), 1, 20)).alias("chunk_id"), "doc_id", "source_id", level.alias("chunk_level"), F.col("c.up").alias("parent_chunk_id"), F.col("c.i").alias("chunk_index"),
+        path.alias("heading_path"), "title", F.col("c.n").alias("token_count"), F.length(text).alias("char_count"), "content_hash", "embed_text", text.alias("body_text"),
         F.col("c.a").alias("start_offset"), F.col("c.z").alias("end_offset"),
     )

@@ -8,7 +8,7 @@ from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import indexing as ix
 from ..operators import retrieval as rt
-from ..sources.tables import chats_to_documents, table
+from ..sources.tables import chats_to_documents, materialized, table
 from . import views as v
 from .registry import query
 from .views import with_ctes
@@ -281,9 +281,9 @@ def p6(spark, sf):
 
 
 def _search(spark, sf):
-    chunks = v.chunks(spark, sf)
+    chunks = v.stored_chunks(spark, sf)
     q = v.search_queries(spark, sf)
-    return q, v.index(spark, sf), rt.embed_chunks(chunks.filter("chunk_level = 'child'")), rt.embed_chunks(q, key="query_id", text="query"), chunks
+    return q, v.index(spark, sf, of=chunks), rt.embed_chunks(chunks.filter("chunk_level = 'child'")), rt.embed_chunks(q, key="query_id", text="query"), chunks
 
 
 @query("r4_fusion", with_ctes("fused", "SELECT query_id, chunk_id, score FROM fused"))
@@ -310,14 +310,16 @@ def bundle(spark, sf):
 
 @query("j3_expand_parents", with_ctes("kw", "SELECT k.query_id, k.chunk_id, sha256(coalesce(p.body_text, c.body_text, '')) AS text_hash FROM kw k LEFT JOIN chunks_old c ON c.chunk_id = k.chunk_id AND c.chunk_level = 'child' LEFT JOIN chunks_old p ON p.chunk_id = c.parent_chunk_id AND p.chunk_level = 'parent'"))
 def j3(spark, sf):
-    hits = rt.keyword_search(v.search_queries(spark, sf), v.index(spark, sf))
-    return rt.expand_parents(hits, v.chunks(spark, sf)).select("query_id", "chunk_id", F.sha2("text", 256).alias("text_hash"))
+    chunks = v.stored_chunks(spark, sf)
+    hits = rt.keyword_search(v.search_queries(spark, sf), v.index(spark, sf, of=chunks))
+    return rt.expand_parents(hits, chunks).select("query_id", "chunk_id", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("r7_token_budget", with_ctes("kw", r"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(tokens AS INTEGER) AS tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS running FROM (SELECT k.*, len(regexp_extract_all(c.body_text, '\S+')) AS tokens FROM kw k JOIN chunks_old c ON c.chunk_id = k.chunk_id AND c.chunk_level = 'child')) WHERE rank = 1 OR running <= 1500"))
 def r7(spark, sf):
-    hits = rt.keyword_search(v.search_queries(spark, sf), v.index(spark, sf))
-    return rt.trim_to_budget(rt.expand_parents(hits, v.children(spark, sf), expand=False), 1500).select("query_id", "chunk_id", "rank", "tokens")
+    chunks = v.stored_chunks(spark, sf)
+    hits = rt.keyword_search(v.search_queries(spark, sf), v.index(spark, sf, of=chunks))
+    return rt.trim_to_budget(rt.expand_parents(hits, chunks, expand=False), 1500).select("query_id", "chunk_id", "rank", "tokens")
 
 
 @query("r8_context_bundle", with_ctes("bundle", "SELECT query_id, rank, cite_key, chunk_id, title, source_uri, score, CAST(tokens AS INTEGER) AS tokens FROM bundle"))
@@ -354,7 +356,9 @@ def r11(spark, sf):
 
 def _state(spark, sf):
     """A broken state: every 23rd id missing from the indexes, invented ids, orphans, a duplicate, a wrong manifest."""
-    d, c, kids = v.docs(spark, sf), v.chunks(spark, sf), v.children(spark, sf)
+    d = materialized(v.docs(spark, sf).drop("body"), "docs")
+    c = v.stored_chunks(spark, sf)
+    kids = c.filter("chunk_level = 'child'")
     registry = d.filter("n % 29 <> 0").select("source_id", "doc_id", F.when(F.col("n") % 31 == 0, "tombstoned").otherwise("ready").alias("status"), F.lit(1).alias("seq"))
     raw = d.filter("n % 37 <> 0").select("source_id")
     some = kids.filter(F.conv(F.substring("chunk_id", 5, 4), 16, 10).cast("int") % 23 != 0)
@@ -403,7 +407,8 @@ def p1(spark, sf):
 @query("p2_repair", with_ctes("issues", "SELECT 'documents' AS part, count(*) AS n FROM docs_old WHERE doc_id NOT IN (SELECT resource_id FROM issues WHERE code = 'ORPHAN_PROCESSED_DOC') UNION ALL SELECT 'cache', count(*) FROM held UNION ALL SELECT 'postings', count(DISTINCT chunk_id) FROM held"))
 def p2(spark, sf):
     registry, raw, d, c, some, ids, cache, manifest = _state(spark, sf)
-    out = ix.repair_index(_issues(spark, sf), ids.distinct(), d, cache)
+    issues = ix.validate_index(registry, raw, d, c, some, ids, ids, manifest, cache)
+    out = ix.repair_index(issues, ids.distinct(), d, cache)
     n = lambda k: out[k].agg(F.lit(k).alias("part"), F.count("*").alias("n"))
     return n("documents").union(n("cache")).union(n("postings"))
 
@@ -421,7 +426,8 @@ def p3(spark, sf):
 
 @query("u1_set_differences", with_ctes("idx", "SELECT 'stale' AS side, chunk_id FROM (SELECT DISTINCT chunk_id FROM idx) WHERE chunk_id NOT IN (SELECT chunk_id FROM kids) UNION ALL SELECT 'missing', chunk_id FROM (SELECT DISTINCT chunk_id FROM kids) WHERE chunk_id NOT IN (SELECT chunk_id FROM idx)"))
 def u1(spark, sf):
-    ids, kids = _state(spark, sf)[5], v.children(spark, sf)
+    _, _, _, c, _, ids, _, _ = _state(spark, sf)
+    kids = c.filter("chunk_level = 'child'")
     return ix.stale_ids(ids, kids).select(F.lit("stale").alias("side"), "chunk_id").union(ix.missing_ids(ids, kids).select(F.lit("missing"), "chunk_id"))
 
 
@@ -437,7 +443,8 @@ def a1(spark, sf):
 @query("a8_health", with_ctes("issues", "SELECT (SELECT count(*) FROM docs_old) + 1 AS document_count, CAST(5 AS BIGINT) AS child_chunk_count, (SELECT count(*) FROM kids) AS chunk_rows, (SELECT count(*) FROM idx) AS vector_count, (SELECT count(*) FROM idx) AS keyword_count, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, false AS healthy, 'vector index out of step; keyword index out of step; manifest out of step' AS notes FROM issues"))
 def a8(spark, sf):
     registry, raw, d, c, some, ids, cache, manifest = _state(spark, sf)
-    return ix.health_report(manifest, c, ids, ids, _issues(spark, sf))
+    issues = ix.validate_index(registry, raw, d, c, some, ids, ids, manifest, cache)
+    return ix.health_report(manifest, c, ids, ids, issues)
 
 
 @query("w4_admit_uploads", with_ctes("files", "SELECT batch_id, pos, name, CASE WHEN over THEN 'stopped' WHEN reason IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS verdict, CASE WHEN over THEN 'total limit' ELSE reason END AS reason FROM (SELECT *, sum(CASE WHEN reason IS NULL THEN size ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY pos) > 2000000 AS over FROM (SELECT *, CASE WHEN pos > 60 THEN 'too many files' WHEN ends_with(name, '.exe') THEN 'blocked type' WHEN NOT (ends_with(name, '.md') OR ends_with(name, '.txt') OR ends_with(name, '.pdf')) THEN 'unsupported type' WHEN size = 0 THEN 'empty file' WHEN size > 90000 THEN 'file too large' END AS reason FROM (SELECT substr(path, 8, 1) AS batch_id, CAST(row_number() OVER (PARTITION BY substr(path, 8, 1) ORDER BY event_id) AS INTEGER) AS pos, substr(path, 8) AS name, size FROM files)))"))

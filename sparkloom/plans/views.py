@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import retrieval
-from ..sources.tables import table
+from ..sources.tables import materialized, table
 
 CONCEPTS = ("Budget", "budget", "Solar", "solar power", "Hiring", "TRAVEL", "travel")
 AS_OF = "2024-02-01 00:00:00"
@@ -44,8 +44,14 @@ def children(spark, sf, version="old") -> DataFrame:
     return chunks(spark, sf, version).filter("chunk_level = 'child'")
 
 
-def index(spark, sf, version="old") -> retrieval.KeywordIndex:
-    return retrieval.build_keyword_index(children(spark, sf, version))
+def stored_chunks(spark, sf, version="old") -> DataFrame:
+    return materialized(chunks(spark, sf, version), "chunks")
+
+
+def index(spark, sf, version="old", of: DataFrame | None = None) -> retrieval.KeywordIndex:
+    """The keyword index over child chunks; its postings are built once and stored."""
+    kids = children(spark, sf, version) if of is None else of.filter("chunk_level = 'child'")
+    return retrieval.index_of(materialized(retrieval.postings_of(kids), "postings"))
 
 
 def search_queries(spark, sf) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that spark.checkpoint.dir names (shared by all executors) and read back.
+
+    Tables that several steps read, like chunks and postings, are built once this way; a lost executor loses nothing.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scan_files(spark: SparkSession, path: str, suffixes=SUFFIXES, max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
     """uri, content, byte_size, modified, format, fingerprint of the supported files under path; content is null above max_bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
