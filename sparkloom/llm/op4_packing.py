@@ -9,8 +9,8 @@ unused tail is the seed; the unused neighbours with the best scores follow until
 one cut, its rest unused still. What is left of a shard (less than a window) joins the next one; the last rest
 of a task becomes sequences whose lengths are powers of two, so nothing is padded.
 
-The ids are those of the byte-level BPE file; they are made with its rank file (the same vocabulary), where
-words are looked up in a bounded cache: a text falls apart without loss at single spaces between other signs.
+The ids are those of the byte-level BPE file; they are made with its rank file (the same vocabulary), whose
+library is several times faster.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed as often as they occur.
 A null doc_id is carried along. Extra columns are ignored. Long texts are cut into as many windows as they
@@ -20,7 +20,6 @@ need. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
-
-WINDOW, SHARD, END_ID, VOCABULARY, K1, B, CACHE_WORDS = 1024, 256, 0, 50_257, 1.5, 0.75, 300_000
-_SPACES = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-_BORDER = re.compile(r"(?<=\S) (?=\S)")
-_NEWLINE = re.compile(r" \n|\n ")
+from .common import small_batches, stored, table
 
+WINDOW, SHARD, END_ID, VOCABULARY, K1, B = 1024, 256, 0, 50_257, 1.5, 0.75
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -44,8 +39,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Tokenizer(dict):
-    """Text to ids; maps pieces between single spaces to their ids and is emptied when it has grown large."""
+class Tokenizer:
+    """Text to ids."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -55,32 +50,18 @@ class Tokenizer(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.encode(piece)
-        if len(piece) < 40:
-            self[piece] = ids
-        return ids
-
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of the text and the end id."""
-        if not text:
-            return np.array([END_ID], np.uint16)
-        pieces = _BORDER.split(text) if _SPACES.search(text) or _NEWLINE.search(text) else text.split(" ")
-        out = list(self[pieces[0]])
-        get = self.__getitem__
-        for x in map(get, [f" {p}" for p in pieces[1:]]):
-            out += x
-        out.append(END_ID)
-        return np.array(out, np.uint16)
+        ids = self.encode(text or "")
+        ids.append(END_ID)
+        return np.array(ids, np.uint16)
 
 
 _tokenizers: dict[str, Tokenizer] = {}
 
 
 def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer, with its cache, for a worker process."""
+    """One tokenizer for a worker process."""
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer(path)
     return _tokenizers[path]
@@ -102,13 +83,17 @@ TOKENIZED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.li
 _TOKENIZED = "doc_id long, n long, crcs array<long>, head binary, tail binary, key long, df binary"
 
 
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
 def tokenize(docs: DataFrame, path: str, keep_ids: bool) -> DataFrame:
-    """A row a document, and a row with df (how many documents hold each id) for each batch of them."""
+    """A row a document, and a row with df (how many documents hold each id) for each task."""
 
     def run(batches):
         coder = tokenizer(path)
+        df = np.zeros(VOCABULARY, np.uint32)
         for b in batches:
-            df = np.zeros(VOCABULARY, np.uint32)
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = coder.ids(text.as_py())
@@ -116,10 +101,10 @@ def tokenize(docs: DataFrame, path: str, keep_ids: bool) -> DataFrame:
                 full = len(ids) // WINDOW * WINDOW
                 crcs = [crc(ids[a : a + WINDOW]) for a in range(0, full, WINDOW)]
                 rows.append((i, len(ids), crcs, ids[:full].tobytes() if keep_ids else None, ids[full:].tobytes(), min_hash(ids), None))
-            rows.append((None, None, None, None, None, None, df.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(TOKENIZED)], schema=TOKENIZED)
+            yield batch_of(rows, TOKENIZED)
+        yield batch_of([(None, None, None, None, None, None, df.tobytes())], TOKENIZED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TOKENIZED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TOKENIZED)
 
 
 def frequencies(tokenized: DataFrame) -> tuple[int, np.ndarray]:
@@ -236,7 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool = Tr
             sequence += 1
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PIECES)], schema=PIECES)
+            out = batch_of(rows, PIECES)
             rows.clear()
             return out
 
