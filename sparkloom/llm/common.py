@@ -22,6 +22,12 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches cut to so many rows: whole texts at the usual 10,000 a batch take too much memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MIN_WORDS, SIMILARITY, BLOCK_WORDS, CACHE_WORDS = 13, 0.8, 200_000, 500_000
 #: Fixed masks: 1 looks at the word, 0 ignores it. Any two substitutions in 13 words miss one of them somewhere.
@@ -142,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
                 kinds = zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in kinds], names=["doc_id", "item_id", "start", "words", "matched"])
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.union(small_batches(docs).select("doc_id", "text").mapInArrow(run, schema))
     return out
 
 
@@ -157,7 +157,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
                 keep = [not shared.value.matches(word_hashes(t.as_py(), cache)) for t in b.column("text")]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

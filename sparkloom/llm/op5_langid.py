@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 DIMENSION, MAX_LANGS, UNKNOWN, FLOOR, TRAIN_ROWS, MOST_GRAMS = 1024, 1000, "und", 0.2, 1000, 12_000
 _OTHER = re.compile(r"[\W\d_]+")
@@ -90,7 +90,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
                     raise ValueError(f"more than {MAX_LANGS} languages")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    rows = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL").mapInArrow(run, "lang string, v array<double>")
+    rows = small_batches(docs).select("doc_id", "lang", "text").filter("lang IS NOT NULL").mapInArrow(run, "lang string, v array<double>")
     summed = rows.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v"))
     found = {r.lang: np.array([e.x for e in r.v]) for r in summed.orderBy("lang").limit(MAX_LANGS + 1).collect()}
     if len(found) > MAX_LANGS:
@@ -133,7 +133,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], batch: int = 128) ->
 
     from pyspark.sql.types import DoubleType, StringType
 
-    return docs.select(*own).mapInArrow(run, docs.select(*own).schema.add("lang_pred", StringType()).add("score", DoubleType()))
+    return small_batches(docs).select(*own).mapInArrow(run, docs.select(*own).schema.add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 def known_language(docs: DataFrame, model: dict[str, np.ndarray], floor: float = FLOOR) -> DataFrame:

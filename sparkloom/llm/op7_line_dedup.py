@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 WIDTH, NO_ID = 3, -(2**63)
 SPACE_ONLY = r"^[\x20\x09-\x0D]*$"
@@ -73,7 +73,7 @@ def _without(text: pd.Series, at: pd.Series) -> pd.DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the shortened text, and n_lines and n_removed (lines before, lines removed)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = keyed(docs.select(*own))
+    rows = keyed(small_batches(docs).select(*own))
     cover = covered(stored(windows(rows), "op7-windows")).withColumnsRenamed({"_k": "_ck", "_t": "_ct"})
     done = rows.join(cover, (F.col("_k") == F.col("_ck")) & (F.col("_t") == F.col("_ct")), "left").withColumn("_new", _without("text", "at"))
     return done.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in own], "_new.n_lines", "_new.n_removed")

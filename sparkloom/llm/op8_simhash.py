@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, stored, table
+from .common import components, small_batches, stored, table
 
 SHINGLE, SEED = 3, 42
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def with_neighbour_in_half(fps: DataFrame) -> DataFrame:
@@ -189,17 +189,32 @@ def _similar(least: float):
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between documents whose shingle sets have the similarity or more.
 
-    In a bucket of equal band keys each document is compared with the first one and the one before it, so
-    buckets of any size give pairs in proportion to it; a document lies in BANDS buckets with other company.
+    In a bucket of equal band keys a document is compared with the first and, in an order that differs by
+    band, with the two before it; then, where that left it apart, with the bucket's hub, the one with most links so
+    far. So buckets of any size give pairs in proportion to it. Buckets of up to three are compared whole; in
+    larger ones a document is linked through up to 80 others, and only one that is near none of them stays apart.
     """
     sketched = stored(sketches(docs), "op8-sketches")
     keys = sketched.select("doc_id", F.posexplode("bands").alias("band", "key"))
     firsts = stored(keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "op8-buckets")
     firsts = firsts.select(F.col("band").alias("fb"), F.col("key").alias("fk"), "first")
-    shared = stored(keys.join(firsts, (F.col("band") == F.col("fb")) & (F.col("key") == F.col("fk"))).select("band", "key", "doc_id", "first"), "op8-shared")
-    before = F.lag("doc_id").over(W.partitionBy("band", "key").orderBy("doc_id"))
-    chained = shared.select(F.col("doc_id").alias("a"), before.alias("b")).union(shared.select("doc_id", "first"))
-    pairs = stored(chained.filter("b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "op8-pairs")
+    shared = stored(keys.join(firsts.hint("merge"), (F.col("band") == F.col("fb")) & (F.col("key") == F.col("fk"))).select("band", "key", "doc_id", "first"), "op8-shared")
+    order = W.partitionBy("band", "key").orderBy(F.xxhash64("doc_id", "band"))
+    ordered = shared.select("doc_id", "first", F.lag("doc_id", 1).over(order).alias("one"), F.lag("doc_id", 2).over(order).alias("two"))
+    near = ordered.select("doc_id", F.explode(F.array("first", "one", "two")).alias("other"))
+    linked = stored(verified(near, docs, sketched, similarity), "op8-linked")
+    degree = linked.select(F.col("a").alias("d")).union(linked.select("b")).groupBy("d").agg(F.count("*").alias("degree"))
+    group = components(linked, "op8-groups").select(F.col("node").alias("g"), "component")
+    known = stored(shared.join(degree, F.col("doc_id") == F.col("d"), "left").join(group, F.col("doc_id") == F.col("g"), "left").select("band", "key", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("component", "doc_id").alias("component")), "op8-known")
+    hub = known.groupBy("band", "key").agg(F.max_by(F.struct("doc_id", "component"), F.struct("degree", "doc_id")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    hub = stored(hub.select(F.col("band").alias("hb"), F.col("key").alias("hk"), F.col("hub.doc_id").alias("other"), F.col("hub.component").alias("of")), "op8-hubs")
+    apart = known.join(hub.hint("merge"), (F.col("band") == F.col("hb")) & (F.col("key") == F.col("hk"))).filter("component <> of").select("doc_id", "other")
+    return linked.union(verified(apart, docs, sketched, similarity))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (doc_id, other) with the similarity or more, as distinct links (a, b): first by their sketches, then by whole sets."""
+    pairs = stored(pairs.filter("other IS NOT NULL AND doc_id <> other").select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct(), "op8-pairs")
     x, y = sketched.select(F.col("doc_id").alias("xi"), F.col("sketch").alias("x")), sketched.select(F.col("doc_id").alias("yi"), F.col("sketch").alias("y"))
     likely = pairs.join(x, pairs.a == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y").mapInArrow(_agreeing(similarity - 0.15), "a long, b long")
     likely = stored(likely, "op8-likely")
@@ -215,10 +230,15 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the near copies of a document with a smaller doc_id; rows without an id stay, rows that share an id stay or go together."""
-    groups = near_duplicates(docs, STAGE_SHINGLE)
-    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "op8-copies")
-    single = docs.filter("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("doc_id", "text").dropDuplicates(["doc_id"])
-    linked = components(similar_links(single, similarity).select("a", "b"), "op8-similar")
-    gone = stored(gone.union(linked.filter("node <> component").select("node")), "op8-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """docs without the near copies of a document with a smaller doc_id; rows without an id stay, rows that share an id stay or go together.
+
+    Both kinds of links count: those of the fingerprints (which cover exact copies) and those by similarity
+    between the first documents of each text.
+    """
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    groups = near_duplicates(named, STAGE_SHINGLE).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    first = stored(named.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.min("doc_id").alias("first")).select("first"), "op8-first")
+    single = named.join(first.hint("merge"), F.col("doc_id") == F.col("first"), "left_semi").dropDuplicates(["doc_id"])
+    linked = components(similar_links(single, similarity).select("a", "b").union(groups.distinct()), "op8-similar")
+    gone = stored(linked.filter("node <> component").select(F.col("node").alias("gone")), "op8-gone")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
