@@ -116,14 +116,15 @@ def run_history(executions: DataFrame, automation_id: str | None = None, limit:
 
 # --- Routing
 
-#: Fixed values: (provider, model, context length, local, latency, cost, reasoning, coding, structured output, multimodal), in order of preference.
+#: Provider, model, context length, local, latency, cost, reasoning, coding, structured output, multimodal; in order of preference.
 PROFILES = (
-    ("edge", "small", 8192, True, 0.9, 1.0, 0.6, 0.6, False, False),
-    ("alpha", "large", 128000, False, 0.6, 0.3, 0.9, 0.85, True, True),
-    ("beta", "large", 200000, False, 0.55, 0.3, 0.95, 0.9, True, True),
-    ("gamma", "fast", 1000000, False, 0.7, 0.5, 0.85, 0.8, True, True),
-    ("delta", "code", 64000, False, 0.5, 0.7, 0.88, 0.92, False, False),
-    ("epsilon", "quick", 128000, False, 0.95, 0.6, 0.75, 0.5, False, False),
+    ("ollama", "llama3.2", 8192, True, 0.9, 1.0, 0.6, 0.6, False, False),
+    ("openai", "gpt-4o", 128000, False, 0.6, 0.3, 0.9, 0.85, True, True),
+    ("anthropic", "claude-sonnet-4-20250514", 200000, False, 0.55, 0.35, 0.95, 0.9, True, False),
+    ("gemini", "gemini-2.0-flash", 1000000, False, 0.7, 0.5, 0.85, 0.8, False, True),
+    ("deepseek", "deepseek-chat", 64000, False, 0.5, 0.7, 0.88, 0.92, False, False),
+    ("groq", "llama-3.3-70b", 128000, False, 0.95, 0.6, 0.75, 0.5, False, False),
+    ("openrouter", "auto", 128000, False, 0.5, 0.5, 0.8, 0.8, False, False),
 )
 PROFILE_SCHEMA = "provider string, model string, context_length int, is_local boolean, latency double, cost double, reasoning double, coding double, structured_ok boolean, multimodal_ok boolean"
 
@@ -132,7 +133,7 @@ def profiles(spark, rows=PROFILES) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{PROFILE_SCHEMA}, place int")
 
 
-def route_requests(requests: DataFrame, models: DataFrame, healthy: list[str], default: str = "edge", prefer_local: bool = True) -> DataFrame:
+def route_requests(requests: DataFrame, models: DataFrame, healthy: list[str], default: str = "ollama", prefer_local: bool = True) -> DataFrame:
     """request_id, provider, model, score: the best healthy profile of each request.
 
     requests: request_id, priorities, min_context, structured, multimodal, override_provider. Models that fail a

@@ -8,7 +8,7 @@ from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import indexing as ix
 from ..operators import retrieval as rt
-from ..sources.tables import chats_to_documents, materialized, table
+from ..sources.tables import chats_to_documents, materialized, read_jsonl, scratch, table, write_index, write_jsonl
 from . import views as v
 from .registry import query
 from .views import with_ctes
@@ -90,6 +90,20 @@ def s4(spark, sf):
     return chats_to_documents(table(spark, sf, "conversations"))
 
 
+@query("s2_jsonl", "SELECT item_id, text FROM benchmark")
+def s2(spark, sf):
+    path = scratch(spark, "jsonl")
+    write_jsonl(table(spark, sf, "benchmark").select("item_id", "text"), path)
+    return read_jsonl(spark, path, "item_id long, text string")
+
+
+@query("s5_index_tables", with_ctes("chunks_old", "SELECT doc_id, chunk_level, count(*) AS n FROM chunks_old GROUP BY ALL"))
+def s5(spark, sf):
+    path = scratch(spark, "index")
+    write_index(path, 8, chunks=v.chunks(spark, sf))
+    return spark.read.parquet(f"{path}/chunks").groupBy("doc_id", "chunk_level").agg(F.count("*").alias("n"))
+
+
 def chat_docs(spark, sf):
     c = s4(spark, sf)
     return c.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("conv_id").cast("string").alias("source_id"), F.lit("chat").alias("title"), tx.normalize_body(F.col("text")).alias("body"))

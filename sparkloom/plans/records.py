@@ -239,12 +239,12 @@ def c2(spark, sf):
 # --- Routing and decisions
 
 _PROF = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in (*p, i)) + ")" for i, p in enumerate(au.PROFILES))
-_HEALTHY = ["edge", "alpha", "gamma", "epsilon"]
+_HEALTHY = ["ollama", "openai", "gemini", "groq"]
 _OF = "CASE p WHEN 'latency' THEN latency WHEN 'cost' THEN cost WHEN 'coding' THEN coding WHEN 'reasoning' THEN reasoning WHEN 'local' THEN CASE WHEN is_local THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN 'quality' THEN (reasoning + coding) / 2 END"
 _ROUTE = f"""SELECT request_id, coalesce(override_provider, provider) AS provider, CASE WHEN override_provider IS NOT NULL THEN 'default' ELSE model END AS model, CASE WHEN override_provider IS NOT NULL THEN 1.0::DOUBLE ELSE score END AS score FROM (
 SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ok DESC, score DESC, place) AS rn FROM (
 SELECT r.*, m.*, round(list_sum(list_transform(wish, lambda p: {_OF})) / len(wish), 9) AS score, (min_context = 0 OR context_length >= min_context) AND (NOT structured OR structured_ok) AND (NOT multimodal OR multimodal_ok) AND (NOT list_contains(wish, 'local') OR is_local) AS ok
-FROM (SELECT *, CASE WHEN len(priorities) = 0 THEN ['local'] ELSE priorities END AS wish FROM routes) r, (SELECT * FROM (VALUES {_PROF}) t(provider, model, context_length, is_local, latency, cost, reasoning, coding, structured_ok, multimodal_ok, place) WHERE provider IN ('edge', 'alpha', 'gamma', 'epsilon')) m)) WHERE rn = 1"""
+FROM (SELECT *, CASE WHEN len(priorities) = 0 THEN ['local'] ELSE priorities END AS wish FROM routes) r, (SELECT * FROM (VALUES {_PROF}) t(provider, model, context_length, is_local, latency, cost, reasoning, coding, structured_ok, multimodal_ok, place) WHERE provider IN ('ollama', 'openai', 'gemini', 'groq')) m)) WHERE rn = 1"""
 
 
 @query("j8_routing", with_ctes("routes", _ROUTE))

@@ -17,19 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names (shared by all executors) and read back.
-
-    Tables that several steps read, like chunks and postings, are built once this way; a lost executor loses nothing.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names (shared by all executors); a local one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back.
+
+    Tables that several steps read, like chunks and postings, are built once this way; a lost executor loses nothing.
+    """
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scan_files(spark: SparkSession, path: str, suffixes=SUFFIXES, max_bytes: int = 50 * 1024 * 1024) -> DataFrame:

@@ -209,10 +209,10 @@ def test_cron(spark, cron, after, want):
 def test_routing_falls_back(spark):
     rows = [(1, [], 0, False, False, None), (2, ["local"], 0, True, False, None), (3, ["coding"], 150000, False, False, None), (4, [], 0, False, False, "mine"), (5, ["unknown"], 0, False, False, None)]
     r = spark.createDataFrame(rows, "request_id int, priorities array<string>, min_context int, structured boolean, multimodal boolean, override_provider string")
-    got = {x.request_id: (x.provider, x.score) for x in au.route_requests(r, au.profiles(spark), ["edge", "alpha", "beta"]).collect()}
-    assert got[1] == ("edge", 1.0) and got[2] == ("edge", 1.0) and got[3] == ("beta", 0.9) and got[4] == ("mine", 1.0) and got[5] == ("edge", 0.5)
+    got = {x.request_id: (x.provider, x.score) for x in au.route_requests(r, au.profiles(spark), ["ollama", "openai", "anthropic"]).collect()}
+    assert got[1] == ("ollama", 1.0) and got[2] == ("ollama", 1.0) and got[3] == ("anthropic", 0.9) and got[4] == ("mine", 1.0) and got[5] == ("ollama", 0.5)
     none = {x.request_id: (x.provider, x.model, x.score) for x in au.route_requests(r, au.profiles(spark), []).collect()}
-    assert none[1] == ("edge", "default", 0.0) and none[4][0] == "mine"
+    assert none[1] == ("ollama", "default", 0.0) and none[4][0] == "mine"
 
 
 def test_active_runs_end_before_start(spark):
