@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import automation as au
 from ..operators import decisions as de
 from ..operators import memory as me
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 from ..streaming import jobs as st
 from . import views as v
 from .registry import query
@@ -191,12 +191,15 @@ def automations(spark):
     return spark.createDataFrame(list(AUTOMATIONS), "automation_id string, status string, trigger_type string, source_workflow_id string, watch_path string, watch_pattern string")
 
 
-def completions(spark, sf):
-    e = v.events(spark, sf).filter("event_type <> 'view'")
+def completions(spark, sf, stream: bool = False):
+    e = v.events(spark, sf, stream).filter("event_type <> 'view'")
     return e.select(F.concat(F.lit("run_"), F.col("event_id").cast("string")).alias("task_id"), F.concat(F.lit("wf_"), (F.col("user_id") % 4).cast("string")).alias("workflow_id"))
 
 
-@query("j7_completion_triggers", with_ctes("ev", "SELECT 'run_' || event_id AS task_id, 'wf_' || (user_id % 4) AS workflow_id, a AS automation_id FROM (SELECT *, unnest(['a1', 'a2']) AS a FROM ev WHERE event_type <> 'view') WHERE a = 'a2' OR user_id % 4 = 1"))
+_FIRED = with_ctes("ev", "SELECT 'run_' || event_id AS task_id, 'wf_' || (user_id % 4) AS workflow_id, a AS automation_id FROM (SELECT *, unnest(['a1', 'a2']) AS a FROM ev WHERE event_type <> 'view') WHERE a = 'a2' OR user_id % 4 = 1")
+
+
+@query("j7_completion_triggers", _FIRED)
 def j7(spark, sf):
     return au.match_completions(completions(spark, sf), automations(spark))
 
@@ -330,7 +333,10 @@ def u4(spark, sf):
 # --- Batch twins of the streams
 
 
-@query("x2_changes", with_ctes("files", "SELECT event_id, path AS uri, CASE WHEN was IS NULL THEN 'new' WHEN was <> fingerprint THEN 'changed' ELSE 'unchanged' END AS change FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY path ORDER BY ts, event_id) AS was FROM files)"))
+_CHANGES = with_ctes("files", "SELECT event_id, path AS uri, CASE WHEN was IS NULL THEN 'new' WHEN was <> fingerprint THEN 'changed' ELSE 'unchanged' END AS change FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY path ORDER BY ts, event_id) AS was FROM files)")
+
+
+@query("x2_changes", _CHANGES)
 def x2(spark, sf):
     return st.changes(v.file_events(spark, sf).withColumnRenamed("path", "uri"))
 
@@ -348,3 +354,17 @@ def x3(spark, sf):
 def x4(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.lit("task_"), F.col("user_id").cast("string")).alias("task_id"), "ts")
     return st.working_sessions(e)
+
+
+# --- Streams, run over all rows of the table into files
+
+
+@query("x2_stream_changes", _CHANGES)
+def x2s(spark, sf):
+    files = v.file_events(spark, sf, stream=True).select("event_id", F.col("path").alias("uri"), "fingerprint", F.col("ts").cast("timestamp").alias("ts"))
+    return st.run_to_table(st.stream_changes(files), scratch(spark, "changes"))
+
+
+@query("x5_stream_triggers", _FIRED)
+def x5(spark, sf):
+    return st.run_to_table(st.stream_triggers(completions(spark, sf, stream=True), automations(spark)), scratch(spark, "fired"))

@@ -58,8 +58,11 @@ def search_queries(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
+def events(spark, sf, stream: bool = False) -> DataFrame:
+    rows = table(spark, sf, "events")
+    if stream:
+        rows = spark.readStream.schema(rows.schema).parquet(f"{sf}/events.parque[t]")  # as a glob: the table may be one file
+    return rows.withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
 
 
 def memories(spark, sf) -> DataFrame:
@@ -96,9 +99,9 @@ def executions(spark, sf) -> DataFrame:
 SUFFIX_OF = (".md", ".txt", ".pdf", ".exe", "")
 
 
-def file_events(spark, sf) -> DataFrame:
+def file_events(spark, sf, stream: bool = False) -> DataFrame:
     """path, ts, fingerprint, size of a watched folder."""
-    e = events(spark, sf)
+    e = events(spark, sf, stream)
     return e.select("event_id", F.concat(F.lit("/inbox/"), F.col("user_id").cast("string"), F.element_at(F.array(*map(F.lit, SUFFIX_OF)), F.col("k") % 5 + 1)).alias("path"), "ts", F.concat(F.lit("f"), (F.col("k") % 3).cast("string")).alias("fingerprint"), (F.col("k") * 1000).cast("long").alias("size"))
 
 

@@ -63,6 +63,13 @@ def stream_triggers(completions: DataFrame, automations: DataFrame) -> DataFrame
     return automation.match_completions(completions, automations)
 
 
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over all that is there now into Parquet files under path, and read them back."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def ingest_batch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents and errors of a batch of files (uri, content, format, fingerprint): text formats by built-in functions."""
     text = F.decode("content", "UTF-8")
