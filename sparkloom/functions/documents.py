@@ -17,12 +17,16 @@ PARENT_SIZE, CHILD_SIZE, OVERLAP, LEAST_CHILD, TITLE_SIZE = 2048, 512, 64, 32, 1
 
 def extract_text(docs: DataFrame, stem: Column) -> DataFrame:
     """docs (text) with title and body: a short first line is the title and leaves the body."""
-    whole = tx.strip(F.coalesce(F.col("text"), F.lit("")))
-    lines = F.filter(F.split(whole, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: tx.strip(x) != "")
-    short = F.length(F.try_element_at(lines, F.lit(1))) < TITLE_SIZE
-    titled = docs.withColumns({"_whole": whole, "_lines": lines, "_short": F.coalesce(short, F.lit(False))})
-    body = F.when(F.col("_short") & (F.size("_lines") > 1), F.array_join(F.slice("_lines", 2, F.size("_lines")), "\n\n")).otherwise(F.col("_whole"))
-    return titled.withColumns({"title": F.when(F.col("_short"), F.try_element_at("_lines", F.lit(1))).otherwise(stem), "body": body}).drop("_whole", "_lines", "_short")
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+    def parts(whole: Column, lines: Column) -> Column:
+        first = F.get(lines, F.lit(0))
+        short = F.coalesce(F.length(first) < TITLE_SIZE, F.lit(False))
+        body = F.when(short & (F.size(lines) > 1), F.array_join(F.slice(lines, 2, F.size(lines)), "\n\n")).otherwise(whole)
+        return F.struct(F.when(short, first).alias("title"), body.alias("body"))
+
+    found = tx.let(tx.strip(F.coalesce(F.col("text"), F.lit(""))), lambda whole: tx.let(F.filter(F.split(whole, ends), lambda x: tx.strip(x) != ""), lambda lines: parts(whole, lines)))
+    return docs.withColumn("_x", found).withColumns({"title": F.coalesce("_x.title", stem), "body": F.col("_x.body")}).drop("_x")
 
 
 def extract_markdown(docs: DataFrame, stem: Column) -> DataFrame:
@@ -229,13 +233,13 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     """Parent and child chunks of docs (doc_id, source_id, title, body).
 
     A row's chunks are built inside the row and exploded once, so running indexes need no window and nothing
-    is shuffled. Only bodies with headings or fences go through the Arrow helper.
+    is shuffled. Only bodies with headings or fences go through the Arrow helper; it gets nulls for the others.
     """
     structured = F.pandas_udf(_structured, _PARTS)
-    marked = docs.filter(F.col("body").isNotNull()).withColumn("_marked", F.col("body").rlike(r"(?m)^(#{1,6}\s+.|```)"))
-    plain = marked.filter("NOT _marked").withColumn("parts", _plain(F.col("body")))
-    helped = marked.filter("_marked").withColumn("parts", structured("body"))
-    rows = plain.unionByName(helped).select("doc_id", "source_id", "title", "parts")
+    body, marked = F.col("body"), F.col("body").rlike(r"(?m)^(#{1,6}\s+.|```)")
+    kept = docs.filter(body.isNotNull()).select("doc_id", "source_id", "title", "body", marked.alias("_marked"))
+    helped = kept.withColumn("_parts", structured(F.when(F.col("_marked"), body)))
+    rows = helped.select("doc_id", "source_id", "title", F.when(F.col("_marked"), F.col("_parts")).otherwise(_plain(body)).alias("parts"))
     embed = lambda path, text: F.concat(F.lit("Document: "), F.col("title"), F.lit(" > "), path, F.lit("\n\n"), text)
     rows = rows.withColumn("parts", F.transform("parts", lambda p: p.withField("id", tx.chunk_id(F.col("doc_id"), p.heading_path, embed(p.heading_path, p.parent_text), p.parent, "parent"))))
     parent = lambda p: F.struct(F.lit("parent").alias("level"), p.parent.alias("i"), p.parent_text.alias("text"), p.tokens.alias("n"), p.heading_path.alias("path"), F.lit(None).cast("string").alias("up"), p.start_offset.alias("a"), p.end_offset.alias("z"))

@@ -121,7 +121,7 @@ def test_chunks_nest_and_number(spark):
 
 def test_short_children_leave_only_company(spark):
     rows = chunked(spark, " ".join(["w"] * 512), " ".join(["w"] * 961), "tiny", "").filter("chunk_level = 'child'").groupBy("doc_id").count().collect()
-    assert {r.doc_id: r["count"] for r in rows} == {"d0": 1, "d1": 2, "d2": 1}
+    assert {r.doc_id: r["count"] for r in rows} == {"d0": 1, "d1": 3, "d2": 1}
 
 
 def test_files_jsonl_chats_and_index(spark, tmp_path):
