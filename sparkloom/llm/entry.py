@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate.op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_exact_topk": op1_topk.ORACLE, "op3_chat_format": op3_chat.ORACLE, "op7_line_dedup": op7_line_dedup.ORACLE}
+ORACLES = {"op1_exact_topk": op1_topk.ORACLE, "op3_chat_format": op3_chat.ORACLE, "op6_url_filter": op6_url_filter.ORACLE, "op7_line_dedup": op7_line_dedup.ORACLE}

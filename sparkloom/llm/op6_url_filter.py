@@ -103,3 +103,34 @@ def judge_urls(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: flo
 
 def op6_url_filter(spark, sf_dir) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _oracle() -> str:
+    """The same in DuckDB SQL, the rounds written out."""
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda x: low(f"regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1)")
+    values = []
+    for verdict, rule in RULES:
+        h, _, p = rule.partition("/")
+        values.append(f"('{verdict}', '{rule}', '{h}', '{'/' + p if p else '/'}')")
+    ctes = [
+        f"pg AS (SELECT row_number() OVER () AS rid, page_id, {host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages)",
+        f"rl AS (SELECT * FROM (VALUES {', '.join(values)}) t(verdict, rule, h, p))",
+        "fit AS (SELECT rid, arg_max(rule, [length(h), length(p)]) AS rule, arg_max(verdict, [length(h), length(p)]) AS by_rule FROM pg JOIN rl ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND (p = '/' OR starts_with(path, p)) GROUP BY rid)",
+        "rd AS (SELECT pg.*, fit.rule, fit.by_rule FROM pg LEFT JOIN fit ON pg.rid = fit.rid)",
+        "hs AS (SELECT host, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM rd WHERE host <> '' GROUP BY host)",
+        f"ln AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {host("CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?((?:https?:)?//[^\\s\"''>]+)', 1)) AS href FROM rd)) WHERE src <> '' AND dst <> '' AND src <> dst)",
+    ]
+    for name, seed, src, dst in (("tr", "good", "src", "dst"), ("di", "bad", "dst", "src")):
+        ctes += [
+            f"{name}_w AS (SELECT {src} AS s, {dst} AS d, 1.0::DOUBLE / count(*) OVER (PARTITION BY {src}) AS share FROM ln)",
+            f"{name}_s AS (SELECT host, {seed} / (SELECT CAST(sum({seed}) AS DOUBLE) FROM hs) AS seed FROM hs WHERE {seed} > 0)",
+            f"{name}0 AS (SELECT host, CASE WHEN (SELECT count(*) FROM ln) = 0 THEN seed * {1 - DAMPING}::DOUBLE ELSE seed END AS score FROM {name}_s)",
+        ]
+        for i in range(ROUNDS):
+            ctes.append(f"{name}{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT d AS host, score * share * {DAMPING}::DOUBLE AS score FROM {name}_w JOIN {name}{i} ON s = host UNION ALL SELECT host, seed * {1 - DAMPING}::DOUBLE FROM {name}_s) GROUP BY host)")
+    ctes.append(f"sc AS (SELECT h.host, round(coalesce(t.score, 0.0::DOUBLE), 9) AS trust, round(coalesce(d.score, 0.0::DOUBLE), 9) AS distrust FROM hs h LEFT JOIN tr{ROUNDS} t ON t.host = h.host LEFT JOIN di{ROUNDS} d ON d.host = h.host)")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, rd.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust - trust, 0.0::DOUBLE) > {THRESHOLD}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0.0::DOUBLE) AS trust, coalesce(distrust, 0.0::DOUBLE) AS distrust FROM rd LEFT JOIN sc ON sc.host = rd.host"
+
+
+ORACLE = _oracle()
