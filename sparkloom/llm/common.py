@@ -48,12 +48,29 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component = the smallest node reachable.
 
-    Min-label steps with pointer jumping, so the number of rounds grows with the logarithm of the
-    longest chain. Labels are stored each round; both join sides are then plain exchanges that adaptive
-    execution can split when a hub holds many edges. Null ends are ignored.
+    Every node first goes to its smallest neighbour and the edges are drawn anew between these: dense groups
+    shrink to a few edges at once, and the edges themselves are joined only this one time. What is left goes
+    through min-label rounds. Joined tables are stored, so both sides are plain exchanges that adaptive execution
+    can split when a hub holds many edges. Null ends are ignored.
     """
-    good = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = stored(good.select("a", "b").union(good.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag)
+    good = stored(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"), tag)
+    ends = good.union(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = stored(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), tag)
+    up = lambda name: least.select(F.col("node").alias(f"{name}_node"), F.col("to").alias(f"{name}_to"))
+    drawn = good.join(up("x"), F.col("a") == F.col("x_node")).join(up("y"), F.col("b") == F.col("y_node"))
+    drawn = stored(drawn.filter("x_to <> y_to").select(F.least("x_to", "y_to").alias("a"), F.greatest("x_to", "y_to").alias("b")).distinct(), tag)
+    # A node's smallest neighbour may have one of its own.
+    chain = least.join(up("x"), F.col("to") == F.col("x_node")).filter("to <> x_to").select(F.col("x_to").alias("a"), F.col("to").alias("b")).distinct()
+    rest = stored(drawn.union(chain), tag)
+    if rest.isEmpty():
+        return least.select("node", F.col("to").alias("component"))
+    roots = _min_labels(rest, tag).select(F.col("node").alias("r"), F.col("component").alias("c"))
+    return stored(least.join(roots, F.col("to") == F.col("r"), "left").select("node", F.coalesce("c", "to").alias("component")), tag)
+
+
+def _min_labels(edges: DataFrame, tag: str) -> DataFrame:
+    """The components by min-label steps with pointer jumping: rounds grow with the logarithm of the longest chain."""
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), tag)
     while True:
         told = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "component")
