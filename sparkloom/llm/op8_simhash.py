@@ -147,30 +147,20 @@ def min_hashes(shingles: np.ndarray, block: int = 8192) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, bands (a key a band), sketch (32 bits of each min-hash) for the texts that have a word."""
+    """doc_id, bands (a key a band), size (of the shingle set) for the texts that have a word."""
 
     def run(batches):
         for b in batches:
-            ids, bands, sketch = [], [], []
+            ids, bands, sizes = [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 s = shingle_hashes(t.as_py())
                 if len(s):
-                    m = min_hashes(s)
                     ids.append(i)
-                    bands.append([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in m.reshape(BANDS, BAND_ROWS)])
-                    sketch.append((m >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "bands", "sketch"])
+                    bands.append([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in min_hashes(s).reshape(BANDS, BAND_ROWS)])
+                    sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "bands", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, sketch binary")
-
-
-def _agreeing(least: float):
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("x", "y"))
-            yield b.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b"])
-
-    return run
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, size long")
 
 
 def _similar(least: float):
@@ -187,36 +177,102 @@ def _similar(least: float):
 
 
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between documents whose shingle sets have the similarity or more.
+    """Links (a, b) that connect all documents with equal keys in a band whose shingle sets have the similarity or more.
 
     In a bucket of equal band keys a document is compared with the first and, in an order that differs by
     band, with the two before it; then, where that left it apart, with the bucket's hub, the one with most links so
-    far. So buckets of any size give pairs in proportion to it. Buckets of up to three are compared whole; in
-    larger ones a document is linked through up to 80 others, and only one that is near none of them stays apart.
+    far. So buckets of any size give pairs in proportion to it, and buckets of up to three are compared whole. What
+    larger ones still hold apart is compared pair by pair, see remaining_links.
     """
     sketched = stored(sketches(docs), "op8-sketches")
     keys = sketched.select("doc_id", F.posexplode("bands").alias("band", "key"))
     firsts = stored(keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "op8-buckets")
-    firsts = firsts.select(F.col("band").alias("fb"), F.col("key").alias("fk"), "first")
-    shared = stored(keys.join(firsts.hint("merge"), (F.col("band") == F.col("fb")) & (F.col("key") == F.col("fk"))).select("band", "key", "doc_id", "first"), "op8-shared")
+    firsts = firsts.select(F.col("band").alias("fb"), F.col("key").alias("fk"), "first", "n")
+    shared = stored(keys.join(firsts.hint("merge"), (F.col("band") == F.col("fb")) & (F.col("key") == F.col("fk"))).select("band", "key", "doc_id", "first", "n"), "op8-shared")
     order = W.partitionBy("band", "key").orderBy(F.xxhash64("doc_id", "band"))
     ordered = shared.select("doc_id", "first", F.lag("doc_id", 1).over(order).alias("one"), F.lag("doc_id", 2).over(order).alias("two"))
     near = ordered.select("doc_id", F.explode(F.array("first", "one", "two")).alias("other"))
     linked = stored(verified(near, docs, sketched, similarity), "op8-linked")
     degree = linked.select(F.col("a").alias("d")).union(linked.select("b")).groupBy("d").agg(F.count("*").alias("degree"))
     group = components(linked, "op8-groups").select(F.col("node").alias("g"), "component")
-    known = stored(shared.join(degree, F.col("doc_id") == F.col("d"), "left").join(group, F.col("doc_id") == F.col("g"), "left").select("band", "key", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("component", "doc_id").alias("component")), "op8-known")
+    large = shared.filter("n > 3").select("band", "key", "doc_id")
+    known = stored(large.join(degree, F.col("doc_id") == F.col("d"), "left").join(group, F.col("doc_id") == F.col("g"), "left").select("band", "key", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("component", "doc_id").alias("component")), "op8-known")
     hub = known.groupBy("band", "key").agg(F.max_by(F.struct("doc_id", "component"), F.struct("degree", "doc_id")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     hub = stored(hub.select(F.col("band").alias("hb"), F.col("key").alias("hk"), F.col("hub.doc_id").alias("other"), F.col("hub.component").alias("of")), "op8-hubs")
     apart = known.join(hub.hint("merge"), (F.col("band") == F.col("hb")) & (F.col("key") == F.col("hk"))).filter("component <> of").select("doc_id", "other")
-    return linked.union(verified(apart, docs, sketched, similarity))
+    linked = stored(linked.union(verified(apart, docs, sketched, similarity)), "op8-linked")
+    group = components(linked, "op8-groups").select(F.col("node").alias("g"), "component")
+    known = stored(large.join(group, F.col("doc_id") == F.col("g"), "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "op8-known")
+    return linked.union(remaining_links(known, docs, sketched, similarity))
+
+
+def remaining_links(known: DataFrame, docs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The links that join what is still apart in the buckets of known (band, key, doc_id, component).
+
+    Each round compares a bucket's next documents with all after them that are of another component, and joins the
+    components; there are eight times as many each round, so rounds grow with the logarithm of the largest bucket
+    and every pair has been compared or is of one component in the end. A pair is compared in the first band it shares.
+    Only pairs that cannot be similar are left out: by their sizes and by the shingles that no other document at hand has.
+    """
+    left = _mixed(known)
+    could = possible(left.select("doc_id").distinct(), docs, sketched, similarity).join(sketched.select(F.col("doc_id").alias("k"), "bands"), F.col("doc_id") == F.col("k")).select(F.col("doc_id").alias("c"), "size", "common", "bands")
+    order = W.partitionBy("band", "key").orderBy(F.xxhash64("doc_id"))
+    left = stored(left.join(could, F.col("doc_id") == F.col("c")).drop("c").withColumn("at", F.row_number().over(order)), "op8-left")
+    out, upto = sketched.sparkSession.createDataFrame([], "a long, b long"), 8
+    shared_first = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    while not left.isEmpty():
+        pivot = left.filter(F.col("at") <= upto).select(*[F.col(c).alias(f"p_{c}") for c in left.columns])
+        both = left.join(stored(pivot, "op8-pivots").hint("merge"), (F.col("band") == F.col("p_band")) & (F.col("key") == F.col("p_key")) & (F.col("at") > F.col("p_at")) & (F.col("component") != F.col("p_component")) & shared_first & _may(similarity))
+        new = stored(both.select("doc_id", F.col("p_doc_id").alias("other"), F.col("component").alias("x"), F.col("p_component").alias("y")), "op8-tried")
+        found = stored(verified(new, docs, sketched, similarity), "op8-found")
+        out = out.union(found)
+        met = new.join(found, (F.greatest("doc_id", "other") == F.col("a")) & (F.least("doc_id", "other") == F.col("b"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        now = components(met, "op8-joined").select(F.col("node").alias("g"), F.col("component").alias("into"))
+        left = left.filter(F.col("at") > upto).join(now, F.col("component") == F.col("g"), "left").withColumn("component", F.coalesce("into", "component")).drop("g", "into")
+        left, upto = _mixed(left), upto * 8
+    return out
+
+
+def _mixed(known: DataFrame) -> DataFrame:
+    """The rows of known in buckets that hold more than one component."""
+    known = stored(known, "op8-known")
+    mixed = stored(known.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("band").alias("mb"), F.col("key").alias("mk")), "op8-mixed")
+    return stored(known.join(mixed.hint("merge"), (F.col("band") == F.col("mb")) & (F.col("key") == F.col("mk")), "left_semi"), "op8-mixed")
+
+
+def _may(similarity: float):
+    """Whether the shingles that documents have in common with any other let this pair be similar."""
+    most = F.least("common", "p_common")
+    return most >= similarity * (F.col("size") + F.col("p_size") - most) - 1e-9
+
+
+def possible(ids: DataFrame, docs: DataFrame, sketched: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """doc_id, size, common of the documents that may be similar to another one of ids.
+
+    common counts the shingles that another one has too. Who has too few is similar to none, and in a second round does not count as another.
+    """
+    size = sketched.select(F.col("doc_id").alias("i"), "size")
+
+    def each(batches):
+        for b in batches:
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                s = shingle_hashes(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], names=["doc_id", "s"])
+
+    alive = stored(ids.join(size, F.col("doc_id") == F.col("i")).select("doc_id", "size"), "op8-alive")
+    for _ in range(rounds):
+        rows = docs.select("doc_id", "text").join(alive.select(F.col("doc_id").alias("n")), F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(each, "doc_id long, s long")
+        own = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("o")).filter("n = 1").groupBy("o").agg(F.count("*").alias("own"))
+        alive = alive.select("doc_id", "size").join(own, F.col("doc_id") == F.col("o"), "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+        alive = stored(alive.filter(F.col("common") >= similarity * F.col("size") - 1e-9), "op8-alive")
+    return alive
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (doc_id, other) with the similarity or more, as distinct links (a, b): first by their sketches, then by whole sets."""
+    """The pairs (doc_id, other) with the similarity or more, as distinct links (a, b): by their whole sets, but for those whose sizes rule it out."""
     pairs = stored(pairs.filter("other IS NOT NULL AND doc_id <> other").select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct(), "op8-pairs")
-    x, y = sketched.select(F.col("doc_id").alias("xi"), F.col("sketch").alias("x")), sketched.select(F.col("doc_id").alias("yi"), F.col("sketch").alias("y"))
-    likely = pairs.join(x, pairs.a == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y").mapInArrow(_agreeing(similarity - 0.15), "a long, b long")
+    x, y = sketched.select(F.col("doc_id").alias("xi"), F.col("size").alias("x")), sketched.select(F.col("doc_id").alias("yi"), F.col("size").alias("y"))
+    likely = pairs.join(x, pairs.a == F.col("xi")).join(y, F.col("b") == F.col("yi")).filter(F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9).select("a", "b")
     likely = stored(likely, "op8-likely")
     needed = stored(likely.select(F.col("a").alias("n")).union(likely.select("b")).distinct(), "op8-needed")
 

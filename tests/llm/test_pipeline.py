@@ -102,3 +102,33 @@ def test_large_groups_of_near_copies_are_found_whole(spark):
 def test_each_operator_has_its_query():
     names = [n.split("_")[0] for n in entry.QUERIES]
     assert names == [f"op{i}" for i in range(1, 11)] + ["pipeline"] and set(entry.ORACLES) <= set(entry.QUERIES)
+
+
+def test_pairs_in_large_buckets_of_a_template_are_found(spark):
+    """Texts of one template, unlike each other but in pairs: most share only buckets with many others."""
+    rng = random.Random(4)
+    base = prose(rng, "en", 800).split()
+    rows = []
+    for k in range(100):
+        both, own = rng.sample(range(0, 800, 5), 3), [rng.sample(range(0, 800, 5), 8) for _ in range(2)]
+        for j in range(2):
+            words = [f"own{k}x{j}x{i}" if i in own[j] else f"both{k}x{i}" if i in both else w for i, w in enumerate(base)]
+            rows.append((2 * k + j, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, links = [shingles(t) for _, t in rows], [(r.a, r.b) for r in op8_simhash.similar_links(df).collect()]
+    pairs = [(b, a) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+    def groups(edges):
+        parent = list(range(len(rows)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+        return [find(i) for i in range(len(rows))]
+
+    assert set(links) <= set(pairs) and groups(links) == groups(pairs)
