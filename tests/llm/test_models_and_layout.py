@@ -173,6 +173,17 @@ def test_language_accuracy_and_odd_rows(spark):
     assert op5_langid.known_language(docs, model).columns == docs.columns
 
 
+def test_short_texts_of_letters_stay_and_long_random_ones_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = op5_langid.train(docs)
+    rng = random.Random(2)
+    noise = " ".join("".join(chr(rng.randrange(0x3400, 0x4DB0)) for _ in range(6)) for _ in range(60))
+    short = [(1, "Edrere.", "en"), (2, "Reouti anatha.", "en"), (3, "A.", "en"), (4, "Avec.", "fr")]
+    odd = docs_of(spark, [*short, (5, noise, "en"), (6, "12 34", "en")])
+    assert min(r.score for r in op5_langid.identify(odd, model).collect() if r.doc_id < 5) < op5_langid.FLOOR
+    assert sorted(r.doc_id for r in op5_langid.known_language(odd, model).collect()) == [1, 2, 3, 4]
+
+
 def test_trigram_vectors_bind_by_place():
     def vector(text):
         grams, n = op5_langid.trigrams(text)
