@@ -3,7 +3,8 @@
 Rules name a host and a path prefix and decide first. For the other urls the hosts decide: trust flows
 from the hosts of allowed pages along links by personalised PageRank, distrust flows from the hosts of
 blocked pages along the reversed links, and a host whose distrust exceeds its trust by the threshold is
-blocked.
+blocked. The two are compared in pages (scores times the number of seed pages, not rounded), so a verdict does not
+change because unrelated hosts are added; the columns hold shares of all seeds, rounded to 9 digits.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and takes no
 part in the graph (verdict allow). A null html has no links. Repeated rows are judged alike; repeated
@@ -92,11 +93,12 @@ def judge_urls(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: flo
     scores = stored(
         reduce(lambda a, b: a.union(b), [hosts.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust")), trust.select("host", F.col("score"), F.lit(0.0)), distrust.select("host", F.lit(0.0), F.col("score"))])
         .groupBy("host")
-        .agg(F.round(F.sum("trust"), 9).alias("trust"), F.round(F.sum("distrust"), 9).alias("distrust")),
+        .agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
+        .select("host", F.round("t", 9).alias("trust"), F.round("d", 9).alias("distrust"), (F.col("d") * F.lit(float(totals[1] or 1)) - F.col("t") * F.lit(float(totals[0] or 1))).alias("excess")),
         "op6-scores",
     )
     judged = ruled.drop("html").join(scores, "host", "left")
-    bad = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold
+    bad = F.coalesce("excess", F.lit(0.0)) > threshold
     verdict = F.coalesce(F.col("by_rule"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 

@@ -222,6 +222,13 @@ def test_rules_and_propagation(spark):
     assert op6_url_filter.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_number_of_other_hosts(spark):
+    own = pages(spark, [(1, "http://shop.example.com/de/x", ""), (2, "http://shop.example.com/y", ""), (3, "http://other.com/", "")])
+    many = spark.range(10, 200_010).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 1000, F.lit(".net/")).alias("url"), F.lit("").alias("html"))
+    small, large = ({r.page_id: r.verdict for r in op6_url_filter.judge_urls(df).filter("page_id < 10").collect()} for df in (own, own.union(many)))
+    assert small == large == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_pagerank_equals_dense_iteration(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("d", "a")]
     df = spark.createDataFrame(edges, "src string, dst string")
