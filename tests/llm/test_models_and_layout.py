@@ -111,6 +111,34 @@ def test_templates_that_rewrite_are_detected(spark):
     assert "".join(p for p, _, _ in op3_chat.render(turns, head)) == head(turns)
 
 
+@pytest.mark.parametrize("after", [10, 30, 200, 300, 700])
+def test_a_template_that_rewrites_a_turn_later_on_is_detected(after):
+    late = lambda turns: op3_chat.chat_template([(r, "[cut]") if i == 1 and len(turns) > after else (r, t) for i, (r, t) in enumerate(turns)])
+    turns = [("user", f"t{i}") for i in range(800)]
+    with pytest.raises(op3_chat.Rewritten):
+        list(op3_chat.render(turns, late))
+    assert "".join(p for p, _, _ in op3_chat.render(turns[:after], late)) == late(turns[:after])
+
+
+@pytest.mark.parametrize("n", [60, 256, 257, 400, 1500])
+def test_pieces_are_those_of_whole_prefixes(n):
+    back = lambda turns: "".join(f"<{r} {turns[i - 50][1] if i >= 50 else ''}>{t}</>" for i, (r, t) in enumerate(turns))
+    numbered = lambda turns: "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(turns))
+    turns = [("user" if i % 3 else "assistant", f"say {i * 7 % 31}") for i in range(n)]
+    for template in (back, numbered, op3_chat.chat_template):
+        got = list(op3_chat.render(turns, template))
+        assert "".join(p for p, _, _ in got) == template(turns)
+        assert [p[a:z] for p, a, z in got] == [t for _, t in turns]
+        assert [len(p) for p, _, _ in got] == [len(template(turns[: i + 1])) - len(template(turns[:i])) for i in range(n)]
+
+
+def test_rows_without_a_conversation_and_extra_columns(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (3, None, "user", "x"), (3, 0, None, "y"), (3, 0, None, "y")]
+    extra = chats(spark, rows).withColumns({"piece": F.lit(1), "salt_": F.lit("s"), "error": F.lit("e")})
+    got = op3_chat.digest_chats(op3_chat.format_chats(extra)).collect()
+    assert sorted((r.conv_id or -9, r.n_turns, r.loss_chars) for r in got) == [(-9, 1, 0), (-9, 1, 1), (-9, 1, 1), (3, 3, 0)]
+
+
 def test_no_chats(spark):
     assert op3_chat.digest_chats(op3_chat.format_chats(chats(spark, []))).count() == 0
 
