@@ -1,33 +1,37 @@
 """A hierarchical Pitman-Yor language model, seated by Gibbs sampling, and its scores.
 
 Tokens are words (A-Z lower-cased, runs of other than ASCII white space) and one end a text. A restaurant is a
-context: the last two bytes before the word; its parent is the last byte; the parent of those is the empty
-context; its base is uniform over the V known tokens and one unknown. Contexts are at most 65,536, whatever the
-corpus, so what is known of a whole restaurant (customers, tables) is a small table every task gets, and a
-dish (word) with its customers in all contexts can be seated wherever its rows lie.
-
-1. Tasks count (word, context) in their training texts and send the counts, packed, to the word's bucket,
-   where they are added up: the cells.
-2. Gibbs: a sweep takes the customers of a dish in a restaurant out and seats them one after another given
-   everybody else; how long until the next new table opens is drawn at once (beta-geometric), so a cell
-   costs as many draws as it has tables. New tables are customers of the parent. Dishes are sampled in
-   parallel against the restaurants' totals of the pass before (as in distributed Gibbs for topic models).
-   Predictive probabilities are averaged over SAMPLES seatings. Discounts are estimated from the counts.
-3. Scoring: the cells with at least 1/HEAVY of all training tokens (so at most HEAVY of them) are broadcast. All
-   other (word, context) pairs of a batch of texts go, once each with the places they occur in, to the
-   word's bucket, are looked up there, and the sums return to the texts' batch. So no word gathers its
-   occurrences in one task.
-
-Words are known by 64-bit hashes. Sampling is seeded by the bucket: reruns and lost tasks give the same.
+context, the whole word before (for a text's first word the end sign); all contexts share the empty context as
+parent; its base is uniform over the V known tokens and one unknown. A cell is a dish (word) in a restaurant: its
+customers are the training tokens, its tables are customers of the parent.
+
+1. Texts are tokenized once, into batches of local word numbers with the words' 64-bit hashes, and stored.
+2. Each batch sends its distinct (context, word) pairs with their training counts to the context's bucket, packed. There
+   they are added up. Contexts with more tokens than a bucket should hold are split by the pair instead; there
+   are at most HEAVY of them, so what is known of these restaurants is a small table every task gets.
+3. Gibbs. Cells with one customer have one table. The others are dealt by word, so that a dish's cells in
+   all contexts and its row in the parent lie together, and swept: a cell's customers leave, with their tables and the
+   parent's customers those were; then they sit down one after another given everybody else (how long until the next
+   new table opens is drawn at once, beta-geometric). A dish's cells go in GROUPS turns, each seeing what the turns before
+   did; then the dish's customers in the parent are seated anew. Dishes are sampled in parallel; between sweeps the
+   table totals of all restaurants are added up anew and joined to the cells. A block of customers is drawn by
+   sequential seating (for two customers that is the exact conditional).
+4. Predictions. After BURN_IN sweeps, SAMPLES sweeps are averaged: in a context, the mean discounted share of the
+   cell plus the mean back-off weight times the parent's mean probability. Both levels sum to one exactly.
+5. Scoring. The batches' pairs go to the buckets again and their words to the words' buckets; shares and probabilities
+   come back in the batch's order and are added up for each text there. Nothing but scalars and the heavy contexts is collected.
+
+Sampling is seeded by bucket and place in it: reruns and lost tasks give the same.
 
 Defined results: a null text is empty: the end token alone. Rows that repeat count and are scored as often.
 A null doc_id is scored, not trained on, and not held out. Without any training token every score is
-that of the uniform base. Extra columns are ignored. An empty table gives no rows.
+that of the uniform base. Extra columns are ignored. An empty table gives no rows. A text's tokens are held by one task.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,179 +42,228 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-FOLDS, HELD_OUT, HEAVY, SAMPLES, BURN_IN, STRENGTH = 7, 2, 50_000, 3, 2, 1.0
-CONTEXTS, PARENTS, BATCH_TOKENS, BATCH_DOCS, CHUNK, DOCS_A_BUCKET = 1 << 16, 1 << 8, 2_000_000, 60_000, 512, 10_000
+FOLDS, HELD_OUT, SAMPLES, BURN_IN, STRENGTH, GROUPS = 7, 2, 3, 2, (1.0, 0.1), 4
+BATCH_TOKENS, BATCH_DOCS, BUCKET_TOKENS, HEAVY, PART, PIECE = 1_000_000, 60_000, 3_000_000, 50_000, 65_536, 1 << 19
 END = b"\n"
-_ROW = "bucket int, kind int, batch long, a binary, b binary, c binary, d binary"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+#: Packed rows: kind tells what the bytes hold; rows of a batch or a bucket are sent, sorted and read in order.
+_NAMES = ["bucket", "kind", "batch", "part", "a", "b", "c", "d", "e"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+_ROW = "bucket int, kind int, batch long, part long, a binary, b binary, c binary, d binary, e binary"
+CELLS = "kind int, w long, u long, c long, n long"
+STATE = "bucket int, w long, c long, u long, n long, t long, acc double"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    rows = [r + (None,) * (len(_NAMES) - len(r)) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], names=_NAMES)
 
 
-class Vocabulary(dict):
-    """Words of a batch to running numbers, with their hashes and the contexts they make."""
+def _table(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[c.split()[0] for c in schema.split(", ")])
 
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-        self.contexts: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        self.contexts.append(int.from_bytes(word[-2:], "big"))
-        return i
+def _read(batches):
+    """The packed rows of Arrow batches, one at a time."""
+    for b in batches:
+        yield from zip(*(b.column(i).to_pylist() for i in range(len(_NAMES))), strict=True)
 
 
-class Batch:
-    """The tokens of some texts: their word numbers, contexts and documents."""
+def _grouped(rows, key: int):
+    """Runs of rows with an equal key."""
+    run: list[tuple] = []
+    for r in rows:
+        if run and r[key] != run[0][key]:
+            yield run
+            run = []
+        run.append(r)
+    if run:
+        yield run
+
 
-    def __init__(self):
-        self.vocabulary, self.parts, self.docs, self.n, self.tokens = Vocabulary(), [], [], [], 0
+def training(doc_id) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS != HELD_OUT
 
-    def add(self, doc_id, text: str | None) -> None:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        words.append(END)
-        self.parts.append(np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words)))
-        self.docs.append(doc_id)
-        self.n.append(len(words))
-        self.tokens += len(words)
 
-    def full(self) -> bool:
-        return self.tokens >= BATCH_TOKENS or len(self.docs) >= BATCH_DOCS
+def bucket_of(u: np.ndarray, w: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
+    """A pair's bucket: that of its context, but for heavy contexts (sorted) one by the pair."""
+    split = np.isin(u, heavy) if len(heavy) else np.zeros(len(u), bool)
+    mixed = np.where(split, (u ^ (w * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9), u)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
-    def codes(self) -> np.ndarray:
-        """Word number and context of each token in one number."""
-        ids = np.concatenate(self.parts).astype(np.int64)
-        context = np.concatenate(([0], np.array(self.vocabulary.contexts, np.int64)[ids[:-1]]))
-        context[np.cumsum([0, *self.n[:-1]])] = 0  # a text starts in a context of its own
-        return (ids << 16) | context
 
+# --- Batches of texts
 
-def training(doc_id) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS != HELD_OUT
 
+class Vocabulary(dict):
+    """Words to running numbers."""
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        return i
 
 
-def count_cells(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind 0: packed (hash, context, count) of the training texts, added up by batch."""
+def tokenized(docs: DataFrame) -> DataFrame:
+    """A packed row a batch of texts: doc_ids, (null, training) marks, lengths, word numbers, word hashes; part: training tokens."""
 
     def run(batches):
-        held = Batch()
+        batch = TaskContext.get().partitionId() << 24
+        words, parts, docs_, size = Vocabulary(), [], [], 0
 
-        def flush():
-            codes, n = np.unique(held.codes(), return_counts=True)
-            hashes = np.array(held.vocabulary.hashes, np.uint64)[codes >> 16]
-            yield from _sent(0, 0, hashes, (codes & 0xFFFF).astype(np.uint16), n.astype(np.int64), buckets)
+        def packed():
+            ids = np.array([0 if i is None else i for i, _ in docs_], np.int64)
+            trained = np.array([training(i) for i, _ in docs_], np.uint8)
+            n = np.array([k for _, k in docs_], np.int64)
+            marks = np.stack([np.array([i is None for i, _ in docs_], np.uint8), trained])
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            return _rows([(0, 0, batch, int((n * trained).sum()), ids.tobytes(), marks.tobytes(), n.tobytes(), np.concatenate(parts).tobytes(), hashes.tobytes())])
 
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                if training(i):
-                    held.add(i, text.as_py())
-                    if held.full():
-                        yield from flush()
-                        held = Batch()
-        if held.docs:
-            yield from flush()
+                ws = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                ws.append(END)
+                parts.append(np.fromiter(map(words.__getitem__, ws), np.uint32, len(ws)))
+                docs_.append((i, len(ws)))
+                size += len(ws)
+                if size >= BATCH_TOKENS or len(docs_) >= BATCH_DOCS:
+                    yield packed()
+                    batch += 1
+                    words, parts, docs_, size = Vocabulary(), [], [], 0
+        if docs_:
+            yield packed()
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROW)
-
-
-def _sent(kind: int, batch: int, hashes, context, n, buckets: int):
-    """Rows of at most CHUNK cells each, by bucket."""
-    to = bucket_of(hashes, buckets)
-    order = np.lexsort((context, hashes, to))
-    to, hashes, context, n = to[order], hashes[order], context[order], n[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
-    out = []
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        for at in range(a, z, CHUNK):
-            end = min(z, at + CHUNK)
-            out.append((int(to[at]), kind, batch, hashes[at:end].tobytes(), context[at:end].tobytes(), n[at:end].tobytes(), None))
-            if len(out) >= 1000:
-                yield _rows(out)
-                out = []
-    if out:
-        yield _rows(out)
-
-
-def _sum_cells(hashes, context, n):
-    order = np.lexsort((context, hashes))
-    hashes, context, n = hashes[order], context[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(hashes) != 0) | (np.diff(context.astype(np.int32)) != 0)))) if len(n) else np.empty(0, np.int64)
-    return hashes[first], context[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def _by_bucket(batches, one: int = 0):
-    """(bucket, cells, other rows) for each bucket of rows that lie by bucket and kind; other rows are an iterator."""
-    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(len(_NAMES))), strict=True))
-    row = next(rows, None)
-    while row is not None:
-        bucket, parts, size = row[0], [], 0
-        cells = (np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.int64))
-        while row is not None and row[0] == bucket and row[1] == one:
-            parts.append((np.frombuffer(row[3], np.uint64), np.frombuffer(row[4], np.uint16), np.frombuffer(row[5], np.int64)))
-            size += len(parts[-1][0])
-            row = next(rows, None)
-            if size > 2_000_000:
-                cells, parts, size = _sum_cells(*(np.concatenate(x) for x in zip(cells, *parts, strict=True))), [], 0
-        if parts:
-            cells = _sum_cells(*(np.concatenate(x) for x in zip(cells, *parts, strict=True)))
-
-        def others(bucket=bucket):
-            nonlocal row
-            while row is not None and row[0] == bucket:
-                yield row
-                row = next(rows, None)
-
-        yield bucket, cells, others()
-        for _ in others():
-            pass
-
-
-def add_cells(counted: DataFrame) -> DataFrame:
-    """The counted rows with the counts of equal cells added up."""
+
+class Batch:
+    """A batch of texts as stored: its documents, tokens, and distinct (context, word) pairs in the order they are sent."""
+
+    def __init__(self, row: tuple):
+        self.id = row[2]
+        self.doc_ids, marks = np.frombuffer(row[4], np.int64), np.frombuffer(row[5], np.uint8).reshape(2, -1)
+        self.no_id, self.trained = marks[0].astype(bool), marks[1].astype(bool)
+        self.n, self.words, self.hashes = np.frombuffer(row[6], np.int64), np.frombuffer(row[7], np.uint32), np.frombuffer(row[8], np.uint64)
+
+    def pairs(self, heavy: np.ndarray, buckets: int):
+        """(buckets, context numbers, word numbers, places of each token's pair) of the pairs, by bucket."""
+        words = self.words.astype(np.int64)
+        end = int(np.flatnonzero(self.hashes == np.uint64(xxhash.xxh64_intdigest(END)))[0])
+        before = np.concatenate(([end], words[:-1]))  # the token before a text is the end of the one before
+        codes, at = np.unique((before << 32) | words, return_inverse=True)
+        u, w = codes >> 32, codes & 0xFFFFFFFF
+        to = bucket_of(self.hashes[u], self.hashes[w], heavy, buckets)
+        order = np.argsort(to, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return to[order], u[order], w[order], back[at]
+
+
+def _parts(to: np.ndarray):
+    """(bucket, part, from, to) of at most PART entries each of entries that lie by bucket."""
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])).tolist()
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        for part, at in enumerate(range(a, z, PART)):
+            yield int(to[a]), part, at, min(z, at + PART)
+
+
+def send_pairs(tokens: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """Kind 1: the pairs of a batch for a bucket: context and word hashes, training counts."""
 
     def run(batches):
-        for bucket, cells, _ in _by_bucket(batches):
-            out = [(bucket, 0, 0, *(x[i : i + CHUNK].tobytes() for x in cells), None) for i in range(0, len(cells[0]), CHUNK)]
-            for i in range(0, len(out), 1000):
-                yield _rows(out[i : i + 1000])
+        for row in _read(batches):
+            b = Batch(row)
+            to, u, w, at = b.pairs(heavy, buckets)
+            n = np.bincount(at, np.repeat(b.trained, b.n), len(to)).astype(np.uint32)
+            hu, hw = b.hashes[u], b.hashes[w]
+            for bucket, part, a, z in _parts(to):
+                yield _rows([(bucket, 1, b.id, part, hu[a:z].tobytes(), hw[a:z].tobytes(), n[a:z].tobytes())])
 
-    return counted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _ROW)
+    return tokens.mapInArrow(run, _ROW)
 
 
-class Restaurants:
-    """What is known of whole restaurants: customers and tables by context, by parent and at the root; discounts."""
+class Cells:
+    """The distinct (context, word) pairs of a bucket with their training counts."""
 
-    def __init__(self, customers, tables, tokens: int, known: int, discounts):
-        self.c, self.t, self.tokens, self.known, self.d = customers, tables, tokens, known, discounts
+    def __init__(self, u, w, n):
+        self.order = np.lexsort((w, u))
+        u, w, n = u[self.order], w[self.order], n[self.order]
+        new_u = np.concatenate(([True], u[1:] != u[:-1]))
+        first = np.flatnonzero(new_u | np.concatenate(([True], w[1:] != w[:-1])))
+        self.of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))  # cell of each sorted entry
+        self.u, self.w, self.c = u[first], w[first], np.add.reduceat(n, first)
+        self.context = np.cumsum(new_u[first]) - 1
+        self.contexts = u[np.flatnonzero(new_u)]
 
-    def new(self, level: int) -> np.ndarray:
-        """Weight of a new table, by restaurant of the level (0 root, 1 parents, 2 contexts)."""
-        return STRENGTH + self.d[level] * self.t[level]
+    def per_context(self, x) -> np.ndarray:
+        return np.bincount(self.context, x, len(self.contexts))
 
-    def back_off(self, level: int) -> np.ndarray:
-        return self.new(level) / (STRENGTH + self.c[level])
 
-    def predict(self, level: int, at, customers, tables, parent) -> np.ndarray:
-        return (np.maximum(customers - self.d[level] * tables, 0) + self.new(level)[at] * parent) / (STRENGTH + np.maximum(self.c[level][at], customers))
+def _pairs_of(rows: list[tuple]):
+    joined = lambda i, t: np.frombuffer(b"".join(r[i] for r in rows), t)
+    return joined(4, np.uint64), joined(5, np.uint64), joined(6, np.uint32).astype(np.int64)
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables after the customers of each dish sat down one by one; weight: that of a new table with this dish."""
+def count_cells(pairs: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """Kind 0: cells with two customers and more and how many cells their context has (0: heavy); kind 1: a word's customers and
+    cells in a bucket; kind 2: a heavy context's cells in a bucket."""
+
+    def run(batches):
+        for rows in _grouped(_read(batches), 0):
+            u, w, n = _pairs_of(rows)
+            keep = n > 0
+            if not keep.any():
+                continue
+            cells = Cells(u[keep], w[keep], n[keep])
+            size = cells.per_context(None).astype(np.int64)
+            split = np.isin(cells.contexts, heavy)
+            live = np.flatnonzero(cells.c > 1)
+            yield _table(CELLS, np.zeros(len(live), np.int32), cells.w[live].view(np.int64), cells.u[live].view(np.int64), cells.c[live], np.where(split, 0, size)[cells.context[live]])
+            words, of = np.unique(cells.w, return_inverse=True)
+            yield _table(CELLS, np.ones(len(words), np.int32), words.view(np.int64), np.zeros(len(words), np.int64), np.bincount(of, cells.c).astype(np.int64), np.bincount(of))
+            parts = cells.contexts[split].view(np.int64)
+            yield _table(CELLS, np.full(len(parts), 2, np.int32), parts, parts, np.zeros(len(parts), np.int64), size[split])
+
+    return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, CELLS)
+
+
+# --- Seating
+
+
+@dataclass
+class Model:
+    """What is known of the whole: training tokens and their kinds, discounts, strengths; root totals and heavy contexts of the seating."""
+
+    tokens: int
+    known: int
+    buckets: int
+    heavy: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    discount: tuple[float, float] = (0.5, 0.5)
+    strength: tuple[float, float] = STRENGTH
+    cells: int = 0
+    once: int = 0
+    customers: float = 0.0
+    tables: float = 0.0
+    unknown: float = 1.0
+    #: Heavy contexts: their customers and mean tables.
+    contexts: dict[int, tuple[float, float]] = field(default_factory=dict)
+
+    def base(self) -> float:
+        """Weight of a new table in the root, for one word."""
+        return (self.strength[0] + self.discount[0] * self.tables) / (self.known + 1)
+
+    def root_share(self, customers, tables):
+        """The part of a word's probability in the root that is its own."""
+        return (customers - self.discount[0] * tables) / (self.strength[0] + self.customers)
+
+
+def seat(customers: np.ndarray, weight, discount: float, rng) -> np.ndarray:
+    """Tables after the customers of each dish sat down one by one; weight(which, tables): that of a next table with this dish."""
     tables = np.minimum(customers, 1).astype(np.int64)
     live = np.flatnonzero(customers > 1)
     seated = np.ones(len(live), np.float64)
     while len(live):
-        p = rng.beta(np.maximum(weight[live], 1e-12), seated - discount * tables[live])
-        wait = np.floor(np.log(rng.random(len(live))) / np.log1p(-np.clip(p, 1e-15, 1 - 1e-12))) + 1
+        p = rng.beta(np.maximum(weight(live, tables[live]), 1e-12), np.maximum(seated - discount * tables[live], 1e-12))
+        wait = np.floor(np.log(1.0 - rng.random(len(live))) / np.log1p(-np.clip(p, 1e-15, 1 - 1e-12))) + 1
         seated = seated + np.maximum(wait, 1)
         stay = seated <= customers[live]
         live, seated = live[stay], seated[stay]
@@ -218,244 +271,304 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.
     return tables
 
 
-class Dishes:
-    """The dishes of a bucket: seatings of their customers and predictive probabilities."""
-
-    def __init__(self, cells, rest: Restaurants, bucket: int):
-        hashes, context, n = cells
-        self.rest, self.rng = rest, np.random.default_rng(bucket)
-        self.words, self.word = np.unique(hashes, return_inverse=True)
-        self.context, self.n = context.astype(np.int64), n.astype(np.float64)
-        self.code2 = (self.word.astype(np.int64) << 16) | self.context
-        self.code1, self.up = np.unique((self.word.astype(np.int64) << 8) | (self.context & 255), return_inverse=True)
-        self.word1, self.parent = self.code1 >> 8, self.code1 & 255
-        self.count = np.bincount(self.word, self.n, len(self.words))
-        self.t2 = np.ones(len(self.n))
-        self.c1 = np.bincount(self.up, self.t2, len(self.code1))
-        self.t1 = np.ones(len(self.code1))
-        self.c0 = np.bincount(self.word1, self.t1, len(self.words))
-        self.t0 = np.ones(len(self.words))
-
-    def probabilities(self):
-        r, base = self.rest, 1.0 / (self.rest.known + 1)
-        p0 = r.predict(0, 0, self.c0, self.t0, base)
-        p1 = r.predict(1, self.parent, self.c1, self.t1, p0[self.word1])
-        return p0, p1, r.predict(2, self.context, self.n, self.t2, p1[self.up])
-
-    def sweep(self) -> None:
-        r, rng = self.rest, self.rng
-        p0, p1, _ = self.probabilities()
-        self.t2 = seat(self.n, r.new(2)[self.context] * p1[self.up], r.d[2], rng)
-        self.c1 = np.bincount(self.up, self.t2, len(self.code1))
-        self.t1 = seat(self.c1, r.new(1)[self.parent] * p0[self.word1], r.d[1], rng)
-        self.c0 = np.bincount(self.word1, self.t1, len(self.words))
-        self.t0 = seat(self.c0, np.full(len(self.words), r.new(0)[0] / (r.known + 1)), r.d[0], rng)
-
-    def sample(self) -> Dishes:
-        """Burn in, then average the predictive probabilities of SAMPLES seatings."""
-        total = [0.0, 0.0, 0.0]
-        for i in range(BURN_IN + SAMPLES):
-            self.sweep()
-            if i >= BURN_IN:
-                total = [a + b for a, b in zip(total, self.probabilities(), strict=True)]
-        self.p0, self.p1, self.p2 = (x / SAMPLES for x in total)
-        return self
-
-    def look_up(self, hashes: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training count of each word, probability of each (word, context)."""
-        find = lambda keys, x: (at := np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1)), keys[at] == x if len(keys) else np.zeros(len(x), bool))
-        pick = lambda values, at, ok, other: np.where(ok, values[at] if len(values) else 0.0, other)
-        r, context = self.rest, context.astype(np.int64)
-        w, known = find(self.words, hashes)
-        unknown = r.back_off(0)[0] / (r.known + 1)
-        p0 = pick(self.p0, w, known, unknown)
-        at, ok = find(self.code1, (w << 8) | (context & 255))
-        p1 = pick(self.p1, at, ok & known, r.back_off(1)[context & 255] * p0)
-        at, ok = find(self.code2, (w << 16) | context)
-        return pick(self.count, w, known, 0.0), pick(self.p2, at, ok & known, r.back_off(2)[context] * p1)
-
-
-def totals(cells: DataFrame, rest: Restaurants | None) -> Restaurants:
-    """Restaurant totals over all cells: of first seatings (one table a cell) or of sampled ones."""
-    shared = cells.sparkSession.sparkContext.broadcast(rest)
+def seat_cells(m: Model, c, t, total, dish, c0, t0, rng) -> tuple[np.ndarray, np.ndarray]:
+    """New tables of cells (customers c, tables t, tables of their whole context, dish) and the dishes' root customers c0; t0 are root tables."""
+    (d0, d), (s0, s) = m.discount, m.strength
+    place = np.arange(len(dish)) - np.searchsorted(dish, dish)
+    t, c0 = t.copy(), c0.copy()
+    for turn in range(GROUPS):
+        own = np.flatnonzero(place % GROUPS == turn)
+        of, was = dish[own], t[own]
+        others = c0[of] - was
+        mass = np.maximum(others - d0 * np.minimum(t0[of], others), 0) + m.base()
+        size, free = s0 + m.customers - was, s + d * (total[own] - was)
+        t[own] = seat(c[own], lambda i, k: (free[i] + d * k) * (mass[i] + k) / (size[i] + k), d, rng)  # noqa: B023
+        c0 += np.bincount(of, t[own] - was, len(c0)).astype(c0.dtype)
+    return t, c0
+
+
+def _pieces(batches, columns: list[str]):
+    """(bucket, number, columns, whether the bucket ends) in pieces of PIECE rows, whatever batches they come in."""
+    held: list[list[np.ndarray]] = [[] for _ in columns]
+    bucket, number, size = None, 0, 0
+
+    def cut(k: int):
+        nonlocal held, size
+        whole = [np.concatenate(x) for x in held]
+        held, size = [[x[k:]] for x in whole], size - k
+        return dict(zip(columns, (x[:k] for x in whole), strict=True))
+
+    for b in batches:
+        of = b.column("bucket").to_numpy()
+        values = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])).tolist() if len(of) else [0]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if bucket is not None and of[a] != bucket:
+                yield bucket, number, cut(size), True
+                number = 0
+            bucket = int(of[a])
+            for x, v in zip(held, values, strict=True):
+                x.append(v[a:z])
+            size += z - a
+            while size > PIECE:
+                yield bucket, number, cut(PIECE), False
+                number += 1
+    if bucket is not None:
+        yield bucket, number, cut(size), True
+
+
+def sweep(state: DataFrame, m: Model, number: int, account: bool) -> DataFrame:
+    """The state after one more Gibbs sweep. With account the seating before it is a sample and is added to acc.
+
+    State: a row (c = 0, u: customers, t: tables in the root) for each word that occurs twice or more, and one for each cell of
+    two customers or more (c; n: cells of its context; t: tables).
+    """
+    cells = state.filter("c > 0")
+    more = cells.filter("t > 1").groupBy(F.col("u").alias("of")).agg(F.sum(F.col("t") - 1).alias("more"))
+    rows = cells.join(more, F.col("u") == F.col("of"), "left").drop("of").unionByName(state.filter("c = 0").withColumn("more", F.lit(None).cast("long")))
+    rows = rows.withColumn("more", F.coalesce("more", F.lit(0).cast("long"))).repartition("bucket").sortWithinPartitions("bucket", "w", "c", "u")
 
     def run(batches):
-        sums = [np.zeros((2, 1)), np.zeros((2, PARENTS)), np.zeros((2, CONTEXTS))]
-        extra = np.zeros(8)
-        for bucket, own, _ in _by_bucket(batches):
-            blank = Restaurants([np.zeros(1), np.zeros(PARENTS), np.zeros(CONTEXTS)], [np.zeros(1), np.zeros(PARENTS), np.zeros(CONTEXTS)], 0, 1, (0.5,) * 3)
-            d = Dishes(own, shared.value or blank, bucket)
-            if shared.value:
-                for _ in range(BURN_IN):
-                    d.sweep()
-            sums[2] += [np.bincount(d.context, d.n, CONTEXTS), np.bincount(d.context, d.t2, CONTEXTS)]
-            sums[1] += [np.bincount(d.parent, d.c1, PARENTS), np.bincount(d.parent, d.t1, PARENTS)]
-            sums[0] += [[d.c0.sum()], [d.t0.sum()]]
-            extra += [d.n.sum(), len(d.words), *(float((x == k).sum()) for x in (d.c0, d.c1, d.n) for k in (1, 2))]
-        flat = np.concatenate([x.ravel() for x in sums] + [extra])
-        keep = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(flat[keep])], names=["i", "x"])
-
-    flat = np.zeros(2 * (1 + PARENTS + CONTEXTS) + 8)
-    # One number for each context and parent, whatever the corpus: 131,594 at most.
-    for r in cells.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
-        flat[r.i] = r.x
-    cut = np.cumsum([2, 2 * PARENTS, 2 * CONTEXTS])
-    level = [x.reshape(2, -1) for x in np.split(flat[: cut[-1]], cut[:-1])]
-    extra = flat[cut[-1] :]
-    share = lambda once, twice: float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once + twice else 0.5
-    discounts = tuple(share(extra[2 + 2 * k], extra[3 + 2 * k]) for k in range(3)) if rest is None else rest.d
-    return Restaurants([x[0] for x in level], [x[1] for x in level], int(extra[0]), int(extra[1]), discounts)
-
-
-def heavy_cells(cells: DataFrame, rest: Restaurants) -> dict:
-    """The cells with at least 1/HEAVY of the tokens: sorted word hashes, codes in them, word counts, probabilities."""
-    shared, least = cells.sparkSession.sparkContext.broadcast(rest), rest.tokens / HEAVY
+        held = None  # root customers, tables, acc and word of a dish that may go on in the next piece
+        for bucket, piece, x, last in _pieces(batches, ["w", "c", "u", "n", "t", "acc", "more"]):
+            rng = np.random.default_rng([number, bucket, piece])
+            root = x["c"] == 0
+            acc = x["acc"].copy()
+            if account:
+                acc += np.where(root, m.root_share(x["u"], x["t"]), x["t"])
+            w, c0, t0, acc0 = (v[root] for v in (x["w"], x["u"], x["t"], acc))
+            if held is not None:
+                w, c0, t0, acc0 = (np.concatenate(p) for p in zip(held, (w, c0, t0, acc0), strict=True))
+            dish = np.cumsum(root) - 1 + (held is not None)
+            cell = ~root
+            t, c0 = seat_cells(m, x["c"][cell], x["t"][cell], x["n"][cell] + x["more"][cell], dish[cell], c0, t0, rng)
+            k = int(cell.sum())
+            yield _table(STATE, np.full(k, bucket, np.int32), x["w"][cell], x["c"][cell], x["u"][cell], x["n"][cell], t, acc[cell])
+            done = len(w) if last else len(w) - 1
+            free = (m.strength[0] + m.discount[0] * (m.tables - t0[:done])) / (m.known + 1)
+            t0 = np.concatenate((seat(c0[:done], lambda i, k: free[i] + m.discount[0] * k / (m.known + 1), m.discount[0], rng), t0[done:]))  # noqa: B023
+            zero = np.zeros(done, np.int64)
+            yield _table(STATE, np.full(done, bucket, np.int32), w[:done], zero, c0[:done], zero, t0[:done], acc0[:done])
+            held = None if last else (w[done:], c0[done:], t0[done:], acc0[done:])
+
+    return rows.mapInArrow(run, STATE)
+
+
+def refresh(state: DataFrame, m: Model) -> None:
+    """Root totals of the seating, added up anew."""
+    extra, tables = state.agg(F.sum(F.when(F.col("c") > 0, F.col("t") - 1)), F.sum(F.when(F.col("c") == 0, F.col("t")))).first()
+    m.customers, m.tables = float(m.cells + (extra or 0)), float(m.once + (tables or 0))
+
+
+def fit(tokens: DataFrame, strength: tuple[float, float] = STRENGTH) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, its words (w, count, p: mean probability in the root) and its cells (w, u, t: tables, added up over the samples)."""
+    n = tokens.agg(F.sum("part")).first()[0] or 0
+    m = Model(n, 0, max(1, -(-n // BUCKET_TOKENS)), strength=strength)
+    m.heavy = heavy_contexts(tokens, n)
+    counts = stored(count_cells(send_pairs(tokens, m.heavy, m.buckets), m.heavy), "op2-counts")
+    words = stored(counts.filter("kind = 1").groupBy("w").agg(F.sum("c").alias("count"), F.sum("n").alias("contexts")), "op2-words")
+    one = lambda c, k: F.count_if(F.col(c) == k)
+    m.known, m.once, once, twice, m.cells = (x or 0 for x in words.agg(F.count("*"), one("count", 1), one("contexts", 1), one("contexts", 2), F.sum("contexts")).first())
+    live, pairs_twice = counts.filter("kind = 0").agg(F.count("*"), one("c", 2)).first()
+    share = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5
+    m.discount = share(once, twice), share(m.cells - live, pairs_twice)
+    # How many cells the heavy contexts have: at most HEAVY rows (see heavy_contexts).
+    sizes = counts.filter("kind = 2").groupBy(F.col("u").alias("of")).agg(F.sum("n").alias("size"))
+    cells = counts.filter("kind = 0").join(F.broadcast(sizes), F.col("u") == F.col("of"), "left").select("w", "c", "u", F.coalesce("size", "n").alias("n"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc"))
+    roots = words.filter("count > 1").select("w", F.lit(0).cast("long").alias("c"), F.col("contexts").alias("u"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc"))
+    dealt = F.pmod(F.xxhash64("w"), F.lit(m.buckets)).cast("int").alias("bucket")
+    state = stored(cells.union(roots).select(dealt, "w", "c", "u", "n", "t", "acc"), "op2-state")
+    own, back_off = 0.0, 0.0
+    for k in range(BURN_IN + SAMPLES):
+        refresh(state, m)
+        state = stored(sweep(state, m, k, k > BURN_IN), "op2-state")
+        if k > BURN_IN:
+            own, back_off = own + m.root_share(1, 1), back_off + m.base() / (m.strength[0] + m.customers)
+    refresh(state, m)
+    own, back_off = own + m.root_share(1, 1), back_off + m.base() / (m.strength[0] + m.customers)
+    mine = F.col("acc") + (F.col("u") - F.lit(m.discount[0]) * F.col("t")) / F.lit(m.strength[0] + m.customers)
+    roots = state.filter("c = 0").select(F.col("w").alias("of"), mine.alias("mine"))
+    p = (F.coalesce("mine", F.lit(own)) + F.lit(back_off)) / SAMPLES
+    m.unknown = back_off / SAMPLES if n else 1.0
+    words = words.join(roots, F.col("w") == F.col("of"), "left").select("w", "count", p.alias("p"))
+    cells = stored(state.filter("c > 0").select("w", "u", (F.col("acc") + F.col("t")).cast("long").alias("t")), "op2-cells")
+    if len(m.heavy):
+        more = cells.join(F.broadcast(sizes), F.col("u") == F.col("of"), "left_semi").groupBy("u").agg((F.sum("t") / SAMPLES - F.count("*")).alias("more"))
+        found = words.join(F.broadcast(sizes), F.col("w") == F.col("of")).join(more, F.col("w") == F.col("u"), "left")
+        m.contexts = {r.w % (1 << 64): (r["count"], r["size"] + (r["more"] or 0)) for r in found.collect()}
+    return m, words, cells
+
+
+def heavy_contexts(tokens: DataFrame, n: int) -> np.ndarray:
+    """The words with more training tokens than a bucket should hold and 1/HEAVY of all, sorted; maybe some with an eighth less.
+
+    Batches tell of words with an eighth of that share in them at least: what the others hold of a heavy word is less than an eighth.
+    """
+    least = max(BUCKET_TOKENS, n / HEAVY)
 
     def run(batches):
-        for bucket, own, _ in _by_bucket(batches):
-            keep = np.flatnonzero(own[2] >= least)
-            if len(keep):
-                d = Dishes(own, shared.value, bucket).sample()
-                yield pa.RecordBatch.from_arrays([pa.array(own[0][keep].view(np.int64)), pa.array(own[1][keep].astype(np.int32)), pa.array(d.count[d.word[keep]]), pa.array(d.p2[keep])], names=["w", "u", "count", "p"])
+        for row in _read(batches):
+            b = Batch(row)
+            count = np.bincount(b.words, np.repeat(b.trained, b.n), len(b.hashes))
+            keep = np.flatnonzero(count > least / max(n, 1) / 8 * count.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(b.hashes[keep].view(np.int64)), pa.array(count[keep])], names=["w", "n"])
+
+    found = tokens.mapInArrow(run, "w long, n double").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") > least * 7 / 8).select("w").toPandas()
+    return np.sort(found["w"].to_numpy(np.int64).view(np.uint64))
 
-    found = cells.mapInArrow(run, "w long, u int, count double, p double").toPandas()
-    hashes = found["w"].to_numpy(np.int64).view(np.uint64)
-    words, at = np.unique(hashes, return_inverse=True)
-    codes = (at.astype(np.int64) << 16) | found["u"].to_numpy(np.int64)
-    order = np.argsort(codes)
-    return {"words": words, "codes": codes[order], "count": found["count"].to_numpy()[order], "p": found["p"].to_numpy()[order]}
 
+# --- Scores
 
-def request(docs: DataFrame, heavy: dict, rest: Restaurants, buckets: int) -> DataFrame:
-    """Kind 1: the (word, context) pairs of a batch of texts with the texts they occur in; kind 2: its texts with the sums of their heavy cells."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(heavy), float(rest.tokens + rest.known + 1)
+
+def _deal(rows: DataFrame, columns: list[str], bucket, kind: int) -> DataFrame:
+    """Rows of numbers as packed rows: the columns' bytes, by bucket(columns)."""
 
     def run(batches):
-        batch_id, held = TaskContext.get().partitionId() << 24, Batch()
+        held, size = [], 0
 
         def flush():
-            h = shared.value
-            tokens = held.codes()
-            doc = np.repeat(np.arange(len(held.docs)), held.n)
-            order = np.argsort(tokens, kind="stable")
-            codes, first, n = np.unique(tokens[order], return_index=True, return_counts=True)
-            doc = doc[order]
-            hashes = np.array(held.vocabulary.hashes, np.uint64)[codes >> 16]
-            w = np.searchsorted(h["words"], hashes)
-            known = w < len(h["words"])
-            known[known] = h["words"][w[known]] == hashes[known]
-            code = np.where(known, (w << 16) | (codes & 0xFFFF), -1)
-            at = np.minimum(np.searchsorted(h["codes"], code), max(0, len(h["codes"]) - 1))
-            is_heavy = (h["codes"][at] == code) & known if len(h["codes"]) else np.zeros(len(code), bool)
-            spread = np.repeat(is_heavy, n)
-            of = np.repeat(at, n)[spread]
-            add = lambda x: np.bincount(doc[spread], x, len(held.docs))
-            sums = np.stack([add(np.log10(h["p"][of])), add(np.log10((h["count"][of] + 1) / size)), add(np.ones(len(of)))]) if len(of) else np.zeros((3, len(held.docs)))
-            ids = np.array([0 if i is None else i for i in held.docs], np.int64)
-            yield _rows([(batch_id % buckets, 2, batch_id, ids.tobytes(), np.array([i is None for i in held.docs], np.uint8).tobytes(), np.array(held.n, np.int64).tobytes(), sums.tobytes())])
-            light = np.flatnonzero(~is_heavy)
-            to = bucket_of(hashes[light], buckets)
-            light = light[np.argsort(to, kind="stable")]
-            to = np.sort(to, kind="stable")
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else np.zeros(1, np.int64)
-            out = []
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for start in range(a, z, CHUNK):
-                    part = light[start : min(z, start + CHUNK)]
-                    m = n[part]
-                    places = np.repeat(first[part] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-                    out.append((int(to[start]), 1, batch_id, hashes[part].tobytes(), (codes[part] & 0xFFFF).astype(np.uint16).tobytes(), m.astype(np.uint32).tobytes(), doc[places].astype(np.uint16).tobytes()))
-                    if len(out) >= 1000:
-                        yield _rows(out)
-                        out = []
-            if out:
-                yield _rows(out)
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            to = bucket(*cols)
+            order = np.argsort(to, kind="stable")
+            for b, part, a, z in _parts(to[order]):
+                yield _rows([(b, kind, 0, part, *(c[order[a:z]].tobytes() for c in cols))])
 
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                held.add(i, text.as_py())
-                if held.full():
-                    yield from flush()
-                    batch_id, held = batch_id + 1, Batch()
-        if held.docs:
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            size += b.num_rows
+            if size > 4 * PIECE:
+                yield from flush()
+                held, size = [], 0
+        if size:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROW)
+    return rows.select(*columns).mapInArrow(run, _ROW)
 
 
-def answer(cells: DataFrame, requests: DataFrame, rest: Restaurants) -> DataFrame:
-    """Kind 1: partial sums (documents; score, base, known) of a batch from a bucket; kind 0: the texts as they came."""
-    shared, size = cells.sparkSession.sparkContext.broadcast(rest), float(rest.tokens + rest.known + 1)
+def answer_pairs(requests: DataFrame, cells: DataFrame, m: Model) -> DataFrame:
+    """Kind 2, to a batch: the discounted share of each of its pairs in a bucket, and the back-off weight of each run of a context."""
+    heavy, buckets, d, s = m.heavy, m.buckets, m.discount[1], m.strength[1]
+    known = cells.sparkSession.sparkContext.broadcast(m.contexts)
+    deal = lambda w, u, t: bucket_of(u.view(np.uint64), w.view(np.uint64), heavy, buckets)
+    both = requests.union(_deal(cells, ["w", "u", "t"], deal, 0))
 
     def run(batches):
-        for bucket, own, others in _by_bucket(batches):
-            dishes = Dishes(own, shared.value, bucket).sample()
-            batch, sums = None, np.zeros((3, BATCH_DOCS))
-
-            def close():
-                at = np.flatnonzero(sums[1])  # noqa: B023
-                yield _rows([(0, 1, batch, at.astype(np.uint16).tobytes(), None, None, sums[:, at].tobytes())])  # noqa: B023
-
-            for _, kind, b, x, u, n, d in others:
-                if kind == 2:
-                    yield _rows([(0, 0, b, x, u, n, d)])
-                    continue
-                if b != batch:
-                    if batch is not None:
-                        yield from close()
-                    batch, sums = b, np.zeros((3, BATCH_DOCS))
-                count, p = dishes.look_up(np.frombuffer(x, np.uint64), np.frombuffer(u, np.uint16))
-                times, doc = np.frombuffer(n, np.uint32), np.frombuffer(d, np.uint16)
-                for k, value in enumerate((np.log10(p), np.log10((count + 1) / size), (count > 0).astype(float))):
-                    part = np.bincount(doc, np.repeat(value, times))
-                    sums[k, : len(part)] += part
-            if batch is not None:
-                yield from close()
-
-    both = cells.union(requests)
-    return both.repartition("bucket").sortWithinPartitions("bucket", "kind", "batch").mapInArrow(run, _ROW)
+        for rows in _grouped(_read(batches), 0):
+            told, asked = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
+            if not asked:
+                continue
+            u, w, n = _pairs_of(asked)
+            joined = lambda i: np.frombuffer(b"".join(r[i] for r in told), np.int64)  # noqa: B023, E731
+            lw, lu, lt = joined(4), joined(5), joined(6)
+            x = Cells(np.concatenate((u, lu.view(np.uint64))), np.concatenate((w, lw.view(np.uint64))), np.concatenate((n, np.zeros(len(lt), np.int64))))
+            sampled = np.bincount(x.of, np.concatenate((np.zeros(len(n)), lt))[x.order], len(x.c)) / SAMPLES
+            t = np.where(x.c > 1, sampled, x.c)
+            customers, tables = x.per_context(x.c), x.per_context(t)
+            for i in np.flatnonzero(np.isin(x.contexts, heavy)):
+                customers[i], tables[i] = known.value[int(x.contexts[i])]
+            cell = np.empty(len(x.of), np.int64)
+            cell[x.order] = x.of
+            cell = cell[: len(n)]
+            share = ((x.c - d * t) / (s + customers[x.context])).astype(np.float32)[cell]
+            back = ((s + d * tables) / (s + customers))[x.context].astype(np.float32)[cell]
+            at = 0
+            for r in asked:
+                z = at + len(r[4]) // 8
+                runs = np.flatnonzero(np.concatenate(([True], u[at + 1 : z] != u[at : z - 1])))
+                yield _rows([(r[0], 2, r[2], r[3], share[at:z].tobytes(), back[at:z][runs].tobytes())])
+                at = z
+
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind", "batch", "part").mapInArrow(run, _ROW)
+
+
+def send_words(tokens: DataFrame, buckets: int) -> DataFrame:
+    """Kind 1: the words of a batch for a word bucket, as hashes."""
+    none = np.empty(0, np.uint64)
 
+    def run(batches):
+        for row in _read(batches):
+            b = Batch(row)
+            to = bucket_of(b.hashes, b.hashes, none, buckets)
+            order = np.argsort(to, kind="stable")
+            for bucket, part, a, z in _parts(to[order]):
+                yield _rows([(bucket, 1, b.id, part, b.hashes[order[a:z]].tobytes())])
 
-SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    return tokens.mapInArrow(run, _ROW)
 
 
-def gather(answers: DataFrame) -> DataFrame:
-    """The scores of each text, from its batch's rows."""
+def answer_words(requests: DataFrame, words: DataFrame, m: Model) -> DataFrame:
+    """Kind 1, to a batch: training count and root probability of its words in a bucket."""
+    none, unknown = np.empty(0, np.uint64), m.unknown
+    deal = lambda w, count, p: bucket_of(w.view(np.uint64), w.view(np.uint64), none, m.buckets)
+    both = requests.union(_deal(words, ["w", "count", "p"], deal, 0))
 
     def run(batches):
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(len(_NAMES))), strict=True))
-        batch, ids, none, n, sums = None, None, None, None, None
+        for rows in _grouped(_read(batches), 0):
+            told = [r for r in rows if r[1] == 0]
+            joined = lambda i, t: np.frombuffer(b"".join(r[i] for r in told), t)  # noqa: B023, E731
+            w, count, p = joined(4, np.uint64), joined(5, np.int64), joined(6, np.float64)
+            order = np.argsort(w)
+            w, count, p = w[order], count[order], p[order]
+            for r in rows[len(told) :]:
+                h = np.frombuffer(r[4], np.uint64)
+                at = np.minimum(np.searchsorted(w, h), max(0, len(w) - 1))
+                ok = w[at] == h if len(w) else np.zeros(len(h), bool)
+                n, q = (np.where(ok, count[at], 0), np.where(ok, p[at], unknown)) if len(w) else (np.zeros(len(h), np.int64), np.full(len(h), unknown))
+                yield _rows([(r[0], 1, r[2], r[3], n.tobytes(), q.tobytes())])
+
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind", "batch", "part").mapInArrow(run, _ROW)
 
-        def close():
-            doc = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(none, np.uint8).astype(bool))  # noqa: B023
-            return pa.RecordBatch.from_arrays([doc, pa.array(np.frombuffer(n, np.int64)), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-        for _, kind, b, x, u, c, d in rows:
-            if kind == 0:
-                if batch is not None:
-                    yield close()
-                batch, ids, none, n, sums = b, x, u, c, np.frombuffer(d, np.float64).reshape(3, -1).copy()
-            else:
-                at = np.frombuffer(x, np.uint16)
-                sums[:, at] += np.frombuffer(d, np.float64).reshape(3, -1)
-        if batch is not None:
-            yield close()
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-    return answers.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, SCORES)
 
+def gather(tokens: DataFrame, words: DataFrame, pairs: DataFrame, m: Model, by_token: bool = False) -> DataFrame:
+    """The scores of each text from its batch and the answers to it; with by_token also token_scores, log10 of each token's probability."""
+    size, none = float(m.tokens + m.known + 1), np.empty(0, np.uint64)
 
-def score_texts(docs: DataFrame) -> tuple[DataFrame, Restaurants]:
-    """doc_id, n_tokens, n_known, base_score, score (log10) for each row of docs (doc_id, text); the model's totals."""
-    buckets = max(8, small_batches(docs).count() // DOCS_A_BUCKET)
-    cells = stored(add_cells(count_cells(docs, buckets)), "op2-cells").repartition("bucket").sortWithinPartitions("bucket", "kind")
-    first = totals(cells, None)
-    rest = totals(cells, first)
-    heavy = heavy_cells(cells, rest)
-    return gather(answer(cells, request(docs, heavy, rest, buckets), rest)), rest
+    def run(batches):
+        for rows in _grouped(_read(batches), 2):
+            b = Batch(rows[0])
+            joined = lambda kind, i, t: np.frombuffer(b"".join(r[i] for r in rows if r[1] == kind), t)  # noqa: B023, E731
+            order = np.argsort(bucket_of(b.hashes, b.hashes, none, m.buckets), kind="stable")
+            count, p = np.empty(len(order), np.int64), np.empty(len(order))
+            count[order], p[order] = joined(1, 4, np.int64), joined(1, 5, np.float64)
+            to, u, w, at = b.pairs(m.heavy, m.buckets)
+            starts = np.concatenate([[a for _, _, a, _ in _parts(to)]]).astype(np.int64)
+            new = np.concatenate(([True], u[1:] != u[:-1]))
+            new[starts] = True
+            back = joined(2, 5, np.float32).astype(np.float64)[np.cumsum(new) - 1]
+            each = np.log10(joined(2, 4, np.float32) + back * p[w])[at]
+            ends = np.concatenate(([0], np.cumsum(b.n)))
+            add = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: B023, E731
+            known = count[b.words]
+            out = [pa.array(b.doc_ids, mask=b.no_id), pa.array(b.n), pa.array(add((known > 0).astype(np.int64))), pa.array(add(np.log10((known + 1) / size))), pa.array(add(each))]
+            names = [c.split()[0] for c in SCORES.split(", ")]
+            if by_token:
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(each)))
+                names.append("token_scores")
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    rows = tokens.union(words).union(pairs).repartition("batch").sortWithinPartitions("batch", "kind", "bucket", "part")
+    return rows.mapInArrow(run, SCORES + (", token_scores array<double>" if by_token else ""))
+
+
+def score_texts(docs: DataFrame, by_token: bool = False, strength: tuple[float, float] = STRENGTH) -> tuple[DataFrame, Model]:
+    """doc_id, n_tokens, n_known, base_score, score (log10) for each row of docs (doc_id, text); the model."""
+    tokens = stored(tokenized(docs), "op2-tokens")
+    m, words, cells = fit(tokens, strength)
+    words = answer_words(send_words(tokens, m.buckets), words, m)
+    pairs = answer_pairs(send_pairs(tokens, m.heavy, m.buckets), cells, m)
+    return gather(tokens, words, pairs, m, by_token), m
+
+
+def perplexity(scores: DataFrame) -> DataFrame:
+    """One row: perplexity and base_perplexity (per token) over all rows of scores."""
+    of = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scores.agg(of("score").alias("perplexity"), of("base_score").alias("base_perplexity"))
 
 
 def op2_pitman_yor(spark, sf_dir) -> DataFrame:
-    scores, rest = score_texts(table(spark, sf_dir, "documents"))
+    scores, m = score_texts(table(spark, sf_dir, "documents"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(rest.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")

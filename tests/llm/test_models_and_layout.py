@@ -43,21 +43,112 @@ def test_scores_equal_their_contract_and_beat_the_base(spark):
     assert all(r.score < 0 for r in rows)
 
 
-def test_predictions_of_a_context_sum_to_one(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    cells = op2_pitman_yor.add_cells(op2_pitman_yor.count_cells(docs, 1))
-    first = op2_pitman_yor.totals(cells, None)
-    own = op2_pitman_yor._sum_cells(*(np.concatenate([np.frombuffer(r[i], t) for r in cells.select("a", "b", "c").collect()]) for i, t in enumerate((np.uint64, np.uint16, np.int64))))
-    rest = op2_pitman_yor.totals(cells, first)
-    d = op2_pitman_yor.Dishes(own, rest, 0).sample()
-    for u in (0, int(np.bincount(d.context).argmax())):
-        p = d.look_up(d.words, np.full(len(d.words), u, np.uint16))[1].sum() + d.look_up(np.array([1], np.uint64), np.array([u], np.uint16))[1][0]
-        assert 0.85 < p < 1.15  # totals are those of another seating
+TRAINED, HELD = ([i for i in range(400) if op2_pitman_yor.training(i) == t] for t in (True, False))
+SAID = ["the cat sat on the mat", "the cat sat", "a dog sat on the cat", "the the the the the the the", "a b the b a b the b", "cat", "the dog sat on a mat", "on the mat the cat sat"]
+
+
+def next_word(spark, contexts, words):
+    """p(word | context) for each pair, "" for the end, by the scores of two-word texts that are not learned from."""
+    rows = [(i, t) for i, t in zip(TRAINED, SAID * 3)]
+    asked = [(u, w) for u in contexts for w in words]
+    rows += [(i, f"{u} {w}") for i, (u, w) in zip(HELD, asked, strict=False)]
+    assert len(asked) <= len(HELD)
+    got = {r.doc_id: r.token_scores[1] for r in op2_pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), by_token=True)[0].collect()}
+    return {pair: 10 ** got[i] for i, pair in zip(HELD, asked, strict=False)}
+
+
+@pytest.mark.parametrize("bucket_tokens", [3_000_000, 25])
+def test_predictions_of_a_context_sum_to_one(spark, monkeypatch, bucket_tokens):
+    monkeypatch.setattr(op2_pitman_yor, "BUCKET_TOKENS", bucket_tokens)  # 25: several buckets, "the" and the end are heavy
+    vocabulary = sorted({w for t in SAID for w in t.split()})
+    p = next_word(spark, ["the", "dog", "never"], [*vocabulary, "", "unheard"])
+    for u in ("the", "dog", "never"):
+        assert abs(sum(p[u, w] for w in [*vocabulary, "", "unheard"]) - 1) < 1e-6
+    assert p["the", "cat"] > p["dog", "cat"] and p["never", "the"] > p["never", "dog"]
+
+
+def seated_one_by_one(texts, discount, strength, known, sweeps=600, burn_in=100):
+    """Mean p(word | context) of a dense sampler: explicit tables, one customer at a time."""
+    rng = random.Random(5)
+    (d0, d1), (s0, s1) = discount, strength
+    leaf, root, customers = {}, {}, []
+
+    def p0(w):
+        n, t = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(root.get(w, [])) - d0 * len(root.get(w, [])) + (s0 + d0 * t) / (known + 1)) / (s0 + n)
+
+    def p1(u, w):
+        own = leaf.get(u, {})
+        n, t = sum(sum(x) for x in own.values()), sum(len(x) for x in own.values())
+        return (sum(own.get(w, [])) - d1 * len(own.get(w, [])) + (s1 + d1 * t) * p0(w)) / (s1 + n)
+
+    def sit(tables, discount, fresh):
+        weights = [x - discount for x in tables] + [fresh]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def add(u, w):
+        t = sum(len(x) for x in leaf.setdefault(u, {}).values())
+        if sit(leaf[u].setdefault(w, []), d1, (s1 + d1 * t) * p0(w)):
+            sit(root.setdefault(w, []), d0, (s0 + d0 * sum(map(len, root.values()))) / (known + 1))
+
+    for t in texts:
+        ws = [None, *t.split(), None]
+        customers += zip(ws[:-1], ws[1:], strict=True)
+    for u, w in customers:
+        add(u, w)
+    kinds, total = sorted(set(customers), key=str), Counter()
+    for k in range(sweeps):
+        for u, w in customers:
+            if leave(leaf[u][w]):
+                leave(root[w])
+            add(u, w)
+        if k >= burn_in:
+            for u, w in kinds:
+                total[u, w] += p1(u, w) / (sweeps - burn_in)
+    return total
+
+
+def test_probabilities_are_those_of_a_dense_sampler(spark, monkeypatch):
+    monkeypatch.setattr(op2_pitman_yor, "SAMPLES", 12)
+    rows = [(i, t) for i, t in zip(TRAINED, SAID * 3)]
+    scores, m = op2_pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), by_token=True)
+    got = {}
+    texts = dict(rows)
+    for r in scores.collect():
+        ws = [None, *texts[r.doc_id].split(), None]
+        got |= {pair: 10**x for pair, x in zip(zip(ws[:-1], ws[1:], strict=True), r.token_scores, strict=True)}
+    want = seated_one_by_one([t for _, t in rows], m.discount, m.strength, m.known)
+    assert got.keys() == want.keys()
+    off = [abs(math.log10(got[k] / want[k])) for k in got]
+    assert np.mean(off) < 0.03 and max(off) < 0.2
+
+
+def test_language_model_of_a_long_text_and_clashing_columns(spark):
+    rows = [(TRAINED[0], "x y " * 60_000), (HELD[0], "x y"), (HELD[1], "y y"), (TRAINED[1], "\ue000 " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("bucket", "kind", "batch", "part", "score", "w")})
+    got = {r.doc_id: r for r in op2_pitman_yor.score_texts(docs)[0].collect()}
+    assert (got[TRAINED[0]].n_tokens, got[HELD[0]].n_known) == (120_001, 3)
+    assert got[HELD[0]].score > got[HELD[1]].score
+    one = op2_pitman_yor.perplexity(op2_pitman_yor.score_texts(docs)[0]).first()
+    assert 1 < one.perplexity < one.base_perplexity
 
 
 def test_seating_opens_as_many_tables_as_one_by_one():
     rng = np.random.default_rng(0)
-    fast = op2_pitman_yor.seat(np.full(4000, 30.0), np.full(4000, 0.7), 0.4, rng).mean()
+    fast = op2_pitman_yor.seat(np.full(4000, 30.0), lambda i, k: np.full(len(i), 0.7), 0.4, rng).mean()
     slow = []
     for _ in range(4000):
         t = 1
