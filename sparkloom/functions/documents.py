@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 
-PARENT_SIZE, CHILD_SIZE, OVERLAP, LEAST_CHILD, TITLE_SIZE = 2048, 512, 64, 32, 120
+TITLE_SIZE = 120
 
 
 def extract_text(docs: DataFrame, stem: Column) -> DataFrame:
@@ -130,128 +133,116 @@ def extract_registered(files: DataFrame) -> DataFrame:
 
 # --- Outlines and chunks
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
-_FENCE = re.compile(r"^```.*?^```", re.MULTILINE | re.DOTALL)
+#: How a heading and a fenced block look.
+HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
+FENCE = re.compile(r"^```.*?^```", re.MULTILINE | re.DOTALL)
+_TOKEN = re.compile(rf"(?:{FENCE.pattern}|\S)+", re.MULTILINE | re.DOTALL)
+
+
+@dataclass(frozen=True)
+class Chunking:
+    """Sizes in words: child windows with their overlap, parents, and the least a child of several may have."""
+
+    size: int = 512
+    overlap: int = 64
+    parent_size: int = 2048
+    least: int = 32
+    keep_preamble: bool = False  # text before the first heading as a section of its own; else it is lost
 
 
 def _slug(title: str) -> str:
     return re.sub(r"[\s_-]+", "-", re.sub(r"[^\w\s-]", "", title.lower())).strip("-") or "section"
 
 
-def sections(body: str) -> list[tuple[str, str, str, int, int]]:
-    """(heading path, title, text, start, end) of the sections with text; text before the first heading is lost."""
-    heads = list(_HEADING.finditer(body))
-    if not heads:
-        return [("content", "content", body.strip(), 0, len(body))]
-    trail: list[tuple[int, str]] = []
-    out = []
-    ends = [h.start() for h in heads[1:]] + [len(body)]
-    for head, end in zip(heads, ends, strict=True):
-        level, title = len(head[1]), head[2].strip()
-        trail = [t for t in trail if t[0] < level] + [(level, _slug(title))]
-        if inner := body[head.end() : end].strip():
-            out.append(("/".join(s for _, s in trail), title, inner, head.end(), end))
-    return out
-
-
-def windows(text: str, size: int, overlap: int) -> list[str]:
-    """Word windows of a text in which a fenced block counts as one word and stays whole."""
-    fences: list[str] = []
-
-    def hide(m: re.Match) -> str:
-        fences.append(m[0])
-        return f"__FENCE_{len(fences) - 1}__"
-
-    hidden = _FENCE.sub(hide, text)
-    ws = hidden.split()
-    if len(ws) <= size:
-        parts = [hidden.strip()] if ws else []
-    else:
-        last = -(-(len(ws) - size) // (size - overlap))
-        parts = [" ".join(ws[i * (size - overlap) :][:size]) for i in range(last + 1)]
-    for i, fence in enumerate(fences):
-        parts = [p.replace(f"__FENCE_{i}__", fence) for p in parts]
-    return [p.strip() for p in parts if p.strip()]
+def sections(body: str, keep_preamble: bool = False) -> list[tuple[str, str, str, int, int]]:
+    """(heading path, title, text, start, end) of the sections with text; a body without headings is one section."""
+    heads = [(len(h[1]), h[2].strip(), h.start(), h.end()) for h in HEADING.finditer(body)]
+    paths: list[str | None] = [None] * 7  # the path of the open section of each level
+    spans = [] if heads and not keep_preamble else [("content", "content", 0, heads[0][2] if heads else len(body))]
+    for (level, title, _, start), end in zip(heads, [*(h[2] for h in heads), len(body)][1:], strict=True):
+        above = next((p for p in reversed(paths[:level]) if p is not None), None)
+        path = _slug(title) if above is None else f"{above}/{_slug(title)}"
+        paths[level:] = [path] + [None] * (6 - level)
+        spans.append((path, title, start, end))
+    return [(path, title, text, a, z) for path, title, a, z in spans if (text := body[a:z].strip()) or not heads]
+
+
+def windows(text: str, size: int, overlap: int = 0) -> list[str]:
+    """Windows of size words, each size - overlap words after the last; a fenced block is one word. A short text stays as it is."""
+    tokens = _TOKEN.findall(text) if "```" in text else text.split()
+    if len(tokens) <= size:
+        return [text.strip()] if tokens else []
+    step = size - overlap
+    return [" ".join(tokens[a : a + size]) for a in range(0, len(tokens) - overlap, step)]
 
 
 _SECTION = "heading_path string, section_title string, section string, start_offset long, end_offset long"
 
 
-def parse_outline(docs: DataFrame) -> DataFrame:
+def parse_outline(docs: DataFrame, keep_preamble: bool = False) -> DataFrame:
     """One row a section of docs (doc_id, body, ...): doc_id, section_index and the section."""
 
     def run(batches):
         for b in batches:
-            rows = [(d, i, *s) for d, body in zip(b["doc_id"], b["body"], strict=True) for i, s in enumerate(sections(body or ""))]
+            rows = [(d, i, *s) for d, body in zip(b["doc_id"], b["body"], strict=True) for i, s in enumerate(sections(body or "", keep_preamble))]
             yield pd.DataFrame(rows, columns=["doc_id", "section_index", "heading_path", "section_title", "section", "start_offset", "end_offset"])
 
     return docs.select("doc_id", "body").mapInPandas(run, f"doc_id string, section_index long, {_SECTION}")
 
 
-_PARTS = "array<struct<parent:int,heading_path:string,parent_text:string,tokens:int,children:array<struct<text:string,tokens:int>>,start_offset:bigint,end_offset:bigint>>"
-
+CHUNKS = (
+    "chunk_id string, doc_id string, source_id string, chunk_level string, parent_chunk_id string, chunk_index int, heading_path string, title string, "
+    "token_count int, char_count int, content_hash string, embed_text string, body_text string, start_offset long, end_offset long"
+)
 
-def _structured(body: pd.Series) -> pd.Series:
-    """Parents with their children, for bodies with headings or fences."""
-    out = []
-    for text in body:
-        parts = []
-        for path, _, inner, a, z in sections(text or ""):
-            for parent in windows(inner, PARENT_SIZE, 0):
-                kids = [{"text": k, "tokens": len(k.split())} for k in windows(parent, CHILD_SIZE, OVERLAP) or [parent]]
-                kept = [k for k in kids if len(kids) == 1 or k["tokens"] >= LEAST_CHILD]
-                parts.append({"parent": len(parts), "heading_path": path, "parent_text": parent, "tokens": len(parent.split()), "children": kept, "start_offset": a, "end_offset": z})
-        out.append(parts)
-    return pd.Series(out)
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-def _last_window(n: Column, size: int, step: int) -> Column:
-    return F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
 
+def chunks_of(doc_id: str, source_id: str, title: str | None, body: str, how: Chunking) -> Iterator[tuple]:
+    """The chunk rows of a document: each parent, then its children; both levels are numbered over the document."""
+    count = {"parent": 0, "child": 0}
 
-def _plain(body: Column) -> Column:
-    """The same for bodies without either, by built-in functions: the words are found once, windows are slices of them."""
-    step = CHILD_SIZE - OVERLAP
+    def row(level: str, path: str, text: str, up: str | None, span: tuple[int, int]) -> tuple:
+        embed = f"Document: {title or ''} > {path}\n\n{text}"
+        content, index = "sha256:" + _sha(embed.strip()), count[level]
+        count[level] += 1
+        chunk_id = "chk_" + _sha("|".join((doc_id, path, content, str(index), level)))[:20]
+        return chunk_id, doc_id, source_id, level, up, index, path, title, len(text.split()), len(text), content, embed, text, *span
 
-    def children(pw: Column, text: Column) -> Column:
-        n = F.size(pw)
-        cut = lambda j: F.struct(F.when(n <= CHILD_SIZE, text).otherwise(F.array_join(F.slice(pw, j * step + 1, F.lit(CHILD_SIZE)), " ")).alias("text"), F.least(F.lit(CHILD_SIZE), n - j * step).alias("tokens"))
-        return F.filter(F.transform(F.sequence(F.lit(0), _last_window(n, CHILD_SIZE, step)), cut), lambda k: (n <= CHILD_SIZE) | (k.tokens >= LEAST_CHILD))
+    for path, _, inner, *span in sections(body, how.keep_preamble):
+        for text in windows(inner, how.parent_size):
+            parent = row("parent", path, text, None, span)
+            yield parent
+            parts = windows(text, how.size, how.overlap) or [text]
+            for part in parts:
+                if len(parts) == 1 or len(part.split()) >= how.least:
+                    yield row("child", path, part, parent[0], span)
 
-    def parent(ws: Column, i: Column) -> Column:
-        made = lambda pw: tx.let(
-            F.when(F.size(ws) <= PARENT_SIZE, tx.strip(body)).otherwise(F.array_join(pw, " ")),
-            lambda text: F.struct(i.cast("int").alias("parent"), F.lit("content").alias("heading_path"), text.alias("parent_text"), F.size(pw).alias("tokens"), children(pw, text).alias("children"), F.lit(0).cast("long").alias("start_offset"), F.length(body).cast("long").alias("end_offset")),
-        )
-        return tx.let(F.slice(ws, i * PARENT_SIZE + 1, F.lit(PARENT_SIZE)), made)
 
-    some = lambda ws: F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(0), _last_window(F.size(ws), PARENT_SIZE, PARENT_SIZE)), lambda i: parent(ws, i)))
-    return F.coalesce(tx.let(tx.words(body), some).cast(_PARTS), F.array().cast(_PARTS))
-
-
-def chunk_documents(docs: DataFrame) -> DataFrame:
+def chunk_documents(docs: DataFrame, how: Chunking = Chunking(), rows: int = 2000) -> DataFrame:
     """Parent and child chunks of docs (doc_id, source_id, title, body).
 
-    A row's chunks are built inside the row and exploded once, so running indexes need no window and nothing
-    is shuffled. Only bodies with headings or fences go through the Arrow helper; it gets nulls for the others.
+    A document's chunks are made whole by one Arrow function, so running numbers need no window and nothing is shuffled;
+    it yields every so many rows, whatever the documents' lengths. A null title reads as empty; a null body has no chunks.
     """
-    structured = F.pandas_udf(_structured, _PARTS)
-    body, marked = F.col("body"), F.col("body").rlike(r"(?m)^(#{1,6}\s+.|```)")
-    kept = docs.filter(body.isNotNull()).select("doc_id", "source_id", "title", "body", marked.alias("_marked"))
-    helped = kept.withColumn("_parts", structured(F.when(F.col("_marked"), body)))
-    rows = helped.select("doc_id", "source_id", "title", F.when(F.col("_marked"), F.col("_parts")).otherwise(_plain(body)).alias("parts"))
-    embed = lambda path, text: F.concat(F.lit("Document: "), F.col("title"), F.lit(" > "), path, F.lit("\n\n"), text)
-    rows = rows.withColumn("parts", F.transform("parts", lambda p: p.withField("id", tx.chunk_id(F.col("doc_id"), p.heading_path, embed(p.heading_path, p.parent_text), p.parent, "parent"))))
-    parent = lambda p: F.struct(F.lit("parent").alias("level"), p.parent.alias("i"), p.parent_text.alias("text"), p.tokens.alias("n"), p.heading_path.alias("path"), F.lit(None).cast("string").alias("up"), p.start_offset.alias("a"), p.end_offset.alias("z"))
-    child = lambda p, t: F.struct(F.lit("child").alias("level"), F.lit(0).alias("i"), t.text.alias("text"), t.tokens.alias("n"), p.heading_path.alias("path"), p.id.alias("up"), p.start_offset.alias("a"), p.end_offset.alias("z"))
-    kids = F.flatten(F.transform("parts", lambda p: F.transform(p.children, lambda t: child(p, t))))
-    kids = F.transform(kids, lambda c, i: c.withField("i", i))
-    one = rows.select("doc_id", "source_id", "title", F.explode(F.concat(F.transform("parts", parent), kids)).alias("c"))
-    text, path, level = F.col("c.text"), F.col("c.path"), F.col("c.level")
-    full = one.withColumn("embed_text", embed(path, text)).withColumn("content_hash", tx.content_hash(F.col("embed_text")))
-    payload = F.concat_ws("|", "doc_id", path, "content_hash", F.col("c.i").cast("string"), level)
-    return full.select(
-        F.concat(F.lit("chk_"), F.substring(F.sha2(payload, 256), 1, 20)).alias("chunk_id"), "doc_id", "source_id", level.alias("chunk_level"), F.col("c.up").alias("parent_chunk_id"), F.col("c.i").alias("chunk_index"),
-        path.alias("heading_path"), "title", F.col("c.n").alias("token_count"), F.length(text).alias("char_count"), "content_hash", "embed_text", text.alias("body_text"),
-        F.col("c.a").alias("start_offset"), F.col("c.z").alias("end_offset"),
-    )
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in CHUNKS.split(", ")])
+
+    def run(batches):
+        held: list[tuple] = []
+        for b in batches:
+            for doc in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source_id", "title", "body")), strict=True):
+                for chunk in chunks_of(*doc, how):
+                    held.append(chunk)
+                    if len(held) >= rows:
+                        yield _batch(held)
+                        held = []
+        yield _batch(held)
+
+    def _batch(held):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(schema.types)], names=names)
+
+    return docs.filter(F.col("body").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "source_id", "title", "body").mapInArrow(run, CHUNKS)

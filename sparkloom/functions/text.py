@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"(?U)[^\s\x1c-\x1f]+"
 TOKEN = r"[\p{L}\p{N}_]+"
+#: The words keywords leave out.
 STOP_WORDS = ("should", "would", "could", "which", "what", "when", "where", "there", "their", "about")
 
 
@@ -109,6 +110,7 @@ def split_by_tokens(col: Column, size: int, overlap: int = 0) -> Column:
 def detect_format(path: Column, content: Column) -> Column:
     """By suffix, else by the first bytes; txt where nothing tells."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+    # Formats by suffix, and by the first bytes below.
     known = {"md": "markdown", "markdown": "markdown", "txt": "txt", "pdf": "pdf", "docx": "docx", "html": "html", "htm": "html"}
     head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
     by_suffix = F.lit(None).cast("string")

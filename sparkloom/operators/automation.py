@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..sources.tables import small
+from .indexing import running_sum
 
 # --- Schedules
 
@@ -12,48 +14,52 @@ CRON_DAYS = 366
 
 
 def cron_values(field: Column, low: int, high: int) -> Column:
-    """The values of low..high a cron field admits: *, lists, ranges, steps (every value, or from a start)."""
+    """The values of low..high a cron field admits: *, lists, ranges, steps (every value, or from a start).
+
+    A part is read once as start, end and step; one that cannot be read admits nothing, like a * inside a list.
+    """
+
+    def span(part: Column) -> Column:
+        base, step = F.substring_index(part, "/", 1), F.when(part.contains("/"), F.nullif(F.substring_index(part, "/", -1).try_cast("int"), F.lit(0))).otherwise(1)
+        stepped = part.contains("/")
+        start = F.when(stepped & (base == "*"), F.lit(0)).when(stepped, base.try_cast("int")).otherwise(F.substring_index(base, "-", 1).try_cast("int"))
+        end = F.when(stepped, F.lit(high)).otherwise(F.substring_index(base, "-", -1).try_cast("int"))
+        return F.struct(start.alias("start"), end.alias("end"), step.alias("step"))
+
+    spans = F.when(field == "*", F.array(F.struct(F.lit(low).alias("start"), F.lit(high).alias("end"), F.lit(1).alias("step")))).otherwise(F.transform(F.split(field, ","), span))
+    return F.filter(F.sequence(F.lit(low), F.lit(high)), lambda v: F.exists(spans, lambda p: F.coalesce(v.between(p.start, p.end) & ((v - p.start) % p.step == 0), F.lit(False))))
 
-    def admits(part: Column, v: Column) -> Column:
-        sides = F.split(part, "/")
-        base, step = F.get(sides, F.lit(0)), F.expr("int(1)") * F.coalesce(F.get(sides, F.lit(1)).try_cast("int"), F.lit(1))
-        ends = F.split(part, "-")
-        start, end = F.get(ends, F.lit(0)).try_cast("int"), F.get(ends, F.lit(1)).try_cast("int")
-        return (
-            F.when(part == "*", F.lit(True))
-            .when(part.contains("/") & (base == "*"), v % step == 0)
-            .when(part.contains("/"), (v >= base.try_cast("int")) & ((v - base.try_cast("int")) % step == 0))
-            .when(part.contains("-"), v.between(start, end))
-            .otherwise(F.coalesce(part.try_cast("int") == v, F.lit(False)))
-        )
 
-    return F.filter(F.sequence(F.lit(low), F.lit(high)), lambda v: F.exists(F.split(field, ","), lambda p: F.coalesce(admits(p, v), F.lit(False))))
+def _cron_days(asked: DataFrame, dow_base: int) -> DataFrame:
+    """asked (cron_expression, day) with the hours and minutes the expression admits and its first day on or after day, and after it."""
+    f = F.split(F.trim(F.regexp_replace("expression", r"\s+", " ")), " ")
+    part = lambda i, low, high: cron_values(F.get(f, F.lit(i)), low, high)
+    one = asked.select(F.col("cron_expression").alias("expression")).distinct().select("expression", (F.size(f) == 5).alias("good"), part(0, 0, 59).alias("minutes"), part(1, 0, 23).alias("hours"), part(2, 1, 31).alias("dom"), part(3, 1, 12).alias("months"), part(4, 0, 6).alias("dow"))
+    rows = asked.join(one, F.col("cron_expression") == F.col("expression"))
+    ok = lambda d: F.array_contains("dom", F.dayofmonth(d)) & F.array_contains("months", F.month(d)) & F.array_contains("dow", F.pmod(F.weekday(d) + F.lit(dow_base), F.lit(7)))
+    days = F.filter(F.transform(F.sequence(F.lit(0), F.lit(CRON_DAYS)), lambda i: F.date_add("day", i)), ok)
+    rows = rows.filter("good").withColumn("days", days)
+    return rows.select("expression", F.col("day").alias("of"), "minutes", "hours", F.get("days", F.lit(0)).alias("first"), F.when(F.get("days", F.lit(0)) == F.col("day"), F.get("days", F.lit(1))).otherwise(F.get("days", F.lit(0))).alias("later"))
 
 
 def next_cron(schedules: DataFrame, after: Column, dow_base: int = 0) -> DataFrame:
     """schedules with cron_next: the first minute after the given one that all five fields admit, within a year.
 
-    Fields become arrays; days are tried in one filtered sequence, and the time of day is the first admitted
-    hour and minute, after the current ones on the first day. Monday is day dow_base.
+    Each distinct expression is read once, and its next days are looked for once for each date that rows start from; a row only
+    chooses the hour and minute. Monday is day dow_base.
     """
-    f = F.split(F.trim(F.regexp_replace("cron_expression", r"\s+", " ")), " ")
-    minutes, hours = cron_values(F.get(f, F.lit(0)), 0, 59), cron_values(F.get(f, F.lit(1)), 0, 23)
-    doms, months, dows = cron_values(F.get(f, F.lit(2)), 1, 31), cron_values(F.get(f, F.lit(3)), 1, 12), cron_values(F.get(f, F.lit(4)), 0, 6)
-    s = schedules.withColumns({"_m": minutes, "_h": hours, "_d": doms, "_mo": months, "_w": dows, "_start": F.date_trunc("minute", after).cast("timestamp_ntz") + F.expr("INTERVAL 1 MINUTE")})
-    day0 = F.to_date("_start")
-    ok = lambda d: F.array_contains("_d", F.dayofmonth(d)) & F.array_contains("_mo", F.month(d)) & F.array_contains("_w", F.pmod(F.weekday(d) + F.lit(dow_base), F.lit(7)))
-    days = F.filter(F.transform(F.sequence(F.lit(0), F.lit(CRON_DAYS)), lambda i: F.date_add(day0, i)), ok)
-    times = F.flatten(F.transform("_h", lambda h: F.transform("_m", lambda m: h * 60 + m)))
-    now = F.hour("_start") * 60 + F.minute("_start")
-    today = F.array_min(F.filter(times, lambda t: t >= now))
-    first = F.array_min("_days")
-    later = F.array_min(F.filter("_days", lambda d: d > day0))
-    s = s.withColumns({"_days": days, "_t": times})
-    today = F.array_min(F.filter("_t", lambda t: t >= now))
+    s = schedules.withColumn("_start", F.date_trunc("minute", after).cast("timestamp_ntz") + F.expr("INTERVAL 1 MINUTE")).withColumn("_day", F.to_date("_start"))
+    known = _cron_days(s.select("cron_expression", F.col("_day").alias("day")).distinct(), dow_base)
+    s = s.join(known, (F.col("cron_expression") == F.col("expression")) & (F.col("_day") == F.col("of")), "left")
+    h, m = F.hour("_start"), F.minute("_start")
+    first = lambda values, test: F.get(F.filter(values, test), F.lit(0))
+    this_hour = F.when(F.array_contains("hours", h), first("minutes", lambda x: x >= m))
+    next_hour = first("hours", lambda x: x > h)
+    least = F.get("minutes", F.lit(0))
+    today = F.when(F.col("first") == F.col("_day"), F.coalesce(h * 60 + this_hour, next_hour * 60 + least))
     at = lambda d, t: d.cast("timestamp_ntz") + F.make_dt_interval(mins=t)
-    found = F.when((first == day0) & today.isNotNull(), at(first, today)).otherwise(at(later, F.array_min("_t")))
-    good = (F.size(f) == 5) & (found < F.col("_start") + F.expr("INTERVAL 525600 MINUTES"))
-    return s.withColumn("cron_next", F.when(good, found)).drop("_m", "_h", "_d", "_mo", "_w", "_start", "_days", "_t")
+    found = F.coalesce(at(F.col("_day"), today), at(F.col("later"), F.get("hours", F.lit(0)) * 60 + least))
+    return s.withColumn("cron_next", F.when(found < F.col("_start") + F.expr("INTERVAL 525600 MINUTES"), found)).drop("_start", "_day", "expression", "of", "minutes", "hours", "first", "later")
 
 
 def next_run(schedules: DataFrame, after: Column, dow_base: int = 0) -> DataFrame:
@@ -64,9 +70,10 @@ def next_run(schedules: DataFrame, after: Column, dow_base: int = 0) -> DataFram
         F.when((kind == "one_time") & (F.col("run_at") > after), F.col("run_at"))
         .when(kind == "delayed", plus(F.col("delay_seconds"), 0))
         .when(kind == "recurring", plus(F.col("interval_seconds"), 3600))
-        .when(kind == "cron", F.col("cron_next"))
     )
-    return next_cron(schedules, after, dow_base).withColumn("next_run", run).drop("cron_next")
+    is_cron = F.coalesce(kind == "cron", F.lit(False))
+    cron = next_cron(schedules.filter(is_cron), after, dow_base).withColumnRenamed("cron_next", "next_run")
+    return schedules.filter(~is_cron).withColumn("next_run", run).unionByName(cron)
 
 
 def due(automations: DataFrame, as_of: Column) -> DataFrame:
@@ -86,26 +93,36 @@ def match_completions(completions: DataFrame, automations: DataFrame) -> DataFra
     """Finished workflows (task_id, workflow_id) and the enabled automations they fire; one without a source workflow fires for all."""
     a = automations.filter("status = 'enabled' AND trigger_type = 'workflow_completion'").select("automation_id", "source_workflow_id")
     bound = completions.join(a.filter("source_workflow_id <> ''"), F.col("workflow_id") == F.col("source_workflow_id"))
-    free = completions.crossJoin(F.broadcast(a.filter("source_workflow_id IS NULL OR source_workflow_id = ''")))
+    free = completions.crossJoin(small(a.filter("source_workflow_id IS NULL OR source_workflow_id = ''")))
     return bound.unionByName(free).select("task_id", "workflow_id", "automation_id")
 
 
-def match_file_events(events: DataFrame, automations: DataFrame) -> DataFrame:
-    """Changed paths and the enabled automations whose watched prefix and name glob fit; automations are a control table, broadcast."""
+def match_file_events(events: DataFrame, automations: DataFrame, few: int = 10_000) -> DataFrame:
+    """Changed paths and the enabled automations whose watched prefix and name glob fit.
+
+    Up to few automations are broadcast; more are joined by shuffle on the prefixes of the path.
+    """
     a = automations.filter("status = 'enabled' AND trigger_type = 'filesystem'").select("automation_id", F.coalesce("watch_path", F.lit("")).alias("watch"), glob_to_regex(F.coalesce(F.nullif("watch_pattern", F.lit("")), F.lit("*"))).alias("glob"))
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return events.join(F.broadcast(a), F.startswith("path", F.col("watch")) & F.rlike(name, F.col("glob"))).select("event_id", "path", "automation_id")
+    fits = F.rlike(F.regexp_extract("path", r"([^/]*)$", 1), F.col("glob"))
+    if a.limit(few + 1).count() <= few:
+        found = events.join(F.broadcast(a), F.startswith("path", F.col("watch")) & fits)
+    else:
+        prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.left("path", n))
+        found = events.withColumn("prefix", F.explode(prefixes)).join(a, F.col("prefix") == F.col("watch")).filter(fits)
+    return found.select("event_id", "path", "automation_id")
 
 
 # --- Runs
 
 
 def active_runs(executions: DataFrame, limit: int) -> DataFrame:
-    """For each start the number of its automation's runs open then (itself included), flagged over the limit; ends count before starts at equal times."""
+    """For each start the number of its automation's runs open then (itself included), flagged over the limit; ends count before starts at equal times.
+
+    A day's steps are summed in one task, with what the days before left open: an automation's history is never in one.
+    """
     start = executions.select("automation_id", "execution_id", F.col("started_at").alias("at"), F.lit(1).alias("step"))
     end = executions.select("automation_id", "execution_id", F.col("ended_at").alias("at"), F.lit(-1).alias("step"))
-    w = W.partitionBy("automation_id").orderBy("at", "step", "execution_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = start.unionByName(end).withColumn("active", F.sum("step").over(w)).filter("step = 1")
+    rows = running_sum(start.unionByName(end), ["automation_id"], F.unix_date(F.to_date("at")), ["at", "step", "execution_id"], F.col("step"), "active").filter("step = 1")
     return rows.select("automation_id", "execution_id", "active", (F.col("active") > limit).alias("over_limit"))
 
 
@@ -138,12 +155,12 @@ def route_requests(requests: DataFrame, models: DataFrame, healthy: list[str], d
 
     requests: request_id, priorities, min_context, structured, multimodal, override_provider. Models that fail a
     wish leave; where none is left all healthy ones stand; where none is healthy the default does. The table of
-    models is a control table, broadcast.
+    models is a control table, broadcast while it is small.
     """
     wish = F.when((F.size("priorities") == 0) & F.lit(prefer_local), F.array(F.lit("local"))).otherwise(F.col("priorities"))
     r = requests.withColumn("wish", wish)
     m = models.filter(F.col("provider").isin(*healthy) if healthy else F.lit(False))
-    pairs = r.join(F.broadcast(m), F.lit(True), "left")
+    pairs = r.join(small(m), F.lit(True), "left")
     ok = ((F.col("min_context") == 0) | (F.col("context_length") >= F.col("min_context"))) & (~F.col("structured") | F.col("structured_ok")) & (~F.col("multimodal") | F.col("multimodal_ok")) & (~F.array_contains("wish", "local") | F.col("is_local"))
     mean = (F.col("reasoning") + F.col("coding")) / 2
     of = lambda p: F.when(p == "latency", F.col("latency")).when(p == "cost", F.col("cost")).when(p == "coding", F.col("coding")).when(p == "reasoning", F.col("reasoning")).when(p == "local", F.when(F.col("is_local"), 1.0).otherwise(0.0)).when(p == "quality", mean)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..sources.tables import small
 
 #: Strategy, dimensions, prefix, number of options, confidence of the first assumption, severity of risks.
 STRATEGIES = (
@@ -19,7 +20,23 @@ STRATEGIES = (
 )
 STRATEGY_SCHEMA = "strategy string, dimensions array<string>, prefix string, n_options int, confidence double, severity string"
 LIKELIHOOD, WIN, EVIDENCE_SIZE = 0.35, 0.08, 500
+#: Texts of options and risks; {prefix}, {topic}, {hint} and {title} stand for the decision's own words.
 CREATIVE = ("Creative alternative: reframe the problem", "Challenge the premise and explore an unconventional path.")
+HINTED = "Pursue the approach: {hint}"
+TEMPLATES = (
+    ("{prefix} proceed with {topic}", "Take action aligned with {topic} based on available evidence."),
+    ("{prefix} defer decision", "Gather more evidence before committing on {topic}."),
+    ("{prefix} hybrid approach", "Combine incremental steps with a staged plan for {topic}."),
+)
+RISK = "Unforeseen factors may reduce effectiveness of '{title}'."
+
+
+def _said(text: str, **words: Column) -> Column:
+    """A fixed text with its words put in."""
+    out = F.lit(text)
+    for name, word in words.items():
+        out = F.replace(out, F.lit("{" + name + "}"), word)
+    return out
 
 
 def strategies(spark, rows=STRATEGIES) -> DataFrame:
@@ -29,17 +46,11 @@ def strategies(spark, rows=STRATEGIES) -> DataFrame:
 
 def generate_options(requests: DataFrame, table: DataFrame) -> DataFrame:
     """decision_id, strategy, option (from 1), title, description: from the hints, else templates on the first keyword."""
-    r = requests.join(F.broadcast(table), "strategy")
-    hinted = F.transform(F.slice(F.coalesce("option_hints", F.array().cast("array<string>")), 1, F.col("n_options")), lambda h: F.struct(F.substring(h, 1, 80).alias("title"), F.concat(F.lit("Pursue the approach: "), h).alias("description")))
+    r = requests.join(small(table), "strategy")
+    hinted = F.transform(F.slice(F.coalesce("option_hints", F.array().cast("array<string>")), 1, F.col("n_options")), lambda h: F.struct(F.substring(h, 1, 80).alias("title"), _said(HINTED, hint=h).alias("description")))
     topic = F.coalesce(F.get(tx.extract_keywords(F.col("question")), F.lit(0)), F.lit("the question"))
     pair = lambda t, d: F.struct(t.alias("title"), d.alias("description"))
-    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    prefix = F.col("prefix")
-    made = F.array(
-        pair(text(prefix, " proceed with ", topic), text("Take action aligned with ", topic, " based on available evidence.")),
-        pair(text(prefix, " defer decision"), text("Gather more evidence before committing on ", topic, ".")),
-        pair(text(prefix, " hybrid approach"), text("Combine incremental steps with a staged plan for ", topic, ".")),
-    )
+    made = F.array(*[pair(*(_said(x, prefix=F.col("prefix"), topic=topic) for x in one)) for one in TEMPLATES])
     base = F.when(F.size(hinted) > 0, hinted).otherwise(F.slice(made, 1, F.col("n_options")))
     extra = F.array(pair(F.lit(CREATIVE[0]), F.lit(CREATIVE[1])))
     options = F.slice(F.when(F.col("strategy") == "creative", F.concat(base, extra)).otherwise(base), 1, F.col("n_options"))
@@ -49,7 +60,7 @@ def generate_options(requests: DataFrame, table: DataFrame) -> DataFrame:
 def assumptions(requests: DataFrame, table: DataFrame, evidence: DataFrame) -> DataFrame:
     """decision_id, assumption (from 1), confidence."""
     seen = evidence.select("decision_id").distinct().withColumn("seen", F.lit(True))
-    r = requests.join(F.broadcast(table), "strategy").join(seen, "decision_id", "left")
+    r = requests.join(small(table), "strategy").join(seen, "decision_id", "left")
     own = F.array(F.col("confidence"), F.greatest(F.lit(0.3), F.col("confidence") - 0.2))
     own = F.when(F.col("seen").isNull(), F.array_append(own, F.lit(0.4))).otherwise(own)
     own = F.when(F.col("strategy") == "first_principles", F.array_append(own, F.lit(0.6))).otherwise(own)
@@ -59,12 +70,12 @@ def assumptions(requests: DataFrame, table: DataFrame, evidence: DataFrame) -> D
 def tradeoffs(requests: DataFrame, table: DataFrame, options: DataFrame) -> DataFrame:
     """decision_id, dimension, winner: dimension i is won by option i modulo their number."""
     n = options.groupBy("decision_id").agg(F.count("*").alias("n"))
-    r = requests.join(F.broadcast(table), "strategy").join(n, "decision_id")
+    r = requests.join(small(table), "strategy").join(n, "decision_id")
     return r.select("decision_id", "n", F.posexplode("dimensions").alias("i", "dimension")).select("decision_id", "dimension", (F.col("i") % F.col("n") + 1).cast("int").alias("winner"))
 
 
 def risks(options: DataFrame, table: DataFrame) -> DataFrame:
-    return options.join(F.broadcast(table.select("strategy", "severity")), "strategy").select("decision_id", "option", F.lit(LIKELIHOOD).alias("likelihood"), "severity", F.concat(F.lit("Unforeseen factors may reduce effectiveness of '"), "title", F.lit("'.")).alias("description"))
+    return options.join(small(table.select("strategy", "severity")), "strategy").select("decision_id", "option", F.lit(LIKELIHOOD).alias("likelihood"), "severity", _said(RISK, title=F.col("title")).alias("description"))
 
 
 def relevance(evidence: DataFrame) -> DataFrame:
@@ -77,7 +88,7 @@ def score_options(requests: DataFrame, options: DataFrame, table: DataFrame, evi
     wins = tradeoffs(requests, table, options).groupBy("decision_id", F.col("winner").alias("option")).agg(F.count("*").alias("wins"))
     titles = options.groupBy("decision_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("option", "title"))), lambda x: x.title), " ").alias("titles"))
     keywords = titles.select("decision_id", tx.extract_keywords(F.col("titles")).alias("kw"))
-    o = options.join(F.broadcast(table.select("strategy", "severity", F.size("dimensions").alias("n_dim"))), "strategy").join(keywords, "decision_id").join(wins, ["decision_id", "option"], "left").join(relevance(evidence), "decision_id", "left")
+    o = options.join(small(table.select("strategy", "severity", F.size("dimensions").alias("n_dim"))), "strategy").join(keywords, "decision_id").join(wins, ["decision_id", "option"], "left").join(relevance(evidence), "decision_id", "left")
     o = o.na.fill(0, ["wins", "n_evidence"]).na.fill(0.0, ["mean_relevance"])
     text = F.lower(F.concat_ws(" ", "title", "description"))
     overlap = F.size(F.filter("kw", lambda k: F.contains(text, k)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
-from .retrieval import KeywordIndex, index_of, postings_of
+from ..sources.tables import small
+from .retrieval import KeywordIndex, apply_filters, build_keyword_index, index_of, postings_of  # noqa: F401
 
 
 def latest_by_key(log: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -19,6 +20,23 @@ def latest_by_key(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def running_sum(df: DataFrame, part: list[str], run: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the running sum of value in each part, by order.
+
+    run, a number that only grows with the order, cuts a part into runs: their totals are summed up first, so a task sorts one
+    run and never a whole part.
+    """
+    rows = df.withColumns({"_run": run, "_v": value})
+    totals = rows.groupBy(*part, "_run").agg(F.sum("_v").alias("_total"))
+    before = totals.withColumn("_before", F.sum("_total").over(W.partitionBy(*part).orderBy("_run")) - F.col("_total")).drop("_total")
+    mine = [f"_{i}" for i in range(len(part) + 1)]
+    keys = [*part, "_run"]
+    before = before.withColumnsRenamed(dict(zip(keys, mine, strict=True)))
+    joined = rows.join(before, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, mine, strict=True)])
+    inside = F.sum("_v").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return joined.withColumn(name, F.col("_before") + inside).drop("_run", "_v", "_before", *mine)
+
+
 def stale_ids(actual: DataFrame, expected: DataFrame, key: str = "chunk_id") -> DataFrame:
     return actual.select(key).distinct().join(expected.select(key).distinct(), key, "left_anti")
 
@@ -27,6 +45,8 @@ def missing_ids(actual: DataFrame, expected: DataFrame, key: str = "chunk_id") -
     return stale_ids(expected, actual, key)
 
 
+UPLOAD_RUN = 10_000
+
 # --- Imports
 
 
@@ -70,41 +90,29 @@ def build_documents(extracted: DataFrame, intake: DataFrame) -> DataFrame:
     )
 
 
-# --- Filters
-
-_TESTS = {
-    "eq": lambda c, v: c == v,
-    "in": lambda c, v: c.isin(*v),
-    "contains": lambda c, v: F.array_contains(c, v),
-    "contains_any": lambda c, v: F.arrays_overlap(c, F.array(*map(F.lit, v))),
-    "prefix": lambda c, v: F.startswith(c, F.lit(v)),
-    "gte": lambda c, v: c >= v,
-    "lte": lambda c, v: c <= v,
-    "range": lambda c, v: c.between(*v),
-}
-
-
-def apply_filters(chunks: DataFrame, spec: list[tuple[str, str, object]]) -> DataFrame:
-    """Rows that meet all of (field, operator, value)."""
-    for field, op, value in spec:
-        if op not in _TESTS:
-            raise ValueError(f"unknown operator {op}")
-        chunks = chunks.filter(_TESTS[op](F.col(field), value))
-    return chunks
-
-
 # --- Incremental index
 
 
-def diff_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """chunk_id, doc_id and status added, changed, removed or unchanged of child chunks; documents that were not ingested again are left out first."""
-    touched = new.select("doc_id").union(old.select("doc_id")).distinct()
-    child = lambda d, p: d.filter("chunk_level = 'child'").join(touched, "doc_id", "left_semi").select("chunk_id", F.col("doc_id").alias(f"{p}_doc"), F.col("content_hash").alias(f"{p}_hash"))
+def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, content_hash and status added, changed, removed or unchanged of the child chunks of two whole indexes."""
+    child = lambda d, p: d.filter("chunk_level = 'child'").select("chunk_id", F.col("doc_id").alias(f"{p}_doc"), F.col("content_hash").alias(f"{p}_hash"))
     both = child(old, "old").join(child(new, "new"), "chunk_id", "full_outer")
     status = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") != F.col("new_hash"), "changed").otherwise("unchanged")
     return both.select("chunk_id", F.coalesce("new_doc", "old_doc").alias("doc_id"), F.coalesce("new_hash", "old_hash").alias("content_hash"), status.alias("status"))
 
 
+def diff_chunks(old: DataFrame, new: DataFrame, ingested: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """diff_snapshots for a batch: only documents of the batch, or deleted (doc_id) ones, are compared; all others are left alone.
+
+    ingested (doc_id) names the documents of the batch; by default those with chunks in new. One that is named and has no chunks
+    left loses all it had.
+    """
+    touched = (new if ingested is None else ingested).select("doc_id")
+    if deleted is not None:
+        touched = touched.union(deleted.select("doc_id"))
+    return diff_snapshots(old.join(touched.distinct(), "doc_id", "left_semi"), new)
+
+
 def cache_key(provider: str, model: str, dims: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{provider}:{model}:{dims}:"), F.col("content_hash")), 256)
 
@@ -118,9 +126,13 @@ def plan_embeddings(chunks: DataFrame, cache: DataFrame, provider: str, model: s
 
 
 def merge_embeddings(diff: DataFrame, old: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Vectors (chunk_id, vector, cache_hit): unchanged chunks keep the old one, the rest get a fresh one, removed ones go."""
-    kept = diff.filter("status = 'unchanged'").select("chunk_id").join(old.select("chunk_id", "vector"), "chunk_id").withColumn("cache_hit", F.lit(True))
-    new = diff.filter("status IN ('added', 'changed')").select("chunk_id").join(fresh.select("chunk_id", "vector"), "chunk_id").withColumn("cache_hit", F.lit(False))
+    """Vectors (chunk_id, vector, cache_hit): added and changed chunks get a fresh one, removed ones go, all others keep theirs.
+
+    Chunks of documents that the diff does not speak of keep their vector too.
+    """
+    moved = diff.filter("status <> 'unchanged'").select("chunk_id", "status")
+    kept = old.select("chunk_id", "vector").join(moved, "chunk_id", "left_anti").withColumn("cache_hit", F.lit(True))
+    new = moved.filter("status IN ('added', 'changed')").select("chunk_id").join(fresh.select("chunk_id", "vector"), "chunk_id").withColumn("cache_hit", F.lit(False))
     return kept.unionByName(new)
 
 
@@ -131,6 +143,13 @@ def upsert_index(index: KeywordIndex, diff: DataFrame, new_chunks: DataFrame) ->
     return index_of(index.postings.join(gone, "chunk_id", "left_anti").unionByName(postings_of(added)))
 
 
+def reindex(sources: DataFrame, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> dict[str, DataFrame | KeywordIndex]:
+    """Full rebuild from chunks: the keyword index, the vectors of the chunks there are (stale ones go), and the manifest."""
+    kids = chunks.filter("chunk_level = 'child'")
+    vectors = embeddings.join(kids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return {"keyword": build_keyword_index(kids), "vectors": vectors, "manifest": build_manifest(sources, documents, chunks, vectors)}
+
+
 def purge(tables: dict[str, DataFrame], registry: DataFrame, source_ids: DataFrame, doc_ids: DataFrame) -> dict[str, DataFrame]:
     """The tables without the rows of the documents; the sources get a tombstone line in the registry log (source_id, status, seq)."""
     kept = {k: t.join(doc_ids, "doc_id", "left_anti") for k, t in tables.items()}
@@ -168,7 +187,7 @@ def _issues(rows: DataFrame, severity: str, code: str, message: Column, resource
 
 def validate_index(registry: DataFrame, raw: DataFrame, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, vector_ids: DataFrame, keyword_ids: DataFrame, manifest: DataFrame, cache: DataFrame) -> DataFrame:
     """Issues found by anti-joins between registry (source_id, doc_id, status), raw (source_id), documents (doc_id),
-    chunks, embeddings (chunk_id), the ids of both indexes, the manifest and the cache (content_hash)."""
+    chunks, embeddings (chunk_id), the ids of both indexes, the manifest and the cache (content_hash, or cache_key; see key_of_cache)."""
     text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     live = registry.filter("status <> 'tombstoned'")
     kids = chunks.filter("chunk_level = 'child'").select("chunk_id", "doc_id", "content_hash")
@@ -231,6 +250,6 @@ def admit_uploads(files: DataFrame, max_file: int, max_total: int, max_files: in
         .when(~suffix.isin(*supported), "unsupported type").when(F.col("size") == 0, "empty file").when(F.col("size") > max_file, "file too large")
     )
     rows = files.withColumn("reason", reason)
-    running = F.sum(F.when(F.col("reason").isNull(), F.col("size")).otherwise(0)).over(W.partitionBy("batch_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("over", running > max_total)
+    rows = running_sum(rows, ["batch_id"], F.floor(F.col("pos") / UPLOAD_RUN), ["pos"], F.when(F.col("reason").isNull(), F.col("size")).otherwise(0), "running")
+    rows = rows.withColumn("over", F.col("running") > max_total)
     return rows.select("batch_id", "pos", "name", F.when(F.col("over"), "stopped").when(F.col("reason").isNotNull(), "rejected").otherwise("accepted").alias("verdict"), F.when(F.col("over"), F.lit("total limit")).otherwise(F.col("reason")).alias("reason"))

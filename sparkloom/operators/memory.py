@@ -83,6 +83,7 @@ def expire_working(mem: DataFrame, as_of: Column) -> DataFrame:
 def promotion_results(mem: DataFrame, requests: DataFrame) -> DataFrame:
     """Each request (source_memory_id, target_type, policy, approved, ...) with its error, null where it may go ahead, and the source's columns."""
     found = requests.join(mem, requests.source_memory_id == mem.memory_id, "left")
+    # The error texts are results.
     target, policy, approved = F.col("target_type"), F.col("policy"), F.coalesce("approved", F.lit(False))
     error = (
         F.when(F.col("memory_id").isNull(), F.concat(F.lit("Memory not found: "), F.col("source_memory_id")))
@@ -121,22 +122,39 @@ def promotion_recommendations(mem: DataFrame, as_of: Column, least: float = 0.6)
     return scored.select("memory_id", "title", F.round("importance", 2).alias("importance"), F.lit("High importance episodic memory").alias("reason")).orderBy(F.desc("importance"), "memory_id")
 
 
-def detect_duplicates(mem: DataFrame) -> DataFrame:
-    """key, n, memory_ids of active episodic and semantic rows with the same first 500 characters of text."""
+def _text_keys(mem: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("summary", "abstraction", "title", "concept")])
-    keyed = mem.filter(F.expr(ACTIVE) & F.col("memory_type").isin("episodic", "semantic")).select("memory_id", F.substring(F.sha2(F.substring(text, 1, 500), 256), 1, 16).alias("key"))
-    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("memory_id")).alias("memory_ids")).filter("n > 1")
+    return mem.filter(F.expr(ACTIVE) & F.col("memory_type").isin("episodic", "semantic")).select("memory_id", F.substring(F.sha2(F.substring(text, 1, 500), 256), 1, 16).alias("key"))
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows of the groups, with the groups' columns; group tables are small beside the rows, a hot group is split by adaptive execution."""
+    return rows.join(groups.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key")).drop("_key")
+
+
+def detect_duplicates(mem: DataFrame) -> DataFrame:
+    """key, n, first (smallest id) of the groups of active episodic and semantic rows with the same first 500 characters of text."""
+    return _text_keys(mem).groupBy("key").agg(F.count("*").alias("n"), F.min("memory_id").alias("first")).filter("n > 1")
 
 
 def duplicate_members(mem: DataFrame) -> DataFrame:
-    """The exploded form for groups too large for a row: key, memory_id."""
-    return detect_duplicates(mem).select("key", F.explode("memory_ids").alias("memory_id"))
+    """A row a member of a duplicate group: key, memory_id, n, first."""
+    return _of_groups(_text_keys(mem), detect_duplicates(mem), "key")
 
 
-def cluster_semantic(mem: DataFrame) -> DataFrame:
+def _clustered(mem: DataFrame) -> DataFrame:
     first = F.lower(F.element_at(F.split(F.trim(F.regexp_replace("concept", r"\s+", " ")), " "), 1))
-    cluster = F.coalesce(F.nullif(first, F.lit("")), F.lit("other"))
-    return mem.filter(F.expr(ACTIVE) & _is("semantic")).groupBy(cluster.alias("cluster")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("memory_id")).alias("memory_ids"))
+    return mem.filter(F.expr(ACTIVE) & _is("semantic")).select("memory_id", F.coalesce(F.nullif(first, F.lit("")), F.lit("other")).alias("cluster"))
+
+
+def cluster_semantic(mem: DataFrame) -> DataFrame:
+    """cluster, n, first of the active semantic rows by the first word of their concept."""
+    return _clustered(mem).groupBy("cluster").agg(F.count("*").alias("n"), F.min("memory_id").alias("first"))
+
+
+def cluster_members(mem: DataFrame) -> DataFrame:
+    """A row a member of a cluster: cluster, memory_id, n, first."""
+    return _of_groups(_clustered(mem), cluster_semantic(mem), "cluster")
 
 
 def graph_edges(mem: DataFrame) -> DataFrame:
@@ -146,18 +164,34 @@ def graph_edges(mem: DataFrame) -> DataFrame:
 
 
 def relationship_graph(mem: DataFrame) -> DataFrame:
-    return graph_edges(mem).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+    """The adjacency lists as rows: src, dst, degree (of src); a hub's list is never gathered."""
+    edges = graph_edges(mem)
+    return _of_groups(edges, edges.groupBy("src").agg(F.count("*").alias("degree")), "src")
+
+
+def _concepts(mem: DataFrame) -> DataFrame:
+    """Active semantic rows of concepts (any case) with more than one abstraction."""
+    rows = mem.filter(F.expr(ACTIVE) & _is("semantic")).select(F.lower("concept").alias("c"), "concept", "abstraction", "memory_id", "created_at")
+    torn = rows.groupBy("c").agg(F.min("abstraction").alias("lo"), F.max("abstraction").alias("hi")).filter("lo <> hi").select(F.col("c").alias("torn"))
+    return rows.join(torn, F.col("c") == F.col("torn"), "left_semi")
 
 
 def detect_contradictions(mem: DataFrame) -> DataFrame:
+    """concept (lower case), abstraction, n, newest (memory_id), sides: the sides of each concept that has more than one.
+
+    All members of a side contradict all of every other side; contradicting_pairs writes the pairs out.
+    """
+    sides = _concepts(mem).filter("abstraction IS NOT NULL").groupBy("c", "abstraction").agg(F.count("*").alias("n"), F.min_by("memory_id", F.struct(-F.unix_micros(F.col("created_at").cast("timestamp")), "memory_id")).alias("newest"))
+    return _of_groups(sides, sides.groupBy("c").agg(F.count("*").alias("sides")), "c").withColumnRenamed("c", "concept")
+
+
+def contradicting_pairs(mem: DataFrame) -> DataFrame:
     """Pairs of active semantic rows of one concept (any case) with different abstractions, the newer first.
 
-    Concepts with a single abstraction leave before the join.
+    The result itself grows with the square of a concept's rows; detect_contradictions says the same in groups.
     """
-    rows = mem.filter(F.expr(ACTIVE) & _is("semantic")).select(F.lower("concept").alias("c"), "concept", "abstraction", "memory_id", "created_at")
-    torn = rows.groupBy("c").agg(F.min("abstraction").alias("lo"), F.max("abstraction").alias("hi")).filter("lo <> hi").select("c")
-    a = rows.join(torn, "c")
-    b = rows.select("c", F.col("abstraction").alias("abstraction_b"), F.col("memory_id").alias("memory_b"), F.col("created_at").alias("at_b"))
+    a = _concepts(mem)
+    b = a.select("c", F.col("abstraction").alias("abstraction_b"), F.col("memory_id").alias("memory_b"), F.col("created_at").alias("at_b"))
     newer = (F.col("created_at") > F.col("at_b")) | ((F.col("created_at") == F.col("at_b")) & (F.col("memory_id") < F.col("memory_b")))
     return a.join(b, "c").filter(newer & (F.col("abstraction") != F.col("abstraction_b"))).select("concept", F.col("memory_id").alias("memory_a"), "memory_b")
 
@@ -189,41 +223,45 @@ def procedure_versions(mem: DataFrame) -> DataFrame:
     return p.join(before, F.col("previous_version_id") == F.col("pid"), "left").select("memory_id", "procedure_name", "version", "previous_version", newest.alias("latest"))
 
 
-def _stratum(rows: DataFrame, columns: tuple[str, ...], k: int) -> DataFrame:
-    """The newest k rows of each combination of the nullable key columns: enough for any task."""
-    return top_k(rows, list(columns) or ["memory_type"], [F.desc("updated_at"), F.col("memory_id")], k).drop("rank")
+def _newest(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The newest k rows of each combination of the keys (null is a value), or of all."""
+    order = [F.desc("updated_at"), F.col("memory_id")]
+    return top_k(rows, keys, order, k).drop("rank") if keys else rows.orderBy(*order).limit(k)
+
+
+def _for_tasks(tasks: DataFrame, rows: DataFrame, keys: dict[str, str], k: int) -> DataFrame:
+    """task_id and memory columns: for each task its newest k rows and maybe more.
+
+    keys maps a memory's column to the task's; a memory without a value fits all tasks, and a task without one is not bound by
+    it. For each set of keys that tasks may be bound by, memories are cut to the newest k of each value first; a task then looks
+    up its own value and null. Only the k newest of all are broadcast, to tasks bound by nothing.
+    """
+    parts = []
+    for mask in range(1 << len(keys)):
+        bound = [m for i, m in enumerate(keys) if mask >> i & 1]
+        mine = tasks
+        for m, t in keys.items():
+            mine = mine.filter(F.col(t).isNotNull() if m in bound else F.col(t).isNull())
+        for m in bound:
+            mine = mine.withColumn(f"_{m}", F.explode(F.array(F.col(keys[m]), F.lit(None).cast("string"))))
+        part = _newest(rows, bound, k)
+        on = reduce(lambda x, y: x & y, [F.col(f"_{m}").eqNullSafe(F.col(m)) for m in bound], F.lit(True))
+        found = mine.join(part, on) if bound else mine.crossJoin(F.broadcast(part))
+        parts.append(found.select("task_id", "memory_id", "memory_type", "updated_at"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def retrieve_for_task(tasks: DataFrame, mem: DataFrame, limit: int = MAX_ITEMS) -> DataFrame:
     """For each task (task_id, agent_id, workflow_id) the newest memories of each type, with their rank.
 
     Working rows match the task; episodic rows match agent and workflow, procedural ones the workflow, a row without
-    one matching all; semantic rows match all. Each combination of keys is cut to its newest rows before the
-    join, so a popular agent costs no more than a rare one.
+    one matching all; semantic rows match all. A popular agent costs no more than a rare one.
     """
+    tasks = tasks.select("task_id", "agent_id", "workflow_id")
     active = mem.filter(ACTIVE).select("memory_id", "memory_type", F.col("task_id").alias("m_task"), F.col("agent_id").alias("m_agent"), F.col("workflow_id").alias("m_wf"), "updated_at")
-
-    def joined(kind: str, keys: dict[str, str]) -> DataFrame:
-        rows = _stratum(active.filter(_is(kind)), tuple(keys), limit)
-        parts = []
-        for mask in range(1 << len(keys)):
-            nulls = [c for i, c in enumerate(keys) if mask >> i & 1]
-            bound = [c for c in keys if c not in nulls]
-            part = reduce(lambda d, c: d.filter(F.col(c).isNull()), nulls, reduce(lambda d, c: d.filter(F.col(c).isNotNull()), bound, rows))
-            on = reduce(lambda x, y: x & y, [F.col(c) == F.col(keys[c]) for c in bound], F.lit(True))
-            for side in [tasks.select("task_id", "agent_id", "workflow_id")]:
-                free = [c for c in bound if c != "m_task"]
-                # A task without an agent or workflow is not bound by it.
-                loose = reduce(lambda x, y: x & y, [(F.col(c) == F.col(keys[c])) | F.col(keys[c]).isNull() for c in free], F.lit(True)) if free else F.lit(True)
-                exact = side.filter(reduce(lambda x, y: x & y, [F.col(keys[c]).isNotNull() for c in free], F.lit(True)))
-                parts.append(exact.join(part, on) if bound else exact.crossJoin(F.broadcast(part.limit(limit) if not keys else part)))
-                if free:
-                    rest = side.filter(reduce(lambda x, y: x | y, [F.col(keys[c]).isNull() for c in free]))
-                    parts.append(rest.crossJoin(F.broadcast(part)).filter(loose))
-        return reduce(DataFrame.unionByName, [p.select("task_id", "memory_id", "memory_type", "updated_at") for p in parts])
-
-    working = tasks.select("task_id").join(_stratum(active.filter(_is("working")), ("m_task",), limit), F.col("task_id") == F.col("m_task")).select("task_id", "memory_id", "memory_type", "updated_at")
-    found = working.unionByName(joined("episodic", {"m_agent": "agent_id", "m_wf": "workflow_id"})).unionByName(joined("semantic", {})).unionByName(joined("procedural", {"m_wf": "workflow_id"}))
+    of = lambda kind: active.filter(_is(kind))
+    working = tasks.join(_newest(of("working").filter("m_task IS NOT NULL"), ["m_task"], limit), F.col("task_id") == F.col("m_task")).select("task_id", "memory_id", "memory_type", "updated_at")
+    found = working.unionByName(_for_tasks(tasks, of("episodic"), {"m_agent": "agent_id", "m_wf": "workflow_id"}, limit)).unionByName(_for_tasks(tasks, of("semantic"), {}, limit)).unionByName(_for_tasks(tasks, of("procedural"), {"m_wf": "workflow_id"}, limit))
     return top_k(found, ["task_id", "memory_type"], [F.desc("updated_at"), F.col("memory_id")], limit).select("task_id", "memory_type", "rank", "memory_id")
 
 

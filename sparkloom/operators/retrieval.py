@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..sources.tables import small
 
 K1, B, EPSILON, LEG, FUSION, PLACES = 1.5, 0.75, 0.25, 20, 60, 9
-EXCERPT, BUDGET, TOP, PER_DOC, QUERY_BLOCK = 240, 4000, 8, 2, 4096
+EXCERPT, BUDGET, TOP, PER_DOC, QUERY_BLOCK, ROW_BLOCK = 240, 4000, 8, 2, 4096, 16384
 
 
 def top_k(df: DataFrame, part: list[str], order: list[Column], k: int) -> DataFrame:
@@ -24,24 +28,64 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+# --- Filters
+
+_TESTS = {
+    "eq": lambda c, v: c == v,
+    "in": lambda c, v: c.isin(*v),
+    "contains": lambda c, v: F.array_contains(c, v),
+    "contains_any": lambda c, v: F.arrays_overlap(c, F.array(*map(F.lit, v))),
+    "prefix": lambda c, v: F.startswith(c, F.lit(v)),
+    "gte": lambda c, v: c >= v,
+    "lte": lambda c, v: c <= v,
+    "range": lambda c, v: c.between(*v),
+}
+
+
+def apply_filters(chunks: DataFrame, spec: list[tuple[str, str, object]]) -> DataFrame:
+    """Rows that meet all of (field, operator, value)."""
+    for field, op, value in spec:
+        if op not in _TESTS:
+            raise ValueError(f"unknown operator {op}")
+        chunks = chunks.filter(_TESTS[op](F.col(field), value))
+    return chunks
+
+
 # --- Keyword leg
 
 
 @dataclass
 class KeywordIndex:
-    postings: DataFrame  # term, chunk_id, doc_id, tf
+    postings: DataFrame  # term, chunk_id, doc_id, tf, dl
     doc_stats: DataFrame  # chunk_id, dl
     term_stats: DataFrame  # term, df, idf
 
 
+POSTINGS = "term string, chunk_id string, doc_id string, tf long, dl long"
+
+
 def postings_of(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, doc_id, tf, dl (the chunk's length): a chunk's tokens are counted inside one Arrow function, nothing is shuffled."""
     text = F.concat_ws(" ", "title", "heading_path", "embed_text")
-    return chunks.select("chunk_id", "doc_id", F.explode(tx.tokenize(text)).alias("term")).groupBy("term", "chunk_id", "doc_id").agg(F.count("*").alias("tf"))
+
+    def run(batches):
+        for b in batches:
+            terms, sizes, tf = [], [], []
+            for tokens in b.column("tokens"):
+                n = Counter(tokens.as_py())
+                terms += n.keys()
+                tf += n.values()
+                sizes.append(len(n))
+            at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column("chunk_id").take(at), b.column("doc_id").take(at), pa.array(tf, pa.int64()), b.column("dl").take(at)], names=["term", "chunk_id", "doc_id", "tf", "dl"])
+
+    tokens = chunks.select("chunk_id", "doc_id", tx.tokenize(text).alias("tokens"))
+    return tokens.select("chunk_id", "doc_id", "tokens", F.size("tokens").cast("long").alias("dl")).mapInArrow(run, POSTINGS)
 
 
 def index_of(postings: DataFrame) -> KeywordIndex:
     """Statistics of postings: document length, document frequency and idf; negative idf becomes a share of the mean."""
-    doc_stats = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    doc_stats = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
     n = doc_stats.agg(F.count("*").alias("n"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -54,13 +98,21 @@ def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
     return index_of(postings_of(chunks))
 
 
-def keyword_search(queries: DataFrame, index: KeywordIndex, k: int = LEG) -> DataFrame:
-    """query_id, chunk_id, doc_id, score, rank: BM25 over the postings of the query terms only; non-positive scores leave after the cut."""
+def keyword_search(queries: DataFrame, index: KeywordIndex, k: int = LEG, only: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, doc_id, score, rank: BM25 over the postings of the query terms only; non-positive scores leave after the cut.
+
+    The weighted query terms are broadcast if they are few, so postings stay where they lie (frequent terms included);
+    more are joined by shuffle, where adaptive execution splits frequent terms. With only, other chunks than those (chunk_id)
+    leave before the cut; the statistics stay those of the whole index.
+    """
     q = queries.select("query_id", F.explode(tx.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     average = index.doc_stats.agg((F.sum("dl").cast("double") / F.count("*")).alias("avgdl"))
-    hit = q.join(index.term_stats.select("term", "idf"), "term").join(index.postings, "term").join(index.doc_stats, "chunk_id").crossJoin(F.broadcast(average))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), PLACES).alias("score"))
+    weighted = q.join(index.term_stats.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    hit = index.postings.join(small(weighted), "term").crossJoin(F.broadcast(average))
+    if only is not None:
+        hit = hit.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = hit.groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum(F.col("w") * share), PLACES).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k).filter("score > 0")
 
 
@@ -71,10 +123,8 @@ EmbedFn = Callable[[list[str]], np.ndarray]
 
 
 def hashing_embedder(texts: list[str]) -> np.ndarray:
-    """Unit vectors of token counts; a token's place comes from its first sign and its length."""
+    """Unit vectors of token counts; a token's place comes from its first sign and its length. A test double: it knows no meaning."""
     out = np.zeros((len(texts), DIMENSIONS))
-    import re
-
     for i, t in enumerate(texts):
         for w in re.findall(r"[^\W]+", t.lower()):
             out[i, (ord(w[0]) + 7 * len(w)) % DIMENSIONS] += 1
@@ -82,7 +132,7 @@ def hashing_embedder(texts: list[str]) -> np.ndarray:
     return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
 
-def embed_chunks(rows: DataFrame, embed_fn: EmbedFn = hashing_embedder, batch: int = 32, dims: int = DIMENSIONS, key: str = "chunk_id", text: str = "embed_text") -> DataFrame:
+def embed_chunks(rows: DataFrame, embed_fn: EmbedFn, batch: int = 32, dims: int = DIMENSIONS, key: str = "chunk_id", text: str = "embed_text") -> DataFrame:
     """key and vector: texts through the caller's function in batches; a vector of another length is an error."""
     kind = dict(rows.dtypes)[key]
 
@@ -99,62 +149,63 @@ def embed_chunks(rows: DataFrame, embed_fn: EmbedFn = hashing_embedder, batch: i
     return rows.select(key, F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, vector array<double>")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """1 - cosine distance of two arrays, in doubles."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def vector_search_sql(queries: DataFrame, vectors: DataFrame, k: int = LEG) -> DataFrame:
-    """The same by built-in functions alone, for small query tables and as a cross-check; queries are broadcast below QUERY_BLOCK rows."""
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries; use vector_search")
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("qv")))).filter(F.size("vector") == F.size("qv"))
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("qv"), F.col("vector")), PLACES).alias("score")).filter("score IS NOT NULL")
+    """The same by built-in functions alone, for small query tables and as a cross-check."""
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = lambda d, i, c: d.select(i, F.transform(c, lambda x: x.cast("double")).alias(c)).withColumn("size", size(F.col(c)))
+    q = unit(queries, "query_id", "vector").select("query_id", F.col("vector").alias("qv"), F.col("size").alias("qs"))
+    pairs = unit(vectors, "chunk_id", "vector").crossJoin(small(q, QUERY_BLOCK)).filter(F.size("vector") == F.size("qv"))
+    dot = F.aggregate(F.zip_with("qv", "vector", lambda p, v: p * v), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("query_id", "chunk_id", F.round(F.try_divide(dot, F.col("qs") * F.col("size")), PLACES).alias("score")).filter("score IS NOT NULL")
     return top_k(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = LEG) -> DataFrame:
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some vectors of one length are not zero, and these at length one."""
+    x = np.array(vectors.tolist(), dtype=np.float64)
+    norm = np.linalg.norm(x, axis=1)
+    return norm > 0, x[norm > 0] / norm[norm > 0, None]
+
+
+def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each query by one matrix product for each vector length."""
+    out = [pd.DataFrame({"query_id": queries["query_id"].iloc[:0], "chunk_id": rows["chunk_id"].iloc[:0], "score": pd.Series(dtype=float)})]
+    length = lambda d: d["vector"].map(lambda v: -1 if v is None else len(v))
+    nq, nr = length(queries), length(rows)
+    for n in sorted(set(nq) & set(nr) - {-1, 0}):
+        q, r = queries[nq == n], rows[nr == n]
+        (keep_q, x), (keep_r, y) = _unit(q["vector"]), _unit(r["vector"])
+        ids, chunks = q["query_id"].to_numpy()[keep_q], r["chunk_id"].to_numpy()[keep_r]
+        if len(ids) and len(chunks):
+            order = np.argsort(chunks, kind="stable")
+            score = np.round(x @ y[order].T, PLACES)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": chunks[order][best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()}))
+    return pd.concat(out, ignore_index=True)
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = LEG, only: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine top k of vectors (chunk_id, vector) for queries (query_id, vector).
 
-    Queries go out in blocks of at most QUERY_BLOCK; each Arrow batch of vectors is scored by one matrix product
-    and cut to its k best a query before anything is shuffled.
+    Up to QUERY_BLOCK queries are broadcast, and each Arrow batch of vectors is cut to its k best a query before anything is
+    shuffled. More are dealt into blocks that meet blocks of vectors in one job, each meeting a task of its own.
+    With only, other chunks than those (chunk_id) take no part.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    spark = vectors.sparkSession
-    q_kind, c_kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    parts = []
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").toPandas()
-        if not len(block):
-            continue
-        ids, q = block["query_id"].to_numpy(), np.array(block["vector"].tolist(), dtype=np.float64)
-        size = np.linalg.norm(q, axis=1)
-        keep = size > 0
-        shared = spark.sparkContext.broadcast((ids[keep], q[keep] / size[keep, None]))
-
-        def run(it, shared=shared):
-            ids, q = shared.value
-            for pdf in it:
-                pdf = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if not len(pdf) or not len(ids):
-                    continue
-                x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                pdf, x, norm = pdf[norm > 0], x[norm > 0], norm[norm > 0]
-                if not len(pdf):
-                    continue
-                score = np.round(q @ (x / norm[:, None]).T, PLACES)
-                chunk = pdf["chunk_id"].to_numpy()
-                order = np.argsort(chunk, kind="stable")
-                best = np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]
-                rows = order[best]
-                yield pd.DataFrame({"query_id": np.repeat(ids, rows.shape[1]), "chunk_id": chunk[rows].ravel(), "score": np.take_along_axis(score, rows, 1).ravel()})
-
-        parts.append(vectors.select("chunk_id", "vector").mapInPandas(run, f"query_id {q_kind}, chunk_id {c_kind}, score double"))
-    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], f"query_id {q_kind}, chunk_id {c_kind}, score double")
-    return top_k(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    if only is not None:
+        vectors = vectors.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    q, v = queries.select("query_id", "vector"), vectors.select("chunk_id", "vector")
+    found = f"query_id {dict(q.dtypes)['query_id']}, chunk_id {dict(v.dtypes)['chunk_id']}, score double"
+    n = q.count()
+    if n <= QUERY_BLOCK:
+        shared = v.sparkSession.sparkContext.broadcast(q.toPandas())
+        hits = v.mapInPandas(lambda it: (_best(shared.value, rows, k) for rows in it), found)
+    else:
+        blocks, rows = -(-n // QUERY_BLOCK), max(1, -(-v.count() // ROW_BLOCK))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = q.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), each(rows).alias("rb"))
+        b = v.select("chunk_id", "vector", each(blocks).alias("qb"), F.pmod(F.xxhash64("chunk_id"), F.lit(rows)).cast("int").alias("rb"))
+        hits = a.groupBy("qb", "rb").cogroup(b.groupBy("qb", "rb")).applyInPandas(lambda x, y: _best(x, y, k), found)
+    return top_k(hits, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
 # --- Fusion and bundles
@@ -167,13 +218,13 @@ def rrf(legs: dict[str, DataFrame], k: int = FUSION) -> DataFrame:
     return fused.withColumn("scores", F.map_concat("scores", F.create_map(F.lit("fusion"), F.col("score"))))
 
 
-def hybrid_search(queries: DataFrame, index: KeywordIndex, vectors: DataFrame, query_vectors: DataFrame, mode: str = "hybrid", k: int = 10, leg: int = LEG) -> DataFrame:
-    """query_id, chunk_id, score, rank by keyword, vector or both."""
+def hybrid_search(queries: DataFrame, index: KeywordIndex, vectors: DataFrame, query_vectors: DataFrame, mode: str = "hybrid", k: int = 10, leg: int = LEG, only: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank by keyword, vector or both; of the chunks in only (chunk_id), if given, filtered before any cut."""
     legs = {}
     if mode in ("hybrid", "vector"):
-        legs["vector"] = vector_search(query_vectors, vectors, leg)
+        legs["vector"] = vector_search(query_vectors, vectors, leg, only)
     if mode in ("hybrid", "keyword"):
-        legs["keyword"] = keyword_search(queries, index, leg)
+        legs["keyword"] = keyword_search(queries, index, leg, only)
     if not legs:
         raise ValueError(f"unknown mode {mode}")
     if len(legs) == 1:
@@ -214,10 +265,11 @@ def with_citations(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return hits.join(known, "doc_id", "left").withColumns({"cite_key": F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")), "title": F.coalesce("title", "doc_id"), "excerpt": F.substring("text", 1, EXCERPT)})
 
 
-def retrieve(queries, index, vectors, query_vectors, chunks, documents, mode: str = "hybrid", k: int = TOP, per_doc: int = PER_DOC, most: int = BUDGET, expand: bool = True) -> DataFrame:
-    """Context bundles: the ranked, capped, expanded, trimmed and cited chunks of each query."""
-    hits = hybrid_search(queries, index, vectors, query_vectors, mode, 3 * k)
-    of = chunks.filter("chunk_level = 'child'").select("chunk_id", "doc_id", "heading_path")
+def retrieve(queries, index, vectors, query_vectors, chunks, documents, mode: str = "hybrid", k: int = TOP, per_doc: int = PER_DOC, most: int = BUDGET, expand: bool = True, filters: list[tuple[str, str, object]] | None = None) -> DataFrame:
+    """Context bundles: the ranked, capped, expanded, trimmed and cited chunks of each query; filters (field, operator, value) choose chunks before the search."""
+    kids = chunks.filter("chunk_level = 'child'")
+    hits = hybrid_search(queries, index, vectors, query_vectors, mode, 3 * k, only=apply_filters(kids, filters) if filters else None)
+    of = kids.select("chunk_id", "doc_id", "heading_path")
     capped = cap_per_doc(hits.join(of, "chunk_id"), per_doc, k)
     return with_citations(trim_to_budget(expand_parents(capped, chunks, expand), most), documents)
 

@@ -8,7 +8,8 @@ from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import indexing as ix
 from ..operators import retrieval as rt
-from ..sources.tables import chats_to_documents, materialized, read_jsonl, scratch, table, write_index, write_jsonl
+from ..sources.tables import chats_to_documents, materialized, read_jsonl, read_postings, scan_files, scratch, spread, table, write_index, write_jsonl
+from ..streaming import jobs as st
 from . import views as v
 from .registry import query
 from .views import with_ctes
@@ -43,14 +44,25 @@ def t2(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.count_words(c).alias("words"), tx.count_headings(c).alias("headings"), F.length(c).alias("chars"))
 
 
-@query("t3_extract_html")
+@query("t3_extract_html", with_ctes("page_texts", "SELECT page_id, title, body, quality FROM page_texts"))
 def t3(spark, sf):
-    return dx.extract_html(table(spark, sf, "pages"))
+    return dx.extract_html(spread(table(spark, sf, "pages").select("page_id", "html")))
 
 
-@query("f7_quality_gate", "SELECT page_id, CASE WHEN length(trim(html)) = 0 THEN 'failed' WHEN length(trim(html)) <= 50 THEN 'degraded' ELSE 'full' END AS quality FROM pages")
+@query("f7_quality_gate", with_ctes("page_texts", "SELECT CAST(page_id AS VARCHAR) AS doc_id, quality, CASE WHEN quality = 'failed' THEN 'EXTRACTION_FAILED' END AS code FROM page_texts"))
 def f7(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.extraction_quality(F.col("html"), F.lit("html")).alias("quality"))
+    good, failed = ix.split_failed(t3(spark, sf).withColumn("doc_id", F.col("page_id").cast("string")))
+    return good.select("doc_id", "quality", F.lit(None).cast("string").alias("code")).unionByName(failed.select("doc_id", F.lit("failed").alias("quality"), "code"))
+
+
+@query("u2_registered_extractor", "SELECT url AS uri, url AS title, replace(html, '<', '[') AS body, CASE WHEN length(trim(html)) = 0 THEN 'failed' ELSE 'full' END AS quality FROM pages")
+def u2(spark, sf):
+    def extract(files):
+        return files.assign(title=files["uri"], body=[bytes(c).decode().replace("<", "[") for c in files["content"]])
+
+    dx.register_extractor("snapshot", extract)
+    files = spread(table(spark, sf, "pages")).select(F.col("url").alias("uri"), F.lit("snapshot").alias("format"), F.encode("html", "UTF-8").alias("content"))
+    return dx.extract_registered(files).filter("format = 'snapshot'").drop("format")
 
 
 _MD = "'---' || chr(10) || 'title: T' || conv_id || chr(10) || 'language: fr' || chr(10) || '---' || chr(10) || text"
@@ -76,10 +88,13 @@ def t6(spark, sf):
     return ix.build_documents(d.select("source_id", "title", "body"), intake).select("doc_id", "source_id", "title", "language", "format", "word_count", "char_count", "source_uri")
 
 
-@query("t7_slugs", r"SELECT doc_id, CASE WHEN h = '' THEN 'section' ELSE h END AS heading_slug, substr(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS slug FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), '-') AS h FROM (SELECT doc_id, substr(text, 1, 90) AS t FROM documents))")
+_SLUG = r"trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), '-')"
+
+
+@query("t7_slugs", with_ctes("docs_old", rf"SELECT doc_id, CASE WHEN {_SLUG} = '' THEN 'section' ELSE {_SLUG} END AS heading_slug, substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS slug FROM docs_old"))
 def t7(spark, sf):
-    t = F.substring("text", 1, 90)
-    return table(spark, sf, "documents").select("doc_id", tx.slugify_heading(t).alias("heading_slug"), tx.slugify(t).alias("slug"))
+    t = F.col("title")
+    return v.docs(spark, sf).select("doc_id", tx.slugify_heading(t).alias("heading_slug"), tx.slugify(t).alias("slug"))
 
 
 _CHAT = "SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text, CAST(count(*) AS INTEGER) AS n_turns FROM conversations GROUP BY conv_id"
@@ -104,17 +119,39 @@ def s5(spark, sf):
     return spark.read.parquet(f"{path}/chunks").groupBy("doc_id", "chunk_level").agg(F.count("*").alias("n"))
 
 
+@query("s1_scan_files", "SELECT coalesce(lang, 'none') AS lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, 'txt' AS format FROM documents GROUP BY ALL")
+def s1(spark, sf):
+    path = scratch(spark, "tree")
+    table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(path)
+    return scan_files(spark, path).groupBy(F.regexp_extract("uri", "lang=([^/]+)", 1).alias("lang"), "format").agg(F.sum("byte_size").alias("bytes"))
+
+
+_INBOX = r"""SELECT item_id, short AS titled, sha256(body) AS body_hash, CAST(len(regexp_extract_all(body, '\S+')) AS INTEGER) AS tokens FROM (SELECT item_id, short, trim(CASE WHEN short AND len(ls) > 1 THEN array_to_string(ls[2:], chr(10) || chr(10)) ELSE whole END, chr(10) || ' ') AS body
+FROM (SELECT *, coalesce(length(ls[1]) < 120, false) AS short FROM (SELECT *, list_filter(string_split(whole, chr(10)), lambda x: trim(x) <> '') AS ls FROM (SELECT item_id, trim(text, chr(10) || ' ') AS whole FROM benchmark))))"""
+
+
+@query("x1_inbox_stream", _INBOX)
+def x1(spark, sf):
+    path = scratch(spark, "inbox")
+    table(spark, sf, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(f"{path}/in")
+    for _ in range(2):  # the second run finds every file unchanged
+        st.stream_inbox(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    docs, chunks, _ = st.read_inbox(spark, f"{path}/out")
+    parents = chunks.filter("chunk_level = 'parent'").groupBy("doc_id").agg(F.sum("token_count").cast("int").alias("tokens"))
+    return docs.join(parents, "doc_id").select(F.regexp_extract("source_id", r"item_id=(\d+)", 1).cast("long").alias("item_id"), (~F.col("title").startswith("part-")).alias("titled"), F.sha2("body", 256).alias("body_hash"), "tokens")
+
+
 def chat_docs(spark, sf):
     c = s4(spark, sf)
     return c.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("conv_id").cast("string").alias("source_id"), F.lit("chat").alias("title"), tx.normalize_body(F.col("text")).alias("body"))
 
 
-@query("t8_outline")
+@query("t8_outline", with_ctes("outline", "SELECT CAST(conv_id AS VARCHAR) AS doc_id, section_index, role AS heading_path, role AS section_title, CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset FROM outline"))
 def t8(spark, sf):
     return dx.parse_outline(chat_docs(spark, sf)).drop("section")
 
 
-@query("t10_chat_chunks")
+@query("t10_chat_chunks", with_ctes("chat_chunks", f"SELECT chunk_id, doc_id, doc_id AS source_id, chunk_level, parent_chunk_id, CAST(chunk_index AS INTEGER) AS chunk_index, heading_path, 'chat' AS title, CAST(token_count AS INTEGER) AS token_count, CAST(length(body_text) AS INTEGER) AS char_count, 'sha256:' || sha256({_S.format('embed_text')}) AS content_hash, CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset FROM chat_chunks"))
 def t10b(spark, sf):
     return dx.chunk_documents(chat_docs(spark, sf)).drop("embed_text", "body_text")
 
@@ -187,7 +224,7 @@ _DIFF = "SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(b.doc_id,
 
 
 def diff(spark, sf):
-    return ix.diff_chunks(v.chunks(spark, sf), v.chunks(spark, sf, "new"))
+    return ix.diff_snapshots(v.chunks(spark, sf), v.chunks(spark, sf, "new"))
 
 
 @query("j1_chunk_diff", with_ctes("chunks_old chunks_new", _DIFF))
@@ -195,6 +232,22 @@ def j1(spark, sf):
     return diff(spark, sf).select("chunk_id", "doc_id", "status")
 
 
+def batch_diff(spark, sf):
+    """The diff of a batch: every third new document is ingested, and those gone are named as deleted."""
+    new = v.docs(spark, sf, "new").filter("n % 3 = 0")
+    deleted = v.docs(spark, sf).filter("n % 17 = 0").select("doc_id")
+    return ix.diff_chunks(v.chunks(spark, sf), dx.chunk_documents(new), new.select("doc_id"), deleted)
+
+
+_TOUCHED = "SELECT doc_id FROM docs_new WHERE n % 3 = 0 UNION SELECT doc_id FROM docs_old WHERE n % 17 = 0"
+_BATCH = f"SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN a.chunk_id IS NULL THEN 'added' WHEN b.chunk_id IS NULL THEN 'removed' WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'unchanged' END AS status FROM (SELECT * FROM chunks_old WHERE chunk_level = 'child' AND doc_id IN ({_TOUCHED})) a FULL JOIN (SELECT * FROM chunks_new WHERE chunk_level = 'child' AND doc_id IN (SELECT doc_id FROM docs_new WHERE n % 3 = 0)) b ON a.chunk_id = b.chunk_id"
+
+
+@query("j1_batch_diff", with_ctes("chunks_old chunks_new", _BATCH))
+def j1b(spark, sf):
+    return batch_diff(spark, sf).select("chunk_id", "doc_id", "status")
+
+
 _KEY = "sha256('hash:m1:32:' || content_hash)"
 
 
@@ -218,6 +271,12 @@ def p4(spark, sf):
     return ix.upsert_index(v.index(spark, sf), diff(spark, sf), v.children(spark, sf, "new")).term_stats.select("term", "df")
 
 
+@query("p4_batch_upsert", with_ctes("chunks_old chunks_new", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest({_CHUNK_TOKENS}) AS term FROM (SELECT chunk_id, title, embed_text FROM chunks_old WHERE chunk_level = 'child' AND doc_id NOT IN ({_TOUCHED}) UNION ALL SELECT chunk_id, title, embed_text FROM chunks_new WHERE chunk_level = 'child' AND doc_id IN (SELECT doc_id FROM docs_new WHERE n % 3 = 0))) GROUP BY term"))
+def p4b(spark, sf):
+    new = dx.chunk_documents(v.docs(spark, sf, "new").filter("n % 3 = 0")).filter("chunk_level = 'child'")
+    return ix.upsert_index(v.index(spark, sf), batch_diff(spark, sf), new).term_stats.select("term", "df")
+
+
 @query("w1_latest_record", "SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS last_id FROM events GROUP BY user_id")
 def w1(spark, sf):
     return ix.latest_by_key(table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_type", F.col("event_id").alias("last_id"))
@@ -242,13 +301,13 @@ def r2(spark, sf):
 
 
 _DOT = "list_dot_product(CAST({0}.embedding AS DOUBLE[]), CAST({1}.embedding AS DOUBLE[]))"
-_COS = f"SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({_DOT.format('q', 'e')} / (sqrt({_DOT.format('q', 'q')}) * sqrt({_DOT.format('e', 'e')})), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 25 = 0"
+_COS = f"SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({_DOT.format('q', 'e')} / (sqrt({_DOT.format('q', 'q')}) * sqrt({_DOT.format('e', 'e')})), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0"
 _VEC = f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ({_COS})) WHERE rank <= 20"
 
 
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
 @query("r3_vector_search", _VEC)
@@ -282,7 +341,7 @@ v.CTE["bundle"] = (("budget",), "SELECT b.query_id, CAST(b.rank AS INTEGER) AS r
 
 @query("p5_embed_chunks", with_ctes("cvec", "SELECT chunk_id, array_to_string(list_transform(vec, lambda x: CAST(CAST(round(x / sqrt(list_dot_product(vec, vec)) * 1000000) AS BIGINT) AS VARCHAR)), ',') AS vector FROM cvec"))
 def p5(spark, sf):
-    e = rt.embed_chunks(v.children(spark, sf))
+    e = rt.embed_chunks(v.children(spark, sf), rt.hashing_embedder)
     return e.select("chunk_id", F.array_join(F.transform("vector", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",").alias("vector"))
 
 
@@ -295,31 +354,61 @@ def p6(spark, sf):
 
 
 def _search(spark, sf):
-    chunks = v.stored_chunks(spark, sf)
+    docs = materialized(v.docs(spark, sf), "docs")
+    chunks = materialized(dx.chunk_documents(docs), "chunks")
     q = v.search_queries(spark, sf)
-    return q, v.index(spark, sf, of=chunks), rt.embed_chunks(chunks.filter("chunk_level = 'child'")), rt.embed_chunks(q, key="query_id", text="query"), chunks
+    vectors = rt.embed_chunks(chunks.filter("chunk_level = 'child'"), rt.hashing_embedder)
+    return q, v.index(spark, sf, of=chunks), vectors, rt.embed_chunks(q, rt.hashing_embedder, key="query_id", text="query"), chunks, docs
 
 
 @query("r4_fusion", with_ctes("fused", "SELECT query_id, chunk_id, score FROM fused"))
 def r4(spark, sf):
-    q, index, vec, qvec, _ = _search(spark, sf)
+    q, index, vec, qvec, *_ = _search(spark, sf)
     return rt.rrf({"vector": rt.vector_search(qvec, vec), "keyword": rt.keyword_search(q, index)}).select("query_id", "chunk_id", "score")
 
 
 @query("r5_hybrid_search", with_ctes("hybrid", "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hybrid WHERE rank <= 10"))
 def r5(spark, sf):
-    q, index, vec, qvec, _ = _search(spark, sf)
+    q, index, vec, qvec, *_ = _search(spark, sf)
     return rt.hybrid_search(q, index, vec, qvec)
 
 
+_FILTERED = "(SELECT * FROM {0} WHERE chunk_id IN (SELECT chunk_id FROM chunks_old WHERE chunk_level = 'child' AND token_count BETWEEN 100 AND 400 AND chunk_index <= 1))"
+_TOP20 = "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {0} QUALIFY rank <= 20"
+v.CTE["vecscore"] = (("cvec", "qvec"), "SELECT q.item_id AS query_id, c.chunk_id, round(list_dot_product(q.vec, c.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(c.vec, c.vec))), 9) AS score FROM qvec q, cvec c")
+
+
+@query(
+    "r5_filtered_search",
+    with_ctes(
+        "kwscore vecscore",
+        f"SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (({_TOP20.format(_FILTERED.format('vecscore'))}) UNION ALL (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {_FILTERED.format('kwscore')}) WHERE rank <= 20 AND score > 0)) GROUP BY ALL)) WHERE rank <= 10",
+    ),
+)
+def r5b(spark, sf):
+    q, index, vec, qvec, chunks, _ = _search(spark, sf)
+    only = rt.apply_filters(chunks, [("chunk_level", "eq", "child"), ("token_count", "range", (100, 400)), ("chunk_index", "lte", 1)])
+    return rt.hybrid_search(q, index, vec, qvec, only=only)
+
+
+@query("r2_indexed_search", with_ctes("kw", "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM kw"))
+def r2b(spark, sf):
+    path, q = scratch(spark, "index"), v.search_queries(spark, sf)
+    built = v.index(spark, sf)
+    write_index(path, 8, postings=built.postings, terms=built.term_stats, documents=built.doc_stats)
+    # The terms of the query table: as many as the queries hold.
+    terms = [r.term for r in q.select(F.explode(tx.tokenize(F.col("query"))).alias("term")).distinct().collect()]
+    stored = rt.KeywordIndex(read_postings(spark, path, terms, 8), spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/terms"))
+    return rt.keyword_search(q, stored).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("r6_cap_per_doc", with_ctes("kw", "SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS nth FROM kw) WHERE nth <= 1) WHERE rank <= 8"))
 def r6(spark, sf):
     return rt.cap_per_doc(rt.keyword_search(v.search_queries(spark, sf), v.index(spark, sf)), 1).select("query_id", "chunk_id", "rank")
 
 
 def bundle(spark, sf):
-    q, index, vec, qvec, chunks = _search(spark, sf)
-    return rt.retrieve(q, index, vec, qvec, chunks, v.docs(spark, sf))
+    return rt.retrieve(*_search(spark, sf))
 
 
 @query("j3_expand_parents", with_ctes("kw", "SELECT k.query_id, k.chunk_id, sha256(coalesce(p.body_text, c.body_text, '')) AS text_hash FROM kw k LEFT JOIN chunks_old c ON c.chunk_id = k.chunk_id AND c.chunk_level = 'child' LEFT JOIN chunks_old p ON p.chunk_id = c.parent_chunk_id AND p.chunk_level = 'parent'"))
@@ -351,10 +440,9 @@ def r9(spark, sf):
     return rt.format_context(bundle(spark, sf)).select("query_id", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
-@query("r10_confidence", with_ctes("kw", "SELECT b.item_id AS query_id, coalesce(n, 0) AS n, round(CASE WHEN n IS NULL THEN 0.2::DOUBLE ELSE least(least(0.5::DOUBLE + 0.05::DOUBLE * n, 0.85::DOUBLE) + 0.1::DOUBLE, 0.95::DOUBLE) END, 6) AS confidence FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS n FROM kw WHERE query_id % 3 <> 0 GROUP BY query_id) k ON k.query_id = b.item_id"))
+@query("r10_confidence", with_ctes("bundle", "SELECT b.item_id AS query_id, coalesce(n, 0) AS n, round(CASE WHEN n IS NULL THEN 0.2::DOUBLE ELSE least(least(0.5::DOUBLE + 0.05::DOUBLE * n, 0.85::DOUBLE) + 0.1::DOUBLE, 0.95::DOUBLE) END, 6) AS confidence FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS n FROM bundle GROUP BY query_id) k ON k.query_id = b.item_id"))
 def r10(spark, sf):
-    hits = rt.keyword_search(v.search_queries(spark, sf), v.index(spark, sf)).filter("query_id % 3 <> 0").withColumn("cite_key", F.lit("[1]"))
-    return rt.evidence_confidence(v.search_queries(spark, sf), hits)
+    return rt.evidence_confidence(v.search_queries(spark, sf), bundle(spark, sf))
 
 
 @query("r11_global_search", with_ctes("mem", "SELECT category, id, title, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY stamp DESC, id) AS rank FROM (SELECT 'memories' AS category, memory_id AS id, title, epoch_us(updated_at) AS stamp FROM mem WHERE contains(lower(concat_ws(' ', title, summary, concept, abstraction)), 'er') UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), source, doc_id FROM documents WHERE contains(lower(text), 'er') UNION ALL SELECT 'decisions', CAST(item_id AS VARCHAR), NULL, item_id FROM benchmark WHERE contains(lower(text), 'er'))) WHERE rank <= 7"))
@@ -370,8 +458,9 @@ def r11(spark, sf):
 
 def _state(spark, sf):
     """A broken state: every 23rd id missing from the indexes, invented ids, orphans, a duplicate, a wrong manifest."""
-    d = materialized(v.docs(spark, sf).drop("body"), "docs")
-    c = v.stored_chunks(spark, sf)
+    full = materialized(v.docs(spark, sf), "docs")
+    d = full.drop("body")
+    c = materialized(dx.chunk_documents(full).drop("embed_text", "body_text"), "chunks")
     kids = c.filter("chunk_level = 'child'")
     registry = d.filter("n % 29 <> 0").select("source_id", "doc_id", F.when(F.col("n") % 31 == 0, "tombstoned").otherwise("ready").alias("status"), F.lit(1).alias("seq"))
     raw = d.filter("n % 37 <> 0").select("source_id")
@@ -454,6 +543,15 @@ def a1(spark, sf):
     return ix.build_manifest(registry, d, c, some)
 
 
+@query("p4_reindex", with_ctes("reg held terms", f"SELECT m.*, (SELECT count(*) FROM terms) AS terms FROM ({_MANIFEST}) m"))
+def p4c(spark, sf):
+    registry, _, d, _, some, *_ = _state(spark, sf)
+    chunks = v.stored_chunks(spark, sf)
+    vectors = some.select("chunk_id").union(spark.createDataFrame([("chk_invented",)], "chunk_id string")).withColumn("vector", F.array(F.lit(0.0)))
+    built = ix.reindex(registry, d, chunks, vectors)
+    return built["manifest"].crossJoin(built["keyword"].term_stats.agg(F.count("*").alias("terms")))
+
+
 @query("a8_health", with_ctes("issues", "SELECT (SELECT count(*) FROM docs_old) + 1 AS document_count, CAST(5 AS BIGINT) AS child_chunk_count, (SELECT count(*) FROM kids) AS chunk_rows, (SELECT count(*) FROM idx) AS vector_count, (SELECT count(*) FROM idx) AS keyword_count, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, false AS healthy, 'vector index out of step; keyword index out of step; manifest out of step' AS notes FROM issues"))
 def a8(spark, sf):
     registry, raw, d, c, some, ids, cache, manifest = _state(spark, sf)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import automation as au
 from ..operators import decisions as de
 from ..operators import memory as me
-from ..sources.tables import scratch, table
+from ..sources.tables import materialized, scratch, table
 from ..streaming import jobs as st
+from . import knowledge
 from . import views as v
 from .registry import query
 from .views import with_ctes
@@ -124,19 +125,34 @@ def w7(spark, sf):
     return me.build_timeline(v.memories(spark, sf), "click")
 
 
-@query("a3_duplicates", with_ctes("mem", "SELECT substr(sha256(substr(concat_ws(' ', summary, abstraction, title, concept), 1, 500)), 1, 16) AS key, count(*) AS n, min(memory_id) AS first FROM mem WHERE status = 'active' AND memory_type IN ('episodic', 'semantic') GROUP BY key HAVING count(*) > 1"))
+_DUPES = "SELECT substr(sha256(substr(concat_ws(' ', summary, abstraction, title, concept), 1, 500)), 1, 16) AS key, memory_id FROM mem WHERE status = 'active' AND memory_type IN ('episodic', 'semantic')"
+_CLUSTERS = "SELECT lower(string_split(concept, ' ')[1]) AS cluster, memory_id FROM mem WHERE status = 'active' AND memory_type = 'semantic'"
+_EDGES = "SELECT memory_id AS src, promoted_from AS dst FROM mem WHERE memory_type = 'semantic' AND promoted_from IS NOT NULL UNION ALL SELECT promoted_from, memory_id FROM mem WHERE memory_type = 'semantic' AND promoted_from IS NOT NULL UNION ALL SELECT memory_id, source_ref FROM mem WHERE memory_type = 'episodic' AND source_ref IS NOT NULL"
+
+
+@query("a3_duplicates", with_ctes("mem", f'SELECT key, count(*) AS n, min(memory_id) AS "first" FROM ({_DUPES}) GROUP BY key HAVING count(*) > 1'))
 def a3(spark, sf):
-    return me.detect_duplicates(v.memories(spark, sf)).select("key", "n", F.array_min("memory_ids").alias("first"))
+    return me.detect_duplicates(v.memories(spark, sf))
+
 
+@query("a3_duplicate_members", with_ctes("mem", f'SELECT * FROM (SELECT key, memory_id, count(*) OVER (PARTITION BY key) AS n, min(memory_id) OVER (PARTITION BY key) AS "first" FROM ({_DUPES})) WHERE n > 1'))
+def a3b(spark, sf):
+    return me.duplicate_members(v.memories(spark, sf))
 
-@query("a4_clusters", with_ctes("mem", "SELECT lower(string_split(concept, ' ')[1]) AS cluster, count(*) AS n, sha256(string_agg(memory_id, ',' ORDER BY memory_id)) AS members FROM mem WHERE status = 'active' AND memory_type = 'semantic' GROUP BY 1"))
+
+@query("a4_clusters", with_ctes("mem", f'SELECT cluster, count(*) AS n, min(memory_id) AS "first" FROM ({_CLUSTERS}) GROUP BY cluster'))
 def a4(spark, sf):
-    return me.cluster_semantic(v.memories(spark, sf)).select("cluster", "n", F.sha2(F.array_join("memory_ids", ","), 256).alias("members"))
+    return me.cluster_semantic(v.memories(spark, sf))
+
+
+@query("a4_cluster_members", with_ctes("mem", f'SELECT cluster, memory_id, count(*) OVER (PARTITION BY cluster) AS n, min(memory_id) OVER (PARTITION BY cluster) AS "first" FROM ({_CLUSTERS})'))
+def a4b(spark, sf):
+    return me.cluster_members(v.memories(spark, sf))
 
 
-@query("a5_graph", with_ctes("mem", "SELECT src, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM (SELECT memory_id AS src, promoted_from AS dst FROM mem WHERE memory_type = 'semantic' AND promoted_from IS NOT NULL UNION ALL SELECT promoted_from, memory_id FROM mem WHERE memory_type = 'semantic' AND promoted_from IS NOT NULL UNION ALL SELECT memory_id, source_ref FROM mem WHERE memory_type = 'episodic' AND source_ref IS NOT NULL) GROUP BY src"))
+@query("a5_graph", with_ctes("mem", f"SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM ({_EDGES})"))
 def a5(spark, sf):
-    return me.relationship_graph(v.memories(spark, sf)).select("src", F.array_join("neighbours", ",").alias("neighbours"))
+    return me.relationship_graph(v.memories(spark, sf))
 
 
 @query("a6_digest", with_ctes("mem", f"SELECT count(*) AS count, string_agg('- ' || summary, chr(10) ORDER BY rn) FILTER (rn <= 10) AS digest FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, memory_id DESC) AS rn FROM mem WHERE {_EP}) WHERE rn <= 20"))
@@ -146,6 +162,14 @@ def a6(spark, sf):
 
 @query("j5_contradictions", with_ctes("mem", "SELECT a.concept, a.memory_id AS memory_a, b.memory_id AS memory_b FROM mem a JOIN mem b ON lower(a.concept) = lower(b.concept) AND a.abstraction <> b.abstraction AND (a.created_at > b.created_at OR (a.created_at = b.created_at AND a.memory_id < b.memory_id)) WHERE a.status = 'active' AND b.status = 'active' AND a.memory_type = 'semantic' AND b.memory_type = 'semantic'"))
 def j5(spark, sf):
+    return me.contradicting_pairs(v.memories(spark, sf))
+
+
+_SIDES = "SELECT concept, abstraction, count(*) AS n, arg_min(memory_id, struct_pack(a := -epoch_us(created_at), b := memory_id)) AS newest, count(*) OVER (PARTITION BY concept) AS sides FROM (SELECT memory_id, created_at, abstraction, lower(concept) AS concept FROM mem WHERE status = 'active' AND memory_type = 'semantic') GROUP BY concept, abstraction"
+
+
+@query("j5_contradicting_sides", with_ctes("mem", f"SELECT * FROM ({_SIDES}) WHERE sides > 1"))
+def j5b(spark, sf):
     return me.detect_contradictions(v.memories(spark, sf))
 
 
@@ -314,12 +338,33 @@ def d3(spark, sf):
     return de.score_options(r, de.generate_options(r, t), t, e).select("decision_id", "option", "wins", F.round("score", 6).alias("score"))
 
 
-@query("d4_decide", with_ctes("scored assume", "SELECT b.decision_id, b.strategy, b.option, b.title, round(b.score, 6) AS score, coalesce(e.n, 0) AS n_evidence, CAST(round(CAST(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * a.sure + 0.35::DOUBLE * coalesce(e.rel, 0.0::DOUBLE) + 0.35::DOUBLE * b.score - CASE WHEN r.require_knowledge AND e.n IS NULL THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END)) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, option) AS rn FROM scored) b JOIN (SELECT decision_id, sum(confidence) / count(*) AS sure FROM assume GROUP BY decision_id) a ON a.decision_id = b.decision_id JOIN reqs r ON r.decision_id = b.decision_id LEFT JOIN (SELECT decision_id, count(*) AS n, sum(relevance) / count(*) AS rel FROM known GROUP BY decision_id) e ON e.decision_id = b.decision_id WHERE rn = 1"))
+_DECIDE = "SELECT b.decision_id, b.strategy, b.option, b.title, round(b.score, 6) AS score, coalesce(e.n, 0) AS n_evidence, CAST(round(CAST(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * a.sure + 0.35::DOUBLE * coalesce(e.rel, 0.0::DOUBLE) + 0.35::DOUBLE * b.score - CASE WHEN r.require_knowledge AND e.n IS NULL THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END)) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, option) AS rn FROM scored) b JOIN (SELECT decision_id, sum(confidence) / count(*) AS sure FROM assume GROUP BY decision_id) a ON a.decision_id = b.decision_id JOIN reqs r ON r.decision_id = b.decision_id LEFT JOIN (SELECT decision_id, count(*) AS n, sum(relevance) / count(*) AS rel FROM known GROUP BY decision_id) e ON e.decision_id = b.decision_id WHERE rn = 1"
+
+
+@query("d4_decide", with_ctes("scored assume", _DECIDE))
 def d4(spark, sf):
     r, t, _ = _decisions(spark, sf)
     return de.decide(r, t, v.evidence(spark, sf))
 
 
+def _bundle_evidence(spark, sf):
+    return de.evidence_of(knowledge.bundle(spark, sf))
+
+
+v.CTE["evid_bundle"] = (("bundle",), "SELECT query_id AS decision_id, rank, least(1.0::DOUBLE, greatest(0.0::DOUBLE, score)) AS relevance FROM bundle")
+
+
+@query("d4_bundle_evidence", with_ctes("bundle", "SELECT query_id AS decision_id, rank, sha256(substr(text, 1, 500)) AS content_hash, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, score)), 6) AS relevance FROM bundle"))
+def d4b(spark, sf):
+    return _bundle_evidence(spark, sf).select("decision_id", "rank", F.sha2("content", 256).alias("content_hash"), F.round("relevance", 6).alias("relevance"))
+
+
+@query("d4_bundle_decide", with_ctes("scored assume", _DECIDE, swap={"evid": "evid_bundle"}))
+def d4c(spark, sf):
+    r, t, _ = _decisions(spark, sf)
+    return de.decide(r, t, materialized(_bundle_evidence(spark, sf), "evidence"))
+
+
 @query("d5_list_decisions", with_ctes("reqs", "SELECT decision_id, question FROM reqs WHERE contains(lower(question), 'there') ORDER BY decision_id DESC LIMIT 10"))
 def d5(spark, sf):
     return de.list_decisions(v.decision_requests(spark, sf).select("decision_id", "question"), "THERE", 10)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import retrieval
-from ..sources.tables import materialized, table
+from ..sources.tables import materialized, spread, table
 
 CONCEPTS = ("Budget", "budget", "Solar", "solar power", "Hiring", "TRAVEL", "travel")
 AS_OF = "2024-02-01 00:00:00"
@@ -21,7 +21,7 @@ def as_of():
 
 def sources(spark: SparkSession, sf: str, version: str = "old") -> DataFrame:
     """source_id, uri, text, fingerprint: the documents, or (new) with every 10th edited, every 17th gone, every 13th renamed."""
-    d, edited = table(spark, sf, "documents"), F.lit(version == "new")
+    d, edited = spread(table(spark, sf, "documents").select("doc_id", "text", "source")), F.lit(version == "new")
     n = F.col("doc_id")
     text = F.when(edited & (n % 10 == 0), F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
     sid = F.when(edited & (n % 13 == 0), F.concat(F.lit("new_"), n.cast("string"))).otherwise(F.concat(F.lit("src_"), n.cast("string")))
@@ -116,7 +116,7 @@ def decision_requests(spark, sf) -> DataFrame:
 
 
 def evidence(spark, sf) -> DataFrame:
-    """decision_id, rank, relevance: a deterministic stand-in for retrieved evidence."""
+    """decision_id, rank, relevance: evidence of fixed relevance for the scoring queries; d4_bundle_decide takes retrieved bundles."""
     b = table(spark, sf, "benchmark").filter("item_id % 7 <> 0 AND item_id % 5 <> 0")
     n = b.select(F.col("item_id").alias("decision_id"), F.explode(F.sequence(F.lit(1), (F.col("item_id") % 4 + 1).cast("int"))).alias("rank"))
     return n.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("decision_id") * 3 + F.col("rank")) % 12) / F.lit(10.0))))
@@ -216,6 +216,34 @@ FROM (SELECT *, event_type AS kind, {_KIND} AS memory_type FROM ev)""",
     ),
     "kw": (("kwscore",), "SELECT query_id, chunk_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM kwscore) WHERE rank <= 20 AND score > 0"),
 }
+#: Sections of the chat documents: a heading line "## role", an empty line, the text; two line feeds between turns.
+CTE["outline"] = (
+    (),
+    """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS section_index, role, text, head + length(role) + 3 AS start_offset, head + size AS end_offset FROM (
+  SELECT *, length(role) + length(text) + 5 + CASE WHEN turn < last THEN 2 ELSE 0 END AS size, coalesce(sum(length(role) + length(text) + 7) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head
+  FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)) WHERE text <> ''""",
+)
+CTE["chat_parents"] = (
+    ("outline",),
+    f"""SELECT *, 'chk_' || substr(sha256(doc_id || '|' || role || '|sha256:' || sha256({_STRIP.format('embed_text')}) || '|' || chunk_index || '|parent'), 1, 20) AS chunk_id FROM (
+  SELECT *, 'Document: chat > ' || role || chr(10) || chr(10) || body_text AS embed_text, regexp_extract_all(body_text, '\\S+') AS ws, row_number() OVER (PARTITION BY doc_id ORDER BY section_index, p) - 1 AS chunk_index FROM (
+    SELECT CAST(conv_id AS VARCHAR) AS doc_id, section_index, role, start_offset, end_offset, unnest(parts) AS body_text, unnest(range(len(parts))) AS p FROM (SELECT *, {_win("text", "tw", 2048, 2048)} AS parts FROM (SELECT *, regexp_extract_all(text, '\\S+') AS tw FROM outline))))""",
+)
+CTE["chat_chunks"] = (
+    ("chat_parents",),
+    f"""SELECT chunk_id, doc_id, 'parent' AS chunk_level, CAST(NULL AS VARCHAR) AS parent_chunk_id, chunk_index, role AS heading_path, len(ws) AS token_count, embed_text, body_text, start_offset, end_offset FROM chat_parents
+UNION ALL SELECT 'chk_' || substr(sha256(doc_id || '|' || role || '|sha256:' || sha256({_STRIP.format('embed_text')}) || '|' || chunk_index || '|child'), 1, 20), doc_id, 'child', up, chunk_index, role, len(regexp_extract_all(body_text, '\\S+')), embed_text, body_text, start_offset, end_offset FROM (
+  SELECT *, 'Document: chat > ' || role || chr(10) || chr(10) || body_text AS embed_text, row_number() OVER (PARTITION BY doc_id ORDER BY p, c) - 1 AS chunk_index FROM (
+    SELECT doc_id, role, start_offset, end_offset, chunk_id AS up, chunk_index AS p, unnest(kids) AS body_text, unnest(range(len(kids))) AS c, len(kids) AS many FROM (SELECT *, {_win("body_text", "ws", 512, 448)} AS kids FROM chat_parents)) WHERE many = 1 OR len(regexp_extract_all(body_text, '\\S+')) >= 32)""",
+)
+#: Titles and texts of the pages at hand: an article of headings, paragraphs and breaks.
+_ART = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_BLOCKS = f"regexp_replace(regexp_replace(regexp_replace({_ART}, '\\s+', ' ', 'g'), '<h1[^>]*>', chr(10) || chr(10) || '# ', 'g'), '</?(p|br|h1)[^>]*>', chr(10) || chr(10), 'g')"
+_PLAIN = "replace(replace(replace({0}, '&quot;', '\"'), '&amp;', '&'), '&amp', '&')"
+CTE["page_texts"] = (
+    (),
+    f"""SELECT *, CASE WHEN body = '' THEN 'failed' WHEN length(body) <= 50 THEN 'degraded' ELSE 'full' END AS quality FROM (SELECT page_id, {_PLAIN.format("trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))")} AS title, {_STRIP.format(f"regexp_replace({_PLAIN.format(f"regexp_replace({_BLOCKS}, '</?[a-z][^>]*>', '', 'g')")}, '\\s*' || chr(10) || '\\s*' || chr(10) || '\\s*', chr(10) || chr(10), 'g')")} AS body FROM pages)""",
+)
 for _v in ("old", "new"):
     CTE[f"sources_{_v}"] = ((), _sources(_v))
     CTE[f"docs_{_v}"] = ((f"sources_{_v}",), _docs(_v))
@@ -223,18 +251,21 @@ for _v in ("old", "new"):
     CTE[f"chunks_{_v}"] = ((f"parents_{_v}",), _chunks(_v))
 
 
-def with_ctes(needs: str, sql: str, extra: dict[str, str] | None = None) -> str:
-    """sql with the CTEs it needs (space-separated names) and theirs."""
+#: CTEs that are read several times and cost much.
+_STORED = {"chunks_old", "chunks_new", "docs_old", "docs_new", "postings", "stats", "rawidf", "terms", "kwscore", "cvec", "qvec", "mem", "issues"}
+
+
+def with_ctes(needs: str, sql: str, swap: dict[str, str] | None = None) -> str:
+    """sql with the CTEs it needs (space-separated names) and theirs; swap names other definitions for some."""
     done: dict[str, str] = {}
 
     def add(name: str) -> None:
         if name not in done:
-            below, text = CTE[name]
+            below, text = CTE[(swap or {}).get(name, name)]
             for b in below:
                 add(b)
             done[name] = text
 
     for n in needs.split():
         add(n)
-    done |= extra or {}
-    return ("WITH " + ",\n".join(f"{k} AS ({v})" for k, v in done.items()) + "\n" if done else "") + sql
+    return ("WITH " + ",\n".join(f"{k} AS {'MATERIALIZED ' if k in _STORED else ''}({v})" for k, v in done.items()) + "\n" if done else "") + sql

@@ -17,13 +17,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names (shared by all executors); a local one where it is unset."""
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt over all cores where its files give fewer partitions than that; large tables stay as they lie.
+
+    For tables whose rows cost much (texts, pages): a small file is one partition and would be one core's work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The session's folder under the one that spark.checkpoint.dir names (shared by all executors).
+
+    Only on a local master a temporary folder stands in where it is unset; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/sparkloom-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all the session stored between steps; results not yet written cannot be read after that."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has no more than so many rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +83,13 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def read_postings(spark: SparkSession, path: str, terms: list[str], buckets: int = 16) -> DataFrame:
+    """The postings of some terms from an index that write_index wrote: other buckets are pruned, other terms filtered in the scan."""
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of("term", buckets).alias("b")).distinct()
+    numbers = [r.b for r in wanted.collect()]
+    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(numbers) & F.col("term").isin(list(terms))).drop("bucket")
+
+
 def chats_to_documents(messages: DataFrame) -> DataFrame:
     """One Markdown document a conversation of messages (conv_id, turn, role, text[, author]): a section a turn, in order."""
     named = [F.col(c) for c in ("role", "author") if c in messages.columns]
@@ -65,12 +102,20 @@ def chats_to_documents(messages: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.array_join(F.transform("ts", lambda t: t.block), "\n\n").alias("text"), F.size("ts").alias("n_turns"))
 
 
+def bucket_of(key, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def write_index(path: str, buckets: int = 16, **tables: DataFrame) -> None:
-    """Parquet tables under path, laid out in buckets of doc_id where they have one; only the buckets written are replaced."""
+    """Parquet tables under path, in buckets of term (postings, term statistics) or doc_id where they have one; only the buckets written are replaced.
+
+    A bucket of term is sorted by term, so a search reads the buckets of its terms only, and in them only their row groups.
+    """
     for name, df in tables.items():
         out = df
-        if "doc_id" in df.columns:
-            out = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition("bucket")
+        key = next((c for c in ("term", "doc_id") if c in df.columns), None)
+        if key:
+            out = df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").sortWithinPartitions("bucket", key)
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
         else:
             out.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import automation
-from ..sources.tables import SUFFIXES
+from ..sources.tables import SUFFIXES, materialized
 
 
 def _session(events: DataFrame, key: str, gap_seconds: float, watermark: str | None) -> tuple[DataFrame, object]:
@@ -71,15 +73,16 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
 
 
 def ingest_batch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents and errors of a batch of files (uri, content, format, fingerprint): text formats by built-in functions."""
+    """Documents and errors of a batch of files (uri, content, format, fingerprint, modified): text formats by built-in functions."""
     text = F.decode("content", "UTF-8")
     stem = F.regexp_extract("uri", r"([^/]*?)(\.[^./]*)?$", 1)
-    base = files.select("uri", "format", "fingerprint", text.alias("text"), stem.alias("stem"))
-    plain = dx.extract_text(base.filter("format = 'txt'"), F.col("stem")).select("uri", "format", "fingerprint", "title", "body")
-    marked = dx.extract_markdown(base.filter("format = 'markdown'"), F.col("stem")).select("uri", "format", "fingerprint", "title", "body")
-    html = base.filter("format = 'html'").mapInPandas(_pages, "uri string, format string, fingerprint string, title string, body string")
+    own = ["uri", "format", "fingerprint", "modified"]
+    base = files.select(*own, text.alias("text"), stem.alias("stem"))
+    plain = dx.extract_text(base.filter("format = 'txt'"), F.col("stem")).select(*own, "title", "body")
+    marked = dx.extract_markdown(base.filter("format = 'markdown'"), F.col("stem")).select(*own, "title", "body")
+    html = base.filter("format = 'html'").mapInPandas(_pages, "uri string, format string, fingerprint string, modified timestamp, title string, body string")
     docs = plain.unionByName(marked).unionByName(html).withColumn("quality", tx.extraction_quality(F.col("body"), F.col("format")))
-    done = docs.filter("quality <> 'failed'").select(tx.doc_id(F.col("uri")).alias("doc_id"), F.col("uri").alias("source_id"), "title", tx.normalize_body(F.col("body")).alias("body"), "format", "fingerprint")
+    done = docs.filter("quality <> 'failed'").select(tx.doc_id(F.col("uri")).alias("doc_id"), F.col("uri").alias("source_id"), "title", tx.normalize_body(F.col("body")).alias("body"), "format", "fingerprint", "modified")
     failed = docs.filter("quality = 'failed'").select("uri", F.lit("EXTRACTION_FAILED").alias("code")).unionByName(files.filter("format NOT IN ('txt', 'markdown', 'html')").select("uri", F.lit("NO_EXTRACTOR").alias("code")))
     return done, failed
 
@@ -87,32 +90,53 @@ def ingest_batch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _pages(batches):
     for b in batches:
         got = [dx.html_to_text(t) for t in b["text"]]
-        yield pd.DataFrame({"uri": b["uri"], "format": b["format"], "fingerprint": b["fingerprint"], "title": [t or s for (t, _), s in zip(got, b["stem"], strict=True)], "body": [x for _, x in got]})
+        yield pd.DataFrame({"uri": b["uri"], "format": b["format"], "fingerprint": b["fingerprint"], "modified": b["modified"], "title": [t or s for (t, _), s in zip(got, b["stem"], strict=True)], "body": [x for _, x in got]})
 
 
 def stream_inbox(spark: SparkSession, folder: str, sink: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Ingest new and changed files of a folder into sink/documents, sink/chunks and sink/errors.
+    """Ingest new and changed files of a folder into sink/documents, sink/chunks and sink/errors (read them by read_inbox).
 
-    A (uri, fingerprint) that is in sink/documents already is skipped, so a batch that runs again adds nothing.
+    A batch (of this checkpoint) writes its own partition of each table, documents last, and overwrites it if it runs again: a
+    failure in between leaves nothing behind that a rerun does not replace. A file whose content is that of its latest document is
+    skipped. A changed file comes in as a later batch's rows; read_inbox gives each document as its newest file left it, so old
+    chunks are retired.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         suffix = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
-        rows = batch.filter(suffix.isin(*SUFFIXES)).select(F.col("path").alias("uri"), "content", tx.detect_format(F.col("path"), F.col("content")).alias("format"), tx.fingerprint(F.col("content")).alias("fingerprint"))
-        session = batch.sparkSession
-        try:
-            known = session.read.parquet(f"{sink}/documents").select(F.col("source_id").alias("uri"), "fingerprint")
-            rows = rows.join(known, ["uri", "fingerprint"], "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        rows = batch.filter(suffix.isin(*SUFFIXES)).select(F.col("path").alias("uri"), "content", tx.detect_format(F.col("path"), F.col("content")).alias("format"), tx.fingerprint(F.col("content")).alias("fingerprint"), F.col("modificationTime").alias("modified"))
+        session, mine = batch.sparkSession, f"{run}-{batch_id}"
+        known = _inbox_table(session, sink, "documents")
+        if known is not None:
+            before = known.filter(F.col("batch") != mine)
+            latest = before.groupBy(F.col("source_id").alias("uri")).agg(F.max_by("fingerprint", F.struct("modified", "batch")).alias("fingerprint"))
+            rows = rows.join(latest, ["uri", "fingerprint"], "left_anti")
         docs, failed = ingest_batch(rows)
-        dx.chunk_documents(docs).write.mode("append").parquet(f"{sink}/chunks")
-        failed.write.mode("append").parquet(f"{sink}/errors")
-        docs.write.mode("append").parquet(f"{sink}/documents")
+        docs = materialized(docs, "inbox")
+        for name, df in (("chunks", dx.chunk_documents(docs)), ("errors", failed), ("documents", docs)):
+            df.write.mode("overwrite").parquet(f"{sink}/{name}/batch={mine}")
         if after:
             after(docs, batch_id)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _inbox_table(spark: SparkSession, sink: str, name: str) -> DataFrame | None:
+    """All batches of a table of the sink, with the batch; None before the first batch."""
+    try:
+        return spark.read.parquet(f"{sink}/{name}").withColumn("batch", F.col("batch").cast("string"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_inbox(spark: SparkSession, sink: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """documents and chunks as the newest file of each document left them, and all errors."""
+    docs, chunks, errors = (_inbox_table(spark, sink, name) for name in ("documents", "chunks", "errors"))
+    latest = docs.groupBy("doc_id").agg(F.max_by("batch", F.struct("modified", "batch")).alias("batch"))
+    current = lambda df: df.join(latest, ["doc_id", "batch"], "left_semi").drop("batch")
+    return current(docs), current(chunks), errors.drop("batch")

@@ -163,6 +163,41 @@ def test_inbox_ingests_once(spark, tmp_path):
     assert spark.read.parquet(f"{sink}/documents").count() == 3
 
 
+def test_inbox_survives_failures_and_retires_old_chunks(spark, tmp_path):
+    box, sink, ck = tmp_path / "box", str(tmp_path / "sink"), str(tmp_path / "ck")
+    box.mkdir()
+    (box / "a.txt").write_text("Title\n\nfirst words")
+    (box / "b.txt").write_text("Other\n\ntext")
+
+    def fail(docs, batch_id):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        st.stream_inbox(spark, str(box), sink, ck, fail).awaitTermination(120)
+    st.stream_inbox(spark, str(box), sink, ck).awaitTermination(120)  # the same batch again
+    docs, chunks, errors = st.read_inbox(spark, sink)
+    assert docs.count() == 2 and chunks.filter("chunk_level = 'child'").count() == 2 and spark.read.parquet(f"{sink}/chunks").count() == 4
+    (box / "c.txt").write_text("Title\n\nfirst words")
+    (box / "a.txt").unlink()
+    (box / "a.txt").write_text("Title\n\nother words now")
+    st.stream_inbox(spark, str(box), sink, str(tmp_path / "ck2")).awaitTermination(120)
+    docs, chunks, errors = st.read_inbox(spark, sink)
+    assert docs.count() == 3 and errors.count() == 0
+    assert sorted(r.body_text for r in chunks.filter("chunk_level = 'child'").collect()) == ["first words", "other words now", "text"]
+
+
+def test_chunk_sizes_and_preamble_are_parameters():
+    how = dx.Chunking(size=4, overlap=1, parent_size=8, least=2, keep_preamble=True)
+    rows = list(dx.chunks_of("d", "s", None, "before\n# A\n" + " ".join(map(str, range(11))), how))
+    assert [(r[3], r[6], r[12]) for r in rows] == [
+        ("parent", "content", "before"), ("child", "content", "before"),
+        ("parent", "a", "0 1 2 3 4 5 6 7"), ("child", "a", "0 1 2 3"), ("child", "a", "3 4 5 6"), ("child", "a", "6 7"),
+        ("parent", "a", "8 9 10"), ("child", "a", "8 9 10"),
+    ]
+    assert [r[5] for r in rows if r[3] == "child"] == [0, 1, 2, 3, 4] and rows[0][11] == "Document:  > content\n\nbefore"
+    assert dx.windows("__FENCE_0__ a\n```\nx  y\n```\nb", 2) == ["__FENCE_0__ a", "```\nx  y\n``` b"]
+
+
 T0 = datetime.datetime(2024, 1, 1)
 
 

@@ -77,6 +77,42 @@ def test_diff_and_upsert(spark):
     old = spark.createDataFrame([("a", "d", "child", "1"), ("b", "d", "child", "1"), ("c", "d", "child", "1")], "chunk_id string, doc_id string, chunk_level string, content_hash string")
     new = spark.createDataFrame([("a", "d", "child", "1"), ("b", "d", "child", "2"), ("e", "d", "child", "1")], old.schema)
     assert {r.chunk_id: r.status for r in ix.diff_chunks(old, new).collect()} == {"a": "unchanged", "b": "changed", "c": "removed", "e": "added"}
+    assert {r.chunk_id: r.status for r in ix.diff_snapshots(old, new).collect()} == {"a": "unchanged", "b": "changed", "c": "removed", "e": "added"}
+
+
+def test_a_batch_leaves_other_documents_alone(spark):
+    schema = "chunk_id string, doc_id string, chunk_level string, content_hash string"
+    old = spark.createDataFrame([("a", "d1", "child", "1"), ("b", "d2", "child", "1"), ("c", "d3", "child", "1"), ("p", "d3", "parent", "1")], schema)
+    new = spark.createDataFrame([("x", "d9", "child", "1")], schema)
+    ids = lambda *d: spark.createDataFrame([(i,) for i in d], "doc_id string")
+    found = lambda *more: {r.chunk_id: r.status for r in ix.diff_chunks(old, new, *more).collect()}
+    assert found() == {"x": "added"}
+    assert found(ids("d9", "d2")) == {"x": "added", "b": "removed"}  # d2 came in again, without text
+    assert found(None, ids("d3")) == {"x": "added", "c": "removed"}
+    vec = lambda *c: spark.createDataFrame([(i, [1.0]) for i in c], "chunk_id string, vector array<double>")
+    merged = ix.merge_embeddings(ix.diff_chunks(old, new, None, ids("d3")), vec("a", "b", "c"), vec("x"))
+    assert {r.chunk_id: r.cache_hit for r in merged.collect()} == {"a": True, "b": True, "x": False}
+
+
+def test_running_sums_cross_their_runs(spark):
+    rows = [("p", i, i % 7) for i in range(95)] + [(None, 3, 5), (None, 40, 2)]
+    df = spark.createDataFrame(rows, "p string, pos int, x int")
+    got = {(r.p, r.pos): r.total for r in ix.running_sum(df, ["p"], F.floor(F.col("pos") / 10), ["pos"], F.col("x"), "total").collect()}
+    assert got == {(p, i): sum(x for q, j, x in rows if q == p and j <= i) for p, i, _ in rows}
+
+
+def test_filters_and_many_queries(spark):
+    v = spark.createDataFrame([(f"c{i}", [float(i % 5 - 2), 1.0, float(i)]) for i in range(40)], "chunk_id string, vector array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i), -1.0]) for i in range(9)], "query_id long, vector array<double>")
+    want = sorted(map(tuple, rt.vector_search(q, v, 3).collect()))
+    block, rt.QUERY_BLOCK = rt.QUERY_BLOCK, 2
+    rows, rt.ROW_BLOCK = rt.ROW_BLOCK, 7
+    try:
+        assert sorted(map(tuple, rt.vector_search(q, v, 3).collect())) == want
+    finally:
+        rt.QUERY_BLOCK, rt.ROW_BLOCK = block, rows
+    only = spark.createDataFrame([("c1",), ("c2",), ("gone",)], "chunk_id string")
+    assert {r.chunk_id for r in rt.vector_search(q, v, 3, only).collect()} == {"c1", "c2"}
 
 
 def test_reprocess_gate(spark):
@@ -134,13 +170,14 @@ def test_recommendation_edge_at_twenty_days(spark):
 
 def test_contradictions_any_case_newer_first(spark):
     m = memories(spark, memory("a", "semantic", 2, concept="Budget", abstraction="Increase spending"), memory("b", "semantic", 1, concept="budget", abstraction="Reduce spending"), memory("c", "semantic", 0, concept="other", abstraction="x"), memory("d", "semantic", 0, concept="BUDGET", abstraction="Reduce spending", status="archived"))
-    assert [tuple(r) for r in me.detect_contradictions(m).collect()] == [("budget", "b", "a")]
+    assert [tuple(r) for r in me.contradicting_pairs(m).collect()] == [("budget", "b", "a")]
+    assert sorted((r.concept, r.abstraction, r.n, r.newest, r.sides) for r in me.detect_contradictions(m).collect()) == [("budget", "Increase spending", 1, "a", 2), ("budget", "Reduce spending", 1, "b", 2)]
 
 
 def test_duplicates_and_empty_concepts(spark):
     m = memories(spark, memory("a", "episodic", title="t", summary="s"), memory("b", "episodic", 1, title="t", summary="s"), memory("c", "semantic", concept="", abstraction="z"))
-    assert [(r.n, r.memory_ids) for r in me.detect_duplicates(m).collect()] == [(2, ["a", "b"])] and me.duplicate_members(m).count() == 2
-    assert [(r.cluster, r.n) for r in me.cluster_semantic(m).collect()] == [("other", 1)]
+    assert [(r.n, r.first) for r in me.detect_duplicates(m).collect()] == [(2, "a")] and {r.memory_id for r in me.duplicate_members(m).collect()} == {"a", "b"}
+    assert [(r.cluster, r.n) for r in me.cluster_semantic(m).collect()] == [("other", 1)] and me.cluster_members(m).count() == 1
 
 
 def test_promotion_rules_and_rerun(spark):
