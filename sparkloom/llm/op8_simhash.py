@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 
 from .common import components, small_batches, stored, table
 
-SHINGLE, SEED = 3, 42
+SHINGLE, SEED, NO_ID = 3, 42, -(2**63)
 
 
 def hash_counts(hashes: np.ndarray) -> np.ndarray:
@@ -117,10 +117,10 @@ def op8_simhash(spark, sf_dir) -> DataFrame:
 # --- The near-duplicate stage: five-word shingles, similarity 0.8 ---
 #
 # Fingerprints within 3 of 64 bits are texts of similarity 0.98 or so: at 0.8 they differ in 10 bits, beyond
-# any ball that can be emitted. So the stage takes the groups of the ball hashing first and looks for the rest
-# of the near copies among their representatives by banded min-hashes, verified on whole shingle sets.
+# any ball that can be emitted. So the stage takes the pairs the ball hashing finds and looks for the rest
+# of the near copies by banded min-hashes; all pairs are verified on whole shingle sets.
 
-STAGE_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 4
+STAGE_SHINGLE, SIMILARITY, BANDS, BAND_ROWS, BLOCK = 5, 0.8, 20, 4, 512
 _MULTIPLIERS = np.random.default_rng(8).integers(1, 2**62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -146,21 +146,38 @@ def min_hashes(shingles: np.ndarray, block: int = 8192) -> np.ndarray:
     return best
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, bands (a key a band), size (of the shingle set) for the texts that have a word."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all of docs' columns), text, id, and h, a 64-bit hash of the text: copies share it, and so do all texts without a word."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", "row.text", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    return rows.withColumn("h", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+
+
+def marked_texts(rows: DataFrame) -> DataFrame:
+    """h, fp (fingerprint), bands (a key a band; null without a word), size (of the shingle set) for each distinct text of rows (h, text)."""
+
+    def run(batches):
+        for b in batches:
+            fps, bands, sizes = [], [], []
+            for t in b.column("text"):
+                text = t.as_py()
+                s = shingle_hashes(text)
+                fps.append(fingerprint(text, STAGE_SHINGLE))
+                bands.append([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in min_hashes(s).reshape(BANDS, BAND_ROWS)] if len(s) else None)
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["h", "fp", "bands", "size"])
+
+    marked = small_batches(rows).select("h", "text").mapInArrow(run, "h long, fp long, bands array<long>, size long")
+    return marked.groupBy("h").agg(*[F.first(c).alias(c) for c in ("fp", "bands", "size")])
+
+
+def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, s: the shingle sets, packed, of the texts of rows (h, text) that are wanted (h)."""
 
     def run(batches):
         for b in batches:
-            ids, bands, sizes = [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                s = shingle_hashes(t.as_py())
-                if len(s):
-                    ids.append(i)
-                    bands.append([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in min_hashes(s).reshape(BANDS, BAND_ROWS)])
-                    sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "bands", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([shingle_hashes(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["h", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, size long")
+    return rows.join(wanted.withColumnRenamed("h", "w"), F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"]).select("h", "text").mapInArrow(run, "h long, s binary")
 
 
 def _similar(least: float):
@@ -176,125 +193,125 @@ def _similar(least: float):
     return run
 
 
-def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect all documents with equal keys in a band whose shingle sets have the similarity or more.
-
-    In a bucket of equal band keys a document is compared with the first and, in an order that differs by
-    band, with the two before it; then, where that left it apart, with the bucket's hub, the one with most links so
-    far. So buckets of any size give pairs in proportion to it, and buckets of up to three are compared whole. What
-    larger ones still hold apart is compared pair by pair, see remaining_links.
-    """
-    sketched = stored(sketches(docs), "op8-sketches")
-    keys = sketched.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    firsts = stored(keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "op8-buckets")
-    firsts = firsts.select(F.col("band").alias("fb"), F.col("key").alias("fk"), "first", "n")
-    shared = stored(keys.join(firsts.hint("merge"), (F.col("band") == F.col("fb")) & (F.col("key") == F.col("fk"))).select("band", "key", "doc_id", "first", "n"), "op8-shared")
-    order = W.partitionBy("band", "key").orderBy(F.xxhash64("doc_id", "band"))
-    ordered = shared.select("doc_id", "first", F.lag("doc_id", 1).over(order).alias("one"), F.lag("doc_id", 2).over(order).alias("two"))
-    near = ordered.select("doc_id", F.explode(F.array("first", "one", "two")).alias("other"))
-    linked = stored(verified(near, docs, sketched, similarity), "op8-linked")
-    degree = linked.select(F.col("a").alias("d")).union(linked.select("b")).groupBy("d").agg(F.count("*").alias("degree"))
-    group = components(linked, "op8-groups").select(F.col("node").alias("g"), "component")
-    large = shared.filter("n > 3").select("band", "key", "doc_id")
-    known = stored(large.join(degree, F.col("doc_id") == F.col("d"), "left").join(group, F.col("doc_id") == F.col("g"), "left").select("band", "key", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("component", "doc_id").alias("component")), "op8-known")
-    hub = known.groupBy("band", "key").agg(F.max_by(F.struct("doc_id", "component"), F.struct("degree", "doc_id")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    hub = stored(hub.select(F.col("band").alias("hb"), F.col("key").alias("hk"), F.col("hub.doc_id").alias("other"), F.col("hub.component").alias("of")), "op8-hubs")
-    apart = known.join(hub.hint("merge"), (F.col("band") == F.col("hb")) & (F.col("key") == F.col("hk"))).filter("component <> of").select("doc_id", "other")
-    linked = stored(linked.union(verified(apart, docs, sketched, similarity)), "op8-linked")
-    group = components(linked, "op8-groups").select(F.col("node").alias("g"), "component")
-    known = stored(large.join(group, F.col("doc_id") == F.col("g"), "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "op8-known")
-    return linked.union(remaining_links(known, docs, sketched, similarity))
+def ball_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts by the ball hashing: those with one fingerprint, and one for each link of two fingerprints."""
+    first = stored(marked.groupBy("fp").agg(F.min("h").alias("h"), F.count("*").alias("n")), "op8-fps")
+    found = links(with_neighbour_in_half(first.select("fp")))
+    of = lambda name: first.select(F.col("fp").alias(f"{name}_fp"), F.col("h").alias(f"{name}_h"))
+    near = found.join(of("x"), F.col("a") == F.col("x_fp")).join(of("y"), F.col("b") == F.col("y_fp")).select(F.col("x_h").alias("a"), F.col("y_h").alias("b"))
+    same = marked.select(F.col("h").alias("a"), "fp").join(first.filter("n > 1").select(F.col("fp").alias("x_fp"), F.col("h").alias("b")), F.col("fp") == F.col("x_fp")).select("a", "b")
+    return near.union(same).filter("a <> b")
 
 
-def remaining_links(known: DataFrame, docs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """The links that join what is still apart in the buckets of known (band, key, doc_id, component).
+def near_links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that connect all texts of rows (h, text) whose shingle sets have the similarity or more and share a fingerprint ball or a band.
 
-    Each round compares a bucket's next documents with all after them that are of another component, and joins the
-    components; there are eight times as many each round, so rounds grow with the logarithm of the largest bucket
-    and every pair has been compared or is of one component in the end. A pair is compared in the first band it shares.
-    Only pairs that cannot be similar are left out: by their sizes and by the shingles that no other document at hand has.
+    20 bands of 4 min-hashes miss 0.003% of the pairs at exactly 0.8, fewer above; nothing else is left out. In a bucket of
+    equal band keys a text is first compared with the bucket's first and the two before it in a hashed order. What buckets
+    still hold apart is compared whole, see across.
     """
-    left = _mixed(known)
-    could = possible(left.select("doc_id").distinct(), docs, sketched, similarity).join(sketched.select(F.col("doc_id").alias("k"), "bands"), F.col("doc_id") == F.col("k")).select(F.col("doc_id").alias("c"), "size", "common", "bands")
-    order = W.partitionBy("band", "key").orderBy(F.xxhash64("doc_id"))
-    left = stored(left.join(could, F.col("doc_id") == F.col("c")).drop("c").withColumn("at", F.row_number().over(order)), "op8-left")
-    out, upto = sketched.sparkSession.createDataFrame([], "a long, b long"), 8
-    shared_first = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    while not left.isEmpty():
-        pivot = left.filter(F.col("at") <= upto).select(*[F.col(c).alias(f"p_{c}") for c in left.columns])
-        both = left.join(stored(pivot, "op8-pivots").hint("merge"), (F.col("band") == F.col("p_band")) & (F.col("key") == F.col("p_key")) & (F.col("at") > F.col("p_at")) & (F.col("component") != F.col("p_component")) & shared_first & _may(similarity))
-        new = stored(both.select("doc_id", F.col("p_doc_id").alias("other"), F.col("component").alias("x"), F.col("p_component").alias("y")), "op8-tried")
-        found = stored(verified(new, docs, sketched, similarity), "op8-found")
-        out = out.union(found)
-        met = new.join(found, (F.greatest("doc_id", "other") == F.col("a")) & (F.least("doc_id", "other") == F.col("b"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        now = components(met, "op8-joined").select(F.col("node").alias("g"), F.col("component").alias("into"))
-        left = left.filter(F.col("at") > upto).join(now, F.col("component") == F.col("g"), "left").withColumn("component", F.coalesce("into", "component")).drop("g", "into")
-        left, upto = _mixed(left), upto * 8
-    return out
-
-
-def _mixed(known: DataFrame) -> DataFrame:
-    """The rows of known in buckets that hold more than one component."""
-    known = stored(known, "op8-known")
-    mixed = stored(known.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("band").alias("mb"), F.col("key").alias("mk")), "op8-mixed")
-    return stored(known.join(mixed.hint("merge"), (F.col("band") == F.col("mb")) & (F.col("key") == F.col("mk")), "left_semi"), "op8-mixed")
-
-
-def _may(similarity: float):
-    """Whether the shingles that documents have in common with any other let this pair be similar."""
-    most = F.least("common", "p_common")
-    return most >= similarity * (F.col("size") + F.col("p_size") - most) - 1e-9
-
-
-def possible(ids: DataFrame, docs: DataFrame, sketched: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
-    """doc_id, size, common of the documents that may be similar to another one of ids.
-
-    common counts the shingles that another one has too. Who has too few is similar to none, and in a second round does not count as another.
+    marked = stored(marked_texts(rows), "op8-marked")
+    keys = marked.filter("bands IS NOT NULL").select("h", "size", F.posexplode("bands").alias("band", "key"))
+    bucket = W.partitionBy("band", "key")
+    order = bucket.orderBy(F.xxhash64("h", "band"), "h")
+    me = F.struct("h", "size")
+    shared = keys.select("band", "key", "h", "size", F.count("*").over(bucket).alias("n"), F.array(F.min(me).over(bucket), F.lag(me, 1).over(order), F.lag(me, 2).over(order)).alias("near"))
+    shared = stored(shared.filter("n > 1"), "op8-shared")
+    near = shared.select("h", "size", F.explode("near").alias("o")).filter(F.col("o.h") != F.col("h")).filter(F.least("size", "o.size") >= similarity * F.greatest("size", "o.size") - 1e-9)
+    pairs = near.select(F.col("h").alias("a"), F.col("o.h").alias("b")).union(ball_pairs(marked))
+    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "op8-pairs")
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(shared.select("h")).distinct()
+    sets = stored(shingle_sets(rows, wanted), "op8-sets")
+    x, y = sets.select(F.col("h").alias("xh"), F.col("s").alias("x")), sets.select(F.col("h").alias("yh"), F.col("s").alias("y"))
+    # Sets are wide: they are joined by merge at every size, never broadcast.
+    both = pairs.join(x.hint("merge"), F.col("a") == F.col("xh")).join(y.hint("merge"), F.col("b") == F.col("yh"))
+    linked = stored(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "op8-linked")
+    return linked.union(across(shared.select("band", "key", "h"), linked, marked, sets, similarity))
+
+
+def across(shared: DataFrame, linked: DataFrame, marked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links that join what linked leaves apart in buckets shared (band, key, h).
+
+    Of a bucket that holds several components, the texts outside the largest one meet all of the bucket: both sides in blocks of
+    BLOCK texts, each meeting of blocks a part of one task's work, compared on whole sets there. A pair is compared in the first
+    band it shares, and two components that met a similar pair no more. So no pair of rows is ever written but links.
     """
-    size = sketched.select(F.col("doc_id").alias("i"), "size")
+    group = components(linked, "op8-groups").select(F.col("node").alias("g"), "component")
+    known = stored(shared.join(group, F.col("h") == F.col("g"), "left").select("band", "key", "h", F.coalesce("component", "h").alias("component")), "op8-known")
+    counts = known.groupBy("band", "key", "component").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    mixed = counts.filter("parts > 1").select(F.col("band").alias("mb"), F.col("key").alias("mk"), "main", blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("most")).alias("few"))
+    mixed = stored(mixed, "op8-mixed")
+    rows = known.join(mixed.hint("merge"), (F.col("band") == F.col("mb")) & (F.col("key") == F.col("mk"))).withColumn("outside", F.col("component") != F.col("main"))
+    deal, each = (lambda n: F.pmod(F.xxhash64("h"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    own = ["band", "key", "h", "component"]
+    one, many = rows.filter("all = 1"), rows.filter("all > 1")
+    zero = F.lit(0)
+    met = one.select(*own, zero.alias("x"), zero.alias("y"), F.when(F.col("outside"), 2).otherwise(1).alias("side"))
+    met = met.union(many.select(*own, each(F.col("few")).alias("x"), deal(F.col("all")).alias("y"), F.lit(1))).union(many.filter("outside").select(*own, deal(F.col("few")).alias("x"), each(F.col("all")).alias("y"), F.lit(0)))
+    marks = marked.select(F.col("h").alias("i"), "bands")
+    wide = met.join(sets.select(F.col("h").alias("j"), "s").hint("merge"), F.col("h") == F.col("j")).join(marks.hint("merge"), F.col("h") == F.col("i"))
 
-    def each(batches):
-        for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                s = shingle_hashes(t.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], names=["doc_id", "s"])
-
-    alive = stored(ids.join(size, F.col("doc_id") == F.col("i")).select("doc_id", "size"), "op8-alive")
-    for _ in range(rounds):
-        rows = docs.select("doc_id", "text").join(alive.select(F.col("doc_id").alias("n")), F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(each, "doc_id long, s long")
-        own = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("o")).filter("n = 1").groupBy("o").agg(F.count("*").alias("own"))
-        alive = alive.select("doc_id", "size").join(own, F.col("doc_id") == F.col("o"), "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
-        alive = stored(alive.filter(F.col("common") >= similarity * F.col("size") - 1e-9), "op8-alive")
-    return alive
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (doc_id, other) with the similarity or more, as distinct links (a, b): by their whole sets, but for those whose sizes rule it out."""
-    pairs = stored(pairs.filter("other IS NOT NULL AND doc_id <> other").select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct(), "op8-pairs")
-    x, y = sketched.select(F.col("doc_id").alias("xi"), F.col("size").alias("x")), sketched.select(F.col("doc_id").alias("yi"), F.col("size").alias("y"))
-    likely = pairs.join(x, pairs.a == F.col("xi")).join(y, F.col("b") == F.col("yi")).filter(F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9).select("a", "b")
-    likely = stored(likely, "op8-likely")
-    needed = stored(likely.select(F.col("a").alias("n")).union(likely.select("b")).distinct(), "op8-needed")
-
-    def sets(batches):
+    def run(batches):
+        group, held = None, []
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_hashes(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["doc_id", "s"])
-
-    own = stored(docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(sets, "doc_id long, s binary"), "op8-sets")
-    x, y = own.select(F.col("doc_id").alias("xi"), F.col("s").alias("x")), own.select(F.col("doc_id").alias("yi"), F.col("s").alias("y"))
-    return likely.join(x, likely.a == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+            for row in zip(*(b.column(c).to_pylist() for c in ("band", "key", "x", "y", "h", "component", "side", "s", "bands")), strict=True):
+                if row[:4] != group:
+                    yield from _meet(held, similarity)
+                    group, held = row[:4], []
+                held.append(row)
+        yield from _meet(held, similarity)
+
+    keys = ["band", "key", "x", "y"]
+    return wide.select(*keys, "h", "component", "side", "s", "bands").repartition(*keys).sortWithinPartitions(*keys, "h", "side").mapInArrow(run, "a long, b long")
+
+
+def _meet(rows: list[tuple], similarity: float):
+    """Links of the texts outside the main component (side 0 or 2) with those of the bucket (side 1 or 2) of one meeting."""
+    every, few = [r for r in rows if r[6] > 0], [r for r in rows if r[6] != 1]
+    if not every or not few:
+        return
+    band, found, root = rows[0][0], [], {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    sets = [np.frombuffer(r[7], np.uint64) for r in every]
+    ids, part, size = np.array([r[4] for r in every]), np.array([r[5] for r in every]), np.array([len(s) for s in sets])
+    bands = np.array([r[8] for r in every])
+    for r in few:
+        mine = np.frombuffer(r[7], np.uint64)
+        ok = (part != r[5]) & (np.minimum(size, len(mine)) >= similarity * np.maximum(size, len(mine)) - 1e-9)
+        ok &= (bands == np.array(r[8])).argmax(axis=1) == band
+        at = np.flatnonzero(ok)
+        at = at[[find(c) != find(r[5]) for c in part[at]]] if len(at) else at
+        if not len(at):
+            continue
+        joined = np.concatenate([sets[i] for i in at])
+        place = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
+        both = np.add.reduceat((mine[place] == joined).astype(np.int64), np.concatenate(([0], np.cumsum(size[at])[:-1])))
+        for i in at[both >= similarity * (size[at] + len(mine) - both) - 1e-9]:
+            x, y = find(int(part[i])), find(r[5])
+            if x != y:
+                root[x] = y
+                found.append((max(r[4], int(ids[i])), min(r[4], int(ids[i]))))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the near copies of a document with a smaller doc_id; rows without an id stay, rows that share an id stay or go together.
+    """docs with one row of each group of copies and near copies: that with the smallest doc_id (rows without one come last), then the smallest text hash.
 
-    Both kinds of links count: those of the fingerprints (which cover exact copies) and those by similarity
-    between the first documents of each text.
+    Rows are compared by their texts, whatever their ids: a repeated id names as many documents as it has texts. Rows equal
+    in doc_id and text are one. Null and empty texts and those without a word are copies of each other. Extra columns pass through.
     """
-    named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    groups = near_duplicates(named, STAGE_SHINGLE).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    first = stored(named.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.min("doc_id").alias("first")).select("first"), "op8-first")
-    single = named.join(first.hint("merge"), F.col("doc_id") == F.col("first"), "left_semi").dropDuplicates(["doc_id"])
-    linked = components(similar_links(single, similarity).select("a", "b").union(groups.distinct()), "op8-similar")
-    gone = stored(linked.filter("node <> component").select(F.col("node").alias("gone")), "op8-gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
+    rows = keyed(docs)
+    linked = components(near_links(rows.select("h", "text"), similarity), "op8-similar").select("node", "component")
+    ids = rows.groupBy("h").agg(F.min(F.nullif("id", F.lit(NO_ID))).alias("id"))
+    last = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    best = ids.join(linked, F.col("h") == F.col("node"), "left").groupBy(F.coalesce("component", "h").alias("g")).agg(F.min(last).alias("best"))
+    best = stored(best.select(F.col("best.h").alias("best_h"), F.coalesce("best.id", F.lit(NO_ID)).alias("best_id")), "op8-kept")
+    kept = rows.join(best.hint("merge"), (F.col("h") == F.col("best_h")) & (F.col("id") == F.col("best_id")), "left_semi")
+    return kept.dropDuplicates(["h", "id"]).select("row.*")
