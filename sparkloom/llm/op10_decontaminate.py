@@ -10,7 +10,7 @@ than MIN_WORDS use the run of words that must survive their substitutions.
 The benchmark is broadcast in blocks of at most BLOCK_WORDS words; a larger one takes several passes.
 
 Words are lower-cased runs of word characters. Defined results: null or empty texts and items hold nothing
-and match nothing. Repeated rows each get their result. Extra columns pass through the filter. An empty
+and match nothing. Items of fewer words than the parameter least (LEAST_ITEM) are too common to tell a leak: they are not searched (see short_items). Repeated rows each get their result. Extra columns pass through the filter. An empty
 table, or an empty benchmark, gives no pairs and filters nothing. Long texts are compared whole.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-MIN_WORDS, SIMILARITY, BLOCK_WORDS, CACHE_WORDS = 13, 0.8, 200_000, 500_000
+MIN_WORDS, SIMILARITY, BLOCK_WORDS, CACHE_WORDS, LEAST_ITEM, PAIRS = 13, 0.8, 200_000, 500_000, 5, 1 << 18
 #: Fixed masks: 1 looks at the word, 0 ignores it. Any two substitutions in 13 words miss one of them somewhere.
 MASKS = ("11111", "110111", "1101011")
 _WORD = re.compile(r"\w+")
@@ -67,12 +67,28 @@ def masks_of(n: int) -> tuple[str, ...]:
     return ("1" * -(-(n - lost) // (lost + 1)),)
 
 
+def at_place(item, place):
+    """Item number and place (from -2**31 on) in one number."""
+    return (np.asarray(item, np.int64) << 32) | (np.asarray(place, np.int64) + (1 << 31))
+
+
+def _places(item: int, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """at_place of all distinct differences here - there, by a convolution of where they are."""
+    low, high = int(here.min()) - int(there.max()), int(here.max()) - int(there.min())
+    size = 1 << int(high - low + 1).bit_length()
+    x, y = np.zeros(size), np.zeros(size)
+    x[here - here.min()] = 1
+    y[there.max() - there] = 1
+    both = np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[: high - low + 1]
+    return at_place(np.full(int((both > 0.5).sum()), item), np.flatnonzero(both > 0.5) + low)
+
+
 class Index:
     """The mask hashes of a block of benchmark items [(item_id, text)]."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: int = LEAST_ITEM):
         cache = _Hashes()
-        self.items = [(i, h) for i, t in items if len(h := word_hashes(t, cache))]
+        self.items = [(i, h) for i, t in items if len(h := word_hashes(t, cache)) >= max(1, least)]
         rows: dict[str, list] = {}
         for k, (_, words) in enumerate(self.items):
             for mask in masks_of(len(words)):
@@ -86,25 +102,46 @@ class Index:
             seen[h >> np.uint64(44)] = True
             self.masks[mask] = (h[order], k[order], at[order], seen)
 
-    def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """Distinct (item, place of its first word in the document), the place may be negative."""
-        found = []
+    def hits(self, words: np.ndarray) -> np.ndarray:
+        """Distinct (item, place of its first word in the document) in one number each (see at_place), the place may be negative.
+
+        Pairs of equal hashes are written out PAIRS at a time. Where a hash recurs so often in both texts that it makes more pairs
+        than there are places, the places are found by a convolution instead: memory stays in proportion to the texts.
+        """
+        found = [np.empty(0, np.int64)]
         for mask, (keys, item, at, seen) in self.masks.items():
             h = mask_hashes(words, mask)
             place = np.flatnonzero(seen[h >> np.uint64(44)])
             left, right = np.searchsorted(keys, h[place], "left"), np.searchsorted(keys, h[place], "right")
             place, left, right = (x[right > left] for x in (place, left, right))
-            if len(place):
-                n = right - left
-                entry = np.repeat(left - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                found.append(np.stack([item[entry], np.repeat(place, n) - at[entry]], axis=1))
-        return [tuple(x) for x in np.unique(np.concatenate(found), axis=0).tolist()] if found else []
+            if not len(place):
+                continue
+            of, which, times = np.unique(left, return_inverse=True, return_counts=True)
+            width = np.zeros(len(of), np.int64)
+            width[which] = right - left
+            often = (times * width > PAIRS)[which]
+            for key in np.unique(left[often]):
+                mine = place[left == key]
+                a, z = key, right[left == key][0]
+                for k in np.unique(item[a:z]):
+                    found.append(_places(int(k), mine, at[a:z][item[a:z] == k]))
+            place, left, n = place[~often], left[~often], (right - left)[~often]
+            cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - 1) // PAIRS)) + 1).tolist()]
+            for x, y in zip(cuts, [*cuts[1:], len(n)], strict=True):
+                m = n[x:y]
+                entry = np.repeat(left[x:y] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum()) if len(m) else np.empty(0, np.int64)
+                found.append(np.unique(at_place(item[entry], np.repeat(place[x:y], m) - at[entry])))
+        return np.unique(np.concatenate(found))
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, start, length, agreeing words) of the best verified overlap with each item."""
         best: dict[int, tuple] = {}
-        for k, start in self.hits(words):
+        done: set[int] = set()
+        for code in self.hits(words).tolist():
+            k, start = (code >> 32), (code & 0xFFFFFFFF) - (1 << 31)
             own = self.items[k][1]
+            if k in done:
+                continue
             a, z = max(0, start), min(len(words), start + len(own))
             same = np.zeros(len(own) + 1, np.int64)
             same[1 + a - start : 1 + z - start] = own[a - start : z - start] == words[a:z]
@@ -115,23 +152,30 @@ class Index:
                 first, last = max(a - start, int(good[0])), min(z - start, int(good[-1]) + size)
                 row = (int(total[last] - total[first]), -(start + first), last - first)
                 best[k] = max(best.get(k, row), row)
+                if best[k][0] == len(own):  # the whole item word by word; later places are no better
+                    done.add(k)
         return [(self.items[k][0], -s, n, m) for k, (m, s, n) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, least: int = LEAST_ITEM):
     """Indexes of the benchmark, each over about block_words words at most."""
     rows = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = -(-total // block_words)
     for b in range(n):
-        yield Index([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()])
+        yield Index([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], least)
+
+
+def short_items(benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
+    """The items that are not searched."""
+    return benchmark.filter(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))) < least)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, least: int = LEAST_ITEM) -> DataFrame:
     """doc_id, item_id, start, words, matched: one row for each item that a document holds (word places)."""
     schema = "doc_id long, item_id long, start int, words int, matched int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in blocks(benchmark, block_words):
+    for index in blocks(benchmark, block_words, least):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -146,9 +190,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, least: int = LEAST_ITEM) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    for index in blocks(benchmark, block_words):
+    for index in blocks(benchmark, block_words, least):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):

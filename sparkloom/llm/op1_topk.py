@@ -11,7 +11,7 @@ block once in a task of its own (a stated query set against all rows, in blocks)
 most k rows a query. Nothing is broadcast or collected.
 
 Defined results: rows whose vec_id is null, whose vector is null, empty or holds null or non-finite
-components take no part. Vectors of another dimension than the query's are no candidates. Of rows that
+components, or one that is 2**62 or more when scaled, take no part. Scores beyond a long become its ends. Vectors of another dimension than the query's are no candidates. Of rows that
 share a vec_id one is kept (the smallest packed vector). A query without candidates has no row. Ties go
 to the smaller vec_id. Extra columns are ignored. An empty table gives no rows.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from .common import stored, table
 
-QUERY_BLOCK, ROW_BLOCK, LEVELS, SCALE = 1024, 8192, (2, 8, 16), 256.0
+QUERY_BLOCK, ROW_BLOCK, LEVELS, SCALE, MOST = 1024, 8192, (2, 8, 16), 256.0, 2.0**62
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -38,7 +38,7 @@ def pack(batches):
             if vec_id is None or pd.isna(vec_id) or x is None or len(x) == 0:
                 continue
             x = np.asarray(x, dtype=np.float64)
-            if np.isfinite(x).all():
+            if np.isfinite(x).all() and np.abs(SCALE * x).max() < MOST:
                 keep.append(i)
                 vecs.append(np.floor(SCALE * x).astype("<i8").tobytes())
         yield pd.DataFrame({"vec_id": pdf["vec_id"].iloc[keep].astype("int64").to_numpy(), "vec": pd.Series(vecs, dtype=object)})
@@ -55,7 +55,8 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
 
 def best_of_block(q_ids, q, r_ids, r, k: int) -> list[tuple[int, int, int]]:
     """The k best of rows r for each query of q: (query_id, vec_id, score)."""
-    exact = np.float64 if max(np.abs(q).max(), np.abs(r).max()) < 2**22 else np.int64
+    most = q.shape[1] * int(np.abs(q).max()) * int(np.abs(r).max())  # of a sum of products
+    exact = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
     q, r = q.astype(exact), r.astype(exact)
     order = np.argsort(r_ids, kind="stable")
     r_ids, r = r_ids[order], r[order]
@@ -79,8 +80,8 @@ def best_of_block(q_ids, q, r_ids, r, k: int) -> list[tuple[int, int, int]]:
                     floor = max(floor, (r[tried] @ q[i]).min())
                 left = left[bound >= floor - slack]
         score = r[left] @ q[i]
-        top = np.lexsort((r_ids[left], -score))[:k]
-        found += [(int(q_id), int(r_ids[left][t]), int(score[t])) for t in top]
+        top = (np.lexsort((r_ids[left], -score)) if exact is not object else sorted(range(len(left)), key=lambda t: (-score[t], r_ids[left[t]])))[:k]
+        found += [(int(q_id), int(r_ids[left][t]), min(2**63 - 1, max(-(2**63), int(score[t])))) for t in top]
     return found
 
 

@@ -3,7 +3,7 @@
 Each document is tokenized once. Its full windows of WINDOW ids are sequences of their own; the tail goes
 to the index. Tails are dealt into tasks by range of a min-hash of their id pairs, so similar ones lie
 together and no key can gather too many rows (ties split by doc_id). A task reads its range in shards of
-SHARD tails and builds an inverted index with BM25 weights over each shard; document frequencies are those of
+SHARD new tails and builds an inverted index with BM25 weights over each shard; document frequencies are those of
 all documents, a table of at most the tokenizer's vocabulary that the tasks sum up and all get. The first
 unused tail is the seed; the unused neighbours with the best scores follow until the window is full, the last
 one cut, its rest unused still. What is left of a shard (less than a window) joins the next one; the last rest
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-WINDOW, SHARD, END_ID, VOCABULARY, K1, B = 1024, 256, 0, 50_257, 1.5, 0.75
+WINDOW, SHARD, DENSE, END_ID, VOCABULARY, K1, B = 1024, 1024, 16, 0, 50_257, 1.5, 0.75
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -132,24 +132,40 @@ class Shard:
         self.tails = tails
         self.left = [len(t[3]) for t in tails]
         parts = [np.unique(t[3], return_counts=True) for t in tails]
-        self.terms = [p[0] for p in parts]
+        self.terms = [p[0].astype(np.int64) for p in parts]
         doc = np.repeat(np.arange(len(tails)), [len(p[0]) for p in parts])
-        term = np.concatenate([p[0] for p in parts]).astype(np.int64)
+        term = np.concatenate(self.terms)
         tf = np.concatenate([p[1] for p in parts]).astype(np.float64)
         size = np.array(self.left, np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / size.mean())[doc]))
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / size.mean())[doc]))).astype(np.float32)
+        held = np.bincount(term, minlength=VOCABULARY)
+        # Terms that many tails hold are rows of a matrix, all others posting lists.
+        common = np.flatnonzero(held * DENSE > len(tails))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        self.matrix = np.zeros((len(common), len(tails)), np.float32)
+        self.matrix[self.row[term[dense]], doc[dense]] = weight[dense]
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """The other tails of the shard by falling BM25 score for the seed's ids, ties in order."""
-        terms = self.terms[seed].astype(np.int64)
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 scores of all tails for the seed's ids."""
+        terms = self.terms[seed]
+        rows = self.row[terms]
+        asked = np.zeros(len(self.matrix), np.float32)
+        asked[rows[rows >= 0]] = 1
+        terms = terms[rows < 0]
         a = self.starts[terms]
         n = self.starts[terms + 1] - a
         at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        score = np.bincount(self.doc[at], self.weight[at], len(self.tails))
-        return np.argsort(-score, kind="stable")
+        return asked @ self.matrix + np.bincount(self.doc[at], self.weight[at], len(self.tails))
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """The tails of the shard by falling score for the seed's ids, ties in order."""
+        return np.argsort(-np.round(self.scores(seed), 3), kind="stable")
 
     def take(self, i: int, most: int) -> tuple:
         """Up to most ids of tail i: (doc_id, start, ids, doc tokens)."""
@@ -226,6 +242,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool = Tr
             return out
 
         held: list[tuple] = []
+        fresh = ids_held = 0
         for b in batches:
             for doc_id, n, crcs, head, tail in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "crcs", "head", "tail")), strict=True):
                 for k, x in enumerate(crcs):
@@ -233,11 +250,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool = Tr
                     sequence += 1
                 if tail:
                     held.append((doc_id, n, len(crcs) * WINDOW, np.frombuffer(tail, np.uint16)))
-                if len(held) >= SHARD:
+                    fresh, ids_held = fresh + 1, ids_held + len(tail) // 2
+                if fresh >= SHARD and ids_held >= WINDOW:  # rests of less than a window wait for that many new tails
                     shard = Shard(held, idf.value)
                     for pieces in shard.windows():
                         emit(pieces)
-                    held = shard.rest()
+                    held, fresh = shard.rest(), 0
+                    ids_held = sum(len(t[3]) for t in held)
                 if len(rows) >= 4096:
                     yield flush()
         if held:

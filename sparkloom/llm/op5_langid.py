@@ -12,12 +12,14 @@ equally (their trigram shares are summed).
 Texts are lower-cased; letters are what str.isalpha holds for, everything between is one border sign.
 Defined results: null texts and those without a letter are ``und`` with score 0. With no learned language all
 are ``und``. Ties go to the smaller name. Repeated rows are rows (and weigh as such in training). A null doc_id
-is held out of training. Extra columns pass through. An empty table gives no rows.
+is held out of training. Extra columns pass through, but columns of the result's own names (lang_pred, score) are replaced.
+An empty table gives no rows. More than MAX_LANGS languages are an error: prototypes are held by every task.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from functools import lru_cache
 
@@ -29,7 +31,15 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 DIMENSION, MAX_LANGS, UNKNOWN, FLOOR, SHORT, TRAIN_ROWS, MOST_GRAMS = 1024, 1000, "und", 0.2, 64, 1000, 12_000
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+def _not_letters() -> str:
+    """A character class of all that str.isalpha does not hold for: besides the plain classes, numbers that are no digits, like fractions."""
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return r"[\W\d_" + "".join(odd) + "]+"
+
+
+_OTHER = re.compile(_not_letters())
 _CODE = 1 << 21  # code points are below this
 
 

@@ -6,6 +6,8 @@ blocked pages along the reversed links, and a host whose distrust exceeds its tr
 blocked. The two are compared in pages (scores times the number of seed pages, not rounded), so a verdict does not
 change because unrelated hosts are added; the columns hold shares of all seeds, rounded to 9 digits.
 
+A rule's path starts with the slash: one of a bare host fits every path but the empty one.
+
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and takes no
 part in the graph (verdict allow). A null html has no links. Repeated rows are judged alike; repeated
 links count once for a pair of hosts. Extra columns are ignored. An empty table gives no rows.
@@ -49,7 +51,7 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     known = F.create_map(*pairs)
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = F.filter(F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(known, s)), lambda a: a.isNotNull())), lambda r: F.when(r.p == "/", F.lit(True)).otherwise(F.startswith(path, r.p)))
+    fits = F.filter(F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(known, s)), lambda a: a.isNotNull())), lambda r: F.startswith(path, r.p))
     best = F.array_max(fits)
     return F.when((F.size(fits) > 0) & (host != ""), F.struct(best.rule.alias("rule"), best.verdict.alias("verdict")))
 
@@ -118,7 +120,7 @@ def _oracle() -> str:
     ctes = [
         f"pg AS (SELECT row_number() OVER () AS rid, page_id, {host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages)",
         f"rl AS (SELECT * FROM (VALUES {', '.join(values)}) t(verdict, rule, h, p))",
-        "fit AS (SELECT rid, arg_max(rule, [length(h), length(p)]) AS rule, arg_max(verdict, [length(h), length(p)]) AS by_rule FROM pg JOIN rl ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND (p = '/' OR starts_with(path, p)) GROUP BY rid)",
+        "fit AS (SELECT rid, arg_max(rule, [length(h), length(p)]) AS rule, arg_max(verdict, [length(h), length(p)]) AS by_rule FROM pg JOIN rl ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)",
         "rd AS (SELECT pg.*, fit.rule, fit.by_rule FROM pg LEFT JOIN fit ON pg.rid = fit.rid)",
         "hs AS (SELECT host, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM rd WHERE host <> '' GROUP BY host)",
         f"ln AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {host("CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?((?:https?:)?//[^\\s\"''>]+)', 1)) AS href FROM rd)) WHERE src <> '' AND dst <> '' AND src <> dst)",

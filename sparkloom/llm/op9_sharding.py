@@ -1,7 +1,7 @@
 """Sharding by a k-d tree of distributed weighted medians (DataFrame functions only).
 
-Rows are points in metadata space: text size, source, language and place in the id order, each scaled to
-4096 steps. A node that must feed k shards is split along its widest dimension (largest byte-weighted
+Rows are points in metadata space: text size, source and language (by rank of their bytes) and place in the id order,
+each scaled to 4096 steps. A node that must feed k shards is split along its widest dimension (largest byte-weighted
 standard deviation) where floor(k/2)/k of its bytes lie below, until every leaf feeds one shard. The law
 is ``bytes``: sizes are near equal.
 
@@ -9,7 +9,7 @@ A split point is found by histograms: 4096 bins on the dimension, then 4096 and
 the text inside the cut bin. Only the histograms (at most ``shards * 4096`` rows each, a bound that does
 not depend on the data) reach the driver; all the nodes of a level share a job. Equal texts share the
 metadata of their first row and one hash, so they stay in one shard, unless a group has more than a
-thirty-second of a shard's bytes: then it is dealt into parts of about that size by doc_id.
+thirty-second of a shard's bytes: then its rows are dealt into parts of about that size, each row by a number of its own.
 
 Defined results: a null text has no bytes (size 16) and equals the empty text in its crc32; null source,
 language or doc_id count as a value of their own. Repeated rows are rows. With fewer rows than shards some
@@ -30,15 +30,20 @@ STEPS, SHARDS, OVERHEAD, PARTS, SLOT_ROWS = 4096, 40, 16, 32, 100_000
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_place")
 
 
-def _step(col: Column) -> Column:
-    """A hash of a category to one of STEPS."""
-    return F.pmod(F.xxhash64(F.coalesce(col.cast("string"), F.lit("\0"))), F.lit(STEPS)).cast("int")
+def _ranks(rows: DataFrame, column: str) -> DataFrame:
+    """value, step: a category's place among the categories by falling bytes, scaled to STEPS; all beyond the first STEPS - 1 share the last step.
+
+    At most STEPS - 1 rows, so it is broadcast. Values that share a step are told apart by the hash inside it.
+    """
+    most = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("\0")).alias("value")).agg(F.sum("size").alias("bytes")).orderBy(F.desc("bytes"), "value").limit(STEPS - 1).collect()
+    scale = (STEPS - 1) / max(1, len(most))
+    return rows.sparkSession.createDataFrame([(r.value, int(i * scale)) for i, r in enumerate(most)], f"{column}_value string, d_{column} int")
 
 
 def _points(docs: DataFrame, shards: int) -> DataFrame:
     """Per row doc_id, size, text_crc32, the dimensions, and u: 24 hash bits of the unit it moves with."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.monotonically_increasing_id().alias("r"))
     rows = stored(rows, "op9-rows")
     groups = rows.groupBy("h1", "h2", "size").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "source", "lang")).alias("one"))
     groups = stored(groups, "op9-groups")
@@ -48,12 +53,15 @@ def _points(docs: DataFrame, shards: int) -> DataFrame:
     top = max(2.0, float(sums[3] or 2))
     whole = rows.join(groups.withColumnsRenamed({"h1": "g1", "h2": "g2", "size": "gs"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("size") == F.col("gs")))
     parts = F.ceil(F.col("size") * F.col("copies") / F.lit(part))
-    salt = F.when((F.col("copies") > 1) & (parts > 1), F.pmod(F.xxhash64("doc_id"), parts)).otherwise(F.lit(0))
+    salt = F.when((F.col("copies") > 1) & (parts > 1), F.pmod(F.xxhash64("r"), parts)).otherwise(F.lit(0))
     place = F.coalesce(F.floor((F.col("one.doc_id") - F.lit(low)) * F.lit(float(STEPS - 1)) / F.lit(float(span))), F.lit(0))
+    for c in ("source", "lang"):
+        whole = whole.withColumn(f"of_{c}", F.coalesce(F.col(f"one.{c}").cast("string"), F.lit("\0")))
+        whole = whole.join(F.broadcast(_ranks(rows, c)), F.col(f"of_{c}") == F.col(f"{c}_value"), "left").withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(STEPS - 1)))
     return whole.select(
-        "doc_id", "size", "text_crc32",
+        "doc_id", "size", "text_crc32", "r", "d_source", "d_lang",
         F.floor(F.log(F.col("size").cast("double")) * F.lit(float(STEPS - 1)) / F.log(F.lit(top))).cast("int").alias("d_size"),
-        _step(F.col("one.source")).alias("d_source"), _step(F.col("one.lang")).alias("d_lang"), place.cast("int").alias("d_place"),
+        place.cast("int").alias("d_place"),
         F.shiftrightunsigned(F.xxhash64("h1", "h2", salt), 40).cast("int").alias("u"),
     )
 
@@ -122,12 +130,12 @@ def place_in_tree(points: DataFrame, shards: int) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text, source, lang)."""
-    placed = place_in_tree(_points(docs, shards), shards).select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
+    placed = place_in_tree(_points(docs, shards), shards).select("doc_id", "size", "text_crc32", "r", F.col("node").cast("int").alias("shard"))
     runs = max(1, placed.count() // (shards * SLOT_ROWS))
-    placed = stored(placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(8, runs)))), "op9-placed")
+    placed = stored(placed.withColumn("run", F.pmod(F.xxhash64("r"), F.lit(max(8, runs)))), "op9-placed")
     first = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     first = stored(first.select("shard", "run", (F.sum("n").over(W.partitionBy("shard").orderBy("run")) - F.col("n")).alias("before")), "op9-slots")
-    order = W.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")
+    order = W.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size", "r")
     return placed.join(first, ["shard", "run"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.row_number().over(order) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

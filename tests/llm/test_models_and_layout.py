@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -274,9 +275,63 @@ def test_neighbours_are_the_best_by_bm25():
     assert {p[0] % 4 for p in first} == {0}
 
 
+def test_scores_are_those_of_plain_bm25():
+    rng = np.random.default_rng(2)
+    tails = [(i, 50, 0, (rng.zipf(1.3, rng.integers(1, 300)) % 400).astype(np.uint16)) for i in range(60)]
+    idf = rng.random(op4_packing.VOCABULARY) * 5
+    shard = op4_packing.Shard(tails, idf)
+    assert 0 < len(shard.matrix) < 400
+    mean, k1, b = np.mean([len(t[3]) for t in tails]), op4_packing.K1, op4_packing.B
+    for seed in (0, 17, 59):
+        for i, t in enumerate(tails):
+            tf = Counter(t[3].tolist())
+            want = sum(idf[w] * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(t[3]) / mean)) for w in set(tails[seed][3].tolist()) if w in tf)
+            assert abs(shard.scores(seed)[i] - want) < 1e-2
+
+
+def test_many_null_texts_are_packed_fast_and_odd_columns_pass(spark):
+    rows = [(None if i % 3 else i, None if i % 2 else "") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("n", "key", "head", "tail", "df", "ids")})
+    began = time.perf_counter()
+    pieces = op4_packing.pack(df.coalesce(1)).collect()
+    assert time.perf_counter() - began < 20 and sum(p.length for p in pieces) == 6000
+    lengths = Counter()
+    for p in pieces:
+        lengths[p.sequence_id] += p.length
+    assert all(n & (n - 1) == 0 for n in lengths.values())
+
+
+def test_ids_are_those_of_the_named_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    real, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), op4_packing.Tokenizer(op4_packing.default_tokenizer())
+    real.encode_special_tokens = True
+    rng = random.Random(8)
+    odd = ["a" * 5000, "  " * 700, "\n" * 900, "\x00\x01\x7f", "<|endoftext|>", "日本語テキスト" * 50, "é́ñ\u200d👩‍👩‍👧 ｆｕｌｌ", "1234567890" * 90, "don't we'LL I'm", "\u00a0\u2003 x\r\n\ty", "…—“”"]
+    odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x2000), rng.randrange(0x3000, 0xD000), rng.randrange(0x10000, 0x1F9FF)])) for _ in range(rng.randrange(200))) for _ in range(200)]
+    texts = odd + [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t, e in zip(texts, real.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.ids(t).tolist() == [*e.ids, 0]
+
+
 # --- 5: language ID
 
 
+def test_numbers_are_no_letters_and_cosines_are_plain(spark):
+    docs = docs_of(spark, [(i, t, "en") for i, t in enumerate(["½ ²", "Ⅷ", "٣ 12", "①", "x½y", "the cat and the dog", "ʰ"])])
+    model = op5_langid.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in op5_langid.identify(docs, model).collect()}
+    assert [i for i in got if got[i].lang_pred == "und"] == [0, 1, 2, 3]
+    v = np.zeros(op5_langid.DIMENSION)
+    text = " the cat and the dog "
+    for a, b, c in zip(text, text[1:], text[2:]):
+        v += np.roll(op5_langid.letter(ord(a)), 2) * np.roll(op5_langid.letter(ord(b)), 1).astype(float) * op5_langid.letter(ord(c))
+    cosine = {k: float(p @ v / np.linalg.norm(v)) for k, p in model.items()}
+    assert got[5].lang_pred == max(cosine, key=cosine.get) and abs(got[5].score - max(cosine.values())) < 1e-6
+
+
 def test_language_accuracy_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = op5_langid.train(docs)
@@ -382,4 +437,9 @@ def test_shards_are_even_and_gapless(spark):
     text = {r[0]: r[1] or "" for r in rows}
     assert all(r.size == len(text[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
     assert op9_sharding.shard_documents(df.limit(0)).count() == 0
+    copies = [(1, "same row " * 30, "en", "a")] * 800 + [(i, "y" * 290 + str(i), "en", f"s{i % 90}") for i in range(800)]
+    even = Counter()
+    for r in op9_sharding.shard_documents(spark.createDataFrame(copies, "doc_id long, text string, lang string, source string")).collect():
+        even[r.shard] += r.size
+    assert max(even.values()) < 1.1 * sum(even.values()) / 40
     assert {r.shard for r in op9_sharding.shard_documents(df.limit(3)).collect()} <= set(range(40))

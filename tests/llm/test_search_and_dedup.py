@@ -207,9 +207,57 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {(d, i) for d, t in texts for i, x in items if t and x and op10_decontaminate._WORD.findall(x) and brute_leak(x, t)}
     for block in (200_000, 40):
-        got = op10_decontaminate.leaks(docs_of(spark, texts), bench, block).collect()
+        got = op10_decontaminate.leaks(docs_of(spark, texts), bench, block, least=1).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
-    kept = {r.doc_id for r in op10_decontaminate.clean(docs_of(spark, texts), bench).collect()}
+    kept = {r.doc_id for r in op10_decontaminate.clean(docs_of(spark, texts), bench, least=1).collect()}
     assert kept == {d for d, _ in texts} - {d for d, _ in want}
     assert op10_decontaminate.leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
     assert op10_decontaminate.leaks(docs_of(spark, texts).limit(0), bench).count() == 0
+
+
+def test_huge_components_are_exact_or_leave(spark):
+    rows = [(0, [3e15, -3e15]), (1, [3e15, 1.0]), (2, [2e15, -1e15]), (3, [1e30, 1.0]), (4, [1e9, 1e9]), (5, [-3e15, 3e15])]
+    got = {r.vec_id: r.score for r in op1_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect()}
+    a = [int(256 * 3e15), int(256 * -3e15)]
+    exact = {i: a[0] * int(256 * x) + a[1] * int(256 * y) for i, (x, y) in rows if i not in (0, 3)}
+    assert got == {i: min(2**63 - 1, max(-(2**63), x)) for i, x in exact.items()}
+
+
+def test_rows_that_repeat_lose_their_lines_and_odd_columns_stay(spark):
+    text = "\n".join(f"line {i}" for i in range(6))
+    rows = [(1, text, i) for i in range(3)] + [(None, "a\nb\nc", 7), (0, "x\na\nb\nc", 8), (2, None, 9), (3, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k int").withColumns({c: F.lit(c) for c in ("r", "row", "at", "new", "_t")})
+    out = op7_line_dedup.dedup_lines(df).collect()
+    assert sorted(r.n_removed for r in out if r.doc_id == 1) == [0, 6, 6] and sorted(r._k for r in out) == [0, 1, 2, 7, 8, 9, 9]
+    assert {r.text for r in out if r.doc_id == 0} == {"x"} and all((r.r, r.row, r._t) == ("r", "row", "_t") for r in out)
+
+
+def test_repeated_words_take_bounded_memory():
+    import tracemalloc
+
+    for n, m in ((4000, 4000), (60_000, 300)):
+        index = op10_decontaminate.Index([(1, "word " * m), (2, "a b " * (m // 2)), (3, "one two three four five six seven eight nine ten eleven twelve thirteen")])
+        cache = op10_decontaminate._Hashes()
+        for text, want in (("word " * n, (1, 0, m, m)), ("a b " * (n // 2), (2, 0, m // 2 * 2, m // 2 * 2))):
+            tracemalloc.start()
+            assert index.matches(op10_decontaminate.word_hashes(text, cache)) == [want]
+            assert tracemalloc.get_traced_memory()[1] < 200_000_000
+            tracemalloc.stop()
+    assert op10_decontaminate.Index([(1, "the"), (2, "a b c d")]).items == []
+
+
+def test_places_by_convolution_are_all_differences():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x, y = (np.unique(rng.integers(0, 500, rng.integers(1, 60))) for _ in range(2))
+        got = op10_decontaminate._places(3, x, y)
+        assert got.tolist() == sorted({int(op10_decontaminate.at_place(3, a - b)) for a in x for b in y})
+
+
+def test_short_items_and_odd_columns_of_decontamination(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "alpha beta gamma delta epsilon zeta"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat"), (2, "say alpha beta gamma delta epsilon zeta now"), (None, None), (4, "")], "doc_id long, text string").withColumns({"item_id": F.lit("i"), "start": F.lit("s")})
+    assert [(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, bench).collect()] == [(2, 2)]
+    kept = op10_decontaminate.clean(docs, bench)
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4] and kept.columns == docs.columns
+    assert {r.item_id for r in op10_decontaminate.short_items(bench).collect()} == {1, 3}
