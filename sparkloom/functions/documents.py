@@ -235,6 +235,8 @@ def chunk_documents(docs: DataFrame, how: Chunking = Chunking(), rows: int = 200
         held: list[tuple] = []
         for b in batches:
             for doc in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source_id", "title", "body")), strict=True):
+                if doc[0] is None or doc[3] is None:  # asked here: a filter would make Spark work the texts out twice
+                    continue
                 for chunk in chunks_of(*doc, how):
                     held.append(chunk)
                     if len(held) >= rows:
@@ -245,4 +247,4 @@ def chunk_documents(docs: DataFrame, how: Chunking = Chunking(), rows: int = 200
     def _batch(held):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(schema.types)], names=names)
 
-    return docs.filter(F.col("body").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "source_id", "title", "body").mapInArrow(run, CHUNKS)
+    return docs.select("doc_id", "source_id", "title", "body").mapInArrow(run, CHUNKS)
