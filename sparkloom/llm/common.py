@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,20 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The session's folder under the one all executors share, spark.checkpoint.dir.
+
+    Only on a local master a temporary folder stands in where that is unset; on a cluster it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/sparkloom-{spark.sparkContext.applicationId}"
+
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -42,7 +51,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*frames: DataFrame, spark: SparkSession) -> None:
+    """Delete what stored() wrote for these frames, which nothing reads any more, and let Spark clear shuffle files of jobs that are done."""
+    for df in frames:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark.range(1).count()  # the last job's plan is held until the next one runs
+    spark._jvm.System.gc()  # shuffle files go when their plan is collected, which else may be long after
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:

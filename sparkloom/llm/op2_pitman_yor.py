@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import forget, small_batches, stored, table
 
-FOLDS, HELD_OUT, SAMPLES, BURN_IN, STRENGTH, GROUPS = 7, 2, 3, 2, (1.0, 0.1), 4
-BATCH_TOKENS, BATCH_DOCS, BUCKET_TOKENS, HEAVY, PART, PIECE = 1_000_000, 60_000, 3_000_000, 50_000, 65_536, 1 << 19
+FOLDS, HELD_OUT, SAMPLES, BURN_IN, STRENGTH, GROUPS = 7, 2, 2, 1, (1.0, 0.1), 4
+BATCH_TOKENS, BATCH_DOCS, BUCKET_TOKENS, HEAVY, PART, PIECE, SLICES = 2_000_000, 60_000, 3_000_000, 50_000, 65_536, 1 << 19, 2
 END = b"\n"
 
 #: Packed rows: kind tells what the bytes hold; rows of a batch or a bucket are sent, sorted and read in order.
-_NAMES = ["bucket", "kind", "batch", "part", "a", "b", "c", "d", "e"]
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-_ROW = "bucket int, kind int, batch long, part long, a binary, b binary, c binary, d binary, e binary"
-CELLS = "kind int, w long, u long, c long, n long"
-STATE = "bucket int, w long, c long, u long, n long, t long, acc double"
+_NAMES = ["bucket", "kind", "batch", "part", *"abcdef"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+_ROW = "bucket int, kind int, batch long, part long, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -59,10 +58,6 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], names=_NAMES)
 
 
-def _table(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[c.split()[0] for c in schema.split(", ")])
-
-
 def _read(batches):
     """The packed rows of Arrow batches, one at a time."""
     for b in batches:
@@ -81,6 +76,16 @@ def _grouped(rows, key: int):
         yield run
 
 
+def _array(row: tuple, i: int, kind=np.uint64) -> np.ndarray:
+    """The i-th bytes of a packed row as numbers."""
+    return np.frombuffer(row[4 + i], kind)
+
+
+def _by_bucket(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+    """Packed rows dealt by bucket, so many partitions that a task holds few buckets at any size, in order within them."""
+    return rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", *(order or ("part", "kind", "batch")))
+
+
 def training(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS != HELD_OUT
 
@@ -115,8 +120,12 @@ def tokenized(docs: DataFrame) -> DataFrame:
             trained = np.array([training(i) for i, _ in docs_], np.uint8)
             n = np.array([k for _, k in docs_], np.int64)
             marks = np.stack([np.array([i is None for i, _ in docs_], np.uint8), trained])
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            return _rows([(0, 0, batch, int((n * trained).sum()), ids.tobytes(), marks.tobytes(), n.tobytes(), np.concatenate(parts).tobytes(), hashes.tobytes())])
+            hashes, tokens = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.concatenate(parts)
+            order = np.argsort(-np.bincount(tokens), kind="stable")  # frequent words get small numbers: their upper bytes compress away
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            planes = number[tokens].view(np.uint8).reshape(-1, 4).T
+            return _rows([(0, 0, batch, int((n * trained).sum()), ids.tobytes(), marks.tobytes(), n.tobytes(), planes.tobytes(), hashes[order].tobytes())])
 
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -142,7 +151,8 @@ class Batch:
         self.id = row[2]
         self.doc_ids, marks = np.frombuffer(row[4], np.int64), np.frombuffer(row[5], np.uint8).reshape(2, -1)
         self.no_id, self.trained = marks[0].astype(bool), marks[1].astype(bool)
-        self.n, self.words, self.hashes = np.frombuffer(row[6], np.int64), np.frombuffer(row[7], np.uint32), np.frombuffer(row[8], np.uint64)
+        self.n, self.hashes = np.frombuffer(row[6], np.int64), np.frombuffer(row[8], np.uint64)
+        self.words = np.ascontiguousarray(np.frombuffer(row[7], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
     def pairs(self, heavy: np.ndarray, buckets: int):
         """(buckets, context numbers, word numbers, places of each token's pair) of the pairs, by bucket."""
@@ -166,8 +176,8 @@ def _parts(to: np.ndarray):
             yield int(to[a]), part, at, min(z, at + PART)
 
 
-def send_pairs(tokens: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """Kind 1: the pairs of a batch for a bucket: context and word hashes, training counts."""
+def send_pairs(tokens: DataFrame, heavy: np.ndarray, buckets: int, which: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Kind 1: the pairs of a batch for a bucket: context and word hashes, training counts. which (k, n): only every n-th bucket from k on."""
 
     def run(batches):
         for row in _read(batches):
@@ -176,7 +186,8 @@ def send_pairs(tokens: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             n = np.bincount(at, np.repeat(b.trained, b.n), len(to)).astype(np.uint32)
             hu, hw = b.hashes[u], b.hashes[w]
             for bucket, part, a, z in _parts(to):
-                yield _rows([(bucket, 1, b.id, part, hu[a:z].tobytes(), hw[a:z].tobytes(), n[a:z].tobytes())])
+                if bucket % which[1] == which[0]:
+                    yield _rows([(bucket, 1, b.id, part, hu[a:z].tobytes(), hw[a:z].tobytes(), n[a:z].tobytes())])
 
     return tokens.mapInArrow(run, _ROW)
 
@@ -203,9 +214,16 @@ def _pairs_of(rows: list[tuple]):
     return joined(4, np.uint64), joined(5, np.uint64), joined(6, np.uint32).astype(np.int64)
 
 
-def count_cells(pairs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Kind 0: cells with two customers and more and how many cells their context has (0: heavy); kind 1: a word's customers and
-    cells in a bucket; kind 2: a heavy context's cells in a bucket."""
+def count_cells(pairs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """To the words' buckets, kind 0: words, their customers and cells in a bucket of pairs; kind 1: cells with two customers and more
+    (w, u, c, n: how many cells their context has, 0 for heavy ones). Kind 2: heavy contexts' cells in a bucket."""
+    none = np.empty(0, np.uint64)
+
+    def sent(kind: int, batch: int, w: np.ndarray, *more: np.ndarray):
+        to = bucket_of(w, w, none, buckets)
+        order = np.lexsort((w, to))
+        for bucket, part, a, z in _parts(to[order]):
+            yield (bucket, kind, batch, part, *(x[order[a:z]].tobytes() for x in (w, *more)))
 
     def run(batches):
         for rows in _grouped(_read(batches), 0):
@@ -213,17 +231,16 @@ def count_cells(pairs: DataFrame, heavy: np.ndarray) -> DataFrame:
             keep = n > 0
             if not keep.any():
                 continue
-            cells = Cells(u[keep], w[keep], n[keep])
-            size = cells.per_context(None).astype(np.int64)
+            cells, at = Cells(u[keep], w[keep], n[keep]), rows[0][0]
+            size = cells.per_context(None)
             split = np.isin(cells.contexts, heavy)
             live = np.flatnonzero(cells.c > 1)
-            yield _table(CELLS, np.zeros(len(live), np.int32), cells.w[live].view(np.int64), cells.u[live].view(np.int64), cells.c[live], np.where(split, 0, size)[cells.context[live]])
             words, of = np.unique(cells.w, return_inverse=True)
-            yield _table(CELLS, np.ones(len(words), np.int32), words.view(np.int64), np.zeros(len(words), np.int64), np.bincount(of, cells.c).astype(np.int64), np.bincount(of))
-            parts = cells.contexts[split].view(np.int64)
-            yield _table(CELLS, np.full(len(parts), 2, np.int32), parts, parts, np.zeros(len(parts), np.int64), size[split])
+            yield _rows(list(sent(0, at, words, np.bincount(of, cells.c).astype(np.int64), np.bincount(of).astype(np.int64))))
+            yield _rows(list(sent(1, at, cells.w[live], cells.u[live], cells.c[live], np.where(split, 0, size)[cells.context[live]].astype(np.int32))))
+            yield _rows([(0, 2, at, 0, cells.contexts[split].tobytes(), size[split].tobytes())])
 
-    return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, CELLS)
+    return _by_bucket(pairs, buckets).mapInArrow(run, _ROW)
 
 
 # --- Seating
@@ -243,7 +260,9 @@ class Model:
     once: int = 0
     customers: float = 0.0
     tables: float = 0.0
-    unknown: float = 1.0
+    #: Sums over the samples: probability of an unknown word, and the own part of a word that occurred once.
+    unknown: float = 0.0
+    single: float = 0.0
     #: Heavy contexts: their customers and mean tables.
     contexts: dict[int, tuple[float, float]] = field(default_factory=dict)
 
@@ -251,6 +270,12 @@ class Model:
         """Weight of a new table in the root, for one word."""
         return (self.strength[0] + self.discount[0] * self.tables) / (self.known + 1)
 
+    def sampled(self, counts: bool) -> None:
+        """Take the root totals as those of a sample, if they count."""
+        if counts:
+            self.unknown += self.base() / (self.strength[0] + self.customers)
+            self.single += self.root_share(1, 1)
+
     def root_share(self, customers, tables):
         """The part of a word's probability in the root that is its own."""
         return (customers - self.discount[0] * tables) / (self.strength[0] + self.customers)
@@ -287,116 +312,165 @@ def seat_cells(m: Model, c, t, total, dish, c0, t0, rng) -> tuple[np.ndarray, np
     return t, c0
 
 
-def _pieces(batches, columns: list[str]):
-    """(bucket, number, columns, whether the bucket ends) in pieces of PIECE rows, whatever batches they come in."""
-    held: list[list[np.ndarray]] = [[] for _ in columns]
-    bucket, number, size = None, 0, 0
+def _state_rows(bucket: int, part: int, runs, u, c, n, t, total):
+    """A packed part of a bucket's cells (kind 1): cells a dish, from dish number `runs[0]` on; batch: their extra tables."""
+    return (bucket, 1, int((t - 1).sum()), part, runs.astype(np.int64).tobytes(), u.tobytes(), c.tobytes(), n.astype(np.int32).tobytes(), t.astype(np.int32).tobytes(), total.astype(np.int32).tobytes())
 
-    def cut(k: int):
-        nonlocal held, size
-        whole = [np.concatenate(x) for x in held]
-        held, size = [[x[k:]] for x in whole], size - k
-        return dict(zip(columns, (x[:k] for x in whole), strict=True))
 
-    for b in batches:
-        of = b.column("bucket").to_numpy()
-        values = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])).tolist() if len(of) else [0]
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if bucket is not None and of[a] != bucket:
-                yield bucket, number, cut(size), True
-                number = 0
-            bucket = int(of[a])
-            for x, v in zip(held, values, strict=True):
-                x.append(v[a:z])
-            size += z - a
-            while size > PIECE:
-                yield bucket, number, cut(PIECE), False
-                number += 1
-    if bucket is not None:
-        yield bucket, number, cut(size), True
+def _root_row(bucket: int, w, count, c0, t0, acc):
+    """A bucket's dishes in the root (kind 0); batch: their tables."""
+    return (bucket, 0, int(t0.sum()), -1, w.tobytes(), count.tobytes(), c0.tobytes(), t0.tobytes(), acc.tobytes())
 
 
-def sweep(state: DataFrame, m: Model, number: int, account: bool) -> DataFrame:
-    """The state after one more Gibbs sweep. With account the seating before it is a sample and is added to acc.
+def first_seating(counts: DataFrame, sizes: dict[int, int], buckets: int) -> DataFrame:
+    """The state to start from, one table a cell: kind 0 roots (words that occur twice or more), kind 1 parts of cells, kind 2 words
+    that occur once, kind 3 sums for the model: words, those once, cells of words, words with one and two cells, live cells, those of two."""
+    known = counts.sparkSession.sparkContext.broadcast(sizes)
+
+    def run(batches):
+        for rows in _grouped(_read(batches), 0):
+            bucket = rows[0][0]
+            join = lambda kind, i, t: np.frombuffer(b"".join(r[4 + i] for r in rows if r[1] == kind), t)  # noqa: B023, E731
+            w, of = np.unique(join(0, 0, np.uint64), return_inverse=True)
+            count, cells = (np.bincount(of, join(0, i, np.int64), len(w)).astype(np.int64) for i in (1, 2))
+            lw, u, c, n = join(1, 0, np.uint64), join(1, 1, np.uint64), join(1, 2, np.int64), join(1, 3, np.int32)
+            order = np.lexsort((u, lw))
+            lw, u, c, n = lw[order], u[order], c[order], n[order].copy()
+            contexts, of = np.unique(u[n == 0], return_inverse=True)
+            n[n == 0] = np.array([known.value[int(k)] for k in contexts], np.int32)[of]
+            many = count > 1
+            yield _rows([(bucket, 2, 0, 0, w[~many].tobytes()), (bucket, 3, 0, 0, np.array([len(w), (~many).sum(), cells.sum(), (cells == 1).sum(), (cells == 2).sum(), len(c), (c == 2).sum()], np.int64).tobytes())])
+            w, count, cells = w[many], count[many], cells[many]
+            if len(w):
+                yield _rows([_root_row(bucket, w, count, cells, np.ones(len(w), np.int64), np.zeros(len(w)))])
+            dish = np.searchsorted(w, lw)
+            for part, a in enumerate(range(0, len(u), PIECE)):
+                z = min(len(u), a + PIECE)
+                own = dish[a:z]
+                one = np.ones(z - a, np.int64)
+                yield _rows([_state_rows(bucket, part, np.concatenate(([own[0]], np.bincount(own - own[0]))), u[a:z], c[a:z], n[a:z], one, 0 * one)])
+
+    return _by_bucket(counts.filter("kind < 2"), buckets, "kind", "batch", "part").mapInArrow(run, _ROW)
+
+
+def _cells_of(row: tuple):
+    """Dish numbers, u, c, n, t and summed tables of a part of cells."""
+    runs = _array(row, 0, np.int64)
+    return np.repeat(runs[0] + np.arange(len(runs) - 1), runs[1:]), _array(row, 1), _array(row, 2, np.int64), *(_array(row, i, np.int32).astype(np.int64) for i in (3, 4, 5))
+
+
+def _context_order(u: np.ndarray, buckets: int):
+    """Buckets of contexts, and the order in which cells lie by them."""
+    to = bucket_of(u, u, np.empty(0, np.uint64), buckets)
+    order = np.argsort(to, kind="stable")
+    return to[order], order
+
+
+def extra_tables(state: DataFrame, buckets: int) -> DataFrame:
+    """Kind 2, for each part of cells: how many tables more than cells the context of each cell has, added up over all its cells."""
+
+    def ask(batches):
+        for row in _read(batches):
+            _, u, _, _, t, _ = _cells_of(row)
+            to, order = _context_order(u, buckets)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])).tolist()
+            u, t = u[order], (t - 1).astype(np.int32)[order]
+            yield _rows([(int(to[a]), 0, row[0], row[3], u[a:z].tobytes(), t[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def tell(batches):
+        for rows in _grouped(_read(batches), 0):
+            _, of = np.unique(np.frombuffer(b"".join(r[4] for r in rows), np.uint64), return_inverse=True)
+            more = np.bincount(of, np.frombuffer(b"".join(r[5] for r in rows), np.int32)).astype(np.int32)[of]
+            at = 0
+            for r in rows:
+                z = at + len(r[5]) // 4
+                yield _rows([(r[2], 2, r[0], r[3], more[at:z].tobytes())])
+                at = z
+
+    return _by_bucket(state.filter("kind = 1").mapInArrow(ask, _ROW), buckets).mapInArrow(tell, _ROW)
 
-    State: a row (c = 0, u: customers, t: tables in the root) for each word that occurs twice or more, and one for each cell of
-    two customers or more (c; n: cells of its context; t: tables).
-    """
-    cells = state.filter("c > 0")
-    more = cells.filter("t > 1").groupBy(F.col("u").alias("of")).agg(F.sum(F.col("t") - 1).alias("more"))
-    rows = cells.join(more, F.col("u") == F.col("of"), "left").drop("of").unionByName(state.filter("c = 0").withColumn("more", F.lit(None).cast("long")))
-    rows = rows.withColumn("more", F.coalesce("more", F.lit(0).cast("long"))).repartition("bucket").sortWithinPartitions("bucket", "w", "c", "u")
+
+def sweep(state: DataFrame, m: Model, number: int, account: bool) -> DataFrame:
+    """The state after one more Gibbs sweep. With account the seating before it is a sample and is added to the sums."""
 
     def run(batches):
-        held = None  # root customers, tables, acc and word of a dish that may go on in the next piece
-        for bucket, piece, x, last in _pieces(batches, ["w", "c", "u", "n", "t", "acc", "more"]):
-            rng = np.random.default_rng([number, bucket, piece])
-            root = x["c"] == 0
-            acc = x["acc"].copy()
-            if account:
-                acc += np.where(root, m.root_share(x["u"], x["t"]), x["t"])
-            w, c0, t0, acc0 = (v[root] for v in (x["w"], x["u"], x["t"], acc))
-            if held is not None:
-                w, c0, t0, acc0 = (np.concatenate(p) for p in zip(held, (w, c0, t0, acc0), strict=True))
-            dish = np.cumsum(root) - 1 + (held is not None)
-            cell = ~root
-            t, c0 = seat_cells(m, x["c"][cell], x["t"][cell], x["n"][cell] + x["more"][cell], dish[cell], c0, t0, rng)
-            k = int(cell.sum())
-            yield _table(STATE, np.full(k, bucket, np.int32), x["w"][cell], x["c"][cell], x["u"][cell], x["n"][cell], t, acc[cell])
-            done = len(w) if last else len(w) - 1
-            free = (m.strength[0] + m.discount[0] * (m.tables - t0[:done])) / (m.known + 1)
-            t0 = np.concatenate((seat(c0[:done], lambda i, k: free[i] + m.discount[0] * k / (m.known + 1), m.discount[0], rng), t0[done:]))  # noqa: B023
-            zero = np.zeros(done, np.int64)
-            yield _table(STATE, np.full(done, bucket, np.int32), w[:done], zero, c0[:done], zero, t0[:done], acc0[:done])
-            held = None if last else (w[done:], c0[done:], t0[done:], acc0[done:])
-
-    return rows.mapInArrow(run, STATE)
+        for rows in _grouped(_read(batches), 0):
+            bucket, root = rows[0][0], rows[0]
+            rng = np.random.default_rng([number, bucket])
+            w, count, c0, t0 = (_array(root, i, np.int64) for i in range(4))
+            acc = _array(root, 4, np.float64) + (m.root_share(c0, t0) if account else 0)
+            for part in _grouped(rows[1:], 3):
+                dish, u, c, n, t, total = _cells_of(part[0])
+                _, order = _context_order(u, m.buckets)
+                more = np.empty(len(u), np.int64)
+                more[order] = np.frombuffer(b"".join(r[4] for r in part[1:]), np.int32)
+                first, last = dish[0], dish[-1] + 1
+                now, mine = seat_cells(m, c, t, n + more, dish - first, c0[first:last], t0[first:last], rng)
+                c0 = np.concatenate((c0[:first], mine, c0[last:]))
+                yield _rows([_state_rows(bucket, part[0][3], _array(part[0], 0, np.int64), u, c, n, now, total + t * account)])
+            free = (m.strength[0] + m.discount[0] * (m.tables - t0)) / (m.known + 1)
+            t0 = seat(c0, lambda i, k: free[i] + m.discount[0] * k / (m.known + 1), m.discount[0], rng)  # noqa: B023
+            yield _rows([_root_row(bucket, w, count, c0, t0, acc)])
+
+    return _by_bucket(state.filter("kind < 2").union(extra_tables(state, m.buckets)), m.buckets).mapInArrow(run, _ROW)
 
 
 def refresh(state: DataFrame, m: Model) -> None:
     """Root totals of the seating, added up anew."""
-    extra, tables = state.agg(F.sum(F.when(F.col("c") > 0, F.col("t") - 1)), F.sum(F.when(F.col("c") == 0, F.col("t")))).first()
+    extra, tables = state.agg(F.sum(F.when(F.col("kind") == 1, F.col("batch"))), F.sum(F.when(F.col("kind") == 0, F.col("batch")))).first()
     m.customers, m.tables = float(m.cells + (extra or 0)), float(m.once + (tables or 0))
 
 
+def _sums(rows: DataFrame, read, kind: str = "long") -> dict:
+    """Numbers read(row) -> (keys, values) from packed rows, added up by key; for few keys."""
+
+    def run(batches):
+        for row in _read(batches):
+            keys, values = read(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys).view(np.int64)), pa.array(np.asarray(values, {"long": np.int64, "double": np.float64}[kind]))], names=["k", "x"])
+
+    return {r.k: r.x for r in rows.mapInArrow(run, f"k long, x {kind}").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+
+
 def fit(tokens: DataFrame, strength: tuple[float, float] = STRENGTH) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, its words (w, count, p: mean probability in the root) and its cells (w, u, t: tables, added up over the samples)."""
+    """The model, its words that occur once (packed rows of kind 2) and its state after the last sweep."""
     n = tokens.agg(F.sum("part")).first()[0] or 0
     m = Model(n, 0, max(1, -(-n // BUCKET_TOKENS)), strength=strength)
     m.heavy = heavy_contexts(tokens, n)
-    counts = stored(count_cells(send_pairs(tokens, m.heavy, m.buckets), m.heavy), "op2-counts")
-    words = stored(counts.filter("kind = 1").groupBy("w").agg(F.sum("c").alias("count"), F.sum("n").alias("contexts")), "op2-words")
-    one = lambda c, k: F.count_if(F.col(c) == k)
-    m.known, m.once, once, twice, m.cells = (x or 0 for x in words.agg(F.count("*"), one("count", 1), one("contexts", 1), one("contexts", 2), F.sum("contexts")).first())
-    live, pairs_twice = counts.filter("kind = 0").agg(F.count("*"), one("c", 2)).first()
+    counts = stored(count_cells(send_pairs(tokens, m.heavy, m.buckets), m.heavy, m.buckets), "op2-counts")
+    forget(spark=tokens.sparkSession)
+    # How many cells the heavy contexts have: at most HEAVY keys (see heavy_contexts).
+    sizes = {k % (1 << 64): x for k, x in _sums(counts.filter("kind = 2"), lambda r: (_array(r, 0), _array(r, 1, np.int64))).items()} if len(m.heavy) else {}
+    state = stored(first_seating(counts, sizes, m.buckets), "op2-state")
+    single_words = stored(state.filter("kind = 2"), "op2-once")
+    sums = _sums(state.filter("kind = 3"), lambda r: (np.arange(7), _array(r, 0, np.int64)))
+    m.known, m.once, m.cells, once, twice, live, pairs_twice = (sums.get(i, 0) for i in range(7))
     share = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5
     m.discount = share(once, twice), share(m.cells - live, pairs_twice)
-    # How many cells the heavy contexts have: at most HEAVY rows (see heavy_contexts).
-    sizes = counts.filter("kind = 2").groupBy(F.col("u").alias("of")).agg(F.sum("n").alias("size"))
-    cells = counts.filter("kind = 0").join(F.broadcast(sizes), F.col("u") == F.col("of"), "left").select("w", "c", "u", F.coalesce("size", "n").alias("n"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc"))
-    roots = words.filter("count > 1").select("w", F.lit(0).cast("long").alias("c"), F.col("contexts").alias("u"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc"))
-    dealt = F.pmod(F.xxhash64("w"), F.lit(m.buckets)).cast("int").alias("bucket")
-    state = stored(cells.union(roots).select(dealt, "w", "c", "u", "n", "t", "acc"), "op2-state")
-    own, back_off = 0.0, 0.0
+    forget(counts, spark=counts.sparkSession)
     for k in range(BURN_IN + SAMPLES):
         refresh(state, m)
-        state = stored(sweep(state, m, k, k > BURN_IN), "op2-state")
-        if k > BURN_IN:
-            own, back_off = own + m.root_share(1, 1), back_off + m.base() / (m.strength[0] + m.customers)
+        m.sampled(k > BURN_IN)
+        old, state = state, stored(sweep(state, m, k, k > BURN_IN), "op2-state")
+        forget(old, spark=tokens.sparkSession)
     refresh(state, m)
-    own, back_off = own + m.root_share(1, 1), back_off + m.base() / (m.strength[0] + m.customers)
-    mine = F.col("acc") + (F.col("u") - F.lit(m.discount[0]) * F.col("t")) / F.lit(m.strength[0] + m.customers)
-    roots = state.filter("c = 0").select(F.col("w").alias("of"), mine.alias("mine"))
-    p = (F.coalesce("mine", F.lit(own)) + F.lit(back_off)) / SAMPLES
-    m.unknown = back_off / SAMPLES if n else 1.0
-    words = words.join(roots, F.col("w") == F.col("of"), "left").select("w", "count", p.alias("p"))
-    cells = stored(state.filter("c > 0").select("w", "u", (F.col("acc") + F.col("t")).cast("long").alias("t")), "op2-cells")
+    m.sampled(True)
     if len(m.heavy):
-        more = cells.join(F.broadcast(sizes), F.col("u") == F.col("of"), "left_semi").groupBy("u").agg((F.sum("t") / SAMPLES - F.count("*")).alias("more"))
-        found = words.join(F.broadcast(sizes), F.col("w") == F.col("of")).join(more, F.col("w") == F.col("u"), "left")
-        m.contexts = {r.w % (1 << 64): (r["count"], r["size"] + (r["more"] or 0)) for r in found.collect()}
-    return m, words, cells
+
+        def tables(row):
+            _, u, _, _, t, total = _cells_of(row)
+            keep = np.isin(u, m.heavy)
+            of, at = np.unique(u[keep], return_inverse=True)
+            return of, np.bincount(at, ((t + total) / SAMPLES - 1)[keep], len(of))
+
+        def customers(row):
+            w, count = _array(row, 0), _array(row, 1, np.int64)
+            keep = np.isin(w, m.heavy)
+            return w[keep], count[keep]
+
+        extra, held = _sums(state.filter("kind = 1"), tables, "double"), _sums(state.filter("kind = 0"), customers)
+        m.contexts = {k % (1 << 64): (x, sizes.get(k % (1 << 64), 0) + extra.get(k, 0.0)) for k, x in held.items()}
+    return m, single_words, state
 
 
 def heavy_contexts(tokens: DataFrame, n: int) -> np.ndarray:
@@ -420,37 +494,28 @@ def heavy_contexts(tokens: DataFrame, n: int) -> np.ndarray:
 # --- Scores
 
 
-def _deal(rows: DataFrame, columns: list[str], bucket, kind: int) -> DataFrame:
-    """Rows of numbers as packed rows: the columns' bytes, by bucket(columns)."""
+def deal_cells(state: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """Kind 0, to the buckets of pairs: contexts, words and summed tables of the cells."""
 
     def run(batches):
-        held, size = [], 0
-
-        def flush():
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            to = bucket(*cols)
-            order = np.argsort(to, kind="stable")
-            for b, part, a, z in _parts(to[order]):
-                yield _rows([(b, kind, 0, part, *(c[order[a:z]].tobytes() for c in cols))])
-
-        for b in batches:
-            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in columns])
-            size += b.num_rows
-            if size > 4 * PIECE:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
+        for rows in _grouped(_read(batches), 0):
+            words = _array(rows[0], 0)
+            for row in rows[1:]:
+                dish, u, _, _, t, total = _cells_of(row)
+                w = words[dish]
+                to = bucket_of(u, w, heavy, buckets)
+                order = np.argsort(to, kind="stable")
+                u, w, t = u[order], w[order], (t + total)[order]
+                yield _rows([(bucket, 0, row[0], row[3], u[a:z].tobytes(), w[a:z].tobytes(), t[a:z].tobytes()) for bucket, _, a, z in _parts(to[order])])
 
-    return rows.select(*columns).mapInArrow(run, _ROW)
+    return _by_bucket(state.filter("kind < 2"), buckets).mapInArrow(run, _ROW)
 
 
-def answer_pairs(requests: DataFrame, cells: DataFrame, m: Model) -> DataFrame:
+def answer_pairs(requests: DataFrame, state: DataFrame, m: Model) -> DataFrame:
     """Kind 2, to a batch: the discounted share of each of its pairs in a bucket, and the back-off weight of each run of a context."""
-    heavy, buckets, d, s = m.heavy, m.buckets, m.discount[1], m.strength[1]
-    known = cells.sparkSession.sparkContext.broadcast(m.contexts)
-    deal = lambda w, u, t: bucket_of(u.view(np.uint64), w.view(np.uint64), heavy, buckets)
-    both = requests.union(_deal(cells, ["w", "u", "t"], deal, 0))
+    heavy, d, s = m.heavy, m.discount[1], m.strength[1]
+    known = state.sparkSession.sparkContext.broadcast(m.contexts)
+    both = requests.union(deal_cells(state, heavy, m.buckets))
 
     def run(batches):
         for rows in _grouped(_read(batches), 0):
@@ -458,9 +523,9 @@ def answer_pairs(requests: DataFrame, cells: DataFrame, m: Model) -> DataFrame:
             if not asked:
                 continue
             u, w, n = _pairs_of(asked)
-            joined = lambda i: np.frombuffer(b"".join(r[i] for r in told), np.int64)  # noqa: B023, E731
-            lw, lu, lt = joined(4), joined(5), joined(6)
-            x = Cells(np.concatenate((u, lu.view(np.uint64))), np.concatenate((w, lw.view(np.uint64))), np.concatenate((n, np.zeros(len(lt), np.int64))))
+            joined = lambda i, t: np.frombuffer(b"".join(r[i] for r in told), t)  # noqa: B023, E731
+            lt = joined(6, np.int64)
+            x = Cells(np.concatenate((u, joined(4, np.uint64))), np.concatenate((w, joined(5, np.uint64))), np.concatenate((n, 0 * lt)))
             sampled = np.bincount(x.of, np.concatenate((np.zeros(len(n)), lt))[x.order], len(x.c)) / SAMPLES
             t = np.where(x.c > 1, sampled, x.c)
             customers, tables = x.per_context(x.c), x.per_context(t)
@@ -478,11 +543,11 @@ def answer_pairs(requests: DataFrame, cells: DataFrame, m: Model) -> DataFrame:
                 yield _rows([(r[0], 2, r[2], r[3], share[at:z].tobytes(), back[at:z][runs].tobytes())])
                 at = z
 
-    return both.repartition("bucket").sortWithinPartitions("bucket", "kind", "batch", "part").mapInArrow(run, _ROW)
+    return _by_bucket(both, m.buckets, "kind", "batch", "part").mapInArrow(run, _ROW)
 
 
 def send_words(tokens: DataFrame, buckets: int) -> DataFrame:
-    """Kind 1: the words of a batch for a word bucket, as hashes."""
+    """Kind 5: the words of a batch for a word bucket, as hashes."""
     none = np.empty(0, np.uint64)
 
     def run(batches):
@@ -491,32 +556,42 @@ def send_words(tokens: DataFrame, buckets: int) -> DataFrame:
             to = bucket_of(b.hashes, b.hashes, none, buckets)
             order = np.argsort(to, kind="stable")
             for bucket, part, a, z in _parts(to[order]):
-                yield _rows([(bucket, 1, b.id, part, b.hashes[order[a:z]].tobytes())])
+                yield _rows([(bucket, 5, b.id, part, b.hashes[order[a:z]].tobytes())])
 
     return tokens.mapInArrow(run, _ROW)
 
 
-def answer_words(requests: DataFrame, words: DataFrame, m: Model) -> DataFrame:
-    """Kind 1, to a batch: training count and root probability of its words in a bucket."""
-    none, unknown = np.empty(0, np.uint64), m.unknown
-    deal = lambda w, count, p: bucket_of(w.view(np.uint64), w.view(np.uint64), none, m.buckets)
-    both = requests.union(_deal(words, ["w", "count", "p"], deal, 0))
+def answer_words(requests: DataFrame, once: DataFrame, state: DataFrame, m: Model) -> DataFrame:
+    """Kind 1, to a batch: training count and mean root probability of its words in a bucket."""
+    both = requests.union(once).union(state.filter("kind = 0"))
+    unknown, single = m.unknown / SAMPLES, (m.single + m.unknown) / SAMPLES
 
     def run(batches):
         for rows in _grouped(_read(batches), 0):
-            told = [r for r in rows if r[1] == 0]
-            joined = lambda i, t: np.frombuffer(b"".join(r[i] for r in told), t)  # noqa: B023, E731
-            w, count, p = joined(4, np.uint64), joined(5, np.int64), joined(6, np.float64)
-            order = np.argsort(w)
-            w, count, p = w[order], count[order], p[order]
-            for r in rows[len(told) :]:
-                h = np.frombuffer(r[4], np.uint64)
-                at = np.minimum(np.searchsorted(w, h), max(0, len(w) - 1))
-                ok = w[at] == h if len(w) else np.zeros(len(h), bool)
-                n, q = (np.where(ok, count[at], 0), np.where(ok, p[at], unknown)) if len(w) else (np.zeros(len(h), np.int64), np.full(len(h), unknown))
-                yield _rows([(r[0], 1, r[2], r[3], n.tobytes(), q.tobytes())])
-
-    return both.repartition("bucket").sortWithinPartitions("bucket", "kind", "batch", "part").mapInArrow(run, _ROW)
+            w, count, p = [], [], []
+            for r in rows:
+                if r[1] == 0:
+                    c0, t0 = _array(r, 2, np.int64), _array(r, 3, np.int64)
+                    w.append(_array(r, 0))
+                    count.append(_array(r, 1, np.int64))
+                    p.append((_array(r, 4, np.float64) + m.root_share(c0, t0) + m.unknown) / SAMPLES)
+                elif r[1] == 2:
+                    w.append(_array(r, 0))
+                    count.append(np.ones(len(w[-1]), np.int64))
+                    p.append(np.full(len(w[-1]), single))
+                else:
+                    break
+            w, count, p = (np.concatenate([*x, np.zeros(1, t)]) for x, t in ((w, np.uint64), (count, np.int64), (p, np.float64)))
+            order = np.argsort(w[:-1])
+            for r in rows:
+                if r[1] == 5:
+                    h = _array(r, 0)
+                    at = np.searchsorted(w[:-1], h, sorter=order)
+                    at = np.append(order, len(order))[at]
+                    ok = w[at] == h
+                    yield _rows([(r[0], 1, r[2], r[3], np.where(ok & (count[at] > 0), count[at], 0).tobytes(), np.where(ok & (count[at] > 0), p[at], unknown).astype(np.float32).tobytes())])
+
+    return _by_bucket(both, m.buckets, "kind", "batch", "part").mapInArrow(run, _ROW)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -532,7 +607,7 @@ def gather(tokens: DataFrame, words: DataFrame, pairs: DataFrame, m: Model, by_t
             joined = lambda kind, i, t: np.frombuffer(b"".join(r[i] for r in rows if r[1] == kind), t)  # noqa: B023, E731
             order = np.argsort(bucket_of(b.hashes, b.hashes, none, m.buckets), kind="stable")
             count, p = np.empty(len(order), np.int64), np.empty(len(order))
-            count[order], p[order] = joined(1, 4, np.int64), joined(1, 5, np.float64)
+            count[order], p[order] = joined(1, 4, np.int64), joined(1, 5, np.float32)
             to, u, w, at = b.pairs(m.heavy, m.buckets)
             starts = np.concatenate([[a for _, _, a, _ in _parts(to)]]).astype(np.int64)
             new = np.concatenate(([True], u[1:] != u[:-1]))
@@ -549,17 +624,22 @@ def gather(tokens: DataFrame, words: DataFrame, pairs: DataFrame, m: Model, by_t
                 names.append("token_scores")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    rows = tokens.union(words).union(pairs).repartition("batch").sortWithinPartitions("batch", "kind", "bucket", "part")
+    rows = tokens.union(words).union(pairs).repartition(3 * m.buckets, "batch").sortWithinPartitions("batch", "kind", "bucket", "part")
     return rows.mapInArrow(run, SCORES + (", token_scores array<double>" if by_token else ""))
 
 
 def score_texts(docs: DataFrame, by_token: bool = False, strength: tuple[float, float] = STRENGTH) -> tuple[DataFrame, Model]:
     """doc_id, n_tokens, n_known, base_score, score (log10) for each row of docs (doc_id, text); the model."""
     tokens = stored(tokenized(docs), "op2-tokens")
-    m, words, cells = fit(tokens, strength)
-    words = answer_words(send_words(tokens, m.buckets), words, m)
-    pairs = answer_pairs(send_pairs(tokens, m.heavy, m.buckets), cells, m)
-    return gather(tokens, words, pairs, m, by_token), m
+    m, once, state = fit(tokens, strength)
+    words = stored(answer_words(send_words(tokens, m.buckets), once, state, m), "op2-answers")
+    forget(spark=tokens.sparkSession)
+    pairs = []
+    for k in range(SLICES):  # a slice of the buckets at a time: the pairs on their way take up a part of the disk only
+        asked = send_pairs(tokens, m.heavy, m.buckets, (k, SLICES))
+        pairs.append(stored(answer_pairs(asked, state, m), "op2-pairs"))
+        forget(spark=tokens.sparkSession)
+    return gather(tokens, words, reduce(DataFrame.union, pairs), m, by_token), m
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
