@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,15 @@ from .common import small_batches, table
 DIMENSION, MAX_LANGS, UNKNOWN, FLOOR, SHORT, TRAIN_ROWS, MOST_GRAMS = 1024, 1000, "und", 0.2, 64, 1000, 12_000
 
 
-def _not_letters() -> str:
-    """A character class of all that str.isalpha does not hold for: besides the plain classes, numbers that are no digits, like fractions."""
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return r"[\W\d_" + "".join(odd) + "]+"
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+@cache
+def _odd_numbers() -> np.ndarray:
+    """By code point: whether the pattern takes a sign for a letter though str.isalpha does not (numbers that are no digits, like fractions)."""
+    return np.array([c.isalnum() and not c.isalpha() and not c.isdecimal() for c in map(chr, range(sys.maxunicode + 1))])
 
 
-_OTHER = re.compile(_not_letters())
 _CODE = 1 << 21  # code points are below this
 
 
@@ -51,6 +53,8 @@ def letter(code: int) -> np.ndarray:
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct trigrams of a text, as numbers of three code points, and their counts."""
     core = _OTHER.sub(" ", (text or "").lower()).strip(" ")
+    if _odd_numbers()[np.frombuffer(core.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+        core = " ".join("".join(" " if _odd_numbers()[ord(x)] else x for x in core).split())
     if not core:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     c = np.frombuffer(f" {core} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
