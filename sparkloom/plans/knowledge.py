@@ -8,6 +8,7 @@ from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import indexing as ix
 from ..operators import retrieval as rt
+from ..operators import snapshots as sn
 from ..sources.tables import chats_to_documents, materialized, read_jsonl, read_postings, scan_files, scratch, spread, table, write_index, write_jsonl
 from ..streaming import jobs as st
 from . import views as v
@@ -402,6 +403,38 @@ def r2b(spark, sf):
     return rt.keyword_search(q, stored).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("r2_block_max_search", with_ctes("kw", "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM kw"))
+def r2c(spark, sf):
+    index = sn.write_snapshot(v.children(spark, sf), scratch(spark, "snapshots"))
+    return sn.block_max_search(v.search_queries(spark, sf), index).hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _upserted(spark, sf):
+    """An index on disk over the old chunks and the snapshot after the batch of batch_diff."""
+    before = sn.write_snapshot(v.children(spark, sf), scratch(spark, "snapshots"))
+    new = dx.chunk_documents(v.docs(spark, sf, "new").filter("n % 3 = 0")).filter("chunk_level = 'child'")
+    return before, sn.upsert_snapshot(before, materialized(batch_diff(spark, sf), "diff"), new)
+
+
+v.CTE["postings_batch"] = (
+    ("chunks_old", "chunks_new"),
+    f"SELECT term, chunk_id, doc_id, count(*) AS tf FROM (SELECT chunk_id, doc_id, unnest({_CHUNK_TOKENS}) AS term FROM (SELECT chunk_id, doc_id, title, embed_text FROM chunks_old WHERE chunk_level = 'child' AND doc_id NOT IN ({_TOUCHED}) UNION ALL SELECT chunk_id, doc_id, title, embed_text FROM chunks_new WHERE chunk_level = 'child' AND doc_id IN (SELECT doc_id FROM docs_new WHERE n % 3 = 0))) GROUP BY ALL",
+)
+
+
+@query("p4_snapshot_search", with_ctes("kw", "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM kw", {"postings": "postings_batch"}))
+def p4d(spark, sf):
+    _, index = _upserted(spark, sf)
+    return sn.block_max_search(v.search_queries(spark, sf), index).hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("s5_old_snapshot_search", with_ctes("kw", "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM kw"))
+def s5b(spark, sf):
+    before, _ = _upserted(spark, sf)
+    index = sn.open_snapshot(spark, before.path, 1)
+    return sn.block_max_search(v.search_queries(spark, sf), index).hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("r6_cap_per_doc", with_ctes("kw", "SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS nth FROM kw) WHERE nth <= 1) WHERE rank <= 8"))
 def r6(spark, sf):
     return rt.cap_per_doc(rt.keyword_search(v.search_queries(spark, sf), v.index(spark, sf)), 1).select("query_id", "chunk_id", "rank")
