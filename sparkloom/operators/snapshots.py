@@ -30,7 +30,7 @@ SCHEMAS = {
     "forward": "chunk_id string, doc_id string, dl long, terms array<string>, tfs array<long>",
 }
 KEYS = {"postings": "term", "terms": "term", "forward": "chunk_id"}
-_MANIFEST = "store string, bucket int, written int, n long, dl long, dfs array<struct<df:long,n:long>>, created_at timestamp"
+_MANIFEST = "store string, bucket int, buckets int, written int, n long, dl long, dfs array<struct<df:long,n:long>>, created_at timestamp"
 
 
 @dataclass
@@ -75,7 +75,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def open_snapshot(spark: SparkSession, path: str, version: int | None = None, buckets: int = BUCKETS) -> Snapshot:
+def open_snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:
     """A snapshot, by default the newest one."""
     there = versions(spark, path)
     version = (there or [None])[-1] if version is None else version
@@ -89,7 +89,7 @@ def open_snapshot(spark: SparkSession, path: str, version: int | None = None, bu
     forward = [r for r in rows if r.store == "forward"]
     chunks, length = sum(r.n for r in forward), sum(r.dl for r in forward)
     dfs = reduce(lambda a, b: a | {k: a.get(k, 0) + n for k, n in b.items()}, [{x.df: x.n for x in r.dfs} for r in rows if r.dfs], {})
-    out = Snapshot(spark, path, version, buckets, written, chunks, length / chunks if chunks else 1.0, F.lit(0.0))
+    out = Snapshot(spark, path, version, max((r.buckets for r in rows), default=BUCKETS), written, chunks, length / chunks if chunks else 1.0, F.lit(0.0))
     if dfs:
         counts = spark.createDataFrame(sorted(dfs.items()), "df long, n long")
         out.mean_idf = F.lit(counts.agg(F.sum(F.col("n") * out.raw_idf(F.col("df"))) / F.sum("n")).first()[0])
@@ -134,7 +134,7 @@ def _write(path: str, version: int, buckets: int, stores: dict[str, DataFrame])
         out.write.partitionBy("bucket").parquet(f"{path}/{name}/v={version}")
 
 
-def _commit(spark: SparkSession, path: str, version: int, touched: dict[str, list[int]], before: Snapshot | None) -> None:
+def _commit(spark: SparkSession, path: str, version: int, buckets: int, touched: dict[str, list[int]], before: Snapshot | None) -> None:
     """Write the manifest: the rows of the buckets just written, and those of the snapshot before for all others."""
     rows, zero = [], F.lit(0).cast("long")
     none = F.lit(None).cast("array<struct<df:bigint,n:bigint>>")
@@ -147,7 +147,7 @@ def _commit(spark: SparkSession, path: str, version: int, touched: dict[str, lis
             dl = F.sum("dl") if name == "forward" else zero
             n = F.count("*") if name == "forward" else F.sum("n").cast("long")
             found = new.groupBy("bucket").agg(n.alias("n"), dl.alias("dl")).withColumn("dfs", none)
-        rows.append(found.select(F.lit(name).alias("store"), "bucket", F.lit(version).alias("written"), "n", "dl", "dfs", F.current_timestamp().alias("created_at")))
+        rows.append(found.select(F.lit(name).alias("store"), "bucket", F.lit(buckets).alias("buckets"), F.lit(version).alias("written"), "n", "dl", "dfs", F.current_timestamp().alias("created_at")))
         if before:
             old = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/v={before.version}").filter(F.col("store") == name)
             rows.append(old.filter(~F.col("bucket").isin(touched[name])))
@@ -160,8 +160,8 @@ def write_snapshot(chunks: DataFrame, path: str, buckets: int = BUCKETS, part: i
     postings = materialized(postings_of(chunks), "postings")
     terms = materialized(terms_of(postings), "terms")
     _write(path, 1, buckets, {"postings": blocks_of(postings, terms, part), "terms": terms, "forward": forward_of(postings)})
-    _commit(spark, path, 1, {}, None)
-    return open_snapshot(spark, path, 1, buckets)
+    _commit(spark, path, 1, buckets, {}, None)
+    return open_snapshot(spark, path, 1)
 
 
 def upsert_snapshot(before: Snapshot, diff: DataFrame, chunks: DataFrame, part: int = PART) -> Snapshot:
@@ -186,8 +186,8 @@ def upsert_snapshot(before: Snapshot, diff: DataFrame, chunks: DataFrame, part:
     postings = materialized(kept.select("term", "chunk_id", "tf", "dl").unionByName(fresh.select("term", "chunk_id", "tf", "dl")), "postings")
     terms = materialized(terms_of(postings), "terms")
     _write(path, version, n, {"postings": blocks_of(postings, terms, part), "terms": terms, "forward": forward.join(gone, "chunk_id", "left_anti").unionByName(forward_of(fresh))})
-    _commit(spark, path, version, {"postings": touched, "terms": touched, "forward": near}, before)
-    return open_snapshot(spark, path, version, n)
+    _commit(spark, path, version, n, {"postings": touched, "terms": touched, "forward": near}, before)
+    return open_snapshot(spark, path, version)
 
 
 # --- Searching

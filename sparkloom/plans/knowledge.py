@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as dx
 from ..functions import text as tx
 from ..operators import indexing as ix
+from ..operators import pivots as pv
 from ..operators import retrieval as rt
 from ..operators import snapshots as sn
 from ..sources.tables import chats_to_documents, materialized, read_jsonl, read_postings, scan_files, scratch, spread, table, write_index, write_jsonl
@@ -321,6 +322,12 @@ def r3b(spark, sf):
     return rt.vector_search_sql(*_vectors(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("r3_pivot_search", _VEC)
+def r3c(spark, sf):
+    q, vectors = _vectors(spark, sf)
+    return pv.pivot_search(q, pv.build_pivots(vectors, 64)).hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 def _embed(key: str, text: str, src: str) -> str:
     counts = "list_transform(range(32), lambda d: CAST(len(list_filter(toks, lambda w: (unicode(w[1]) + 7 * length(w)) % 32 = d)) AS DOUBLE))"
     return f"SELECT {key}, {counts} AS vec FROM (SELECT {key}, {v._TOK.format(text)} AS toks FROM {src})"
@@ -405,13 +412,13 @@ def r2b(spark, sf):
 
 @query("r2_block_max_search", with_ctes("kw", "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM kw"))
 def r2c(spark, sf):
-    index = sn.write_snapshot(v.children(spark, sf), scratch(spark, "snapshots"))
+    index = sn.write_snapshot(v.children(spark, sf), scratch(spark, "snapshots"), 8)
     return sn.block_max_search(v.search_queries(spark, sf), index).hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _upserted(spark, sf):
     """An index on disk over the old chunks and the snapshot after the batch of batch_diff."""
-    before = sn.write_snapshot(v.children(spark, sf), scratch(spark, "snapshots"))
+    before = sn.write_snapshot(v.children(spark, sf), scratch(spark, "snapshots"), 8)
     new = dx.chunk_documents(v.docs(spark, sf, "new").filter("n % 3 = 0")).filter("chunk_level = 'child'")
     return before, sn.upsert_snapshot(before, materialized(batch_diff(spark, sf), "diff"), new)
 
