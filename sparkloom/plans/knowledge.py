@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as dx
 from ..functions import text as tx
+from ..operators import everywhere as ev
 from ..operators import indexing as ix
 from ..operators import pivots as pv
 from ..operators import retrieval as rt
@@ -493,6 +494,51 @@ def r11(spark, sf):
     return rt.global_search("ER", 7, memories=m, documents=d, decisions=b)
 
 
+def everywhere_queries(spark, sf):
+    """query_id, query: queries of one to twelve letters, in mixed case, and one that nothing holds."""
+    b, i = table(spark, sf, "benchmark"), F.col("item_id")
+    kinds = [F.concat(F.lit("User "), (i % 10).cast("string")), F.substring("text", 1, 12), F.lit("PURCH"), F.lit("e"), F.concat(F.lit("r "), (i % 9).cast("string")), F.lit("no such words"), F.substring("text", 3, 2)]
+    query_ = F.lit(None).cast("string")
+    for n, k in enumerate(kinds):
+        query_ = F.when(i % len(kinds) == n, k).otherwise(query_)
+    return b.select(i.alias("query_id"), query_.alias("query"))
+
+
+v.CTE["gq"] = ((), "SELECT item_id, CASE item_id % 7 WHEN 0 THEN 'User ' || (item_id % 10) WHEN 1 THEN substr(text, 1, 12) WHEN 2 THEN 'PURCH' WHEN 3 THEN 'e' WHEN 4 THEN 'r ' || (item_id % 9) WHEN 5 THEN 'no such words' ELSE substr(text, 3, 2) END AS text FROM benchmark")
+v.CTE["qterms_gq"] = (("gq",), f"SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({v._TOK.format('text')}) AS term FROM gq) GROUP BY ALL")
+v.CTE["qvec_gq"] = (("gq",), _embed("item_id", "text", "gq"))
+v.CTE["domains"] = (
+    ("mem", "execs"),
+    """SELECT 'memories' AS category, memory_id AS id, title, concat_ws(' ', title, summary, concept, abstraction) AS text, epoch_us(updated_at) AS stamp FROM mem
+UNION ALL SELECT 'decisions', CAST(item_id AS VARCHAR), NULL, text, item_id FROM benchmark
+UNION ALL SELECT 'workflows', workflow_id || '/' || memory_type, workflow_id, workflow_id || ' ' || memory_type || ' of ' || count(*) || ' memories', epoch_us(max(updated_at)) FROM mem WHERE workflow_id IS NOT NULL GROUP BY workflow_id, memory_type
+UNION ALL SELECT 'automations', automation_id, automation_id, automation_id || ' last ' || arg_max(status, execution_id), epoch_us(max(started_at)) FROM execs GROUP BY automation_id""",
+)
+
+
+@query(
+    "r11_search_everywhere",
+    with_ctes(
+        "hybrid gq domains",
+        "SELECT query_id, 'knowledge' AS category, chunk_id AS id, CAST(NULL AS VARCHAR) AS title, CAST(rank AS INTEGER) AS rank FROM hybrid WHERE rank <= 5 UNION ALL SELECT query_id, category, id, title, CAST(rank AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY stamp DESC, id) AS rank FROM (SELECT g.item_id AS query_id, d.* FROM gq g JOIN domains d ON contains(lower(d.text), lower(g.text)))) WHERE rank <= 5",
+        {"qterms": "qterms_gq", "qvec": "qvec_gq"},
+    ),
+)
+def r11b(spark, sf):
+    q = everywhere_queries(spark, sf)
+    _, index, vec, _, _, _ = _search(spark, sf)
+    hits = rt.hybrid_search(q, index, vec, rt.embed_chunks(q, rt.hashing_embedder, key="query_id", text="query"), k=5)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    mem, runs = v.memories(spark, sf), v.executions(spark, sf)
+    m = mem.select(F.col("memory_id").alias("id"), "title", F.concat_ws(" ", "title", "summary", "concept", "abstraction").alias("text"), micros(F.col("updated_at")).alias("at"))
+    d = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("title"), "text", F.col("item_id").alias("at"))
+    w = mem.filter("workflow_id IS NOT NULL").groupBy("workflow_id", "memory_type").agg(F.count("*").alias("n"), micros(F.max("updated_at")).alias("at"))
+    w = w.select(F.concat_ws("/", "workflow_id", "memory_type").alias("id"), F.col("workflow_id").alias("title"), F.concat("workflow_id", F.lit(" "), "memory_type", F.lit(" of "), F.col("n").cast("string"), F.lit(" memories")).alias("text"), "at")
+    a = runs.groupBy("automation_id").agg(F.max_by("status", "execution_id").alias("status"), micros(F.max("started_at")).alias("at"))
+    a = a.select(F.col("automation_id").alias("id"), F.col("automation_id").alias("title"), F.concat("automation_id", F.lit(" last "), "status").alias("text"), "at")
+    return ev.search_everywhere(q, hits, 5, memories=m, decisions=d, workflows=w, automations=a)
+
+
 # --- Manifest, integrity, health
 
 
