@@ -119,12 +119,44 @@ def register_extractor(fmt: str, fn: Extractor) -> None:
     _extractors[fmt] = fn
 
 
-def extract_registered(files: DataFrame) -> DataFrame:
-    """uri, format, title, body, quality of files (uri, format, content) whose format has an extractor."""
+def unregister_extractor(fmt: str) -> None:
+    _extractors.pop(fmt, None)
+
+
+def registered() -> dict[str, Extractor]:
+    """The extractors that register_extractor has been given in this process."""
+    return dict(_extractors)
+
+
+def _each_file(fn: Extractor):
+    """fn for a batch of files; if it fails, for each file alone, and a file it fails on has an empty body."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return fn(frame)[["uri", "title", "body"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            try:
+                yield one(b)
+            except Exception:  # whatever a caller's function raises
+                for i in range(len(b)):
+                    try:
+                        yield one(b.iloc[i : i + 1].reset_index(drop=True))
+                    except Exception:
+                        yield pd.DataFrame({"uri": [b["uri"].iloc[i]], "title": [None], "body": [""]})
+
+    return run
+
+
+def extract_registered(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """uri, format, title, body, quality of files (uri, format, content) whose format has an extractor, by default a registered one.
+
+    A file its extractor fails on has the quality failed; the others of its batch are extracted.
+    """
     schema, out = "uri string, title string, body string", None
-    for fmt, fn in sorted(_extractors.items()):
+    for fmt, fn in sorted((registered() if extractors is None else extractors).items()):
         part = files.filter(F.col("format") == fmt).select("uri", "content")
-        got = part.mapInPandas(lambda it, fn=fn: (fn(b)[["uri", "title", "body"]] for b in it), schema).withColumn("format", F.lit(fmt))
+        got = part.mapInPandas(_each_file(fn), schema).withColumn("format", F.lit(fmt))
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = files.sparkSession.createDataFrame([], f"{schema}, format string")

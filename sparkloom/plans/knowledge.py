@@ -63,9 +63,8 @@ def u2(spark, sf):
     def extract(files):
         return files.assign(title=files["uri"], body=[bytes(c).decode().replace("<", "[") for c in files["content"]])
 
-    dx.register_extractor("snapshot", extract)
     files = spread(table(spark, sf, "pages")).select(F.col("url").alias("uri"), F.lit("snapshot").alias("format"), F.encode("html", "UTF-8").alias("content"))
-    return dx.extract_registered(files).filter("format = 'snapshot'").drop("format")
+    return dx.extract_registered(files, {"snapshot": extract}).drop("format")
 
 
 _MD = "'---' || chr(10) || 'title: T' || conv_id || chr(10) || 'language: fr' || chr(10) || '---' || chr(10) || text"
@@ -144,6 +143,24 @@ def x1(spark, sf):
     return docs.join(parents, "doc_id").select(F.regexp_extract("source_id", r"item_id=(\d+)", 1).cast("long").alias("item_id"), (~F.col("title").startswith("part-")).alias("titled"), F.sha2("body", 256).alias("body_hash"), "tokens")
 
 
+_PLUGGED = "SELECT item_id, 'page ' || item_id AS title, sha256(replace(trim(text, chr(10) || ' '), 'e', 'E')) AS body_hash FROM benchmark"
+
+
+@query("x1_plugged_inbox", _PLUGGED)
+def x1b(spark, sf):
+    def extract(files):
+        number = files["uri"].str.extract(r"item_id=(\d+)", expand=False)
+        return files.assign(title="page " + number, body=[bytes(c).decode().strip("\n ").replace("e", "E") for c in files["content"]])
+
+    path = scratch(spark, "inbox")
+    rows = table(spark, sf, "benchmark").select("item_id", "text")
+    rows.repartition("item_id").write.partitionBy("item_id").text(f"{path}/in")
+    # Plain text files go to the plugged function too: it is asked before the built-in formats.
+    st.stream_inbox(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", extractors={"txt": extract}).awaitTermination()
+    docs, _, _ = st.read_inbox(spark, f"{path}/out")
+    return docs.select(F.regexp_extract("source_id", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "title", F.sha2("body", 256).alias("body_hash"))
+
+
 def chat_docs(spark, sf):
     c = s4(spark, sf)
     return c.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("conv_id").cast("string").alias("source_id"), F.lit("chat").alias("title"), tx.normalize_body(F.col("text")).alias("body"))

@@ -390,12 +390,18 @@ def _sessions(key: str, seconds: int, src: str) -> str:
     return f"SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY {key} ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY {key} ORDER BY ts, event_id) >= to_seconds({seconds}) THEN 1 ELSE 0 END AS opens FROM {src})"
 
 
-@query("x3_debounce", with_ctes("files", f'SELECT path, min(ts) AS "first", max(ts) AS "last", count(*) AS n, arg_max(fingerprint, struct_pack(a := ts, b := event_id)) AS fingerprint FROM ({_sessions("path", 7200, "files")}) GROUP BY path, session'))
+_DEBOUNCED = with_ctes("files", f'SELECT path, min(ts) AS "first", max(ts) AS "last", count(*) AS n, arg_max(fingerprint, struct_pack(a := ts, b := event_id)) AS fingerprint FROM ({_sessions("path", 7200, "files")}) GROUP BY path, session')
+
+
+@query("x3_debounce", _DEBOUNCED)
 def x3(spark, sf):
     return st.debounce(v.file_events(spark, sf), 7200)
 
 
-@query("x4_working_sessions", with_ctes("ev", f"SELECT task_id, min(ts) AS opened_at, max(ts) + INTERVAL 1 HOUR AS expires_at, count(*) AS syncs FROM ({_sessions('task_id', 3600, '(SELECT *, ' + chr(39) + 'task_' + chr(39) + ' || user_id AS task_id FROM ev)')}) GROUP BY task_id, session"))
+_WORKING = with_ctes("ev", f"SELECT task_id, min(ts) AS opened_at, max(ts) + INTERVAL 1 HOUR AS expires_at, count(*) AS syncs FROM ({_sessions('task_id', 3600, '(SELECT *, ' + chr(39) + 'task_' + chr(39) + ' || user_id AS task_id FROM ev)')}) GROUP BY task_id, session")
+
+
+@query("x4_working_sessions", _WORKING)
 def x4(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.lit("task_"), F.col("user_id").cast("string")).alias("task_id"), "ts")
     return st.working_sessions(e)
@@ -403,6 +409,23 @@ def x4(spark, sf):
 
 # --- Streams, run over all rows of the table into files
 
+CUTS = ["2024-01-09 13:00:00", "2024-01-20 00:00:00"]
+_TICK = {"ts": "2024-03-15 00:00:00"}
+
+
+@query("x3_stream_debounce", _DEBOUNCED)
+def x3s(spark, sf):
+    files = v.file_events(spark, sf).select("event_id", "path", "fingerprint", F.col("ts").cast("timestamp").alias("ts"))
+    out = st.replay(files, scratch(spark, "bursts"), lambda s: st.debounce(s, 7200, "1 hour"), CUTS, _TICK)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
+@query("x4_stream_sessions", _WORKING)
+def x4s(spark, sf):
+    e = table(spark, sf, "events").select(F.concat(F.lit("task_"), F.col("user_id").cast("string")).alias("task_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out = st.replay(e, scratch(spark, "sessions"), lambda s: st.working_sessions(s, 3600, "1 hour"), CUTS, _TICK)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened_at", "expires_at")})
+
 
 @query("x2_stream_changes", _CHANGES)
 def x2s(spark, sf):

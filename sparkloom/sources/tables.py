@@ -51,6 +51,18 @@ def clear_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on any file system Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what materialized or scratch has left under path and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has no more than so many rows; else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

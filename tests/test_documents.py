@@ -144,6 +144,8 @@ def test_registered_extractor(spark):
     dx.register_extractor("pdf", lambda b: pd.DataFrame({"uri": b["uri"], "title": "t", "body": ["x" * len(c) for c in b["content"]]}))
     files = spark.createDataFrame([("a.pdf", "pdf", bytearray(b"abc")), ("b.docx", "docx", bytearray(b"q"))], "uri string, format string, content binary")
     assert [(r.uri, r.body, r.quality) for r in dx.extract_registered(files).collect()] == [("a.pdf", "xxx", "degraded")]
+    dx.unregister_extractor("pdf")
+    assert dx.extract_registered(files).count() == 0
 
 
 def test_inbox_ingests_once(spark, tmp_path):
@@ -186,6 +188,48 @@ def test_inbox_survives_failures_and_retires_old_chunks(spark, tmp_path):
     assert sorted(r.body_text for r in chunks.filter("chunk_level = 'child'").collect()) == ["first words", "other words now", "text"]
 
 
+def test_inbox_reads_no_history_and_takes_plugged_extractors(spark, tmp_path):
+    box, sink, ck = tmp_path / "box", str(tmp_path / "sink"), str(tmp_path / "ck")
+    box.mkdir()
+    (box / "a.pdf").write_bytes(b"%PDF one")
+    (box / "bad.pdf").write_bytes(b"%PDF broken")
+    (box / "b.docx").write_bytes(b"PK..word/")
+
+    def extract(files):
+        if any(b"broken" in bytes(c) for c in files["content"]):
+            raise ValueError("no such page")
+        return files.assign(title="T", body=[bytes(c).decode()[5:] for c in files["content"]])
+
+    st.stream_inbox(spark, str(box), sink, ck, extractors={"pdf": extract}).awaitTermination(120)
+    docs, _, errors = st.read_inbox(spark, sink)
+    assert [(r.title, r.body) for r in docs.collect()] == [("T", "one")]
+    assert sorted((r.uri.rsplit("/", 1)[1], r.code) for r in errors.collect()) == [("b.docx", "NO_EXTRACTOR"), ("bad.pdf", "EXTRACTION_FAILED")]
+    # The state alone knows the old files: without the sink's documents an unchanged one is skipped all the same.
+    (tmp_path / "sink" / "documents").rename(tmp_path / "elsewhere")
+    (box / "a.pdf").unlink()
+    (box / "a.pdf").write_bytes(b"%PDF one")
+    (box / "c.txt").write_text("Title\n\nnew")
+    st.stream_inbox(spark, str(box), sink, ck, extractors={"pdf": extract}).awaitTermination(120)
+    assert [r.title for r in spark.read.parquet(f"{sink}/documents").collect()] == ["Title"]
+
+
+def test_sessions_of_a_stream_close_by_watermark_and_drop_late_rows(spark, tmp_path):
+    rows = [("t", at(0)), ("t", at(1000)), ("u", at(10_000)), ("t", at(10_500)), ("u", at(40_000))]
+    df = spark.createDataFrame([(k, t) for k, t in rows], "task_id string, ts timestamp")
+    build = lambda s: st.working_sessions(s, 3600, "10 minutes")
+    tick = {"ts": "2024-02-01"}
+    whole = st.replay(df, str(tmp_path / "a"), build, ["2024-01-01 01:00:00"], tick)
+    columns = ["task_id", "opened_at", "expires_at", "syncs"]
+    assert sorted(map(tuple, whole.select(*columns).collect())) == sorted(map(tuple, st.working_sessions(df).select(*columns).collect()))
+    # A row behind the watermark comes too late: its session is closed. One within the delay still counts.
+    path = str(tmp_path / "b")
+    out = None
+    for part in ([("t", at(0)), ("u", at(20_000))], [("t", at(100)), ("u", at(19_500))], [(None, at(90_000))]):
+        spark.createDataFrame(part, df.schema).write.mode("append").parquet(f"{path}/in")
+        out = st.run_to_table(build(spark.readStream.schema(df.schema).parquet(f"{path}/in")), f"{path}/out")
+    assert sorted((r.task_id, r.opened_at, r.syncs) for r in out.collect()) == [("t", at(0), 1), ("u", at(19_500), 2)]
+
+
 def test_chunk_sizes_and_preamble_are_parameters():
     how = dx.Chunking(size=4, overlap=1, parent_size=8, least=2, keep_preamble=True)
     rows = list(dx.chunks_of("d", "s", None, "before\n# A\n" + " ".join(map(str, range(11))), how))
