@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import documents as dx
@@ -11,6 +13,7 @@ from ..operators import indexing as ix
 from ..operators import pivots as pv
 from ..operators import retrieval as rt
 from ..operators import snapshots as sn
+from ..operators import upkeep as up
 from ..sources.tables import chats_to_documents, materialized, read_jsonl, read_postings, scan_files, scratch, spread, table, write_index, write_jsonl
 from ..streaming import jobs as st
 from . import views as v
@@ -630,6 +633,79 @@ def p3(spark, sf):
     return n("documents", out["documents"]).union(n("chunks", out["chunks"])).union(n("tombstoned", latest))
 
 
+def _stores(spark, sf):
+    """The broken state of _state as stores that can be mended, and its issues."""
+    docs = materialized(v.docs(spark, sf), "docs")
+    chunks = materialized(dx.chunk_documents(docs), "chunks")
+    d, kids = docs.drop("body"), chunks.filter("chunk_level = 'child'")
+    live = d.filter("n % 29 <> 0").select("source_id", "doc_id", F.when(F.col("n") % 31 == 0, "tombstoned").otherwise("ready").alias("status"), F.lit(1).alias("seq"))
+    some = kids.filter(F.conv(F.substring("chunk_id", 5, 4), 16, 10).cast("int") % 23 != 0)
+    vectors = materialized(rt.embed_chunks(some, rt.hashing_embedder), "vectors")
+    invented = spark.createDataFrame([("chk_invented",)], "chunk_id string")
+    one = ["term", "chunk_id", "doc_id", "tf", "dl"]
+    postings = rt.postings_of(some).select(*one).unionByName(invented.select(F.lit("x").alias("term"), "chunk_id", F.lit("d").alias("doc_id"), F.lit(1).cast("long").alias("tf"), F.lit(1).cast("long").alias("dl")))
+    cache = some.select("chunk_id", "content_hash").join(vectors, "chunk_id").groupBy("content_hash").agg(F.first("vector").alias("vector"))
+    cache = cache.unionByName(spark.createDataFrame([("sha256:none", [0.0])], "content_hash string, vector array<double>"))
+    manifest = d.agg((F.count("*") + 1).alias("document_count"), F.lit(5).cast("long").alias("child_chunk_count"), F.lit(0).cast("long").alias("embedding_count"))
+    stores = up.Stores(live, d, chunks, vectors, some.select("chunk_id").union(invented), materialized(postings, "postings"), materialized(cache, "cache"), manifest)
+    return stores, d.filter("n % 37 <> 0").select("source_id")
+
+
+def _checked(stores, raw):
+    return ix.validate_index(stores.registry, raw, stores.documents, stores.chunks, stores.embeddings, stores.vector_ids, stores.postings.select("chunk_id").distinct(), stores.manifest, stores.cache)
+
+
+_LIVE = "(SELECT doc_id FROM reg WHERE status <> 'tombstoned')"
+
+
+@query(
+    "p2_repair_stores",
+    with_ctes(
+        "reg kids issues",
+        f"""SELECT 'left: ' || code AS part, count(*) AS n FROM issues WHERE code = 'MISSING_RAW' GROUP BY code UNION ALL SELECT 'left: MISSING_ARTIFACT', count(*) FROM issues WHERE code = 'MISSING_ARTIFACT' AND resource_id IN {_LIVE} HAVING count(*) > 0
+UNION ALL SELECT 'left: DUPLICATE_CHUNK_ID', count(*) FROM (SELECT chunk_id FROM chunks_old WHERE doc_id IN {_LIVE} GROUP BY chunk_id HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'embeddings', count(DISTINCT chunk_id) FROM kids WHERE doc_id IN {_LIVE} UNION ALL SELECT 'indexed', count(DISTINCT chunk_id) FROM kids WHERE doc_id IN {_LIVE} UNION ALL SELECT 'cache', count(DISTINCT content_hash) FROM kids WHERE doc_id IN {_LIVE}
+UNION ALL SELECT 'manifest: ' || document_count || ' ' || chunk_count, 1 FROM (SELECT (SELECT count(*) FROM docs_old WHERE doc_id IN {_LIVE}) AS document_count, (SELECT count(*) FROM kids WHERE doc_id IN {_LIVE}) AS chunk_count)""",
+    ),
+)
+def p2b(spark, sf):
+    stores, raw = _stores(spark, sf)
+    out = up.repair(stores, _checked(stores, raw), rt.hashing_embedder)
+    out = up.replace(out, postings=materialized(out.postings, "postings"), embeddings=materialized(out.embeddings, "embeddings"), cache=materialized(out.cache, "cache"))
+    n = lambda name, df: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    left = _checked(out, raw).groupBy(F.concat(F.lit("left: "), "code").alias("part")).agg(F.count("*").alias("n"))
+    made = out.manifest.select(F.concat_ws(" ", F.lit("manifest:"), "document_count", "child_chunk_count").alias("part"), F.lit(1).cast("long").alias("n"))
+    return left.union(n("embeddings", out.embeddings)).union(n("indexed", out.postings.select("chunk_id").distinct())).union(n("cache", out.cache)).union(made)
+
+
+@query("p2_repair_plan", with_ctes("issues", "SELECT CAST(list_position(['ORPHAN_PROCESSED_DOC', 'STALE_VECTOR_ENTRY', 'STALE_KEYWORD_ENTRY', 'ORPHANED_CACHE', 'MISSING_EMBEDDINGS', 'VECTOR_INDEX_MISMATCH', 'KEYWORD_INDEX_MISMATCH', 'MANIFEST_MISMATCH'], code) AS INTEGER) AS step, code, count(*) AS n FROM issues WHERE repairable GROUP BY code"))
+def p2c(spark, sf):
+    return up.repair_plan(_issues(spark, sf)).select("step", "code", "n")
+
+
+_GONE = "SELECT doc_id FROM docs_old WHERE n % 10 = 3 OR n % 41 = 0"
+
+
+@query(
+    "p3_purge_cascade",
+    with_ctes(
+        "kids held",
+        f"""SELECT 'documents' AS part, count(*) AS n FROM docs_old WHERE doc_id NOT IN ({_GONE}) UNION ALL SELECT 'chunks', count(*) FROM chunks_old WHERE doc_id NOT IN ({_GONE}) UNION ALL SELECT 'tombstoned', count(*) FROM docs_old WHERE n % 10 = 3 AND n % 29 <> 0 UNION ALL
+SELECT 'embeddings', count(*) FROM held WHERE chunk_id IN (SELECT chunk_id FROM kids WHERE doc_id NOT IN ({_GONE})) UNION ALL SELECT 'cache', count(DISTINCT content_hash) + 1 FROM held WHERE content_hash IN (SELECT content_hash FROM kids WHERE doc_id NOT IN ({_GONE}))
+UNION ALL SELECT 'manifest', count(*) FROM kids WHERE doc_id NOT IN ({_GONE})""",
+    ),
+)
+def p3b(spark, sf):
+    stores, _ = _stores(spark, sf)
+    sources = stores.documents.filter("n % 10 = 3 AND n % 29 <> 0").select("source_id")
+    docs = stores.documents.filter("n % 41 = 0 OR n % 10 = 3").select("doc_id")
+    out = up.purge(stores, sources, docs)
+    latest = ix.latest_by_key(out.registry.select("source_id", "status", "seq"), "source_id", ["seq"]).filter("status = 'tombstoned' AND seq > 1")
+    n = lambda name, df: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    parts = [n("documents", out.documents), n("chunks", out.chunks), n("tombstoned", latest), n("embeddings", out.embeddings), n("cache", out.cache), out.manifest.select(F.lit("manifest"), "child_chunk_count")]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 @query("u1_set_differences", with_ctes("idx", "SELECT 'stale' AS side, chunk_id FROM (SELECT DISTINCT chunk_id FROM idx) WHERE chunk_id NOT IN (SELECT chunk_id FROM kids) UNION ALL SELECT 'missing', chunk_id FROM (SELECT DISTINCT chunk_id FROM kids) WHERE chunk_id NOT IN (SELECT chunk_id FROM idx)"))
 def u1(spark, sf):
     _, _, _, c, _, ids, _, _ = _state(spark, sf)
