@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import materialized
 from .retrieval import top_k
 
 TEXT_FIELDS = ("title", "summary", "concept", "abstraction", "procedure_name")
@@ -102,7 +103,10 @@ def promote(mem: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
     """mem with the sources marked and the new rows added; ids are hashes of source and target, so a rerun makes the same."""
     good = promotion_results(mem, requests).filter("error IS NULL").dropDuplicates(["target_memory_id"])
     blank = {c: F.lit(None).cast(t) for c, t in mem.dtypes}
-    episodic = {"event_type": F.lit("workflow_execution"), "title": F.concat(F.lit("Promoted from "), F.col("memory_id")), "summary": F.lit("Working memory promoted to episodic."), "occurred_at": F.col("created_at"), "source_ref": F.col("task_id")}
+    for c in ("want_title", "want_summary"):
+        if c not in good.columns:
+            good = good.withColumn(c, F.lit(None).cast("string"))
+    episodic = {"event_type": F.lit("workflow_execution"), "title": F.coalesce("want_title", F.concat(F.lit("Promoted from "), F.col("memory_id"))), "summary": F.coalesce("want_summary", F.lit("Working memory promoted to episodic.")), "occurred_at": F.col("created_at"), "source_ref": F.col("task_id")}
     semantic = {"concept": F.coalesce("want_concept", "title"), "abstraction": F.coalesce("want_abstraction", "summary"), "promoted_from": F.col("memory_id"), "confidence": F.lit(0.7)}
     shared = {"memory_id": F.col("target_memory_id"), "memory_type": F.col("target_type"), "status": F.lit("active"), "created_at": as_of, "updated_at": as_of, "tags": F.col("tags")}
     for c in ("want_concept", "want_abstraction"):
@@ -251,17 +255,50 @@ def _for_tasks(tasks: DataFrame, rows: DataFrame, keys: dict[str, str], k: int)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _holding_tags(tasks: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """task_id and memory columns: for each task with tags the newest k rows of each type that hold all of them; episodic ones as agent and workflow allow.
+
+    Tasks that ask for the same are one request. A request looks up the rows of its rarest tag, and what these hold is verified; a
+    tag that no row has ends the request.
+    """
+    asked = tasks.withColumn("tags", F.array_sort(F.array_distinct("tags"))).withColumn("ask", F.to_json(F.struct("tags", "agent_id", "workflow_id")))
+    requests = asked.select("ask", "tags", "agent_id", "workflow_id").distinct()
+    listed = rows.select("memory_id", "memory_type", "m_agent", "m_wf", "updated_at", "m_tags", F.explode(F.array_distinct("m_tags")).alias("tag"))
+    counts = listed.groupBy("tag").agg(F.count("*").alias("n"))
+    tags = requests.select("ask", F.explode("tags").alias("tag")).join(counts, "tag", "left")
+    rarest = tags.groupBy("ask").agg(F.min_by("tag", F.struct("n", "tag")).alias("tag"), F.count_if(F.col("n").isNull()).alias("unknown")).filter("unknown = 0")
+    found = requests.join(rarest, "ask").join(listed, "tag").filter(F.size(F.array_except("tags", "m_tags")) == 0)
+    free = lambda m, t: F.col(m).isNull() | F.col(t).isNull() | (F.col(m) == F.col(t))
+    found = found.filter(_is("semantic") | (free("m_agent", "agent_id") & free("m_wf", "workflow_id")))
+    best = top_k(found, ["ask", "memory_type"], [F.desc("updated_at"), F.col("memory_id")], k)
+    return asked.select("task_id", "ask").join(best, "ask").select("task_id", "memory_id", "memory_type", "updated_at")
+
+
 def retrieve_for_task(tasks: DataFrame, mem: DataFrame, limit: int = MAX_ITEMS) -> DataFrame:
-    """For each task (task_id, agent_id, workflow_id) the newest memories of each type, with their rank.
+    """For each task (task_id, agent_id, workflow_id[, tags]) the newest memories of each type, with their rank.
 
     Working rows match the task; episodic rows match agent and workflow, procedural ones the workflow, a row without
-    one matching all; semantic rows match all. A popular agent costs no more than a rare one.
+    one matching all; semantic rows match all. Of a task with tags, episodic and semantic rows must hold all of them; null or
+    no tags ask for nothing. A popular agent costs no more than a rare one.
     """
+    tagged = None
+    active = mem.filter(ACTIVE).select("memory_id", "memory_type", F.col("task_id").alias("m_task"), F.col("agent_id").alias("m_agent"), F.col("workflow_id").alias("m_wf"), F.col("tags").alias("m_tags"), "updated_at")
+    if "tags" in tasks.columns:
+        active = materialized(active, "active")
+        has = F.coalesce(F.size("tags") > 0, F.lit(False))
+        tagged = _holding_tags(tasks.filter(has), active.filter(_is("episodic") | _is("semantic")), limit)
+        bound = tasks.filter(has).select("task_id", "agent_id", "workflow_id")
+        tasks = tasks.filter(~has)
+    else:
+        bound = None
     tasks = tasks.select("task_id", "agent_id", "workflow_id")
-    active = mem.filter(ACTIVE).select("memory_id", "memory_type", F.col("task_id").alias("m_task"), F.col("agent_id").alias("m_agent"), F.col("workflow_id").alias("m_wf"), "updated_at")
     of = lambda kind: active.filter(_is(kind))
+    if bound is not None:
+        mine = bound.join(_newest(of("working").filter("m_task IS NOT NULL"), ["m_task"], limit), F.col("task_id") == F.col("m_task")).select("task_id", "memory_id", "memory_type", "updated_at")
+        tagged = tagged.unionByName(mine).unionByName(_for_tasks(bound, of("procedural"), {"m_wf": "workflow_id"}, limit))
     working = tasks.join(_newest(of("working").filter("m_task IS NOT NULL"), ["m_task"], limit), F.col("task_id") == F.col("m_task")).select("task_id", "memory_id", "memory_type", "updated_at")
     found = working.unionByName(_for_tasks(tasks, of("episodic"), {"m_agent": "agent_id", "m_wf": "workflow_id"}, limit)).unionByName(_for_tasks(tasks, of("semantic"), {}, limit)).unionByName(_for_tasks(tasks, of("procedural"), {"m_wf": "workflow_id"}, limit))
+    found = found if tagged is None else found.unionByName(tagged)
     return top_k(found, ["task_id", "memory_type"], [F.desc("updated_at"), F.col("memory_id")], limit).select("task_id", "memory_type", "rank", "memory_id")
 
 
@@ -290,3 +327,18 @@ def record_outcomes(runs: DataFrame) -> DataFrame:
         F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat(F.lit("outcome:"), "task_id"), 256), 1, 20)).alias("memory_id"), F.lit("episodic").alias("memory_type"), F.lit("active").alias("status"), F.when(ok, "workflow_execution").otherwise("failure").alias("event_type"),
         title.alias("title"), F.concat(F.lit("Task "), "task_id", F.lit(" "), F.col("status"), F.lit(" with "), F.col("steps").cast("string"), F.lit(" step(s)")).alias("summary"), F.col("ended_at").alias("occurred_at"), F.col("task_id").alias("source_ref"), F.array("workflow_id", "status").alias("tags"),
     )
+
+
+def close_runs(mem: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """mem after finished task runs (as record_outcomes takes them): an episodic row a run, and the task's working memory promoted with the run's title.
+
+    Of several active working rows of a task the first by id is promoted, as workflow_completion allows; a task without one gets the
+    outcome only. A run told twice makes the same rows once.
+    """
+    done = materialized(record_outcomes(runs), "outcomes")
+    first = mem.filter(F.expr(ACTIVE) & _is("working") & F.col("task_id").isNotNull()).groupBy("task_id").agg(F.min("memory_id").alias("source_memory_id"))
+    told = done.groupBy("source_ref").agg(F.max_by("title", "occurred_at").alias("want_title"), F.max_by("summary", "occurred_at").alias("want_summary"))
+    asks = told.join(first, F.col("source_ref") == F.col("task_id")).select("source_memory_id", F.lit("episodic").alias("target_type"), F.lit("workflow_completion").alias("policy"), F.lit(False).alias("approved"), "want_title", "want_summary")
+    outcomes = done.dropDuplicates(["memory_id"]).join(mem.select("memory_id"), "memory_id", "left_anti").withColumns({"created_at": as_of, "updated_at": as_of})
+    rows = outcomes.select(*[(F.col(c) if c in outcomes.columns else F.lit(None)).cast(t).alias(c) for c, t in mem.dtypes])
+    return promote(mem, asks, as_of).unionByName(rows)

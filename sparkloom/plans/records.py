@@ -94,6 +94,22 @@ def m8(spark, sf):
     return me.retrieve_for_task(_tasks(spark, sf), v.memories(spark, sf))
 
 
+_TAGS = "CASE user_id % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['u' || (user_id % 3)] WHEN 2 THEN ['click', 'u' || (user_id % 3)] ELSE ['u0', 'click', CASE WHEN user_id % 8 = 3 THEN 'nobody' ELSE 'u0' END] END"
+v.CTE["tagged"] = (("ev",), f"SELECT 'task_' || user_id AS task_id, CASE WHEN user_id % 5 <> 0 THEN 'agent_' || (user_id % 6) END AS agent_id, CASE WHEN user_id % 7 <> 0 THEN 'wf_' || (user_id % 4) END AS workflow_id, {_TAGS} AS tags FROM (SELECT DISTINCT user_id FROM ev)")
+v.CTE["tagmem"] = (
+    ("mem", "tagged"),
+    v.CTE["taskmem"][1].replace("FROM tasks t", "FROM tagged t").replace("m.status = 'active' AND", "m.status = 'active' AND (m.memory_type IN ('working', 'procedural') OR list_has_all(m.tags, t.tags)) AND"),
+)
+
+
+@query("m8_tagged_bundle", with_ctes("tagmem", "SELECT * FROM tagmem"))
+def m8c(spark, sf):
+    n = F.regexp_extract("task_id", r"(\d+)", 1).cast("long")
+    u = F.concat(F.lit("u"), (n % 3).cast("string"))
+    some = F.when(n % 4 == 1, F.array(u)).when(n % 4 == 2, F.array(F.lit("click"), u)).when(n % 4 == 3, F.array(F.lit("u0"), F.lit("click"), F.when(n % 8 == 3, "nobody").otherwise("u0")))
+    return me.retrieve_for_task(_tasks(spark, sf).withColumn("tags", some), materialized(v.memories(spark, sf), "memories"))
+
+
 @query("m8_task_summary", with_ctes("taskmem", "SELECT task_id, concat_ws(chr(10), string_agg(line, chr(10) ORDER BY place, rank), CASE WHEN count(*) FILTER (memory_type = 'working') > 0 THEN 'Active working context: ' || count(*) FILTER (memory_type = 'working') || ' item(s)' END) AS summary FROM (SELECT b.*, CASE b.memory_type WHEN 'semantic' THEN 1 WHEN 'episodic' THEN 2 ELSE 3 END AS place, CASE WHEN b.memory_type = 'semantic' AND rank <= 3 THEN 'Lesson: ' || concept || ' — ' || abstraction WHEN b.memory_type = 'episodic' AND rank <= 3 THEN 'Past event (' || event_type || '): ' || title WHEN b.memory_type = 'procedural' AND rank <= 2 THEN 'Procedure: ' || procedure_name || ' v' || version END AS line FROM taskmem b JOIN mem m ON m.memory_id = b.memory_id) GROUP BY task_id"))
 def m8b(spark, sf):
     mem = v.memories(spark, sf)
@@ -108,6 +124,26 @@ def m9(spark, sf):
     return me.record_outcomes(runs).select("memory_id", "event_type", "title", "summary", "occurred_at")
 
 
+_RUNS = "SELECT 'task_' || user_id AS task_id, 'wf_' || (user_id % 4) AS workflow_id, CASE user_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'running' END AS status, user_id % 4 AS steps, max(ts) AS ended_at FROM ev GROUP BY user_id"
+_CLOSED = "SELECT *, 'Workflow ' || workflow_id || ' ' || status AS title, 'Task ' || task_id || ' ' || status || ' with ' || steps || ' step(s)' AS summary FROM runs WHERE status <> 'running'"
+
+
+@query(
+    "m9_close_runs",
+    with_ctes(
+        "ev mem",
+        f"""SELECT m.memory_id, m.memory_type, CASE WHEN c.id IS NOT NULL THEN 'promoted' ELSE m.status END AS status, m.title, m.summary, m.source_ref FROM mem m LEFT JOIN (SELECT min(memory_id) AS id FROM mem JOIN ({_CLOSED.replace("FROM runs", f"FROM ({_RUNS})")}) USING (task_id) WHERE mem.status = 'active' AND memory_type = 'working' GROUP BY task_id) c ON c.id = m.memory_id
+UNION ALL SELECT 'mem_' || substr(sha256(w.id || '|episodic'), 1, 20), 'episodic', 'active', r.title, r.summary, r.task_id FROM ({_CLOSED.replace("FROM runs", f"FROM ({_RUNS})")}) r JOIN (SELECT task_id, min(memory_id) AS id FROM mem WHERE status = 'active' AND memory_type = 'working' GROUP BY task_id) w ON w.task_id = r.task_id
+UNION ALL SELECT 'mem_' || substr(sha256('outcome:' || task_id), 1, 20), 'episodic', 'active', title, summary, task_id FROM ({_CLOSED.replace("FROM runs", f"FROM ({_RUNS})")})""",
+    ),
+)
+def m9b(spark, sf):
+    n = F.col("user_id")
+    status = F.when(n % 3 == 0, "completed").when(n % 3 == 1, "failed").otherwise("running")
+    runs = v.events(spark, sf).groupBy("user_id").agg(F.max("ts").alias("ended_at")).select(F.concat(F.lit("task_"), n.cast("string")).alias("task_id"), F.concat(F.lit("wf_"), (n % 4).cast("string")).alias("workflow_id"), status.alias("status"), "ended_at", (n % 4).alias("steps"))
+    return me.close_runs(materialized(v.memories(spark, sf), "memories"), runs, v.as_of()).select("memory_id", "memory_type", "status", "title", "summary", "source_ref")
+
+
 _SEARCH = "SELECT memory_id, updated_at FROM mem WHERE status = 'active' AND memory_type IN ('working', 'episodic', 'semantic') AND (memory_type <> 'working' OR task_id = 'task_8') AND (workflow_id IS NULL OR workflow_id = 'wf_2') AND (agent_id IS NULL OR agent_id = 'agent_2') AND list_contains(tags, 'u2') AND coalesce(occurred_at, created_at) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00' AND contains(lower(concat_ws(' ', memory_id, memory_type, title, summary, concept, abstraction, procedure_name)), 'e') ORDER BY updated_at DESC, memory_id LIMIT 40"
 
 

@@ -217,6 +217,37 @@ def test_task_bundle_equals_brute_force(spark):
     assert got == want
 
 
+def test_task_bundle_with_tags_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    names = ["x", "y", "z", "rare"]
+    rows = [memory(f"m{i:03}", rng.choice(["working", "episodic", "semantic", "procedural"]), rng.randrange(60), task_id=rng.choice(["t1", "t2"]), agent_id=rng.choice([None, "a1", "a2"]), workflow_id=rng.choice([None, "w1"]), tags=rng.choice([None, [], ["x"], ["x", "y"], ["y", "z", "y"], ["x", "y", "z"], ["rare", "x"]])) for i in range(200)]
+    place = memories(spark, *rows).columns.index("tags")
+    tasks = [("t1", "a1", "w1", ["x"]), ("t2", None, "w1", ["x", "y", "x"]), ("t3", "a2", None, ["rare", "x", "z"]), ("t4", None, None, None), ("t5", "zz", "zz", []), ("t6", None, None, ["nobody", "x"]), ("t7", "a1", "w1", ["x"]), ("t8", None, None, names[:3])]
+    frame = spark.createDataFrame(tasks, "task_id string, agent_id string, workflow_id string, tags array<string>")
+    got = {(r.task_id, r.memory_id) for r in me.retrieve_for_task(frame, memories(spark, *rows), 4).collect()}
+    want = set()
+    for t, a, w, g in tasks:
+        for kind in ("working", "episodic", "semantic", "procedural"):
+            fit = [r for r in rows if r[1] == kind and (kind != "working" or r[6] == t) and (kind not in ("episodic", "procedural") or not (r[20] and w and r[20] != w)) and (kind != "episodic" or not (r[21] and a and r[21] != a)) and (kind not in ("episodic", "semantic") or set(g or []) <= set(r[place] or []))]
+            want |= {(t, r[0]) for r in sorted(fit, key=lambda r: (-r[4].timestamp(), r[0]))[:4]}
+    assert got == want and len(want) > 30
+
+
+def test_closing_runs_promotes_one_working_row(spark):
+    m = memories(spark, memory("w2", "working", 0, task_id="t1"), memory("w1", "working", 0, task_id="t1"), memory("w3", "working", 0, task_id="t2"), memory("w4", "working", 0, status="expired", task_id="t3"))
+    runs = spark.createDataFrame([("t1", "wf", "completed", NOW, 2), ("t1", "wf", "completed", NOW, 2), ("t2", "wf", "running", NOW, 1), ("t3", "wf", "failed", NOW, 0)], "task_id string, workflow_id string, status string, ended_at timestamp_ntz, steps long")
+    out = me.close_runs(m, runs, now())
+    got = {r.memory_id: r for r in out.collect()}
+    assert out.count() == len(got) == 7
+    assert {k: got[k].status for k in ("w1", "w2", "w3", "w4")} == {"w1": "promoted", "w2": "active", "w3": "active", "w4": "expired"}
+    new = sorted((r.source_ref, r.event_type, r.title) for k, r in got.items() if not k.startswith("w"))
+    assert new == [("t1", "workflow_execution", "Workflow wf completed"), ("t1", "workflow_execution", "Workflow wf completed"), ("t3", "failure", "Workflow wf failed")]
+    # Told again, nothing is new but the next working row of the task, which follows.
+    assert {r.memory_id for r in me.close_runs(out, runs, now()).collect()} >= set(got)
+
+
 # --- Schedules, triggers, routing
 
 
