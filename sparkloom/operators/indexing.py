@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
-from ..sources.tables import small
+from ..sources.tables import materialized, small
 from .retrieval import KeywordIndex, apply_filters, build_keyword_index, index_of, postings_of  # noqa: F401
 
 
@@ -113,6 +113,30 @@ def diff_chunks(old: DataFrame, new: DataFrame, ingested: DataFrame | None = Non
     return diff_snapshots(old.join(touched.distinct(), "doc_id", "left_semi"), new)
 
 
+def document_digests(chunks: DataFrame) -> DataFrame:
+    """doc_id, digest: what a document's child chunks are, whatever their order. An index keeps these rows, so a batch's diff needs its own only."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "chunk_id", "content_hash").cast("decimal(38,0)"))
+    kids = chunks.filter("chunk_level = 'child'").groupBy("doc_id")
+    return kids.agg(F.concat_ws("/", h(1), h(2), F.count("*")).alias("digest"))
+
+
+def diff_by_digest(old: DataFrame, new: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None, unchanged: bool = True) -> DataFrame:
+    """diff_snapshots in two steps: documents whose digests (before, after: doc_id, digest) are equal leave before chunks are compared.
+
+    Their chunks are listed as unchanged from new alone, or, with unchanged=False, not read at all.
+    """
+    before = document_digests(old) if before is None else before
+    after = document_digests(new) if after is None else after
+    both = before.withColumnRenamed("digest", "was").join(after, "doc_id", "full_outer")
+    moved = materialized(both.filter(~F.col("was").eqNullSafe(F.col("digest"))).select("doc_id"), "moved")
+    of = lambda d: d.join(moved, "doc_id", "left_semi")
+    diff = diff_snapshots(of(old), of(new))
+    if not unchanged:
+        return diff.filter("status <> 'unchanged'")
+    same = new.filter("chunk_level = 'child'").join(moved, "doc_id", "left_anti")
+    return diff.unionByName(same.select("chunk_id", "doc_id", "content_hash", F.lit("unchanged").alias("status")))
+
+
 def cache_key(provider: str, model: str, dims: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{provider}:{model}:{dims}:"), F.col("content_hash")), 256)
 
@@ -180,6 +204,10 @@ def build_manifest(sources: DataFrame, documents: DataFrame, chunks: DataFrame,
 _ISSUE = ("severity", "code", "message", "resource_id", "repairable")
 
 
+# The codes and messages of the checks are results.
+_MANIFEST_TESTS = (("document_count <> d", "Manifest document_count does not match processed documents"), ("child_chunk_count <> c", "Manifest chunk_count does not match processed chunks"), ("embedding_count <> 0 AND embedding_count <> e", "Manifest embedding_count does not match embeddings"))
+
+
 def _issues(rows: DataFrame, severity: str, code: str, message: Column, resource: Column, repairable: bool) -> DataFrame:
     values = (F.lit(severity), F.lit(code), message, resource.cast("string"), F.lit(repairable))
     return rows.select(*[v.alias(n) for v, n in zip(values, _ISSUE, strict=True)])
@@ -207,7 +235,7 @@ def validate_index(registry: DataFrame, raw: DataFrame, documents: DataFrame, ch
             _issues(missing_ids(actual, ids).agg(F.count("*").alias("n")).filter("n > 0"), missing, f"{name}_INDEX_MISMATCH", text(f"{low} index missing ", n, " chunk(s)"), F.lit(None), True),
         ]
     counts = manifest.crossJoin(F.broadcast(documents.agg(F.count("*").alias("d")))).crossJoin(F.broadcast(kids.agg(F.count("*").alias("c")))).crossJoin(F.broadcast(embeddings.agg(F.count("*").alias("e"))))
-    for test, what in (("document_count <> d", "Manifest document_count does not match processed documents"), ("child_chunk_count <> c", "Manifest chunk_count does not match processed chunks"), ("embedding_count <> 0 AND embedding_count <> e", "Manifest embedding_count does not match embeddings")):
+    for test, what in _MANIFEST_TESTS:
         found.append(_issues(counts.filter(test), "warning", "MANIFEST_MISMATCH", F.lit(what), F.lit(None), True))
     ch = F.col("content_hash")
     found.append(_issues(cache.select("content_hash").distinct().join(kids.select("content_hash"), "content_hash", "left_anti"), "info", "ORPHANED_CACHE", text("Embedding cache row has no matching chunk: ", ch), ch, True))
@@ -215,6 +243,91 @@ def validate_index(registry: DataFrame, raw: DataFrame, documents: DataFrame, ch
     return reduce(DataFrame.unionByName, found)
 
 
+#: What is compared with what: check, store and kind of the ids looked at, store and kind of those they are looked up in.
+_COMPARED = (
+    ("raw", "registry", "source", "raw", "source"),
+    ("orphan", "documents", "doc", "registry", "doc"),
+    ("artifact", "documents", "doc", "chunks", "doc"),
+    ("embedding", "chunks", "child", "embeddings", "child"),
+    ("stale vector", "vector", "child", "chunks", "child"),
+    ("vector gap", "chunks", "child", "vector", "child"),
+    ("stale keyword", "keyword", "child", "chunks", "child"),
+    ("keyword gap", "chunks", "child", "keyword", "child"),
+    ("cache", "cache", "hash", "chunks", "hash"),
+)
+
+
+def held_ids(buckets: int, **stores: DataFrame) -> DataFrame:
+    """store, kind, id, n, bucket: how often each store (kind, id) holds an id; every store is read once."""
+    rows = reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("store"), "kind", "id") for s, d in stores.items()])
+    return rows.groupBy("store", "kind", "id").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def bucket_digests(held: DataFrame) -> DataFrame:
+    """store, kind, bucket and, whatever their order, what its ids are: digest (of the distinct ids), rows, most (of one id), nulls."""
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(38,0)"))
+    return held.groupBy("store", "kind", "bucket").agg(F.concat_ws("/", part(1), part(2), F.count("*")).alias("digest"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls"))
+
+
+def validate_by_digest(registry: DataFrame, raw: DataFrame, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, vector_ids: DataFrame, keyword_ids: DataFrame, manifest: DataFrame, cache: DataFrame, buckets: int = 1024) -> DataFrame:
+    """The rows of validate_index. Every store is read once; ids are compared only in buckets whose digests differ, so a clean base needs no join at all."""
+    of = lambda d, kind, key: d.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"))
+    live = registry.filter("status <> 'tombstoned'")
+    each = lambda *pairs: F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id")) for k, c in pairs]))
+    child = F.col("chunk_level") == "child"
+    of_chunk = F.array(F.struct(F.lit("any").alias("kind"), F.col("chunk_id").alias("id")), F.struct(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")))
+    of_child = F.array(F.struct(F.lit("child").alias("kind"), F.col("chunk_id").alias("id")), F.struct(F.lit("hash").alias("kind"), F.col("content_hash").alias("id")))
+    stores = {
+        "registry": live.select(each(("source", "source_id"), ("doc", "doc_id"))), "raw": of(raw, "source", "source_id"), "documents": of(documents, "doc", "doc_id"),
+        "chunks": chunks.select(F.inline(F.when(child, F.concat(of_chunk, of_child)).otherwise(of_chunk))), "embeddings": of(embeddings, "child", "chunk_id"),
+        "vector": of(vector_ids, "child", "chunk_id"), "keyword": of(keyword_ids, "child", "chunk_id"), "cache": of(cache, "hash", "content_hash"),
+    }
+    held = materialized(held_ids(buckets, **stores), "held")
+    digests = {(r.store, r.kind, r.bucket): r for r in bucket_digests(held).collect()}  # a row a store, kind and bucket
+    rows = lambda store, kind: sum(r.rows for k, r in digests.items() if k[:2] == (store, kind))
+
+    def found(check: str) -> DataFrame | None:
+        """id, n of what a check finds; None if no bucket has to be opened."""
+        _, a, ka, b, kb = next(x for x in _COMPARED if x[0] == check)
+        one, two = ({k[2]: r for k, r in digests.items() if k[:2] == (s, kind)} for s, kind in ((a, ka), (b, kb)))
+        open_ = [x for x, r in one.items() if x not in two or r.digest != two[x].digest or r.nulls or two[x].nulls]
+        if not open_:
+            return None
+        ids = lambda s, kind: held.filter((F.col("store") == s) & (F.col("kind") == kind) & F.col("bucket").isin(open_)).select("id", "n")
+        return ids(a, ka).join(ids(b, kb).select("id"), "id", "left_anti")
+
+    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    i, n = F.col("id"), F.col("n").cast("string")
+    repeated = lambda d: d.select("id", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    out = []
+
+    def add(check: str, severity: str, code: str, message, resource, repairable: bool, shape=lambda d: d) -> None:
+        d = found(check)
+        if d is not None:
+            out.append(_issues(shape(d), severity, code, message, resource, repairable))
+
+    def of_documents(d: DataFrame) -> DataFrame:
+        missing = d.select(i.alias("chunk_id"))
+        return chunks.filter(child).join(missing, "chunk_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.countDistinct("chunk_id").alias("n"))
+
+    counted = lambda d: d.agg(F.count("*").alias("n")).filter("n > 0")
+    add("raw", "error", "MISSING_RAW", text("Registry source ", i, " has no raw directory"), i, False)
+    add("orphan", "warning", "ORPHAN_PROCESSED_DOC", text("Processed document ", i, " not referenced by any active source"), i, True, repeated)
+    add("artifact", "error", "MISSING_ARTIFACT", text("Document ", i, " missing chunks"), i, False, repeated)
+    add("embedding", "error", "MISSING_EMBEDDINGS", text("Document ", i, " missing embeddings for ", n, " chunk(s)"), i, True, of_documents)
+    for name, severity in (("vector", "error"), ("keyword", "warning")):
+        add(f"stale {name}", "warning", f"STALE_{name.upper()}_ENTRY", text(f"{name.capitalize()} index contains chunk not in processed store: ", i), i, True)
+        add(f"{name} gap", severity, f"{name.upper()}_INDEX_MISMATCH", text(f"{name.capitalize()} index missing ", n, " chunk(s)"), F.lit(None), True, counted)
+    counts = manifest.withColumns({"d": F.lit(rows("documents", "doc")), "c": F.lit(rows("chunks", "child")), "e": F.lit(rows("embeddings", "child"))})
+    for test, what in _MANIFEST_TESTS:
+        out.append(_issues(counts.filter(test), "warning", "MANIFEST_MISMATCH", F.lit(what), F.lit(None), True))
+    add("cache", "info", "ORPHANED_CACHE", text("Embedding cache row has no matching chunk: ", i), i, True)
+    if any(r.most > 1 for k, r in digests.items() if k[:2] == ("chunks", "any")):
+        twice = held.filter("store = 'chunks' AND kind = 'any' AND n > 1")
+        out.append(_issues(twice, "error", "DUPLICATE_CHUNK_ID", text("Chunk ID ", i, " appears ", n, " times across documents"), i, False))
+    return reduce(DataFrame.unionByName, out)
+
+
 def repair_index(issues: DataFrame, postings: DataFrame, documents: DataFrame, cache: DataFrame) -> dict[str, DataFrame]:
     """postings, documents and cache without what the repairable issues name."""
     named = lambda *codes: issues.filter(F.col("repairable") & F.col("code").isin(*codes)).select(F.col("resource_id").alias("bad")).distinct()

@@ -255,6 +255,11 @@ def j1(spark, sf):
     return diff(spark, sf).select("chunk_id", "doc_id", "status")
 
 
+@query("j1_digest_diff", with_ctes("chunks_old chunks_new", _DIFF))
+def j1c(spark, sf):
+    return ix.diff_by_digest(v.stored_chunks(spark, sf), v.stored_chunks(spark, sf, "new")).select("chunk_id", "doc_id", "status")
+
+
 def batch_diff(spark, sf):
     """The diff of a batch: every third new document is ingested, and those gone are named as deleted."""
     new = v.docs(spark, sf, "new").filter("n % 3 = 0")
@@ -613,6 +618,12 @@ def p1(spark, sf):
     return _issues(spark, sf)
 
 
+@query("p1_integrity_by_digest", with_ctes("issues", "SELECT * FROM issues"))
+def p1b(spark, sf):
+    registry, raw, d, c, some, ids, cache, manifest = _state(spark, sf)
+    return ix.validate_by_digest(registry, raw, d, c, some, ids, ids, manifest, cache)
+
+
 @query("p2_repair", with_ctes("issues", "SELECT 'documents' AS part, count(*) AS n FROM docs_old WHERE doc_id NOT IN (SELECT resource_id FROM issues WHERE code = 'ORPHAN_PROCESSED_DOC') UNION ALL SELECT 'cache', count(*) FROM held UNION ALL SELECT 'postings', count(DISTINCT chunk_id) FROM held"))
 def p2(spark, sf):
     registry, raw, d, c, some, ids, cache, manifest = _state(spark, sf)

@@ -71,3 +71,32 @@ def test_repair_leaves_no_repairable_issue_and_embeds_only_what_is_missing(spark
     assert set(open(log).read().split("\n")) == {"epsilon", ""}  # delta's vector is cached
     got = {r.chunk_id: r.vector for r in out.embeddings.collect()}
     assert got["c4"] == pytest.approx(np.asarray(rt.hashing_embedder(["delta"]))[0].tolist())
+
+
+def every_check(s, raw):
+    return (s.registry, raw, s.documents, s.chunks, s.embeddings, s.vector_ids, s.postings.select("chunk_id").distinct(), s.manifest, s.cache)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1024])
+def test_checks_by_digest_are_those_by_joins(spark, buckets):
+    base, raw = stores(spark, spoil=True), spark.createDataFrame([("s1",), ("s2",)], "source_id string")
+    twice = base.chunks.filter("chunk_id IN ('c1', 'p1')")
+    base = up.replace(base, chunks=base.chunks.union(twice), documents=base.documents.union(spark.createDataFrame([("empty", "s1"), ("empty", "s1")], base.documents.schema)))
+    got, want = (sorted(map(str, f(*every_check(base, raw), *more).collect())) for f, more in ((ix.validate_by_digest, [buckets]), (ix.validate_index, [])))
+    assert got == want and len(got) >= 12
+
+
+def test_a_clean_base_opens_no_bucket(spark):
+    base, raw = stores(spark), spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s4",)], "source_id string")
+    base = up.replace(base, manifest=spark.createDataFrame(base.manifest.collect(), base.manifest.schema))
+    out = ix.validate_by_digest(*every_check(base, raw))
+    assert out.count() == 0 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diff_by_digest_equals_the_diff(spark):
+    old, new = stores(spark).chunks, stores(spark).chunks.filter("chunk_id <> 'c5'")
+    new = new.withColumn("content_hash", F.when(F.col("chunk_id") == "c2", "other").otherwise(F.col("content_hash"))).union(spark.createDataFrame([("n1", "d7", "child", "h", "t", "", "")], new.schema))
+    rows = lambda d: sorted((r.chunk_id, r.doc_id, r.content_hash, r.status) for r in d.collect())
+    assert rows(ix.diff_by_digest(old, new)) == rows(ix.diff_snapshots(old, new))
+    moved = rows(ix.diff_by_digest(old, new, ix.document_digests(old), ix.document_digests(new), unchanged=False))
+    assert moved == [r for r in rows(ix.diff_snapshots(old, new)) if r[3] != "unchanged"] and len(moved) == 3
