@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -98,12 +98,184 @@ def html_to_text(html: str | None) -> tuple[str | None, str]:
     return page.title.strip() or None, page.text()
 
 
-def extract_html(pages: DataFrame) -> DataFrame:
-    """page_id, title, body, quality of pages (page_id, url, html)."""
+@dataclass
+class _Block:
+    """An open block: its tag, the blocks closed inside it, the text since the last of them, and what belongs to its kind."""
+
+    tag: str
+    blocks: list[str] = field(default_factory=list)
+    inline: str = ""
+    rows: list[list[str]] = field(default_factory=list)
+    number: int = 0
+
+
+class _Markdown(HTMLParser):
+    """A page as Markdown by a stack of open blocks: links, emphasis, code, images, lists in lists, quotes, tables and pre keep their form."""
+
+    # The tags of HTML by what becomes of them.
+    SKIP = frozenset("script style nav footer header noscript head".split())
+    PLAIN = frozenset("html body main article section div p dl dt dd figure figcaption form fieldset address details summary aside tbody thead tfoot caption".split())
+    HEAD = frozenset("h1 h2 h3 h4 h5 h6".split())
+    OTHER = frozenset("ul ol li blockquote pre table tr td th".split())
+    MARK = {"b": "**", "strong": "**", "i": "_", "em": "_", "code": "`", "tt": "`", "del": "~~", "s": "~~"}
+    #: A tag whose end may be left out ends where one of these begins, unless a block of the third kind lies between.
+    ENDS = {"p": (PLAIN | HEAD | OTHER, frozenset()), "li": (frozenset({"li"}), frozenset({"ul", "ol"})), "tr": (frozenset({"tr", "tbody", "tfoot"}), frozenset({"table"})), "td": (frozenset({"td", "th", "tr"}), frozenset({"table"})), "th": (frozenset({"td", "th", "tr"}), frozenset({"table"}))}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.marks = [_Block("page")], []
+        self.skipped, self.in_title, self.title = 0, False, ""
+        self.found: dict[str, str] = {}
+
+    # What is open
+
+    def flush(self) -> None:
+        top = self.stack[-1]
+        if top.tag == "pre":
+            return
+        text = re.sub(r" *\n *", "  \n", top.inline.replace("  \n", "\n")).strip()
+        if text:
+            top.blocks.append(text)
+        top.inline = ""
+
+    def push(self, tag: str) -> None:
+        while (ends := self.ENDS.get(self.stack[-1].tag)) and tag in ends[0]:
+            self.pop()
+        for k, (starts, between) in self.ENDS.items():
+            if tag in starts and k != "p":
+                above = [b.tag for b in self.stack]
+                at = max((i for i, t in enumerate(above) if t == k), default=-1)
+                if at > 0 and not between & set(above[at + 1 :]):
+                    while len(self.stack) > at:
+                        self.pop()
+        self.flush()
+        self.stack.append(_Block(tag))
+
+    def pop(self) -> None:
+        self.flush()
+        block = self.stack.pop()
+        self.marks = [m for m in self.marks if m[0] is not block]
+        above = self.stack[-1]
+        text = "\n\n".join(block.blocks)
+        if block.tag in ("main", "article", "body") and text and block.tag not in self.found:
+            self.found[block.tag] = text
+        if block.tag in self.HEAD:
+            text = f"{'#' * int(block.tag[1])} {' '.join(text.split())}" if text else ""
+        elif block.tag == "pre":
+            text = "\n".join(f"    {x}".rstrip() for x in block.inline.strip("\n").split("\n")) if block.inline.strip() else ""
+        elif block.tag == "blockquote":
+            text = "\n".join(f"> {x}".rstrip() for x in text.split("\n")) if text else ""
+        elif block.tag in ("ul", "ol"):
+            text = "\n".join(f"  {x}" if x else "" for x in "\n".join(block.blocks).split("\n")) if block.blocks else ""
+        elif block.tag == "li":
+            above.number += 1
+            mark = f"{above.number}. " if above.tag == "ol" else "* "
+            # Lists in an item are indented by themselves, all else after the first line by its mark.
+            inner = [x if re.match(r"  (\* |\d+\. )", x) else "\n".join(f"  {y}" for y in x.split("\n")) for x in block.blocks]
+            text = mark + "\n".join(inner).removeprefix("  ") if inner else ""
+        elif block.tag in ("td", "th"):
+            row = next((b for b in reversed(self.stack) if b.tag == "tr"), None)
+            if row is not None:
+                row.rows = row.rows or [[]]
+                row.rows[0].append(" ".join(text.split()))
+                return
+        elif block.tag == "tr":
+            table = next((b for b in reversed(self.stack) if b.tag == "table"), None)
+            if table is not None and block.rows:
+                table.rows.append(block.rows[0])
+                return
+        elif block.tag == "table" and block.rows:
+            lines = [" | ".join(r) for r in block.rows]
+            lines.insert(1, "|".join(["---"] * len(block.rows[0])))
+            text = "\n\n".join([*([text] if text else []), "\n".join(lines)])
+        if text:
+            above.blocks.append(text)
+
+    # What comes
+
+    def handle_starttag(self, tag, attrs):
+        values, top = dict(attrs), self.stack[-1]
+        if tag == "title":
+            self.in_title = True
+        elif tag in self.SKIP:
+            self.skipped += 1
+        elif self.skipped:
+            return
+        elif tag in self.PLAIN or tag in self.HEAD or tag in self.OTHER:
+            self.push(tag)
+        elif tag == "br":
+            top.inline += "\n"
+        elif tag == "hr":
+            self.flush()
+            top.blocks.append("* * *")
+        elif tag == "img":
+            top.inline += f"![{values.get('alt') or ''}]({values.get('src') or ''})" if values.get("src") else values.get("alt") or ""
+        elif tag == "a" or tag in self.MARK and top.tag != "pre":
+            self.marks.append((top, tag, len(top.inline), values.get("href")))
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self.in_title = False
+        elif tag in self.SKIP:
+            self.skipped = max(0, self.skipped - 1)
+        elif self.skipped:
+            return
+        elif any(b.tag == tag for b in self.stack[1:]):
+            while self.stack[-1].tag != tag:
+                self.pop()
+            self.pop()
+        else:
+            self.mark(tag)
+
+    def mark(self, tag: str) -> None:
+        """Put the text since an inline tag opened between its marks; what a block has ended in between stays as it is."""
+        top = self.stack[-1]
+        for i in range(len(self.marks) - 1, -1, -1):
+            block, name, at, href = self.marks[i]
+            if name == tag:
+                del self.marks[i:]
+                inner = top.inline[at:] if block is top else ""
+                text = inner.strip()
+                if text and (tag != "a" or href):
+                    before, after = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
+                    done = f"[{text}]({href})" if tag == "a" else f"{self.MARK[tag]}{text}{self.MARK[tag]}"
+                    top.inline = top.inline[:at] + before + done + after
+                return
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        elif not self.skipped:
+            top = self.stack[-1]
+            if any(b.tag == "pre" for b in self.stack):
+                top.inline += data
+            elif top.tag not in ("ul", "ol", "table", "tr") or data.strip():
+                text = re.sub(r"\s+", " ", data)
+                top.inline += text[1:] if text[:1] == " " and top.inline[-1:] in ("", " ", "\n") else text
+
+    def text(self) -> str:
+        while len(self.stack) > 1:
+            self.pop()
+        self.flush()
+        whole = "\n\n".join(self.stack[0].blocks)
+        return next((t for k in ("main", "article", "body") if (t := self.found.get(k))), whole).strip("\n")
+
+
+def html_to_markdown(html: str | None) -> tuple[str | None, str]:
+    """Title (null without one) and Markdown of a page's main part, else its article, its body, or all of it."""
+    page = _Markdown()
+    page.feed(html or "")
+    page.close()
+    return page.title.strip() or None, page.text()
+
+
+def extract_html(pages: DataFrame, markdown: bool = True) -> DataFrame:
+    """page_id, title, body, quality of pages (page_id, url, html); bodies are Markdown with links, lists, tables and code, or plain text."""
+    convert = html_to_markdown if markdown else html_to_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [html_to_text(h) for h in b["html"]]
+            got = [convert(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "title": [t for t, _ in got], "body": [x for _, x in got]})
 
     out = pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, body string")

@@ -55,6 +55,21 @@ def t3(spark, sf):
     return dx.extract_html(spread(table(spark, sf, "pages").select("page_id", "html")))
 
 
+_URL = "'u' || regexp_replace(coalesce(url, ''), '[^A-Za-z0-9:/._-]', '', 'g')"
+
+
+@query(
+    "t3_html_markdown",
+    f"""SELECT page_id, '## Page ' || page_id || chr(10) || chr(10) || 'See [the **page**](' || u || ') and _all_ of `it  x`.' || chr(10) || chr(10) || '  * one' || chr(10) || '    1. in ' || page_id || chr(10) || '    2. [in](' || u || ')' || chr(10) || '  * two' || chr(10) || chr(10) ||
+'id | url' || chr(10) || '---|---' || chr(10) || page_id || ' | ' || u || chr(10) || chr(10) || '    a  b' || chr(10) || '      ' || page_id || chr(10) || chr(10) || '> said' AS body FROM (SELECT page_id, {_URL} AS u FROM pages)""".replace("`it  x`", "`it x`"),
+)
+def t3b(spark, sf):
+    u, n = F.concat(F.lit("u"), F.regexp_replace(F.coalesce("url", F.lit("")), "[^A-Za-z0-9:/._-]", "")), F.col("page_id").cast("string")
+    parts = ["<body><nav>x</nav><main><h2>Page ", n, '</h2><p>See <a href="', u, '">the <b>page</b></a> and <em>all</em> of\n <code>it  x</code>.</p><ul><li>one<ol><li>in ', n, "<li><a href=", u, ">in</a></ol><li>two</ul><table><tr><th>id</th><th>url</th></tr><tr><td>", n, "<td>", u, "</table><pre>a  b\n  ", n, "\n</pre><blockquote><p>said</blockquote></main><footer>f</footer></body>"]
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return dx.extract_html(spread(table(spark, sf, "pages")).select("page_id", html.alias("html"))).select("page_id", "body")
+
+
 @query("f7_quality_gate", with_ctes("page_texts", "SELECT CAST(page_id AS VARCHAR) AS doc_id, quality, CASE WHEN quality = 'failed' THEN 'EXTRACTION_FAILED' END AS code FROM page_texts"))
 def f7(spark, sf):
     good, failed = ix.split_failed(t3(spark, sf).withColumn("doc_id", F.col("page_id").cast("string")))

@@ -118,7 +118,7 @@ def ingest_batch(files: DataFrame, extractors: dict[str, dx.Extractor] | None =
 
 def _pages(batches):
     for b in batches:
-        got = [dx.html_to_text(t) for t in b["text"]]
+        got = [dx.html_to_markdown(t) for t in b["text"]]
         yield pd.DataFrame({"uri": b["uri"], "format": b["format"], "fingerprint": b["fingerprint"], "modified": b["modified"], "title": [t or s for (t, _), s in zip(got, b["stem"], strict=True)], "body": [x for _, x in got]})
 
 

@@ -1,6 +1,7 @@
 """Text, extraction, outlines, chunks, sources and the inbox stream."""
 
 import datetime
+import random
 import re
 
 import pandas as pd
@@ -78,6 +79,35 @@ def test_text_and_markdown_extraction(spark):
     assert got == [("T", "de", "body\n# H"), ("Head", "en", "# Head\ntext"), ("stem", "en", "no heading")]
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<p>See <a href="/x">the <b>big</b> one</a> and <i>it</i>.</p>', "See [the **big** one](/x) and _it_."),
+        ("<p>a</p><pre>a  b\n  c &lt;\n</pre><p>x<br>y</p>", "a\n\n    a  b\n      c <\n\nx  \ny"),
+        ("<pre><code>def f():\n    return 1</code></pre>", "    def f():\n        return 1"),
+        ("<ul><li>one<ul><li>in<li>in2</ul><li>two <p>para</p></ul><ol><li>f<li>s</ol>", "  * one\n    * in\n    * in2\n  * two\n    para\n\n  1. f\n  2. s"),
+        ("<table><caption>C</caption><tr><th>A</th><th>B</th></tr><tr><td>1<td><a href=u>2</a></table><hr>", "C\n\nA | B\n---|---\n1 | [2](u)\n\n* * *"),
+        ("<blockquote><p>q</p><p>r</p></blockquote><img src=i.png alt=pic>", "> q\n>\n> r\n\n![pic](i.png)"),
+        ("<p>un<b>closed <p>next</b> text<div>d", "unclosed\n\nnext text\n\nd"),
+        ("<a href=x><div>block link</div></a>after</p></b>", "block link\n\nafter"),
+        ("<nav>n</nav><main></main><article>A</article><p>out</p>", "A"),
+        ("<p>no <a>target</a> <b> </b> x</p><script>s()</script>", "no target x"),
+        (None, ""),
+    ],
+)
+def test_html_keeps_links_lists_tables_and_code(html, want):
+    assert dx.html_to_markdown(html)[1] == want
+
+
+def test_html_survives_any_tags():
+    rng = random.Random(1)
+    tags = ["p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "pre", "b", "a", "code", "main", "article", "h2", "blockquote", "br", "hr", "nav"]
+    for _ in range(2000):
+        html = "".join(rng.choice(["<{}>", "</{}>", "w{} "]).format(rng.choice(tags)) for _ in range(rng.randrange(40)))
+        title, text = dx.html_to_markdown(html)
+        assert title is None and isinstance(text, str)
+
+
 def test_html_extraction():
     page = "<html><head><title> T </title><style>p{}</style></head><body><nav>skip</nav><h2>Head</h2><p>One <b>two</b></p><script>no()</script><footer>end</footer></body></html>"
     assert dx.html_to_text(page) == ("T", "## Head\n\nOne two")
