@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
-from ..sources.tables import small
+from ..sources.tables import materialized, small
 
 K1, B, EPSILON, LEG, FUSION, PLACES = 1.5, 0.75, 0.25, 20, 60, 9
 EXCERPT, BUDGET, TOP, PER_DOC, QUERY_BLOCK, ROW_BLOCK = 240, 4000, 8, 2, 4096, 16384
@@ -84,14 +84,16 @@ def postings_of(chunks: DataFrame) -> DataFrame:
 
 
 def index_of(postings: DataFrame) -> KeywordIndex:
-    """Statistics of postings: document length, document frequency and idf; negative idf becomes a share of the mean."""
-    doc_stats = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    n = doc_stats.agg(F.count("*").alias("n"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return KeywordIndex(postings, doc_stats, terms)
+    """Statistics of postings: document length, document frequency and idf; negative idf becomes a share of the mean.
+
+    They are counted once and stored beside the postings, which a search then reads for its hits alone.
+    """
+    doc_stats = materialized(postings.groupBy("chunk_id").agg(F.first("dl").alias("dl")), "doc-stats")
+    df = materialized(postings.groupBy("term").agg(F.count("*").alias("df")), "df")
+    n = F.lit(doc_stats.count())
+    raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = F.lit(df.agg(F.avg(raw)).first()[0]).cast("double")
+    return KeywordIndex(postings, doc_stats, df.select("term", "df", F.when(raw < 0, F.lit(EPSILON) * mean).otherwise(raw).alias("idf")))
 
 
 def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
@@ -106,9 +108,9 @@ def keyword_search(queries: DataFrame, index: KeywordIndex, k: int = LEG, only:
     leave before the cut; the statistics stay those of the whole index.
     """
     q = queries.select("query_id", F.explode(tx.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    average = index.doc_stats.agg((F.sum("dl").cast("double") / F.count("*")).alias("avgdl"))
-    weighted = q.join(index.term_stats.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    hit = index.postings.join(small(weighted), "term").crossJoin(F.broadcast(average))
+    average = index.doc_stats.agg(F.sum("dl").cast("double") / F.count("*")).first()[0]
+    weighted = materialized(q.join(index.term_stats.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")), "weights")
+    hit = index.postings.join(small(weighted), "term").withColumn("avgdl", F.lit(average).cast("double"))
     if only is not None:
         hit = hit.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -195,12 +197,12 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = LEG, only: Da
         vectors = vectors.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
     q, v = queries.select("query_id", "vector"), vectors.select("chunk_id", "vector")
     found = f"query_id {dict(q.dtypes)['query_id']}, chunk_id {dict(v.dtypes)['chunk_id']}, score double"
-    n = q.count()
-    if n <= QUERY_BLOCK:
-        shared = v.sparkSession.sparkContext.broadcast(q.toPandas())
+    first = q.limit(QUERY_BLOCK + 1).toPandas()
+    if len(first) <= QUERY_BLOCK:
+        shared = v.sparkSession.sparkContext.broadcast(first)
         hits = v.mapInPandas(lambda it: (_best(shared.value, rows, k) for rows in it), found)
     else:
-        blocks, rows = -(-n // QUERY_BLOCK), max(1, -(-v.count() // ROW_BLOCK))
+        blocks, rows = -(-q.count() // QUERY_BLOCK), max(1, -(-v.count() // ROW_BLOCK))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         a = q.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), each(rows).alias("rb"))
         b = v.select("chunk_id", "vector", each(blocks).alias("qb"), F.pmod(F.xxhash64("chunk_id"), F.lit(rows)).cast("int").alias("rb"))
