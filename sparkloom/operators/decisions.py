@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
-from ..sources.tables import small
+from ..sources.tables import materialized, small
 
 #: Strategy, dimensions, prefix, number of options, confidence of the first assumption, severity of risks.
 STRATEGIES = (
@@ -75,7 +75,7 @@ def tradeoffs(requests: DataFrame, table: DataFrame, options: DataFrame) -> Data
 
 
 def risks(options: DataFrame, table: DataFrame) -> DataFrame:
-    return options.join(small(table.select("strategy", "severity")), "strategy").select("decision_id", "option", F.lit(LIKELIHOOD).alias("likelihood"), "severity", _said(RISK, title=F.col("title")).alias("description"))
+    return options.join(small(table).select("strategy", "severity"), "strategy").select("decision_id", "option", F.lit(LIKELIHOOD).alias("likelihood"), "severity", _said(RISK, title=F.col("title")).alias("description"))
 
 
 def relevance(evidence: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def score_options(requests: DataFrame, options: DataFrame, table: DataFrame, evi
     wins = tradeoffs(requests, table, options).groupBy("decision_id", F.col("winner").alias("option")).agg(F.count("*").alias("wins"))
     titles = options.groupBy("decision_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("option", "title"))), lambda x: x.title), " ").alias("titles"))
     keywords = titles.select("decision_id", tx.extract_keywords(F.col("titles")).alias("kw"))
-    o = options.join(small(table.select("strategy", "severity", F.size("dimensions").alias("n_dim"))), "strategy").join(keywords, "decision_id").join(wins, ["decision_id", "option"], "left").join(relevance(evidence), "decision_id", "left")
+    o = options.join(small(table).select("strategy", "severity", F.size("dimensions").alias("n_dim")), "strategy").join(keywords, "decision_id").join(wins, ["decision_id", "option"], "left").join(relevance(evidence), "decision_id", "left")
     o = o.na.fill(0, ["wins", "n_evidence"]).na.fill(0.0, ["mean_relevance"])
     text = F.lower(F.concat_ws(" ", "title", "description"))
     overlap = F.size(F.filter("kw", lambda k: F.contains(text, k)))
@@ -102,8 +102,9 @@ def score_options(requests: DataFrame, options: DataFrame, table: DataFrame, evi
 
 def decide(requests: DataFrame, table: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row a decision: the best option, its score and the confidence."""
-    known = evidence.join(requests.filter("require_knowledge").select("decision_id"), "decision_id", "left_semi")
-    options = generate_options(requests, table)
+    requests = materialized(requests, "requests")  # five steps read them
+    known = materialized(evidence.join(requests.filter("require_knowledge").select("decision_id"), "decision_id", "left_semi"), "evidence")
+    options = materialized(generate_options(requests, table), "options")
     scored = score_options(requests, options, table, known)
     best = scored.withColumn("r", F.row_number().over(W.partitionBy("decision_id").orderBy(F.desc("score"), "option"))).filter("r = 1").drop("r")
     sure = assumptions(requests, table, known).groupBy("decision_id").agg((F.sum("confidence") / F.count("*")).alias("sure"))

@@ -223,8 +223,10 @@ def procedure_versions(mem: DataFrame) -> DataFrame:
     """Versions of procedures with their predecessor's version; latest marks the newest of each name."""
     p = mem.filter(_is("procedural"))
     before = p.select(F.col("memory_id").alias("pid"), F.col("version").alias("previous_version"))
-    newest = F.row_number().over(W.partitionBy("procedure_name").orderBy(F.desc("created_at"), F.desc("memory_id"))) == 1
-    return p.join(before, F.col("previous_version_id") == F.col("pid"), "left").select("memory_id", "procedure_name", "version", "previous_version", newest.alias("latest"))
+    # The newest of a name by an aggregate, so no procedure's history is sorted in one task.
+    newest = p.groupBy("procedure_name").agg(F.max(F.struct("created_at", "memory_id")).alias("last")).select(F.col("procedure_name").alias("name"), F.col("last.memory_id").alias("last_id"))
+    rows = p.join(before, F.col("previous_version_id") == F.col("pid"), "left").join(newest, (F.col("memory_id") == F.col("last_id")) & F.col("procedure_name").eqNullSafe(F.col("name")), "left")
+    return rows.select("memory_id", "procedure_name", "version", "previous_version", F.col("last_id").isNotNull().alias("latest"))
 
 
 def _newest(rows: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,15 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_counted: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it has no more than so many rows; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df marked for broadcast if it has no more than so many rows; else as it is, to be joined by shuffle. A frame is counted once."""
+    known = _counted.setdefault(df, {})
+    if rows not in known:
+        known[rows] = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if known[rows] else df
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
