@@ -117,7 +117,9 @@ def chats_to_documents(messages: DataFrame) -> DataFrame:
     if dict(messages.dtypes)["text"].startswith("array"):
         text = F.array_join("text", "\n")
     turn = F.struct("turn", F.concat(F.lit("## "), role, F.lit("\n\n"), F.coalesce(text, F.lit(""))).alias("block"))
-    turns = messages.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # A message without a conversation is one of its own.
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = messages.select("conv_id", own.alias("own"), turn.alias("t")).groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return turns.select("conv_id", F.array_join(F.transform("ts", lambda t: t.block), "\n\n").alias("text"), F.size("ts").alias("n_turns"))
 
 

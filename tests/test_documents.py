@@ -272,6 +272,14 @@ def test_chunk_sizes_and_preamble_are_parameters():
     assert dx.windows("__FENCE_0__ a\n```\nx  y\n```\nb", 2) == ["__FENCE_0__ a", "```\nx  y\n``` b"]
 
 
+def test_messages_without_a_conversation_stay_apart(spark):
+    from sparkloom.sources.tables import chats_to_documents
+
+    rows = [(1, 2, "user", "b"), (1, 1, "user", "a"), (None, 1, "user", "x"), (None, 1, None, "y")]
+    got = sorted((r.conv_id or 0, r.text, r.n_turns) for r in chats_to_documents(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    assert got == [(0, "## unknown\n\ny", 1), (0, "## user\n\nx", 1), (1, "## user\n\na\n\n## user\n\nb", 2)]
+
+
 T0 = datetime.datetime(2024, 1, 1)
 
 
