@@ -445,8 +445,7 @@ def r2b(spark, sf):
     path, q = scratch(spark, "index"), v.search_queries(spark, sf)
     built = v.index(spark, sf)
     write_index(path, 8, postings=built.postings, terms=built.term_stats, documents=built.doc_stats)
-    # The terms of the query table: as many as the queries hold.
-    terms = [r.term for r in q.select(F.explode(tx.tokenize(F.col("query"))).alias("term")).distinct().collect()]
+    terms = q.select(F.explode(tx.tokenize(F.col("query"))).alias("term"))
     stored = rt.KeywordIndex(read_postings(spark, path, terms, 8), spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/terms"))
     return rt.keyword_search(q, stored).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 

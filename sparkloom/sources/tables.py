@@ -102,11 +102,16 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def read_postings(spark: SparkSession, path: str, terms: list[str], buckets: int = 16) -> DataFrame:
-    """The postings of some terms from an index that write_index wrote: other buckets are pruned, other terms filtered in the scan."""
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of("term", buckets).alias("b")).distinct()
-    numbers = [r.b for r in wanted.collect()]
-    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(numbers) & F.col("term").isin(list(terms))).drop("bucket")
+def read_postings(spark: SparkSession, path: str, terms: DataFrame | list[str], buckets: int = 16) -> DataFrame:
+    """The postings of some terms (a list, or a table with term) from an index that write_index wrote: other buckets are pruned.
+
+    Of a table only the numbers of its buckets come to the driver; its terms are joined.
+    """
+    listed = not isinstance(terms, DataFrame)
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string") if listed else terms.select("term").distinct()
+    numbers = [r.b for r in wanted.select(bucket_of("term", buckets).alias("b")).distinct().collect()]
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(numbers)).drop("bucket")
+    return rows.filter(F.col("term").isin(list(terms))) if listed else rows.join(small(wanted), "term", "left_semi")
 
 
 def chats_to_documents(messages: DataFrame) -> DataFrame:
