@@ -307,9 +307,8 @@ def test_ids_are_those_of_the_named_tokenizer_file(spark):
     import public_tokenizers
 
     real, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), op4_packing.Tokenizer(op4_packing.default_tokenizer())
-    real.encode_special_tokens = True
     rng = random.Random(8)
-    odd = ["a" * 5000, "  " * 700, "\n" * 900, "\x00\x01\x7f", "<|endoftext|>", "日本語テキスト" * 50, "é́ñ\u200d👩‍👩‍👧 ｆｕｌｌ", "1234567890" * 90, "don't we'LL I'm", "\u00a0\u2003 x\r\n\ty", "…—“”"]
+    odd = ["<|endoftext|> hi", "hi <|endoftext|>", "a<|endoftext|><|endoftext|>b \n <|endoftext|>  c", "<|endoftext", "a" * 5000, "  " * 700, "\n" * 900, "\x00\x01\x7f", "<|endoftext|>", "日本語テキスト" * 50, "é́ñ\u200d👩‍👩‍👧 ｆｕｌｌ", "1234567890" * 90, "don't we'LL I'm", "\u00a0\u2003 x\r\n\ty", "…—“”"]
     odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x2000), rng.randrange(0x3000, 0xD000), rng.randrange(0x10000, 0x1F9FF)])) for _ in range(rng.randrange(200))) for _ in range(200)]
     texts = odd + [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     for t, e in zip(texts, real.encode_batch(texts, add_special_tokens=False), strict=True):
