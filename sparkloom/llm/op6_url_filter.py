@@ -133,8 +133,8 @@ def _oracle() -> str:
         ]
         for i in range(ROUNDS):
             ctes.append(f"{name}{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT d AS host, score * share * {DAMPING}::DOUBLE AS score FROM {name}_w JOIN {name}{i} ON s = host UNION ALL SELECT host, seed * {1 - DAMPING}::DOUBLE FROM {name}_s) GROUP BY host)")
-    ctes.append(f"sc AS (SELECT h.host, round(coalesce(t.score, 0.0::DOUBLE), 9) AS trust, round(coalesce(d.score, 0.0::DOUBLE), 9) AS distrust FROM hs h LEFT JOIN tr{ROUNDS} t ON t.host = h.host LEFT JOIN di{ROUNDS} d ON d.host = h.host)")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, rd.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust - trust, 0.0::DOUBLE) > {THRESHOLD}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0.0::DOUBLE) AS trust, coalesce(distrust, 0.0::DOUBLE) AS distrust FROM rd LEFT JOIN sc ON sc.host = rd.host"
+    ctes.append(f"sc AS (SELECT h.host, round(coalesce(t.score, 0.0::DOUBLE), 9) AS trust, round(coalesce(d.score, 0.0::DOUBLE), 9) AS distrust, coalesce(d.score, 0.0::DOUBLE) * (SELECT CAST(greatest(sum(bad), 1) AS DOUBLE) FROM hs) - coalesce(t.score, 0.0::DOUBLE) * (SELECT CAST(greatest(sum(good), 1) AS DOUBLE) FROM hs) AS excess FROM hs h LEFT JOIN tr{ROUNDS} t ON t.host = h.host LEFT JOIN di{ROUNDS} d ON d.host = h.host)")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, rd.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(excess, 0.0::DOUBLE) > {THRESHOLD}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0.0::DOUBLE) AS trust, coalesce(distrust, 0.0::DOUBLE) AS distrust FROM rd LEFT JOIN sc ON sc.host = rd.host"
 
 
 ORACLE = _oracle()

@@ -395,6 +395,29 @@ def test_rules_and_propagation(spark):
     assert op6_url_filter.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_rules_and_graph_equal_their_sql(spark):
+    """Absolute links, with the case of much trust far away and little distrust nearby, against the SQL."""
+    import duckdb
+
+    rng = random.Random(12)
+    names = [f"{x}.{top}" for x in "abcdefgh" for top in ("info", "net", "dev")] + ["org", "b.org"]
+    link = lambda h: f'<a href="{rng.choice(["http:", "HTTPS:", ""])}//{h}/x">'
+    rows = [(i, "http://b.org/fr/", '<a href="http://h.info/">' '<a href="//k.info/">') for i in range(10)]
+    rows += [(10, "http://h.info/", '<a href="http://bad.net/">'), (11, "http://bad.net/", None), (12, "http://k.info/", "")]
+    rows += [(20 + i, f"https://{rng.choice(names)}/{rng.choice(['', 'fr/', 'en/x', 'p?q'])}", "".join(link(rng.choice(names)) for _ in range(rng.randrange(4)))) for i in range(300)]
+    rows += [(400, None, link("a.net")), (401, "no host", None), (402, "http://", link("a.net"))]
+    for some in (rows, rows[:13]):
+        df = pages(spark, some)
+        frame = df.toPandas()
+        con = duckdb.connect()
+        con.register("pages", frame)
+        want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({op6_url_filter.ORACLE})").fetchall())
+        got = sorted(tuple(r) for r in op6_url_filter.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect())
+        assert got == want
+        assert some is rows or {r[1]: r[4] for r in got}["h.info"] == "allow"
+    assert len({(r[3] is None, r[4]) for r in want}) > 2
+
+
 def test_verdicts_do_not_depend_on_the_number_of_other_hosts(spark):
     own = pages(spark, [(1, "http://shop.example.com/de/x", ""), (2, "http://shop.example.com/y", ""), (3, "http://other.com/", "")])
     many = spark.range(10, 200_010).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 1000, F.lit(".net/")).alias("url"), F.lit("").alias("html"))
