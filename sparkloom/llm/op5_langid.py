@@ -160,8 +160,12 @@ def known_language(docs: DataFrame, model: dict[str, np.ndarray], floor: float =
     trigrams they hit: by trial 0.12 at 500 letters, 0.16 at 3,000 and 0.2, the most the limit grows to, at 10,000.
     Under SHORT trigrams texts of a language score no more than random ones: all stay.
     """
-    limit = F.least(F.lit(floor), 3 / F.sqrt(F.lit(DIMENSION)) + 0.00106 * F.sqrt("grams_"))
-    return identify(docs, model, sized="grams_").filter((F.col("lang_pred") != UNKNOWN) & ((F.col("grams_") < SHORT) | (F.col("score") >= limit))).select(*docs.columns)
+    sized = "grams"
+    while sized in {c.lower() for c in docs.columns}:  # a column of the caller's own keeps its name
+        sized += "_"
+    limit = F.least(F.lit(floor), 3 / F.sqrt(F.lit(DIMENSION)) + 0.00106 * F.sqrt(sized))
+    kept = (F.col("lang_pred") != UNKNOWN) & ((F.col(sized) < SHORT) | (F.col("score") >= limit))
+    return identify(docs, model, sized=sized).filter(kept).select(*docs.columns)
 
 
 def op5_langid(spark, sf_dir) -> DataFrame:
