@@ -355,6 +355,8 @@ def test_short_texts_of_letters_stay_and_long_random_ones_go(spark):
     odd = docs_of(spark, [*short, (5, noise, "en"), (6, "12 34", "en")])
     assert min(r.score for r in op5_langid.identify(odd, model).collect() if r.doc_id < 5) < op5_langid.FLOOR
     assert sorted(r.doc_id for r in op5_langid.known_language(odd, model).collect()) == [1, 2, 3, 4]
+    clash = op5_langid.known_language(odd.selectExpr("*", "'x' AS grams", "7 AS grams_"), model)
+    assert clash.columns[-2:] == ["grams", "grams_"] and sorted(clash.select("doc_id", "grams", "grams_").collect()) == [(i, "x", 7) for i in range(1, 5)]
 
 
 def test_trigram_vectors_bind_by_place():
