@@ -1,13 +1,24 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words of the benchmark items are hashed under fixed masks that look at some positions of a short stretch
-and ignore others. The same masks run over every document; a hash they share is a hit and fixes how the item
-lies along the document. There the two are compared word by word: the document holds the item where a
-stretch of MIN_WORDS words (the whole item, if shorter) agrees in at least 0.8 of its words, in place. Up to
+and ignore others. The same masks run over every document, and the hashes of both sides are joined; a hash they share
+is a hit and fixes how the item lies along the document. There the two are compared word by word: the document holds the
+item where a stretch of MIN_WORDS words (the whole item, if shorter) agrees in at least 0.8 of its words, in place. Up to
 two substitutions in such a stretch leave at least one mask intact wherever they fall. Items shorter
 than MIN_WORDS use the run of words that must survive their substitutions.
 
-The benchmark is broadcast in blocks of at most BLOCK_WORDS words; a larger one takes several passes.
+The documents are tokenized once, whatever the size of the benchmark:
+
+- seeds: a row for each hash of an item, with its places and, for each, a byte for every word around it (tags).
+- a bitmap of the seeds' hashes, of at most 2**BITS bits, goes to all tasks; it only keeps hashes without a partner from
+  being shuffled. A benchmark of any size works; one of over 10 million words lets more of them pass.
+- hits: a row for each of a document's hashes that pass, likewise with places and tags; joined with the seeds on the hash.
+- pairs of places whose tags agree as a match must stay, by item and text; only texts with such pairs are read again.
+- the stretch of the text that an item's pairs lie on is joined with the item and compared word by word.
+
+Texts and items are known by 128-bit hashes, so copies share their result. Seeds, and what a text holds, are broadcast where
+Spark finds them small, else joined by shuffle, where adaptive execution splits a frequent hash. A row holds one text's or
+one item's places at most.
 
 Words are lower-cased runs of word characters. Defined results: null or empty texts and items hold nothing
 and match nothing. Items of fewer words than the parameter least (LEAST_ITEM) are too common to tell a leak: they are not searched (see short_items). Repeated rows each get their result. Extra columns pass through the filter. An empty
@@ -17,18 +28,22 @@ table, or an empty benchmark, gives no pairs and filters nothing. Long texts are
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, stored, table
 
-MIN_WORDS, SIMILARITY, BLOCK_WORDS, CACHE_WORDS, LEAST_ITEM, PAIRS = 13, 0.8, 200_000, 500_000, 5, 1 << 18
+MIN_WORDS, SIMILARITY, CACHE_WORDS, LEAST_ITEM, PAIRS, BITS = 13, 0.8, 500_000, 5, 1 << 18, 27
 #: Fixed masks: 1 looks at the word, 0 ignores it. Any two substitutions in 13 words miss one of them somewhere.
 MASKS = ("11111", "110111", "1101011")
+#: Words before a hash's place, and in all, that may lie in one stretch with it.
+BEFORE, AROUND = 10, 23
 _WORD = re.compile(r"\w+")
 
 
@@ -67,103 +82,211 @@ def masks_of(n: int) -> tuple[str, ...]:
     return ("1" * -(-(n - lost) // (lost + 1)),)
 
 
-def at_place(item, place):
-    """Item number and place (from -2**31 on) in one number."""
-    return (np.asarray(item, np.int64) << 32) | (np.asarray(place, np.int64) + (1 << 31))
+def tags(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A byte for each of the AROUND words around each place; 0 beyond the text."""
+    out = np.zeros(len(words) + AROUND, np.uint8)
+    out[BEFORE : BEFORE + len(words)] = words % np.uint64(254) + np.uint64(2)
+    return np.lib.stride_tricks.sliding_window_view(out, AROUND)[places]
+
+
+def _by_hash(words: np.ndarray, masks, passing) -> Iterator[tuple[int, bytes, bytes]]:
+    """(hash, places, tags) for each hash of the words that passes."""
+    for mask in masks:
+        h = mask_hashes(words, mask)
+        at = np.flatnonzero(passing(h))
+        if len(at):
+            at = at[np.argsort(h[at], kind="stable")].astype(np.int32)
+            for part in np.split(at, np.flatnonzero(np.diff(h[at])) + 1):
+                yield int(h[part[0]].astype(np.int64)), part.tobytes(), tags(words, part).tobytes()
 
 
-def _places(item: int, here: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """at_place of all distinct differences here - there, by a convolution of where they are."""
+def all_differences(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """All distinct differences here - there, by a convolution of where they are."""
     low, high = int(here.min()) - int(there.max()), int(here.max()) - int(there.min())
     size = 1 << int(high - low + 1).bit_length()
     x, y = np.zeros(size), np.zeros(size)
     x[here - here.min()] = 1
     y[there.max() - there] = 1
     both = np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[: high - low + 1]
-    return at_place(np.full(int((both > 0.5).sum()), item), np.flatnonzero(both > 0.5) + low)
+    return np.flatnonzero(both > 0.5) + low
+
+
+def shifts(here: np.ndarray, my_tags: np.ndarray, there: np.ndarray, its_tags: np.ndarray, n: int) -> np.ndarray:
+    """Distinct places of an item's first word in the text (may be negative) where the tags allow a match; n: the item's words.
+
+    Where a hash recurs so often in both that it makes more than PAIRS pairs, all places are given, by a convolution:
+    memory stays in proportion to the texts.
+    """
+    if len(here) * len(there) > PAIRS:
+        return all_differences(here, there)
+    size = min(n, MIN_WORDS)
+    same = (my_tags[:, None, :] == its_tags[None, :, :]) & (my_tags[:, None, :] != 0)
+    total = np.zeros((*same.shape[:2], AROUND + 1), np.int16)
+    np.cumsum(same, axis=2, out=total[:, :, 1:])
+    good = (total[:, :, size:] - total[:, :, :-size]).max(axis=2) >= np.ceil(SIMILARITY * size - 1e-9)
+    return np.unique((here[:, None].astype(np.int64) - there[None, :])[good])
+
+
+def stretches(at: np.ndarray, n: int, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, places) for the stretches of a text of that length that an item of n words lies on at these sorted places; touching ones are one."""
+    for part in np.split(at, np.flatnonzero(np.diff(at) > n) + 1):
+        yield max(0, int(part[0])), min(length, int(part[-1]) + n), part
+
+
+def best_overlap(own: np.ndarray, words: np.ndarray, places) -> tuple[int, int, int] | None:
+    """(agreeing words, minus start, length) of the best verified overlap of the item at one of the places in the words."""
+    best = None
+    size = min(MIN_WORDS, len(own))
+    for start in places:
+        a, z = max(0, start), min(len(words), start + len(own))
+        same = np.zeros(len(own) + 1, np.int64)
+        same[1 + a - start : 1 + z - start] = own[a - start : z - start] == words[a:z]
+        total = np.cumsum(same)
+        good = np.flatnonzero(total[size:] - total[:-size] >= np.ceil(SIMILARITY * size - 1e-9))
+        if len(good):
+            first, last = max(a - start, int(good[0])), min(z - start, int(good[-1]) + size)
+            row = (int(total[last] - total[first]), -(start + first), last - first)
+            best = max(best or row, row)
+            if best[0] == len(own):  # the whole item word by word; later places are no better
+                break
+    return best
+
+
+def _rows(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _in_batches(kinds: dict[str, pa.DataType], rows: Iterator[tuple], batch_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size > batch_bytes:
+            yield _rows(kinds, out)
+            out, size = [], 0
+    yield _rows(kinds, out)
+
+
+def _keys(*names: str) -> list:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64("text").alias(names[0]), F.xxhash64(F.lit(1), F.col("text")).alias(names[1])]
+
+
+def items_of(benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
+    """i1, i2, n, words: the distinct texts of items that are searched, as word hashes."""
+
+    def run(batches):
+        cache = _Hashes()
+        for b in batches:
+            for i1, i2, t in zip(*(b.column(c).to_pylist() for c in ("i1", "i2", "text")), strict=True):
+                if len(h := word_hashes(t, cache)) >= max(1, least):
+                    yield i1, i2, len(h), h.tobytes()
+
+    kinds = {"i1": pa.int64(), "i2": pa.int64(), "n": pa.int32(), "words": pa.binary()}
+    texts = small_batches(benchmark).filter("text IS NOT NULL").select(*_keys("i1", "i2"), "text").dropDuplicates(["i1", "i2"])
+    return stored(texts.mapInArrow(lambda batches: _in_batches(kinds, run(batches)), "i1 long, i2 long, n int, words binary"), "op10-items")
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """h, i1, i2, n, there, its_tags: every hash of an item with its places there."""
+
+    def run(batches):
+        for b in batches:
+            for i1, i2, n, words in zip(*(b.column(c).to_pylist() for c in ("i1", "i2", "n", "words")), strict=True):
+                for h, at, around in _by_hash(np.frombuffer(words, np.uint64), masks_of(n), lambda h: np.ones(len(h), bool)):
+                    yield h, i1, i2, n, at, around
+
+    kinds = {"h": pa.int64(), "i1": pa.int64(), "i2": pa.int64(), "n": pa.int32(), "there": pa.binary(), "its_tags": pa.binary()}
+    return stored(items.mapInArrow(lambda batches: _in_batches(kinds, run(batches)), "h long, i1 long, i2 long, n int, there binary, its_tags binary"), "op10-seeds")
+
+
+def bitmap_of(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Which upper parts of hashes occur in the seeds: 16 bits for each seed, at most 2**bits (16 MB at the default), as 64-bit words."""
+    bits = min(bits, max(12, (16 * seeds.count()).bit_length()))
+    place = seeds.select(F.shiftrightunsigned("h", 64 - bits).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("b"))
+    set_ = words.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[set_.column("w").to_numpy()] = set_.column("b").to_numpy().astype(np.uint64)
+    return out
 
 
-class Index:
-    """The mask hashes of a block of benchmark items [(item_id, text)]."""
+def hits_of(docs: DataFrame, bitmap: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
+    """h, t1, t2, here, my_tags: every hash of a text that the bitmap lets pass, with its places there."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def __init__(self, items: list[tuple[int, str]], least: int = LEAST_ITEM):
+    def run(batches):
+        cache, bits = _Hashes(), shared.value
+        right = np.uint64(64 - 6 - (len(bits).bit_length() - 1))
+
+        def passing(h):
+            place = h >> right
+            return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+
+        for b in batches:
+            for t1, t2, text in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("text"), strict=True):
+                for h, at, around in _by_hash(word_hashes(text.as_py(), cache), masks, passing):
+                    yield h, t1, t2, at, around
+
+    kinds = {"h": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "here": pa.binary(), "my_tags": pa.binary()}
+    texts = small_batches(docs).filter("text IS NOT NULL").select(*_keys("t1", "t2"), "text")
+    return texts.mapInArrow(lambda batches: _in_batches(kinds, run(batches)), "h long, t1 long, t2 long, here binary, my_tags binary")
+
+
+def candidates(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """t1, t2, items [(i1, i2, n, places)]: where items may lie on a text."""
+
+    def run(batches):
+        for b in batches:
+            for t1, t2, i1, i2, n, *rest in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "i1", "i2", "n", "here", "my_tags", "there", "its_tags")), strict=True):
+                here, there = (np.frombuffer(x, np.int32) for x in (rest[0], rest[2]))
+                mine, its = (np.frombuffer(x, np.uint8).reshape(-1, AROUND) for x in (rest[1], rest[3]))
+                found = shifts(here, mine, there, its, n)
+                if len(found):
+                    yield t1, t2, i1, i2, n, found.astype(np.int64).tobytes()
+
+    kinds = {"t1": pa.int64(), "t2": pa.int64(), "i1": pa.int64(), "i2": pa.int64(), "n": pa.int32(), "at": pa.binary()}
+    pairs = hits.join(seeds, "h").select("t1", "t2", "i1", "i2", "n", "here", "my_tags", "there", "its_tags")
+    near = pairs.mapInArrow(lambda batches: _in_batches(kinds, run(batches)), "t1 long, t2 long, i1 long, i2 long, n int, at binary")
+    return stored(near.groupBy("t1", "t2").agg(F.collect_set(F.struct("i1", "i2", "n", "at")).alias("items")), "op10-near")
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_ITEM, bits: int = BITS) -> DataFrame:
+    """t1, t2, i1, i2, start, words, matched: the best overlap of each text with each item it holds."""
+    items = items_of(benchmark, least)
+    seeds = seeds_of(items)
+    sizes = sorted(r.n for r in items.select(F.least("n", F.lit(MIN_WORDS)).alias("n")).distinct().collect())  # 13 rows at most
+    masks = tuple(dict.fromkeys(m for n in sizes for m in masks_of(n)))
+    near = candidates(hits_of(docs, bitmap_of(seeds, bits), masks), seeds)
+    small_batches(docs)
+
+    def cut(batches):
         cache = _Hashes()
-        self.items = [(i, h) for i, t in items if len(h := word_hashes(t, cache)) >= max(1, least)]
-        rows: dict[str, list] = {}
-        for k, (_, words) in enumerate(self.items):
-            for mask in masks_of(len(words)):
-                h = mask_hashes(words, mask)
-                rows.setdefault(mask, []).append((h, np.full(len(h), k), np.arange(len(h))))
-        self.masks = {}
-        for mask, parts in rows.items():
-            h, k, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[h >> np.uint64(44)] = True
-            self.masks[mask] = (h[order], k[order], at[order], seen)
-
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, place of its first word in the document) in one number each (see at_place), the place may be negative.
-
-        Pairs of equal hashes are written out PAIRS at a time. Where a hash recurs so often in both texts that it makes more pairs
-        than there are places, the places are found by a convolution instead: memory stays in proportion to the texts.
-        """
-        found = [np.empty(0, np.int64)]
-        for mask, (keys, item, at, seen) in self.masks.items():
-            h = mask_hashes(words, mask)
-            place = np.flatnonzero(seen[h >> np.uint64(44)])
-            left, right = np.searchsorted(keys, h[place], "left"), np.searchsorted(keys, h[place], "right")
-            place, left, right = (x[right > left] for x in (place, left, right))
-            if not len(place):
-                continue
-            of, which, times = np.unique(left, return_inverse=True, return_counts=True)
-            width = np.zeros(len(of), np.int64)
-            width[which] = right - left
-            often = (times * width > PAIRS)[which]
-            for key in np.unique(left[often]):
-                mine = place[left == key]
-                a, z = key, right[left == key][0]
-                for k in np.unique(item[a:z]):
-                    found.append(_places(int(k), mine, at[a:z][item[a:z] == k]))
-            place, left, n = place[~often], left[~often], (right - left)[~often]
-            cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - 1) // PAIRS)) + 1).tolist()]
-            for x, y in zip(cuts, [*cuts[1:], len(n)], strict=True):
-                m = n[x:y]
-                entry = np.repeat(left[x:y] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum()) if len(m) else np.empty(0, np.int64)
-                found.append(np.unique(at_place(item[entry], np.repeat(place[x:y], m) - at[entry])))
-        return np.unique(np.concatenate(found))
-
-    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, length, agreeing words) of the best verified overlap with each item."""
-        best: dict[int, tuple] = {}
-        done: set[int] = set()
-        for code in self.hits(words).tolist():
-            k, start = (code >> 32), (code & 0xFFFFFFFF) - (1 << 31)
-            own = self.items[k][1]
-            if k in done:
-                continue
-            a, z = max(0, start), min(len(words), start + len(own))
-            same = np.zeros(len(own) + 1, np.int64)
-            same[1 + a - start : 1 + z - start] = own[a - start : z - start] == words[a:z]
-            total = np.cumsum(same)
-            size = min(MIN_WORDS, len(own))
-            good = np.flatnonzero(total[size:] - total[:-size] >= np.ceil(SIMILARITY * size - 1e-9))
-            if len(good):
-                first, last = max(a - start, int(good[0])), min(z - start, int(good[-1]) + size)
-                row = (int(total[last] - total[first]), -(start + first), last - first)
-                best[k] = max(best.get(k, row), row)
-                if best[k][0] == len(own):  # the whole item word by word; later places are no better
-                    done.add(k)
-        return [(self.items[k][0], -s, n, m) for k, (m, s, n) in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, least: int = LEAST_ITEM):
-    """Indexes of the benchmark, each over about block_words words at most."""
-    rows = benchmark.select("item_id", "text").filter("text IS NOT NULL")
-    total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = -(-total // block_words)
-    for b in range(n):
-        yield Index([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], least)
+        for b in batches:
+            for t1, t2, text, held in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("text"), b.column("items"), strict=True):
+                words = word_hashes(text.as_py(), cache)
+                places: dict[tuple, list] = {}
+                for x in held.as_py():
+                    places.setdefault((x["i1"], x["i2"], x["n"]), []).append(np.frombuffer(x["at"], np.int64))
+                for (i1, i2, n), parts in places.items():
+                    for a, z, at in stretches(np.unique(np.concatenate(parts)), n, len(words)):
+                        yield t1, t2, i1, i2, a, words[a:z].tobytes(), (at - a).tobytes()
+
+    def compare(batches):
+        for b in batches:
+            for t1, t2, i1, i2, a, text, at, own in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "i1", "i2", "from", "text_words", "at", "words")), strict=True):
+                best = best_overlap(np.frombuffer(own, np.uint64), np.frombuffer(text, np.uint64), np.frombuffer(at, np.int64).tolist())
+                if best:
+                    yield t1, t2, i1, i2, best[0], best[1] - a, best[2]
+
+    pieces = {"t1": pa.int64(), "t2": pa.int64(), "i1": pa.int64(), "i2": pa.int64(), "from": pa.int64(), "text_words": pa.binary(), "at": pa.binary()}
+    overlaps = {"t1": pa.int64(), "t2": pa.int64(), "i1": pa.int64(), "i2": pa.int64(), "matched": pa.int32(), "before": pa.int64(), "words": pa.int32()}
+    texts = docs.filter("text IS NOT NULL").select(*_keys("t1", "t2"), "text").join(near, ["t1", "t2"])
+    parts = texts.mapInArrow(lambda batches: _in_batches(pieces, cut(batches)), "t1 long, t2 long, i1 long, i2 long, `from` long, text_words binary, at binary")
+    held = parts.join(items.drop("n"), ["i1", "i2"]).mapInArrow(lambda batches: _in_batches(overlaps, compare(batches)), "t1 long, t2 long, i1 long, i2 long, matched int, before long, words int")
+    best = held.groupBy("t1", "t2", "i1", "i2").agg(F.max(F.struct("matched", "before", "words")).alias("best"))
+    return stored(best.select("t1", "t2", "i1", "i2", (-F.col("best.before")).cast("int").alias("start"), "best.words", "best.matched"), "op10-found")
 
 
 def short_items(benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
@@ -171,38 +294,19 @@ def short_items(benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
     return benchmark.filter(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))) < least)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, least: int = LEAST_ITEM) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_ITEM, bits: int = BITS) -> DataFrame:
     """doc_id, item_id, start, words, matched: one row for each item that a document holds (word places)."""
-    schema = "doc_id long, item_id long, start int, words int, matched int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in blocks(benchmark, block_words, least):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            cache = _Hashes()
-            for b in batches:
-                ids = b.column("doc_id").to_pylist()
-                rows = [(i, *m) for i, t in zip(ids, b.column("text"), strict=True) for m in shared.value.matches(word_hashes(t.as_py(), cache))]
-                kinds = zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in kinds], names=["doc_id", "item_id", "start", "words", "matched"])
-
-        out = out.union(small_batches(docs).select("doc_id", "text").mapInArrow(run, schema))
-    return out
+    found = found_in(docs, benchmark, least, bits)
+    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *_keys("t1", "t2"))
+    items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), *_keys("i1", "i2"))
+    return texts.join(found, ["t1", "t2"]).join(items, ["i1", "i2"]).select("doc_id", "item_id", "start", "words", "matched")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, least: int = LEAST_ITEM) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_ITEM, bits: int = BITS) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    for index in blocks(benchmark, block_words, least):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            cache = _Hashes()
-            for b in batches:
-                keep = [not shared.value.matches(word_hashes(t.as_py(), cache)) for t in b.column("text")]
-                yield b.filter(pa.array(keep, pa.bool_()))
-
-        docs = small_batches(docs).mapInArrow(run, docs.schema)
-    return docs
+    gone = found_in(docs, benchmark, least, bits).select("t1", "t2").distinct()
+    one, two = _keys("t1", "t2")
+    return docs.join(gone, (one == gone["t1"]) & (two == gone["t2"]), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir) -> DataFrame:
