@@ -202,8 +202,8 @@ def seeds_of(items: DataFrame) -> DataFrame:
 
 
 def bitmap_of(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Which upper parts of hashes occur in the seeds: 16 bits for each seed, at most 2**bits (16 MB at the default), as 64-bit words."""
-    bits = min(bits, max(12, (16 * seeds.count()).bit_length()))
+    """Which upper parts of hashes occur in the seeds: 512 bits for each seed, at most 2**bits (16 MB at the default), as 64-bit words."""
+    bits = min(bits, max(12, (512 * seeds.count()).bit_length()))
     place = seeds.select(F.shiftrightunsigned("h", 64 - bits).alias("place"))
     words = place.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("b"))
     set_ = words.toArrow()
