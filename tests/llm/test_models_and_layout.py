@@ -224,6 +224,28 @@ def test_pieces_are_those_of_whole_prefixes(n):
         assert [len(p) for p, _, _ in got] == [len(template(turns[: i + 1])) - len(template(turns[:i])) for i in range(n)]
 
 
+@pytest.mark.parametrize("whole", [None, 256])
+def test_a_template_of_single_turns_gives_the_same_with_strides(whole):
+    turns = [("user" if i % 3 else "assistant", f"say {i * 7 % 31} <|") for i in range(1100)]
+    got = list(op3_chat.render(turns, whole=whole))
+    assert [p for p, _, _ in got] == [op3_chat.chat_template([t]) for t in turns]
+    assert [op3_chat.unescape(p[a:z]) for p, a, z in got] == [t for _, t in turns]
+
+
+def test_borders_that_move_at_one_length_are_those_of_whole_prefixes():
+    """The separator behind turn 300 comes with turn 301 in one prefix only."""
+    late = lambda turns: "".join(f"{t}|" for _, t in turns)[: -1 if len(turns) == 300 else None]
+    turns = [("user", f"x{i + 1}") for i in range(400)]
+    got = list(op3_chat.render(turns, late))
+    assert got[299] == ("x300", 0, 4) and got[300] == ("|x301|", 1, 5) and got[301] == ("x302|", 0, 4)
+
+
+def test_a_change_that_is_taken_back_is_detected():
+    brief = lambda turns: op3_chat.chat_template([(r, "[cut]") if i == 6 and len(turns) in (300, 301) else (r, t) for i, (r, t) in enumerate(turns)])
+    with pytest.raises(op3_chat.Rewritten, match="300 turns"):
+        list(op3_chat.render([("user", f"t{i}") for i in range(400)], brief))
+
+
 def test_rows_without_a_conversation_and_extra_columns(spark):
     rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (3, None, "user", "x"), (3, 0, None, "y"), (3, 0, None, "y")]
     extra = chats(spark, rows).withColumns({"piece": F.lit(1), "salt_": F.lit("s"), "error": F.lit("e")})
