@@ -32,3 +32,15 @@ def test_all_domains_come_in_one_table(spark):
     d = spark.createDataFrame([(7, "t", "a plan", 5)], "id long, title string, text string, at long")
     got = sorted((r.category, r.id, r["rank"]) for r in ev.search_everywhere(q, hits, 10, workflows=d, automations=d).collect())
     assert got == [("automations", "7", 1), ("knowledge", "chk", 1), ("workflows", "7", 1)]
+
+
+def test_the_sql_leaves_out_queries_without_a_vector():
+    import duckdb
+
+    from sparkloom.plans import knowledge  # noqa: F401
+    from sparkloom.plans.views import with_ctes
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT 1 AS doc_id, 'some words' AS text, 'web' AS source")
+    con.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (1, 'words'), (2, ', ')) b(item_id, text)")
+    assert con.execute(with_ctes("vec", "SELECT query_id, rank FROM vec")).fetchall() == [(1, 1)]
