@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as tx
 from ..sources.tables import materialized, small
-from .retrieval import KeywordIndex, apply_filters, build_keyword_index, index_of, postings_of  # noqa: F401
+from .retrieval import KeywordIndex, apply_filters, build_keyword_index, forward_of, index_of, listed, postings_of  # noqa: F401
 
 
 def latest_by_key(log: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -161,10 +161,17 @@ def merge_embeddings(diff: DataFrame, old: DataFrame, fresh: DataFrame) -> DataF
 
 
 def upsert_index(index: KeywordIndex, diff: DataFrame, new_chunks: DataFrame) -> KeywordIndex:
-    """The index without removed and changed chunks, with added and changed ones; statistics follow."""
+    """The index without removed and changed chunks, with added and changed ones; statistics follow.
+
+    The moves of the diff and the new postings are stored, as several steps read them.
+    """
+    diff = materialized(diff.filter("status <> 'unchanged'").select("chunk_id", "status"), "moved")
     gone = diff.filter("status IN ('removed', 'changed')").select("chunk_id")
     added = new_chunks.join(diff.filter("status IN ('added', 'changed')").select("chunk_id"), "chunk_id", "left_semi")
-    return index_of(index.postings.join(gone, "chunk_id", "left_anti").unionByName(postings_of(added)))
+    if index.forward is None:
+        return index_of(materialized(index.postings.join(gone, "chunk_id", "left_anti").unionByName(postings_of(added)), "postings"))
+    forward = materialized(index.forward.join(gone, "chunk_id", "left_anti").unionByName(forward_of(added)), "forward")
+    return index_of(listed(forward), forward)
 
 
 def reindex(sources: DataFrame, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> dict[str, DataFrame | KeywordIndex]:

@@ -3,7 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import indexing as ix
 from sparkloom.operators import retrieval as rt
+from sparkloom.operators import snapshots as sn
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +59,22 @@ def test_a_task_sends_its_best_rows_once():
     for i in range(6):
         want = sorted(zip(-score[i], rows["chunk_id"][:-1][ok], strict=True))[:5]
         assert got["chunk_id"][got["query_id"] == i].tolist() == [c for _, c in want]
+
+
+def test_block_max_search_scores_chunks_not_pairs(spark, corpus, tmp_path):
+    chunks, queries = corpus
+    index = sn.write_snapshot(chunks, f"file://{tmp_path}/s", 4)
+    found = sn.block_max_search(queries, index, 7).hits
+    assert hits(found) == hits(rt.keyword_search(queries, rt.build_keyword_index(chunks), 7))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # nothing is summed up by query and chunk
+
+
+def test_an_upsert_stores_what_several_steps_read(spark, corpus):
+    chunks, _ = corpus
+    diff = chunks.select("chunk_id", F.when(F.col("chunk_id") < "c0010", "removed").when(F.col("chunk_id") < "c0020", "changed").otherwise("unchanged").alias("status"))
+    for of in (rt.build_keyword_index(chunks), rt.index_of(rt.postings_of(chunks))):
+        got = ix.upsert_index(of, diff, chunks)
+        assert "MapInArrow" not in got.postings._jdf.queryExecution().optimizedPlan().toString()
+        want = rt.build_keyword_index(chunks.filter("chunk_id >= 'c0010'"))
+        rows = lambda x: sorted(map(tuple, x.postings.select("term", "chunk_id", "doc_id", "tf", "dl").collect()))
+        assert rows(got) == rows(want)
