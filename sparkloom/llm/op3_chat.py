@@ -9,7 +9,8 @@ Every prefix is rendered whole, so the outputs, borders and spans are those of w
 to an earlier turn is found where it happens. That is work with the square of a conversation's length.
 
 A caller who knows that a template writes each turn by itself, whatever stands before or behind, may say so with the option
-whole, a number of turns; the query does, for chat_template is such. Prefixes of up to whole turns are rendered as ever. Later turns
+whole, a number of turns; the query does, for chat_template is such, and says 1: all its conversations go one way, however long
+they are. Prefixes of up to whole turns are rendered as ever. Later turns
 come in stretches of STRIDE turns or a sixteenth of those before, if that is more: their pieces come from short lists of turns
 (the first one, the LEAD before, the new ones), then the whole prefix at the stretch's end is rendered. It must start with the
 whole output before, and the pieces, joined, must be exactly what it adds; if they are not, every prefix of the stretch is
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-START, END, WHOLE, STRIDE, LEAD, SALTS = "<|im_start|>", "<|im_end|>", 256, 64, 2, 4096
+START, END, WHOLE, STRIDE, LEAD, SALTS = "<|im_start|>", "<|im_end|>", 1, 64, 2, 4096
 PROBES = "", ""
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
