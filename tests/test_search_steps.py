@@ -85,3 +85,14 @@ def test_stored_ids_take_about_their_content(spark, tmp_path):
     ids = spark.range(20_000).select(F.lit("t").alias("term"), F.concat(F.lit("chk_"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 20)).alias("chunk_id"))
     write_index(str(tmp_path), 2, postings=ids)
     assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 20_000 * 18  # 10 bytes each, 24 as text
+
+
+def test_contradictions_are_members_with_their_links(spark):
+    from sparkloom.operators import memory as me
+
+    rows = [(f"m{i:03}", "semantic", "active", "Solar" if i % 2 else "solar", f"rule {i % 3}", i) for i in range(30)] + [("x", "semantic", "active", "wind", "rule 1", 1), ("y", "semantic", "archived", "wind", "rule 2", 1), ("z", "semantic", "active", "solar", None, 1)]
+    mem = spark.createDataFrame(rows, "memory_id string, memory_type string, status string, concept string, abstraction string, at long").withColumn("created_at", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    pairs = [(p.memory_a, p.memory_b) for p in me.contradicting_pairs(mem).collect()]
+    got = {r.memory_id: r for r in me.contradicting_members(mem).collect()}
+    assert len(got) == 30 and {m: r.n_links for m, r in got.items()} == {m: sum(m in p for p in pairs) for m in got}
+    assert {r.side for r in got.values()} == {"m027", "m028", "m029"} and sum(r.n_links for r in got.values()) == 2 * len(pairs)
