@@ -96,3 +96,14 @@ def test_contradictions_are_members_with_their_links(spark):
     got = {r.memory_id: r for r in me.contradicting_members(mem).collect()}
     assert len(got) == 30 and {m: r.n_links for m, r in got.items()} == {m: sum(m in p for p in pairs) for m in got}
     assert {r.side for r in got.values()} == {"m027", "m028", "m029"} and sum(r.n_links for r in got.values()) == 2 * len(pairs)
+
+
+def test_built_in_vector_search_leaves_pairs_below_a_known_kth_score(spark):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.integers(-2, 3, 70 if i % 3 else 4).tolist()) for i in range(300)], "chunk_id long, vector array<double>")
+    q = spark.createDataFrame([(i, rng.integers(-2, 3, 70 if i % 4 else 4).tolist()) for i in range(9)], "query_id long, vector array<double>")
+    want = sorted(map(tuple, rt.vector_search(q, v, 5).collect()))
+    for numbers in (10**6, 100):  # in one block, in blocks
+        found = rt.vector_search_sql(q, v, 5, numbers)
+        assert sorted(map(tuple, found.collect())) == want and len(want) == 45
+        assert "least" in found._jdf.queryExecution().optimizedPlan().toString()
