@@ -1,8 +1,13 @@
+import sys
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import documents as dx
+from sparkloom.functions import text as tx
 from sparkloom.operators import indexing as ix
 from sparkloom.operators import retrieval as rt
 from sparkloom.operators import snapshots as sn
@@ -100,10 +105,48 @@ def test_contradictions_are_members_with_their_links(spark):
 
 def test_built_in_vector_search_leaves_pairs_below_a_known_kth_score(spark):
     rng = np.random.default_rng(5)
-    v = spark.createDataFrame([(i, rng.integers(-2, 3, 70 if i % 3 else 4).tolist()) for i in range(300)], "chunk_id long, vector array<double>")
-    q = spark.createDataFrame([(i, rng.integers(-2, 3, 70 if i % 4 else 4).tolist()) for i in range(9)], "query_id long, vector array<double>")
+    v = spark.createDataFrame([(i, rng.integers(-2, 3, 70 if i % 3 else 4).astype(float).tolist()) for i in range(300)], "chunk_id long, vector array<double>")
+    q = spark.createDataFrame([(i, rng.integers(-2, 3, 70 if i % 4 else 4).astype(float).tolist()) for i in range(9)], "query_id long, vector array<double>")
     want = sorted(map(tuple, rt.vector_search(q, v, 5).collect()))
     for numbers in (10**6, 100):  # in one block, in blocks
         found = rt.vector_search_sql(q, v, 5, numbers)
         assert sorted(map(tuple, found.collect())) == want and len(want) == 45
         assert "least" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_counted_in_python_are_sparks_for_every_sign(spark):
+    signs = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"x_1-{'y'.join(signs[a : a + 500])} İstanbul ΟΔΟΣ" for a in range(0, len(signs), 500)]
+    rows = spark.createDataFrame([(str(i), "d", "", "", t) for i, t in enumerate(texts)], "chunk_id string, doc_id string, title string, heading_path string, embed_text string")
+    got = {r.chunk_id: (dict(zip(r.terms, r.tfs, strict=True)), r.dl) for r in rt.forward_of(rows).collect()}
+    want = {r.chunk_id: Counter(r.t) for r in rows.select("chunk_id", tx.tokenize(F.col("embed_text")).alias("t")).collect()}
+    assert got == {k: (dict(n), n.total()) for k, n in want.items()}
+
+
+def test_workers_hold_small_batches_whatever_the_table(spark):
+    """A worker's memory follows its batches: 10,000 whole texts a batch were its peak on large tables."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    most = []
+
+    def extract(files):
+        return files.assign(title=str(len(files)), body="b")[["uri", "title", "body"]]
+
+    files = spark.range(0, 5000, 1, 1).select(F.col("id").cast("string").alias("uri"), F.lit("x").alias("format"), F.lit(b"a").alias("content"))
+    most.append(dx.extract_registered(files, {"x": extract}).agg(F.max(F.col("title").cast("int"))).first()[0])
+    rows = files.select(F.col("uri").alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit("").alias("title"), F.lit("").alias("heading_path"), F.lit("a").alias("embed_text"))
+    docs = rows.select("doc_id", F.lit("s").alias("source_id"), "title", F.lit("a").alias("body"))
+    for step in (lambda: rt.forward_of(rows), lambda: rt.postings_of(rows), lambda: rt.embed_chunks(rows, rt.hashing_embedder), lambda: dx.chunk_documents(docs)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert step().count() >= 5000
+        most.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(most) <= 1000
+
+
+def test_hits_meet_chunks_without_a_shuffle_of_the_texts(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "child", f"p{i // 4}", f"text {i}", "t") for i in range(40)] + [(f"p{i}", "parent", None, f"whole {i}", "t") for i in range(10)], "chunk_id string, chunk_level string, parent_chunk_id string, body_text string, title string")
+    hits = spark.createDataFrame([(1, "c5", 1), (1, "gone", 2), (2, "c39", 1)], "query_id long, chunk_id string, rank int")
+    out = rt.expand_parents(hits, chunks)
+    assert sorted((r.query_id, r.chunk_id, r.text) for r in out.collect()) == [(1, "c5", "whole 1"), (1, "gone", ""), (2, "c39", "whole 9")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
