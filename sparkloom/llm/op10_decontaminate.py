@@ -7,7 +7,7 @@ item where a stretch of MIN_WORDS words (the whole item, if shorter) agrees in a
 two substitutions in such a stretch leave at least one mask intact wherever they fall. Items shorter
 than MIN_WORDS use the run of words that must survive their substitutions.
 
-The documents are tokenized once, whatever the size of the benchmark:
+The documents are tokenized once, whatever the size of the benchmark, many texts at a time in arrays (words_of, hits_in):
 
 - seeds: a row for each hash of an item, with its places and, for each, a byte for every word around it (tags).
 - a bitmap of the seeds' hashes, of at most 2**BITS bits, goes to all tasks; it only keeps hashes without a partner from
@@ -29,37 +29,97 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache as once
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-MIN_WORDS, SIMILARITY, CACHE_WORDS, LEAST_ITEM, PAIRS, BITS = 13, 0.8, 500_000, 5, 1 << 18, 27
+MIN_WORDS, SIMILARITY, LEAST_ITEM, PAIRS, BITS = 13, 0.8, 5, 1 << 18, 27
 #: Fixed masks: 1 looks at the word, 0 ignores it. Any two substitutions in 13 words miss one of them somewhere.
 MASKS = ("11111", "110111", "1101011")
 #: Words before a hash's place, and in all, that may lie in one stretch with it.
 BEFORE, AROUND = 10, 23
-_WORD = re.compile(r"\w+")
-
-
-class _Hashes(dict):
-    """Word to its 64-bit hash; emptied when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+#: Characters of text that are hashed at a time, and hits that make a batch of rows; letters of a word beyond which it is hashed by itself.
+STRETCH, HITS, LONG = 1 << 17, 1 << 17, 1 << 12
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits for each number (one to one, 0 stays 0)."""
+    for factor, shift in ((0x9E3779B97F4A7C15, 30), (0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        x = x * np.uint64(factor)
+        x ^= x >> np.uint64(shift)
+    return x
+
+
+@once
+def _numbers() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point, 0 where it is no word character, and an odd one for each place in a word."""
+    points = np.arange(0x110000, dtype=np.uint64)
+    word = np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)  # with _, what \w is
+    word[ord("_")] = True
+    return np.where(word, _mixed(points), np.uint64(0)), _mixed(points[:LONG] + np.uint64(1 << 32)) | np.uint64(1)
+
+
+class _Hashes:
+    """Hashes of the words of a text: the sum of letter times place, mixed."""
+
+    def __init__(self):
+        self.letters, self.places = _numbers()
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words of the lower-cased text, and where each begins."""
+        letters = self.letters.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.dtype("<u4")), mode="clip")
+        inside = letters != 0
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        begins, lengths = edges[::2], edges[1::2] - edges[::2]
+        if not len(begins):
+            return np.empty(0, np.uint64), begins
+        first = np.cumsum(lengths) - lengths
+        letters = letters[inside]
+        letters *= self.places.take(np.arange(len(letters)) - np.repeat(first, lengths), mode="clip")
+        out = _mixed(np.add.reduceat(letters, first))
+        for i in np.flatnonzero(lengths > LONG):
+            out[i] = self.long(text[begins[i] : begins[i] + lengths[i]])
+        return out, begins
+
+    @staticmethod
+    def long(word: str) -> int:
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def words_of(texts: list[str], cache: _Hashes, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all the texts, one text behind the other, and where each text ends among them."""
+    low = [text.lower() for text in texts]
+    whole, at, parts, begins = "\n".join(low), 0, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    while at < len(whole):  # up to a character outside of words
+        gap = _GAP.search(whole, at + stretch)
+        end, last = (gap.end(), gap.start()) if gap else (len(whole), len(whole))
+        huge = end
+        if end - at > 2 * stretch + LONG:  # a word of this size gets no arrays
+            huge = at + stretch
+            while huge > at and not _GAP.match(whole, huge - 1):
+                huge -= 1
+        part, begin = cache.of(whole[at:huge])
+        parts.append(part)
+        begins.append(begin + at)
+        if huge < end:
+            parts.append(np.array([cache.long(whole[huge:last])], np.uint64))
+            begins.append(np.array([huge]))
+        at = end
+    ends = np.cumsum(np.fromiter((len(text) + 1 for text in low), np.int64, len(low)))
+    return np.concatenate(parts), np.searchsorted(np.concatenate(begins), ends)
 
 
 def word_hashes(text: str | None, cache: _Hashes) -> np.ndarray:
-    words = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    return words_of([text or ""], cache)[0]
 
 
 def mask_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -82,22 +142,40 @@ def masks_of(n: int) -> tuple[str, ...]:
     return ("1" * -(-(n - lost) // (lost + 1)),)
 
 
-def tags(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """A byte for each of the AROUND words around each place; 0 beyond the text."""
-    out = np.zeros(len(words) + AROUND, np.uint8)
-    out[BEFORE : BEFORE + len(words)] = words % np.uint64(254) + np.uint64(2)
-    return np.lib.stride_tricks.sliding_window_view(out, AROUND)[places]
+def hits_in(words: np.ndarray, ends: np.ndarray, masks, passing) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hashes, texts, edges, places, tags): each hash of each text that passes, with the text's number; between two edges lie its places in the
+    text and, for each, a byte for every one of the AROUND words around it, 0 beyond the text. ends: where each text ends among the words."""
+    begins = np.concatenate([np.zeros(1, np.int64), ends])[:-1]
+    laid = np.zeros(len(words) + AROUND * (len(ends) + 1), np.uint8)  # the texts, with AROUND zeros between them
+    laid[BEFORE + np.arange(len(words)) + AROUND * np.repeat(np.arange(len(ends)), ends - begins)] = words % np.uint64(254) + np.uint64(2)
+    around = np.lib.stride_tricks.sliding_window_view(laid, AROUND)
+    for mask in masks:
+        h = mask_hashes(words, mask)
+        at = np.flatnonzero(passing(h))
+        text = np.searchsorted(ends, at, side="right")
+        within = at + len(mask) <= ends[text]
+        at, text = at[within], text[within]
+        order = np.lexsort((h[at], text))
+        at, text = at[order], text[order]
+        h = h[at]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (h[1:] != h[:-1]) | (text[1:] != text[:-1])]))
+        for a, z in _spans(first, HITS):
+            edges = np.append(first[a:z], first[z] if z < len(first) else len(at))
+            here, of = at[edges[0] : edges[-1]], text[edges[0] : edges[-1]]
+            yield h[edges[:-1]].astype(np.int64), text[edges[:-1]], edges - edges[0], (here - begins[of]).astype(np.int32), around[here + AROUND * of]
+
+
+def _spans(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(from, to) for runs of these growing numbers that lie within the same multiple of size."""
+    cuts = [0, *(np.flatnonzero(np.diff(at // size)) + 1).tolist(), len(at)] if len(at) else []
+    yield from zip(cuts, cuts[1:])
 
 
 def _by_hash(words: np.ndarray, masks, passing) -> Iterator[tuple[int, bytes, bytes]]:
     """(hash, places, tags) for each hash of the words that passes."""
-    for mask in masks:
-        h = mask_hashes(words, mask)
-        at = np.flatnonzero(passing(h))
-        if len(at):
-            at = at[np.argsort(h[at], kind="stable")].astype(np.int32)
-            for part in np.split(at, np.flatnonzero(np.diff(h[at])) + 1):
-                yield int(h[part[0]].astype(np.int64)), part.tobytes(), tags(words, part).tobytes()
+    for hashes, _, edges, places, around in hits_in(words, np.array([len(words)]), masks, passing):
+        for h, a, z in zip(hashes.tolist(), edges.tolist(), edges[1:].tolist()):
+            yield h, places[a:z].tobytes(), around[a:z].tobytes()
 
 
 def all_differences(here: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -168,6 +246,12 @@ def _in_batches(kinds: dict[str, pa.DataType], rows: Iterator[tuple], batch_byte
     yield _rows(kinds, out)
 
 
+def _binary(edges: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """A value for the bytes of the rows between two edges."""
+    width = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.array(edges * width, pa.int32()).buffers()[1], pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _keys(*names: str) -> list:
     """Two hashes that stand for a text."""
     return [F.xxhash64("text").alias(names[0]), F.xxhash64(F.lit(1), F.col("text")).alias(names[1])]
@@ -225,13 +309,15 @@ def hits_of(docs: DataFrame, bitmap: np.ndarray, masks: tuple[str, ...]) -> Data
             return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
 
         for b in batches:
-            for t1, t2, text in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("text"), strict=True):
-                for h, at, around in _by_hash(word_hashes(text.as_py(), cache), masks, passing):
-                    yield h, t1, t2, at, around
+            t1, t2 = (b.column(c).to_numpy() for c in ("t1", "t2"))
+            for a, z in _spans(np.cumsum(pc.binary_length(b.column("text")).to_numpy(), dtype=np.int64), STRETCH):
+                words, ends = words_of(b.column("text").slice(a, z - a).to_pylist(), cache)
+                for h, text, edges, places, around in hits_in(words, ends, masks, passing):
+                    columns = [pa.array(h), pa.array(t1[a + text]), pa.array(t2[a + text]), _binary(edges, places), _binary(edges, around)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["h", "t1", "t2", "here", "my_tags"])
 
-    kinds = {"h": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "here": pa.binary(), "my_tags": pa.binary()}
     texts = small_batches(docs).filter("text IS NOT NULL").select(*_keys("t1", "t2"), "text")
-    return texts.mapInArrow(lambda batches: _in_batches(kinds, run(batches)), "h long, t1 long, t2 long, here binary, my_tags binary")
+    return texts.mapInArrow(run, "h long, t1 long, t2 long, here binary, my_tags binary")
 
 
 def candidates(hits: DataFrame, seeds: DataFrame) -> DataFrame:

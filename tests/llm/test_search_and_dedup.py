@@ -272,6 +272,53 @@ def test_leaks_of_copies_and_of_items_that_repeat(spark):
     assert op10_decontaminate.items_of(spark.createDataFrame([(1, "the"), (2, "a b c d")], "item_id long, text string")).count() == 0
 
 
+def test_words_of_many_texts_are_those_of_each():
+    cache, rng = op10_decontaminate._Hashes(), random.Random(9)
+    signs = "aAbßİΣς_9é中文\u0301\u00ad\u0378𝔸٣ \t\n.,-\u2028\u00a0\x00"
+    texts = ["", "ΑΣ", "Σ", "İx", "_", "...", "x" * 9000, "y" * 8999 + "z " + "y" * 9000, "ΑΣ"] + ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(300)]
+    known = {}
+    for stretch in (1, 7, 1 << 17):
+        words, ends = op10_decontaminate.words_of(texts, cache, stretch)
+        for text, part in zip(texts, np.split(words, ends)[:-1], strict=True):
+            for word, h in zip(op10_decontaminate._WORD.findall(text.lower()), part.tolist(), strict=True):
+                assert known.setdefault(word, h) == h
+        assert ends[-1] == len(words)
+    assert len(set(known.values())) == len(known) > 500
+    assert all(bool(op10_decontaminate._WORD.match(chr(i))) == bool(x) for i, x in enumerate(cache.letters.tolist()))
+
+
+def test_hits_of_many_texts_are_those_of_each(monkeypatch):
+    cache, rng = op10_decontaminate._Hashes(), random.Random(4)
+    texts = ["", "w1"] + [sentences(rng, rng.randrange(40), 3) for _ in range(60)] + ["", "w1 w2 w1", ""]
+    masks, passing = op10_decontaminate.MASKS, lambda h: h % np.uint64(3) > 0
+    alone = []
+    for i, text in enumerate(texts):
+        words = op10_decontaminate.word_hashes(text, cache)
+        for mask in masks:
+            h = op10_decontaminate.mask_hashes(words, mask)
+            for x in np.unique(h[passing(h)]):
+                at = np.flatnonzero(h == x)
+                around = [bytes(int(words[j] % 254) + 2 if 0 <= j < len(words) else 0 for j in range(k - 10, k + 13)) for k in at]
+                alone.append((i, int(x.astype(np.int64)), at.tolist(), around))
+    words, ends = op10_decontaminate.words_of(texts, cache)
+    for hits in (1 << 17, 5):  # rows in one batch, or in many
+        monkeypatch.setattr(op10_decontaminate, "HITS", hits)
+        together = []
+        for h, text, edges, places, around in op10_decontaminate.hits_in(words, ends, masks, passing):
+            at, tags = (op10_decontaminate._binary(edges, x).to_pylist() for x in (places, around))
+            together += [(i, x, np.frombuffer(a, np.int32).tolist(), [t[j : j + 23] for j in range(0, len(t), 23)]) for i, x, a, t in zip(text.tolist(), h.tolist(), at, tags, strict=True)]
+        assert sorted(together) == sorted(alone) and len(alone) > 1000
+
+
+def test_texts_share_the_work_of_a_stretch(monkeypatch):
+    seen = []
+    inner = op10_decontaminate.mask_hashes
+    monkeypatch.setattr(op10_decontaminate, "mask_hashes", lambda words, mask: seen.append(mask) or inner(words, mask))
+    words, ends = op10_decontaminate.words_of(["one two three four five six"] * 1000, op10_decontaminate._Hashes())
+    found = list(op10_decontaminate.hits_in(words, ends, ("11111",), lambda h: np.ones(len(h), bool)))
+    assert seen == ["11111"] and sum(len(h) for h, *_ in found) == 2000
+
+
 def test_short_items_and_odd_columns_of_decontamination(spark):
     bench = spark.createDataFrame([(1, "the"), (2, "alpha beta gamma delta epsilon zeta"), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "the cat"), (2, "say alpha beta gamma delta epsilon zeta now"), (None, None), (4, "")], "doc_id long, text string").withColumns({"item_id": F.lit("i"), "start": F.lit("s")})
