@@ -310,6 +310,15 @@ def test_hits_of_many_texts_are_those_of_each(monkeypatch):
         assert sorted(together) == sorted(alone) and len(alone) > 1000
 
 
+def test_hits_of_a_long_text_take_time_in_proportion():
+    import time
+
+    words = op10_decontaminate.word_hashes(" ".join(f"w{i}" for i in range(40_000)), op10_decontaminate._Hashes())
+    began = time.process_time()
+    assert sum(1 for _ in op10_decontaminate._by_hash(words, ("11111",), lambda h: np.ones(len(h), bool))) == 39_996
+    assert time.process_time() - began < 4
+
+
 def test_texts_share_the_work_of_a_stretch(monkeypatch):
     seen = []
     inner = op10_decontaminate.mask_hashes
