@@ -296,3 +296,18 @@ def test_decisions_without_evidence(spark):
     assert [x.title for x in options.filter("decision_id = 1").orderBy("option").collect()] == ["Creatively proceed with expand", "Creatively defer decision", "Creatively hybrid approach", "Creative alternative: reframe the problem"]
     got = {x.decision_id: x for x in de.decide(r, t, e).collect()}
     assert got[2].score == pytest.approx(round(0.35 * 2 / 3 + 0.30 * 0.65, 4)) and 0 <= got[1].confidence <= 1
+
+
+def test_contradictions_are_all_pairs_of_a_concept(spark, tmp_path):
+    from sparkloom.plans import records  # noqa: F401
+    from sparkloom.plans.registry import QUERIES
+
+    rows = [memory(f"m{i:03}", "semantic", i % 7, concept="Solar" if i % 2 else "solar", abstraction=f"rule {i % 3}") for i in range(60)] + [memory("z", "semantic", concept="solar", abstraction=None), memory("y", "semantic", concept="wind", abstraction="rule 1")]
+    m = memories(spark, *rows)
+    plain = m.filter("memory_id LIKE 'm%'").select("memory_id", "concept", "abstraction", "created_at").collect()
+    want = sorted((a.concept, a.memory_id, b.memory_id) for a in plain for b in plain if a.abstraction != b.abstraction and (a.created_at > b.created_at or a.created_at == b.created_at and a.memory_id < b.memory_id))
+    for block in (7, 1000):
+        assert sorted(map(tuple, me.contradicting_pairs(m, block).collect())) == want and len(want) == 60 * 40 // 2
+    spark.createDataFrame([(i, i % 5, "purchase", i, f'{{"k": {i}}}') for i in range(45)], "event_id long, user_id long, event_type string, at long, props string").withColumn("ts", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["j5_contradictions"](spark, str(tmp_path))
+    assert got.columns == ["concept", "memory_a", "memory_b"] and got.count() > 45
