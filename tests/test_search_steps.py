@@ -150,3 +150,23 @@ def test_hits_meet_chunks_without_a_shuffle_of_the_texts(spark):
     assert sorted((r.query_id, r.chunk_id, r.text) for r in out.collect()) == [(1, "c5", "whole 1"), (1, "gone", ""), (2, "c39", "whole 9")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_pairs_are_left_out_without_rounding_them(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(300, 6)), np.zeros((2, 6)), np.eye(6)[:1].repeat(30, axis=0)])
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, [1.0, 2.0]), (901, None)], "chunk_id long, vector array<double>")
+    queries = vectors.filter("chunk_id % 9 = 0 OR chunk_id IN (301, 320, 900)").withColumnRenamed("chunk_id", "query_id")
+    got = rt.vector_search_sql(queries, vectors, 7)
+    join = next(line for line in spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple").split("\n") if "Join" in line)
+    assert "round(" not in join.lower()
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {900: [(900, 1.0)]}
+    for r in queries.collect():
+        if r.query_id < 900 and x[r.query_id].any():
+            score = np.round(unit @ unit[r.query_id], 9)
+            want[r.query_id] = [(int(i), score[i]) for i in sorted(np.flatnonzero(x.any(axis=1)), key=lambda i: (-score[i], i))[:7]]
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert found.keys() == want.keys() and all([i for i, _ in found[q]] == [i for i, _ in want[q]] for q in want)
